@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 from tablemend.functions.expr import col, r6, uniform
 
 
-def _with_group(df: DataFrame, keys: Sequence[str], stats: DataFrame) -> DataFrame:
-    return df.join(stats, list(keys)) if keys else df.crossJoin(F.broadcast(stats))  # one row
+def with_group(df: DataFrame, keys: Sequence[str], stats: DataFrame) -> DataFrame:
+    """Attach a group's statistics to its rows; with no keys they are one row, read as scalars."""
+    if keys:
+        return df.join(stats, list(keys))
+    return df.select("*", *[stats.select(c).scalar().alias(c) for c in stats.columns])
 
 
 def log_sum_exp(df: DataFrame, keys: Sequence[str], x: str, name: str = "lse") -> DataFrame:
     """ln sum exp per group, shifted by the group's maximum."""
     top = df.groupBy(*keys).agg(F.max(x).alias("_m"))
-    shifted = _with_group(df, keys, top)
+    shifted = with_group(df, keys, top)
     return (
         shifted.groupBy(*keys)
         .agg(F.max("_m").alias("_m"), F.sum(F.exp(F.col(x) - F.col("_m"))).alias("_s"))
@@ -38,13 +41,13 @@ def log_add(a: Column | str, b: Column | str) -> Column:
 def normalize(df: DataFrame, keys: Sequence[str], weight: str, name: str = "p") -> DataFrame:
     """Weights divided by their group's sum."""
     totals = df.groupBy(*keys).agg(F.sum(weight).alias("_t"))
-    return _with_group(df, keys, totals).withColumn(name, F.try_divide(F.col(weight), F.col("_t"))).drop("_t")
+    return with_group(df, keys, totals).withColumn(name, F.try_divide(F.col(weight), F.col("_t"))).drop("_t")
 
 
 def posterior(df: DataFrame, keys: Sequence[str], score: str, name: str = "p") -> DataFrame:
     """Probability of each candidate among those of its record."""
     return (
-        _with_group(df, keys, log_sum_exp(df, keys, score, "_lse"))
+        with_group(df, keys, log_sum_exp(df, keys, score, "_lse"))
         .withColumn(name, F.exp(F.col(score) - F.col("_lse")))
         .drop("_lse")
     )

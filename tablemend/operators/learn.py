@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablemend.functions.expr import col, ln_gamma, r6, safe_ln
+from tablemend.functions.expr import ln_gamma, safe_ln
+from tablemend.operators.choose import best, with_group
 
 
 # --- parameter declarations -------------------------------------------------
@@ -101,8 +102,7 @@ def learn_proportions(counts: DataFrame, options: DataFrame, prior: Dirichlet =
         "_a", F.coalesce(F.col("n"), F.lit(0)) + F.lit(prior.concentration)
     )
     totals = full.groupBy(*by).agg(F.sum("_a").alias("_t"))
-    joined = full.join(totals, list(by)) if by else full.crossJoin(F.broadcast(totals))
-    return joined.select(*keys, (F.col("_a") / F.col("_t")).alias("p"))
+    return with_group(full, by, totals).select(*keys, (F.col("_a") / F.col("_t")).alias("p"))
 
 
 def learn_error_rate(counts: DataFrame, prior: Beta = Beta(), name: str = "rate") -> DataFrame:
@@ -145,7 +145,9 @@ def sample_rates(counts: DataFrame, by: str, prior: Beta = Beta(), seed: int = 7
 
 # --- entity-count prior -------------------------------------------------------
 
-def py_scores(refs: DataFrame, grid: DataFrame, n: str = "n", first_index: int = 0) -> DataFrame:
+def py_scores(
+    refs: DataFrame, strengths: Sequence[float], discounts: Sequence[float], n: str = "n", first_index: int = 0
+) -> DataFrame:
     """Pitman-Yor log-score of a clustering for every (strength, discount) of a small grid.
 
     Closed form: clusters are first counted by size, so the grid only ever meets the
@@ -155,7 +157,8 @@ def py_scores(refs: DataFrame, grid: DataFrame, n: str = "n", first_index: int =
     s, d = F.col("strength"), F.col("discount")
     per_size = F.col("_m") * (ln_gamma(F.col(n) - d) - ln_gamma(1 - d))
     totals = (
-        sizes.crossJoin(F.broadcast(grid))
+        sizes.select("*", F.explode(F.array(*[F.lit(float(x)) for x in strengths])).alias("strength"))
+        .select("*", F.explode(F.array(*[F.lit(float(x)) for x in discounts])).alias("discount"))
         .groupBy("strength", "discount")
         .agg(
             F.sum(per_size).alias("_inner"),
@@ -171,15 +174,6 @@ def py_scores(refs: DataFrame, grid: DataFrame, n: str = "n", first_index: int =
     return totals.select("strength", "discount", score.alias("score"))
 
 
-def py_grid(spark, strengths: Sequence[float], discounts: Sequence[float]) -> DataFrame:
-    return spark.range(1).select(
-        F.explode(F.array(*[F.lit(float(x)) for x in strengths])).alias("strength")
-    ).select("strength", F.explode(F.array(*[F.lit(float(x)) for x in discounts])).alias("discount"))
-
-
 def learn_py(refs: DataFrame, strengths: Sequence[float], discounts: Sequence[float]) -> DataFrame:
     """The grid's best (strength, discount), flat prior."""
-    grid = py_grid(refs.sparkSession, strengths, discounts)
-    from tablemend.operators.choose import best
-
-    return best(py_scores(refs, grid), [], "score", ["strength", "discount"])
+    return best(py_scores(refs, strengths, discounts), [], "score", ["strength", "discount"])
