@@ -1,42 +1,44 @@
 """Edit distance with transpositions, and the deletion keys that make it joinable."""
 
-from __future__ import annotations
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from tablemend.functions.expr import col
 
 
-def _distance(a: str, b: str) -> int:
-    # Unrestricted form: letters between two swapped ones may themselves be edited.
-    far = len(a) + len(b)
-    table = {(-1, -1): far}
-    for i in range(len(a) + 1):
-        table[i, -1], table[i, 0] = far, i
-    for j in range(len(b) + 1):
-        table[-1, j], table[0, j] = far, j
-    last_row: dict[str, int] = {}
-    for i, ca in enumerate(a, 1):
-        last_col = 0
-        for j, cb in enumerate(b, 1):
-            row, column = last_row.get(cb, 0), last_col
-            if ca == cb:
-                last_col = j
-            table[i, j] = min(
-                table[i - 1, j - 1] + (ca != cb),
-                table[i - 1, j] + 1,
-                table[i, j - 1] + 1,
-                table[row - 1, column - 1] + (i - row - 1) + 1 + (j - column - 1),
-            )
-        last_row[ca] = i
-    return table[len(a), len(b)]
+def _distance_udf():
+    # Defined inside a function so that Spark ships the code itself to the executors,
+    # which then need no copy of this package.
+    def distance(a: str, b: str) -> int:
+        # Unrestricted form: letters between two swapped ones may themselves be edited.
+        far = len(a) + len(b)
+        table = {(-1, -1): far}
+        for i in range(len(a) + 1):
+            table[i, -1], table[i, 0] = far, i
+        for j in range(len(b) + 1):
+            table[-1, j], table[0, j] = far, j
+        last_row: dict[str, int] = {}
+        for i, ca in enumerate(a, 1):
+            last_col = 0
+            for j, cb in enumerate(b, 1):
+                row, column = last_row.get(cb, 0), last_col
+                if ca == cb:
+                    last_col = j
+                table[i, j] = min(
+                    table[i - 1, j - 1] + (ca != cb),
+                    table[i - 1, j] + 1,
+                    table[i, j - 1] + 1,
+                    table[row - 1, column - 1] + (i - row - 1) + 1 + (j - column - 1),
+                )
+            last_row[ca] = i
+        return table[len(a), len(b)]
 
+    def batch(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else distance(x, y) for x, y in zip(a, b)], dtype="Int32")
 
-@F.pandas_udf("int")
-def _distance_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else _distance(x, y) for x, y in zip(a, b)], dtype="Int32")
+    return F.pandas_udf(batch, IntegerType())
 
 
 def edit_distance(a: Column | str, b: Column | str) -> Column:
@@ -44,7 +46,7 @@ def edit_distance(a: Column | str, b: Column | str) -> Column:
     below that a swap of neighbours cannot make a difference."""
     a, b = col(a), col(b)
     plain = F.levenshtein(a, b)
-    hard = _distance_udf(F.when(plain > 1, a), F.when(plain > 1, b))
+    hard = _distance_udf()(F.when(plain > 1, a), F.when(plain > 1, b))
     return F.when(plain <= 1, plain).otherwise(hard)
 
 

@@ -48,7 +48,7 @@ def time_domain(options: DataFrame) -> DataFrame:
 
 def with_other(scored: DataFrame, placeholder: str) -> DataFrame:
     """Append a placeholder for every value outside the list, holding the remaining mass."""
-    total = F.least(F.col("lse"), F.lit(-1e-15))
+    total = F.least(F.col("lse"), F.lit(-1e-12))
     rest = log_sum_exp(scored, [], "log_prior").select(
         F.lit(placeholder).alias("option"),
         F.coalesce(F.log1p(-F.exp(total)), F.lit(LOG_ZERO)).alias("log_prior"),
