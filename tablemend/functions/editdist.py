@@ -38,7 +38,9 @@ def _distance_udf():
     def batch(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else distance(x, y) for x, y in zip(a, b)], dtype="Int32")
 
-    return F.pandas_udf(batch, IntegerType())
+    # Nondeterministic only to the optimizer: it then neither evaluates the call twice
+    # nor moves it below the step that makes the pairs distinct.
+    return F.pandas_udf(batch, IntegerType()).asNondeterministic()
 
 
 def edit_distance(a: Column | str, b: Column | str) -> Column:

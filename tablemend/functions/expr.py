@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +21,12 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(body: Callable[[Column], Column], **bound: Column | str) -> Column:
+    """``body`` of a struct whose fields are computed once, however often the body names them."""
+    packed = F.struct(*[col(c).alias(n) for n, c in bound.items()])
+    return F.element_at(F.transform(F.array(packed), body), 1)
+
+
 def r6(c: Column | str) -> Column:
     return F.round(col(c), 6)
 

@@ -16,7 +16,6 @@ from tablemend.functions.expr import (
     LOG_ZERO,
     MINUTES_PER_DAY,
     col,
-    ln_gamma,
     safe_ln,
 )
 
@@ -37,15 +36,21 @@ UNUSUAL_LETTER = -1000.0
 
 def typos(distance: Column | str, observed: Column | str, word: Column | str, max_typos: int | None = None) -> Column:
     """Typos at ``distance`` edits: negative-binomial count, uniform places and letters."""
-    k, observed, word = col(distance).cast("double"), col(observed), col(word)
+    k, observed, word = col(distance), col(observed), col(word)
     size = F.length(word).cast("double")
     r = F.ceil(size / LETTERS_PER_TYPO).cast("double")
-    count = (
-        ln_gamma(k + r) - ln_gamma(r) - ln_gamma(k + 1)
-        + r * math.log(NO_TYPO_RATE) + k * math.log(1 - NO_TYPO_RATE)
-    )
-    count = F.when(k == 0, r * math.log(NO_TYPO_RATE)).otherwise(count)
-    score = count - k * F.ln(size) - k * (math.log(TYPO_LETTERS) / 2)
+
+    def way(i: Column) -> Column:
+        return F.ln((r - 1 + i) / i)
+
+    if max_typos is None:
+        ways = F.when(k > 0, F.aggregate(F.sequence(F.lit(1), k), F.lit(0.0), lambda acc, i: acc + way(i))).otherwise(0.0)
+    else:
+        ways = F.lit(0.0)
+        for i in range(1, max_typos + 1):
+            ways = ways + F.when(k >= i, way(F.lit(float(i)))).otherwise(0.0)
+    per_typo = math.log(1 - NO_TYPO_RATE) - math.log(TYPO_LETTERS) / 2
+    score = ways + r * math.log(NO_TYPO_RATE) + k * (per_typo - F.ln(size))
     empty = F.when(k == 0, F.lit(0.0)).otherwise(F.lit(IMPOSSIBLE_TYPOS))
     out = F.when(observed.isNull(), F.lit(0.0))
     if max_typos is not None:

@@ -15,10 +15,15 @@ from tablemend.functions.expr import col, r6, uniform
 
 
 def with_group(df: DataFrame, keys: Sequence[str], stats: DataFrame) -> DataFrame:
-    """Attach a group's statistics to its rows; with no keys they are one row, read as scalars."""
-    if keys:
-        return df.join(stats, list(keys))
-    return df.select("*", *[stats.select(c).scalar().alias(c) for c in stats.columns])
+    """Attach a group's statistics to its rows (a missing key is a group too); with no keys
+    they are one row, read as scalars."""
+    extra = [c for c in stats.columns if c not in keys]
+    if not keys:
+        return df.select("*", *[stats.select(c).scalar().alias(c) for c in extra])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`"))
+    return df.alias("a").join(stats.alias("b"), cond).select("a.*", *[F.col(f"b.{c}") for c in extra])
 
 
 def log_sum_exp(df: DataFrame, keys: Sequence[str], x: str, name: str = "lse") -> DataFrame:

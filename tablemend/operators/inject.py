@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablemend.functions.expr import col, is_abbreviation, uniform
+from tablemend.functions.expr import col, is_abbreviation, let, uniform
 from tablemend.functions.loglik import LETTERS_PER_TYPO, NO_TYPO_RATE
 from tablemend.operators.prepare import position
 from tablemend.session import broadcast_if_small
@@ -29,29 +29,31 @@ def _n_typos(word: Column, u: Column, max_typos: int) -> Column:
 
 
 def _one_typo(word: str, tag: str, key: str, seed: int) -> Column:
-    """Insert, delete, swap neighbours or substitute, each a quarter of the time."""
-    w, n = F.col(word), F.length(word)
-    kind = F.floor(uniform(f"{tag}.kind", key, seed) * 4)
-    at = uniform(f"{tag}.at", key, seed)
-    letter = F.substr(F.lit(LETTERS), (F.floor(uniform(f"{tag}.letter", key, seed) * 26) + 1).cast("int"), F.lit(1))
-    gap = F.floor(at * (n + 1)).cast("int")  # 0..n
-    place = F.floor(at * n).cast("int") + 1  # 1..n
-    pair = F.floor(at * (n - 1)).cast("int") + 1  # 1..n-1
-
-    def piece(start, size):
-        return F.substr(w, start, size)
-
-    insert = F.concat(piece(F.lit(1), gap), letter, piece(gap + 1, n))
-    delete = F.concat(piece(F.lit(1), place - 1), piece(place + 1, n))
-    swapped = F.concat(piece(F.lit(1), pair - 1), piece(pair + 1, F.lit(1)), piece(pair, F.lit(1)), piece(pair + 2, n))
-    substitute = F.concat(piece(F.lit(1), place - 1), letter, piece(place + 1, n))
-    return (
-        F.when(kind == 0, insert)
-        .when(n == 0, w)
-        .when(kind == 1, delete)
-        .when((kind == 2) & (n > 1), swapped)
-        .when(kind == 2, w)
-        .otherwise(substitute)
+    """Insert, delete, swap neighbours or substitute, each a quarter of the time.
+
+    All four keep the letters before a cut, put something in, and go on after ``skip`` letters.
+    """
+
+    def edit(v: Column) -> Column:
+        w, kind, n = v["w"], v["kind"], F.length(v["w"])
+        places = n + F.when(kind == 0, 1).when(kind == 2, -1).otherwise(0)
+        cut = F.greatest(F.floor(v["at"] * places), F.lit(0)).cast("int")
+        letter = F.substr(F.lit(LETTERS), v["letter"], F.lit(1))
+        skip = F.when(kind == 0, 0).when(kind == 2, 2).otherwise(1)
+        put = (
+            F.when(kind == 0, letter)
+            .when(kind == 1, F.lit(""))
+            .when(kind == 2, F.reverse(F.substr(w, cut + 1, F.lit(2))))
+            .otherwise(F.when(n > 0, letter).otherwise(F.lit("")))
+        )
+        return F.concat(F.substr(w, F.lit(1), cut), put, F.substr(w, cut + 1 + skip, n))
+
+    return let(
+        edit,
+        w=word,
+        kind=F.floor(uniform(f"{tag}.kind", key, seed) * 4),
+        at=uniform(f"{tag}.at", key, seed),
+        letter=(F.floor(uniform(f"{tag}.letter", key, seed) * 26) + 1).cast("int"),
     )
 
 

@@ -18,6 +18,7 @@ from tablemend.functions.expr import key_hash, ln_gamma, r6
 from tablemend.operators.candidates import by_deletion
 from tablemend.operators.choose import best, log_sum_exp
 from tablemend.operators.domains import letter_bigrams, text_prior
+from tablemend.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -185,9 +186,10 @@ def reestimate(links: DataFrame, m: LinkModel) -> DataFrame:
 
 def sweep(tups: DataFrame, links: DataFrame, m: LinkModel) -> tuple[DataFrame, DataFrame]:
     """One round: entities from their records, then records against the entities.
-    Returns the new links and the entities still referred to."""
+    Returns the new links and the entities still referred to; each version is written
+    before anything reads it, so lineage stays one round deep."""
     renamed = reestimate(links, m)
     sizes = links.groupBy(F.col("entity_id").alias("old_id")).agg(F.sum("c").alias("n"))
-    entities = renamed.join(sizes, "old_id").groupBy("entity_id", *m.fields).agg(F.sum("n").alias("n"))
-    new_links = link(tups, entities, m).select(*m.fields, "c", "entity_id", "is_new")
+    entities = cut_lineage(renamed.join(sizes, "old_id").groupBy("entity_id", *m.fields).agg(F.sum("n").alias("n")))
+    new_links = cut_lineage(link(tups, entities, m).select(*m.fields, "c", "entity_id", "is_new"))
     return new_links, entities.join(new_links.select("entity_id"), "entity_id", "left_semi")

@@ -27,9 +27,14 @@ RATE = learn.Beta(10.0, 50.0)
 STRENGTHS, DISCOUNTS = (0.5, 1.0, 2.0, 4.0, 8.0), (0.0, 0.25, 0.5)
 
 
-def query(f: Query) -> Query:
-    QUERIES[f.__name__] = f
-    return f
+def query(f: Query | None = None, name: str | None = None):
+    """Register a query under its function's name, or another where that name is an import's."""
+
+    def add(g: Query) -> Query:
+        QUERIES[name or g.__name__] = g
+        return g
+
+    return add(f) if f else add
 
 
 # --- reading and preparing ---------------------------------------------------------
@@ -87,14 +92,11 @@ def derived_column(spark, d):
     )
 
 
-@query
+@query(name="blocking_key")
 def blocking_keys(spark, d):
     return fx.parts_dirty(spark, d).select("row_id", blocking_key("p_name").alias("key"))
 
 
-QUERIES["blocking_key"] = QUERIES.pop("blocking_keys")
-
-
 @query
 def type_align(spark, d):
     keys = fx.table(spark, d, "customer").select("c_custkey", "c_nationkey")
@@ -107,17 +109,14 @@ def missing_policy(spark, d):
     return prepare.missing_policy(fx.parts_dirty(spark, d), {"p_name": True, "p_type": False, "p_brand": False})
 
 
-@query
+@query(name="approx_equal")
 def approx_equality(spark, d):
     p = fx.prices(spark, d)
     return p.select("row_id", approx_equal("noisy", "shown").alias("same"),
                     approx_equal(F.col("noisy"), F.col("shown") * 1000).alias("same_in_thousands"))
 
 
-QUERIES["approx_equal"] = QUERIES.pop("approx_equality")
-
-
-@query
+@query(name="is_abbreviation")
 def abbreviation_test(spark, d):
     n = fx.names(spark, d)
     full = F.concat_ws(" ", "first", "middle", "last")
@@ -125,9 +124,6 @@ def abbreviation_test(spark, d):
                     is_abbreviation(F.substring("middle", 1, 2), F.col("last")).alias("of_last"))
 
 
-QUERIES["is_abbreviation"] = QUERIES.pop("abbreviation_test")
-
-
 @query
 def time_valid(spark, d):
     return fx.times(spark, d).select("row_id", is_time("time_text").alias("valid"))
@@ -311,18 +307,16 @@ def initial_loglik(spark, d):
 
 
 def _short_names(spark, d):
-    part = tables.bind_observed(fx.table(spark, d, "part"), ["p_partkey"])
-    second = F.split_part("p_name", F.lit(" "), F.lit(2))
-    short = F.concat(F.substring("p_name", 1, 1), F.substring(second, 1, 2))
-    return part.select("row_id", short.alias("short"), "p_name")
+    second = F.split_part("clean_name", F.lit(" "), F.lit(2))
+    short = F.concat(F.substring("clean_name", 1, 1), F.substring(second, 1, 2))
+    return fx.parts_dirty(spark, d).select("row_id", short.alias("short"), "clean_name", "p_name")
 
 
 @query
 def abbrev_loglik(spark, d):
     s = _short_names(spark, d)
-    # Every second observed text is that of another part, so both outcomes occur.
     pairs = s.select("short", F.col("p_name").alias("observed")).distinct()
-    opts = s.select(F.col("p_name").alias("option")).distinct()
+    opts = s.select(F.col("clean_name").alias("option")).distinct()
     return score.score_abbreviation(pairs, opts, "observed", "short").select("short", "observed", r6("loglik").alias("loglik"))
 
 
@@ -596,9 +590,9 @@ def referring_rows(spark, d):
 
 @query
 def prune_orphans(spark, d):
-    parts = fx.table(spark, d, "part").select(F.col("p_partkey").alias("part"), "p_name")
-    links = fx.table(spark, d, "lineitem").where(F.col("l_returnflag") == "R").select(F.col("l_partkey").alias("part"))
-    return state.prune_orphans(parts, links, "part")
+    customers = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("entity_id"), "c_name")
+    links = fx.table(spark, d, "orders").select(F.col("o_custkey").alias("entity_id"))
+    return state.prune_orphans(customers, links)
 
 
 @query
@@ -607,7 +601,7 @@ def prune_cascade(spark, d):
         ("customer", fx.table(spark, d, "customer"), "c_custkey", "c_nationkey"),
         ("nation", fx.table(spark, d, "nation"), "n_nationkey", "n_regionkey"),
         ("region", fx.table(spark, d, "region"), "r_regionkey", None),
-    ], fx.table(spark, d, "orders").where(F.col("o_orderstatus") == "F"), "o_custkey")
+    ], fx.table(spark, d, "orders"), "o_custkey")
     keys = {"customer": "c_custkey", "nation": "n_nationkey", "region": "r_regionkey"}
     out = None
     for name, table in kept.items():
@@ -773,7 +767,7 @@ def inject_missing(spark, d):
 @query
 def inject_expansions(spark, d):
     s = _short_names(spark, d)
-    opts = s.select(F.col("p_name").alias("option")).distinct()
+    opts = s.select(F.col("clean_name").alias("option")).distinct()
     return inject.expansions(s.select("row_id", "short"), "short", "dirty", opts).select("row_id", F.col("short").alias("clean"), "dirty")
 
 

@@ -154,11 +154,10 @@ def initial_links(records: DataFrame, m: LinkModel) -> tuple[DataFrame, DataFram
 
 
 def sweeps(records: DataFrame, m: LinkModel, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """(links, entities) after ``rounds`` sweeps; each version is written before the next starts."""
+    """(links, entities) after ``rounds`` sweeps."""
     tups, links, entities = initial_links(records, m)
     for _ in range(rounds):
         links, entities = sweep(tups, links, m)
-        links, entities = cut_lineage(links), cut_lineage(entities)
     return links, entities
 
 
