@@ -43,17 +43,60 @@ def _distance_udf():
     return F.pandas_udf(batch, IntegerType()).asNondeterministic()
 
 
-def edit_distance(a: Column | str, b: Column | str) -> Column:
-    """Exact distance.  Only pairs whose plain Levenshtein distance exceeds 1 reach Python:
-    below that a swap of neighbours cannot make a difference."""
+def _swaps(w: Column) -> Column:
+    """Every string one swap of neighbours away."""
+    return F.when(
+        F.length(w) > 1,
+        F.transform(
+            F.sequence(F.lit(1), F.length(w) - 1),
+            lambda i: F.concat(
+                F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1, F.lit(1)), F.substr(w, i, F.lit(1)), F.substr(w, i + 2, F.length(w))
+            ),
+        ),
+    ).otherwise(F.array().cast("array<string>"))
+
+
+def _distance_up_to_2(a: Column, b: Column) -> Column:
+    # Two edits are two single steps.  Without a swap among them plain Levenshtein already
+    # says 2; otherwise undoing the swap on one side leaves at most one plain edit, or a
+    # swap on the other side.  Swaps keep a word's letters and the other edit changes one,
+    # so most pairs are settled by comparing the letters.
+    plain = F.levenshtein(a, b, 4)
+    same_size = F.length(a) == F.length(b)
+    new_letters = [F.length(F.call_function("translate", x, y, F.lit(""))) for x, y in ((a, b), (b, a))]
+    one_swap = same_size & (new_letters[0] == 0) & F.array_contains(_swaps(a), b)
+    swap_and_edit = (
+        F.exists(_swaps(a), lambda x: F.levenshtein(x, b, 1) >= 0)
+        | F.exists(_swaps(b), lambda y: F.levenshtein(a, y, 1) >= 0)
+    )
+    two_swaps = same_size & (new_letters[0] == 0) & F.arrays_overlap(_swaps(a), _swaps(b))
+    few_new = (new_letters[0] <= 1) & (new_letters[1] <= 1)
+    return (
+        F.when(plain.between(0, 1), plain)
+        .when(plain == 2, F.when(one_swap, 1).otherwise(2))
+        .when(plain < 0, 3)
+        .when(two_swaps, 2)
+        .when((plain == 3) & few_new & swap_and_edit, 2)
+        .otherwise(3)
+    )
+
+
+def edit_distance(a: Column | str, b: Column | str, bound: int | None = None) -> Column:
+    """Exact distance, or for ``bound`` <= 2 the distance if within it and 3 beyond.
+
+    The bounded form stays in the JVM.  In the other, only pairs whose plain Levenshtein
+    distance exceeds 1 reach Python: below that a swap of neighbours makes no difference.
+    """
     a, b = col(a), col(b)
+    if bound is not None and bound <= 2:
+        return _distance_up_to_2(a, b)
     plain = F.levenshtein(a, b)
     hard = _distance_udf()(F.when(plain > 1, a), F.when(plain > 1, b))
     return F.when(plain <= 1, plain).otherwise(hard)
 
 
 def deletion_keys(word: Column | str, k: int) -> Column:
-    """All strings left after deleting at most ``k`` letters, hashed to longs.
+    """All strings left after deleting at most ``k`` letters, as (hash, letters dropped).
 
     Two words at edit distance <= k (swaps included) always share one: every
     insertion, deletion, substitution or swap is undone by dropping at most one
@@ -69,9 +112,12 @@ def deletion_keys(word: Column | str, k: int) -> Column:
             ),
         ).otherwise(F.array().cast("array<string>"))
 
+    def labelled(level: Column, dropped: int) -> Column:
+        return F.transform(level, lambda v: F.struct(F.xxhash64(v).alias("v"), F.lit(dropped).alias("d")))
+
     level = F.array(col(word))
-    keys = level
-    for _ in range(k):
+    keys = [labelled(level, 0)]
+    for dropped in range(1, k + 1):
         level = F.array_distinct(F.flatten(F.transform(level, drop_one)))
-        keys = F.concat(keys, level)
-    return F.transform(F.array_distinct(keys), lambda v: F.xxhash64(v))
+        keys.append(labelled(level, dropped))
+    return F.concat(*keys)

@@ -46,8 +46,9 @@ def unit_scores(x: Column | str, mean, std, units: Sequence[Transform]) -> Colum
 
 def best_unit(x: Column | str, mean, std, units: Sequence[Transform]) -> Column:
     """The likeliest unit's entry; ties to the one declared first.  Decided inside the row."""
-    ranked = F.transform(
-        unit_scores(x, mean, std, units),
-        lambda s, i: F.struct((-r6(s["loglik"])).alias("rank"), i.alias("i"), s.alias("s")),
-    )
-    return F.array_min(ranked)["s"]
+    base = [u.backward(col(x)) for u in units]
+    ranked = [
+        F.struct((-r6(gaussian_in_unit(x, mean, std, u))).alias("rank"), F.lit(i).alias("i"), F.lit(u.name).alias("unit"), b.alias("base"))
+        for i, (u, b) in enumerate(zip(units, base))
+    ]
+    return F.array_min(F.array(*ranked))

@@ -34,7 +34,7 @@ def within_bound(pairs: DataFrame, observed: str, word: str, max_typos: int, nam
     """Keep pairs at edit distance <= max_typos.  Plain Levenshtein, at most twice the
     distance with swaps, discards most pairs inside the JVM."""
     close = pairs.where(F.levenshtein(F.col(observed), F.col(word), 2 * max_typos) >= 0)
-    return close.withColumn(name, edit_distance(observed, word)).where(F.col(name) <= max_typos)
+    return close.withColumn(name, edit_distance(observed, word, max_typos)).where(F.col(name) <= max_typos)
 
 
 def by_deletion(observed: DataFrame, words: DataFrame, max_typos: int, on: Sequence[str] = ()) -> DataFrame:
@@ -42,13 +42,21 @@ def by_deletion(observed: DataFrame, words: DataFrame, max_typos: int, on: Seque
 
     Both sides list what is left after dropping up to ``max_typos`` letters; pairs within
     the bound always meet in one such string, and pairs that meet are never more than
-    twice as far apart, so the join's size follows the size of the result.
+    twice as far apart, so the join's size follows the size of the result.  A word lists
+    about length**max_typos strings: for long words use ``by_rare_grams``.
     """
-    keys = [*on, "_v"]
-    left = observed.select(*on, "observed").distinct().withColumn("_v", F.explode(deletion_keys("observed", max_typos)))
-    right = words.select(*on, "word").distinct().withColumn("_v", F.explode(deletion_keys("word", max_typos)))
-    pairs = left.join(right, keys).select(*on, "observed", "word").distinct()
-    return within_bound(pairs, "observed", "word", max_typos)
+
+    def keyed(words_: DataFrame, word: str, dropped: str) -> DataFrame:
+        listed = words_.select(*on, word).distinct().where(F.col(word).isNotNull())
+        return listed.select(*on, word, F.inline(deletion_keys(word, max_typos))).select(
+            *on, word, F.col("v").alias("_v"), F.col("d").alias(dropped)
+        )
+
+    met = keyed(observed, "observed", "_d").join(keyed(words, "word", "_e"), [*on, "_v"])
+    pairs = met.groupBy(*on, "observed", "word").agg(F.min(F.col("_d") + F.col("_e")).alias("_near"))
+    # No drop, or a single one, settles the distance; the rest is measured once per pair.
+    k = F.when(F.col("_near") <= 1, F.col("_near")).otherwise(edit_distance("observed", "word", max_typos))
+    return pairs.withColumn("k", k).where(F.col("k") <= max_typos).drop("_near")
 
 
 def _grams(words: DataFrame, word: str, on: Sequence[str], q: int) -> DataFrame:
@@ -63,16 +71,16 @@ def _grams(words: DataFrame, word: str, on: Sequence[str], q: int) -> DataFrame:
     )
 
 
-def by_rare_grams(observed: DataFrame, words: DataFrame, max_typos: int, on: Sequence[str] = (), q: int = 2) -> DataFrame:
+def by_rare_grams(observed: DataFrame, words: DataFrame, max_typos: int, on: Sequence[str] = (), q: int = 2, min_length: int = 0) -> DataFrame:
     """The same pairs as ``by_deletion``, for long words: share one of the rarest q-grams.
 
     One edit (a swap at worst) changes at most q+1 grams, so two words within the bound
     agree on at least one of each other's (q+1)*max_typos+1 rarest grams.  Words too
     short to have that many go through ``by_deletion``, together with whatever could
-    match them, so no pair is lost.
+    match them, so no pair is lost; ``min_length`` raises where that switch happens.
     """
     prefix = (q + 1) * max_typos + 1
-    long_enough = prefix + q - 1
+    long_enough = max(prefix + q - 1, min_length)
     obs = observed.select(*on, "observed").distinct()
     wrd = words.select(*on, "word").distinct()
     grams_o, grams_w = _grams(obs, "observed", on, q), _grams(wrd, "word", on, q)

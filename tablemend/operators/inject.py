@@ -123,12 +123,8 @@ def expansions(df: DataFrame, column: str, out: str, options: DataFrame, key: st
     """
     spelled = expansion_pairs(df.select(F.col(column).alias("short")).distinct(), options)
     sized = spelled.groupBy("short").agg(F.count("*").alias("_n"))
-    numbered = spelled.withColumn("_h", F.md5(F.concat_ws("|", "short", "option")))
-    from pyspark.sql import Window
-
-    numbered = numbered.withColumn("_i", F.row_number().over(Window.partitionBy("short").orderBy("_h"))).select(
-        F.col("short").alias("_s"), "_i", "option"
-    )
+    hashed = spelled.withColumn("_h", F.md5(F.concat_ws("|", "short", "option")))
+    numbered = position(hashed, "_h", prefix=2, name="_i", by=["short"]).select(F.col("short").alias("_s"), "_i", "option")
     drawn = (
         df.join(sized.select(F.col("short").alias("_s"), "_n"), F.col(column) == F.col("_s"), "left")
         .withColumn("_i", F.floor(uniform(f"expand.{column}", key, seed) * F.col("_n")) + 1)

@@ -79,7 +79,7 @@ def count_options(df: DataFrame, option: str, by: Sequence[str] = ()) -> DataFra
 
 def gaussian_stats(df: DataFrame, x: str, std: str, by: Sequence[str]) -> DataFrame:
     """Count and sum of readings per noise level."""
-    return df.where(F.col(x).isNotNull()).groupBy(*by, std).agg(F.count("*").alias("n"), F.sum(x).alias("sum"))
+    return df.groupBy(*by, std).agg(F.count(x).alias("n"), F.sum(x).alias("sum")).where("n > 0")
 
 
 def observation_counts(links: DataFrame, entity: str, columns: Sequence[str]) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tablemend.functions import loglik
 from tablemend.functions.expr import key_hash, ln_gamma, r6
-from tablemend.operators.candidates import by_deletion
+from tablemend.operators.candidates import by_deletion, by_rare_grams
 from tablemend.operators.choose import best, log_sum_exp
 from tablemend.operators.domains import letter_bigrams, text_prior
 from tablemend.session import cut_lineage
@@ -49,9 +49,22 @@ def tuples(records: DataFrame, m: LinkModel) -> DataFrame:
     return records.groupBy(*m.fields).agg(F.count("*").alias("c"))
 
 
-def typo_pairs(observed: DataFrame, words: DataFrame, max_typos: int) -> DataFrame:
-    """(observed, word, k, loglik) for distinct pairs within the bound, each scored once."""
-    pairs = by_deletion(observed, words, max_typos)
+# Above this declared length, listing every deletion of a name costs more than its q-grams.
+LONG_NAME = 40
+
+
+def typo_pairs(observed: DataFrame, words: DataFrame, max_typos: int, max_length: int = 30, on: Sequence[str] = ()) -> DataFrame:
+    """(observed, word, k, loglik) for distinct pairs within the bound, each scored once.
+    ``on`` names columns both sides must agree on.
+
+    Words longer than ``max_length`` are impossible values, so they are no one's clean word.
+    """
+    observed = observed.where(F.length("observed") <= max_length + max_typos)
+    words = words.where(F.length("word") <= max_length)
+    if max_length <= LONG_NAME:
+        pairs = by_deletion(observed, words, max_typos, on)
+    else:
+        pairs = by_rare_grams(observed, words, max_typos, on, min_length=LONG_NAME // 2)
     return pairs.withColumn("loglik", loglik.typos("k", "observed", "word", max_typos))
 
 
@@ -60,7 +73,7 @@ def scored_candidates(tups: DataFrame, entities: DataFrame, m: LinkModel) -> Dat
 
     ``entities`` carries entity_id, the model's fields and ``n`` references.
     """
-    pairs = typo_pairs(tups.select(F.col(m.name).alias("observed")), entities.select(F.col(m.name).alias("word")), m.max_typos)
+    pairs = typo_pairs(tups.select(F.col(m.name).alias("observed")), entities.select(F.col(m.name).alias("word")), m.max_typos, m.max_length)
     t, e = tups.alias("t"), entities.alias("e")
     met = t.join(pairs.alias("p"), F.col(f"t.{m.name}") == F.col("p.observed"))
     cond = F.col("p.word") == F.col(f"e.{m.name}")
@@ -115,15 +128,20 @@ def seed_entities(tups: DataFrame, m: LinkModel) -> DataFrame:
         .withColumn("own", own)
         .select("entity_id", *m.fields, "n", "own")
     )
-    pairs = typo_pairs(seeds.select(F.col(m.name).alias("observed")), seeds.select(F.col(m.name).alias("word")), m.max_typos).where("k > 0")
+    observed, words = (seeds.select(*m.exact, F.col(m.name).alias(side)) for side in ("observed", "word"))
+    pairs = typo_pairs(observed, words, m.max_typos, m.max_length, m.exact).where("k > 0")
     w, v = seeds.alias("w"), seeds.alias("v")
-    cond = F.col("p.word") == F.col(f"v.{m.name}")
-    for c in m.exact:
-        cond = cond & (F.col(f"w.{c}") == F.col(f"v.{c}"))
+
+    def same(side: str, column: str):
+        cond = F.col(f"p.{column}") == F.col(f"{side}.{m.name}")
+        for c in m.exact:
+            cond = cond & (F.col(f"p.{c}") == F.col(f"{side}.{c}"))
+        return cond
+
     stronger = (F.col("v.n") > F.col("w.n")) | ((F.col("v.n") == F.col("w.n")) & (F.col("v.entity_id") < F.col("w.entity_id")))
     joins = (
-        w.join(pairs.alias("p"), F.col(f"w.{m.name}") == F.col("p.observed"))
-        .join(v, cond & stronger)
+        w.join(pairs.alias("p"), same("w", "observed"))
+        .join(v, same("v", "word") & stronger)
         .groupBy(F.col("w.entity_id").alias("entity_id"))
         .agg(F.max(F.col("w.n") * F.col("p.loglik") + ln_gamma(F.col("v.n") + F.col("w.n") - d) - ln_gamma(F.col("v.n") - d)).alias("_join"))
     )
@@ -147,7 +165,7 @@ def relink(tups: DataFrame, entities: DataFrame, m: LinkModel) -> DataFrame:
     """
     existing = scored_candidates(tups, entities, m)
     words = name_prior(tups, m)
-    pairs = typo_pairs(tups.select(F.col(m.name).alias("observed")), words.select("word"), m.max_typos)
+    pairs = typo_pairs(tups.select(F.col(m.name).alias("observed")), words.select("word"), m.max_typos, m.max_length)
     options = pairs.join(words, "word").select("observed", (F.col("logp") + F.col("loglik")).alias("x"))
     spread = log_sum_exp(options, ["observed"], "x").withColumnRenamed("observed", m.name)
     total = entities.select(F.sum("n")).scalar()

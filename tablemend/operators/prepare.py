@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablemend.functions.expr import col
-
 
 def align_columns(df: DataFrame, mapping: Mapping[str, str | tuple[str, str]], keep: Sequence[str] = ("row_id",)) -> DataFrame:
     """Rename source columns to model attributes.
@@ -79,23 +77,24 @@ def align_types(df: DataFrame, like: DataFrame) -> DataFrame:
     )
 
 
-def position(df: DataFrame, digest: str, key: str | Column | None = None, prefix: int = 4, name: str = "row_no") -> DataFrame:
-    """1-based position of each row in the order of ``(digest, key)``, without one global sort.
+def position(
+    df: DataFrame, digest: str, key: str | None = None, prefix: int = 4, name: str = "row_no", by: Sequence[str] = ()
+) -> DataFrame:
+    """1-based position of each row in the order of ``(digest, key)``, overall or per group.
 
     ``digest`` is an md5 text column, so its first hex digits split the rows evenly:
-    rows are counted per prefix, only that bounded list (16**prefix) is summed in
-    order, and each prefix numbers its own rows.
+    rows are counted per prefix, only those counts (16**prefix per group at most) are
+    summed in order, and each prefix numbers its own rows.  Neither one global sort nor
+    one task per group is needed.
     """
-    from pyspark.sql import Window
-
-    order = [F.col(digest)] + ([col(key)] if key is not None else [])
+    keys = [*by, "_bucket"]
     bucketed = df.withColumn("_bucket", F.substring(digest, 1, prefix))
-    sizes = bucketed.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("_bucket").orderBy(*order)
+    sizes = bucketed.groupBy(*keys).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy(*keys).orderBy(digest, *([key] if key else []))
     return (
-        bucketed.join(F.broadcast(starts), "_bucket")
+        bucketed.join(starts if by else F.broadcast(starts), keys)
         .withColumn(name, F.col("_start") + F.row_number().over(within))
         .drop("_bucket", "_start")
     )

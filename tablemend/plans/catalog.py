@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from tablemend.functions.units import IDENTITY, THOUSANDS, best_unit
 from tablemend.operators import candidates, choose, domains, evaluate, inject, learn, link, prepare, score, state
 from tablemend.plans import fixtures as fx
 from tablemend.plans import jobs
-from tablemend.session import cut_lineage, shared_dir
+from tablemend.session import cut_lineage, scratch_path
 from tablemend.sources import sinks, tables
 from tablemend.streaming import stream
 
@@ -689,7 +688,8 @@ def repair_typos(spark, d):
 
 @query
 def unit_correct(spark, d):
-    out = jobs.unit_correct(fx.prices(spark, d).select("row_id", "part", "shown"), "shown", ["part"], UNITS, learn.NormalMean(1500.0, 1000.0), 150.0)
+    readings = cut_lineage(fx.prices(spark, d).select("row_id", "part", "shown"))
+    out = jobs.unit_correct(readings, "shown", ["part"], UNITS, learn.NormalMean(1500.0, 1000.0), 150.0)
     return out.select("row_id", "unit", "corrected")
 
 
@@ -775,7 +775,7 @@ def inject_expansions(spark, d):
 
 def _as_files(spark, df, parts):
     """Records landed as several files, the way a stream would find them."""
-    path = f"{shared_dir(spark).rstrip('/')}/tablemend/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.repartition(parts, "row_id").write.parquet(f"{path}/in")
     return path
 

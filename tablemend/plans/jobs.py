@@ -132,12 +132,14 @@ def unit_correct(
 ) -> DataFrame:
     """Adds ``unit`` and ``corrected``: the unit each reading is most likely shown in, given its
     group's typical value, which is learned from the readings converted back."""
-    means = None
-    for _ in range(rounds):
-        placed = readings.withColumn("mean", F.lit(prior.mean)) if means is None else lookup(readings, means, group, "mean", prior.mean)
+    placed = readings.withColumn("mean", F.lit(prior.mean))
+    for i in range(rounds):
         chosen = placed.withColumn("_u", best_unit(x, F.col("mean"), F.lit(std), units))
-        stats = gaussian_stats(chosen.select(*group, F.col("_u.base").alias("base"), F.lit(std).alias("std")), "base", "std", group)
-        means = learn_mean(stats, prior, "std", group)
+        if i == rounds - 1:
+            break
+        base = chosen.select(*group, F.col("_u.base").alias("base"), F.lit(std).alias("std"))
+        means = cut_lineage(learn_mean(gaussian_stats(base, "base", "std", group), prior, "std", group))
+        placed = lookup(readings, means, group, "mean", prior.mean)
     return chosen.select(
         *readings.columns, F.col("_u.unit").alias("unit"), F.bround(F.col("_u.base"), digits).alias("corrected"), "mean"
     )

@@ -40,7 +40,7 @@ def typo_loglik(k: str, word: str) -> str:
 
 # --- fixtures ---------------------------------------------------------------------------
 
-LINE_ID = "md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d')))"
+LINE_ID = "md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate::DATE - DATE '1970-01-01'))"
 
 CLAIMS = f"""
 opts AS (SELECT option, row_number() OVER (ORDER BY md5(option), option) AS idx, count(*) OVER () AS n_options

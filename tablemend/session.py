@@ -42,11 +42,16 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A fresh path under the shared folder, grouped by application so that it can be cleared with it."""
+    return f"{shared_dir(spark).rstrip('/')}/tablemend/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later stages neither
     recompute it nor depend on executors that may be gone."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tablemend/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tablemend.operators.learn import Beta, error_counts, learn_error_rate, learn_py
+from tablemend.operators.learn import error_counts, learn_py
 from tablemend.operators.link import LinkModel, link, on_tuple, tuples
 
 
@@ -49,12 +50,13 @@ def stream_error_rate(stream: DataFrame, observed: str, value: str, source: str,
 
 
 class LinkStream:
-    """Incremental linking.
+    """Incremental linking with versioned state in the shared folder.
 
-    State lives in the shared folder and only grows: batch ``b`` reads the links of
-    batches before it and writes ``links/batch=b``.  Entities and their counts are derived
-    from those, so re-running a batch after a failure rewrites exactly its own part.
-    Every ``refresh`` batches the entity-count prior is re-estimated from all links.
+    Batch ``b`` writes ``links/batch=b`` and ``added/batch=b`` (references gained per entity,
+    new entities included).  Every ``refresh`` batches the entity table is compacted to
+    ``state/before=b`` and the entity-count prior re-estimated from it.  A batch therefore
+    reads one compacted version and at most ``refresh`` small additions, never the whole
+    history, and a replayed batch overwrites exactly what it wrote before.
     """
 
     # The grid the refresh chooses from.
@@ -62,44 +64,50 @@ class LinkStream:
     DISCOUNTS = (0.0, 0.25, 0.5)
 
     def __init__(self, spark: SparkSession, model: LinkModel, entities: DataFrame, path: str, refresh: int = 2):
-        self.spark, self.path, self.refresh, self.model = spark, path.rstrip("/"), refresh, model
-        entities.select("entity_id", *model.fields, F.col("n").cast("long").alias("n")).write.mode("overwrite").parquet(f"{self.path}/start")
-
-    def _links(self, before: int) -> DataFrame | None:
-        try:
-            links = self.spark.read.parquet(f"{self.path}/links")
-        except Exception as e:  # no batch written yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return None
-        return links.where(F.col("batch") < before)
-
-    def entities(self, before: int) -> DataFrame:
-        """Entities and reference counts as of batch ``before``."""
-        start = self.spark.read.parquet(f"{self.path}/start")
-        links = self._links(before)
-        if links is None:
-            return start
-        fields = self.model.fields
-        added = links.where("is_new").groupBy("entity_id").agg(*[F.min(c).alias(c) for c in fields]).withColumn("n", F.lit(0).cast("long"))
-        refs = links.groupBy("entity_id").agg(F.count("*").alias("_more"))
-        known = start.unionByName(added).groupBy("entity_id").agg(*[F.min(c).alias(c) for c in fields], F.max("n").alias("n"))
-        return known.join(refs, "entity_id", "left").withColumn("n", F.col("n") + F.coalesce("_more", F.lit(0))).drop("_more")
+        self.spark, self.model, self.path, self.refresh = spark, model, path.rstrip("/"), refresh
+        first = entities.select("entity_id", *model.fields, F.col("n").cast("long").alias("n"))
+        first.write.mode("ignore").parquet(f"{self.path}/state/before=0")
+
+    def _merge(self, parts: DataFrame) -> DataFrame:
+        return parts.groupBy("entity_id").agg(*[F.min(c).alias(c) for c in self.model.fields], F.sum("n").alias("n"))
+
+    def _read(self, base: int, batch_id: int) -> DataFrame:
+        state = self.spark.read.parquet(f"{self.path}/state/before={base}")
+        if batch_id == base:
+            return state
+        added = [f"{self.path}/added/batch={b}" for b in range(base, batch_id)]
+        return self._merge(state.unionByName(self.spark.read.schema(state.schema).parquet(*added)))
+
+    def entities(self, batch_id: int) -> DataFrame:
+        """Entities and reference counts as batch ``batch_id`` finds them."""
+        base = batch_id - batch_id % self.refresh
+        if base == batch_id and base > 0:
+            compacted = self._read(base - self.refresh, base)
+            compacted.write.mode("overwrite").parquet(f"{self.path}/state/before={base}")
+        return self._read(base, batch_id)
+
+    def prior(self, batch_id: int) -> LinkModel:
+        """The model with the entity-count prior learned at the last compaction (two numbers)."""
+        base = batch_id - batch_id % self.refresh
+        if base == 0:
+            return self.model
+        refs = self.spark.read.parquet(f"{self.path}/state/before={base}").where("n > 0")
+        best = learn_py(refs, self.STRENGTHS, self.DISCOUNTS).first()
+        return replace(self.model, strength=best["strength"], discount=best["discount"])
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         entities = self.entities(batch_id)
-        if batch_id and batch_id % self.refresh == 0:
-            s = learn_py(entities.where("n > 0"), self.STRENGTHS, self.DISCOUNTS).first()
-            self.model = LinkModel(**{**self.model.__dict__, "strength": s["strength"], "discount": s["discount"]})
-        decided = link(tuples(batch, self.model), entities, self.model).drop("c", "score")
-        linked = on_tuple(batch, decided, self.model).select("row_id", *self.model.fields, "entity_id", "is_new")
-        linked.write.mode("overwrite").parquet(f"{self.path}/links/batch={batch_id}")
+        model = self.prior(batch_id)
+        decided = link(tuples(batch, model), entities, model).drop("c", "score")
+        linked = on_tuple(batch, decided, model).select("row_id", *model.fields, "entity_id", "is_new")
+        path = f"{self.path}/links/batch={batch_id}"
+        linked.write.mode("overwrite").parquet(path)
+        links = self.spark.read.schema(linked.schema).parquet(path)
+        shown = [F.min(F.when(F.col("is_new"), F.col(c))).alias(c) for c in model.fields]
+        links.groupBy("entity_id").agg(*shown, F.count("*").alias("n")).write.mode("overwrite").parquet(
+            f"{self.path}/added/batch={batch_id}"
+        )
 
     def run(self, stream: DataFrame) -> DataFrame:
         drain(stream, self.process, f"{self.path}/checkpoint")
         return self.spark.read.parquet(f"{self.path}/links")
-
-
-def refreshed_rates(counts: DataFrame, prior: Beta) -> DataFrame:
-    """Error rates from the running counts, for use inside a batch."""
-    return learn_error_rate(counts, prior)
