@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -57,6 +58,20 @@ class NormalMean:
         return 0.5 * abs(self.mean) if self.std is None else self.std
 
 
+class Parameter(Protocol):
+    """A learned parameter: statistics as aggregates, and a column computing its value from them.
+    Any object with these two methods can be learned by ``learn``, globally or per key."""
+
+    def stats(self, observed: str, value: str, weight: str | None = None) -> list[Column]: ...
+
+    def posterior(self) -> Column: ...
+
+
+def learn(df: DataFrame, parameter: Parameter, observed: str, value: str, by: Sequence[str] = (), weight: str | None = None, name: str = "parameter") -> DataFrame:
+    """One row per key with the parameter's statistics and value."""
+    return df.groupBy(*by).agg(*parameter.stats(observed, value, weight)).withColumn(name, parameter.posterior())
+
+
 # --- statistics -------------------------------------------------------------
 
 def error_counts(observed: str, value: str, weight: str | None = None) -> list[Column]:

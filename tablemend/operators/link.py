@@ -36,6 +36,11 @@ class LinkModel:
     strength: float = 1.0
     discount: float = 0.25
 
+    def __post_init__(self):
+        taken = {"c", "n", "own", "logp", "entity_id", "score", "loglik", "is_new"} & set(self.fields)
+        if taken:
+            raise ValueError(f"rename {sorted(taken)}: linking adds columns of these names")
+
     @property
     def fields(self) -> list[str]:
         return [self.name, *self.exact]
@@ -128,14 +133,16 @@ def seed_entities(tups: DataFrame, m: LinkModel) -> DataFrame:
         .withColumn("own", own)
         .select("entity_id", *m.fields, "n", "own")
     )
-    observed, words = (seeds.select(*m.exact, F.col(m.name).alias(side)) for side in ("observed", "word"))
-    pairs = typo_pairs(observed, words, m.max_typos, m.max_length, m.exact).where("k > 0")
+    shared = [f"_x{i}" for i in range(len(m.exact))]
+    blocks = [F.col(c).alias(x) for c, x in zip(m.exact, shared)]
+    observed, words = (seeds.select(*blocks, F.col(m.name).alias(side)) for side in ("observed", "word"))
+    pairs = typo_pairs(observed, words, m.max_typos, m.max_length, shared).where("k > 0")
     w, v = seeds.alias("w"), seeds.alias("v")
 
     def same(side: str, column: str):
         cond = F.col(f"p.{column}") == F.col(f"{side}.{m.name}")
-        for c in m.exact:
-            cond = cond & (F.col(f"p.{c}") == F.col(f"{side}.{c}"))
+        for c, x in zip(m.exact, shared):
+            cond = cond & (F.col(f"p.{x}") == F.col(f"{side}.{c}"))
         return cond
 
     stronger = (F.col("v.n") > F.col("w.n")) | ((F.col("v.n") == F.col("w.n")) & (F.col("v.entity_id") < F.col("w.entity_id")))

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablemend.functions.models import ErrorModel
+
 
 def align_columns(df: DataFrame, mapping: Mapping[str, str | tuple[str, str]], keep: Sequence[str] = ("row_id",)) -> DataFrame:
     """Rename source columns to model attributes.
@@ -44,14 +46,16 @@ def cells(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ("row_id"
     )
 
 
-def missing_policy(df: DataFrame, columns: Mapping[str, bool]) -> DataFrame:
+def missing_policy(df: DataFrame, columns: Mapping[str, ErrorModel | None]) -> DataFrame:
     """Per column: cells observed, missing cells kept as observations, missing cells to impute.
 
-    ``columns[c]`` says the column has a clean attribute of its own *and* an error
-    model that observes missing; only then is a missing cell evidence.
+    ``columns[c]`` is the error model between the column and its clean attribute, or None
+    where the column is the attribute.  A missing cell is evidence only if there is a model
+    and it observes missing.
     """
     stats = []
-    for c, explicit in columns.items():
+    for c, model in columns.items():
+        explicit = model is not None and model.observes_missing
         null = F.col(f"`{c}`").isNull()
         stats.append(
             F.struct(

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemend.functions import loglik
+from tablemend.functions import loglik, models
 from tablemend.functions.expr import approx_equal, blocking_key, is_abbreviation, is_time, owner_rate, r6
 from tablemend.functions.units import IDENTITY, THOUSANDS, best_unit
 from tablemend.operators import candidates, choose, domains, evaluate, inject, learn, link, prepare, score, state
 from tablemend.plans import fixtures as fx
 from tablemend.plans import jobs
+from tablemend.plans.model import Column, EntityClass, clean
 from tablemend.session import cut_lineage, scratch_path
 from tablemend.sources import sinks, tables
 from tablemend.streaming import stream
@@ -105,7 +106,7 @@ def type_align(spark, d):
 
 @query
 def missing_policy(spark, d):
-    return prepare.missing_policy(fx.parts_dirty(spark, d), {"p_name": True, "p_type": False, "p_brand": False})
+    return prepare.missing_policy(fx.parts_dirty(spark, d), {"p_name": models.TYPOS, "p_type": None, "p_brand": None})
 
 
 @query(name="approx_equal")
@@ -672,6 +673,20 @@ def export_json(spark, d):
     return sinks.to_json_rows(entities, "entity_id", ["nation", "region"])
 
 
+PART = EntityClass(
+    "Part", ["number", "name", "brand"], [["number"], ["name", "brand", "type.desc"]],
+    {"type": EntityClass("PartType", ["desc"], [["desc"]])},
+)
+PART_COLUMNS = {"number": Column("number", typos=False), "name": Column("name"), "brand": Column("brand", typos=False), "type": Column("type.desc")}
+
+
+@query
+def joint_repair(spark, d):
+    """All columns of a reference repaired together, through nested classes."""
+    records = cut_lineage(fx.part_records(spark, d).select("row_id", "number", "name", "brand", "type"))
+    return clean(records, PART, PART_COLUMNS).flat
+
+
 # --- repairs --------------------------------------------------------------------------------------------------
 
 @query

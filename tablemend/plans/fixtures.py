@@ -97,3 +97,17 @@ def times(spark: SparkSession, sf_dir: str) -> DataFrame:
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("text")
     return docs.unionByName(table(spark, sf_dir, "benchmark").select("text"))
+
+
+def part_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with their part spelled out: number sometimes missing, texts mistyped, and the truth."""
+    part = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("part"), F.col("p_partkey").cast("string").alias("true_number"),
+        F.col("p_name").alias("true_name"), F.col("p_brand").alias("true_brand"), F.col("p_type").alias("true_type"))
+    line = table(spark, sf_dir, "lineitem").select(lineitem_id(), F.col("l_partkey").alias("part"))
+    df = inject.missing(line.join(part, "part"), "true_number", "number", 0.1)
+    for c in ("name", "type"):
+        df = inject.typos(df, f"true_{c}", c)
+    df = inject.missing(df, "true_brand", "brand", 0.1)
+    truth = [f"true_{c}" for c in ("number", "name", "brand", "type")]
+    return df.select("row_id", "number", "name", "brand", "type", *truth)
