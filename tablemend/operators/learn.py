@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tablemend.functions.expr import ln_gamma, safe_ln
 from tablemend.operators.choose import best, with_group
+from tablemend.operators.spread import spread_join
 
 
 # --- parameter declarations -------------------------------------------------
@@ -131,14 +132,20 @@ def learn_mean(stats: DataFrame, prior: NormalMean, std: str, by: Sequence[str])
     p0 = 1.0 / (prior.spread ** 2)
     return (
         stats.groupBy(*by)
-        .agg(F.sum(F.col("sum") / var).alias("_s"), F.sum(F.col("n") / var).alias("_n"))
-        .select(*by, ((F.lit(prior.mean * p0) + F.col("_s")) / (F.lit(p0) + F.col("_n"))).alias("mean"))
+        .agg(F.sum(F.col("sum") / var).alias("_s"), F.sum(F.col("n") / var).alias("_n"), F.sum("n").alias("n"))
+        .select(*by, "n", ((F.lit(prior.mean * p0) + F.col("_s")) / (F.lit(p0) + F.col("_n"))).alias("mean"))
     )
 
 
-def lookup(df: DataFrame, params: DataFrame, on: Sequence[str], value: str, default: float) -> DataFrame:
-    """Parameter of each row's group, or the prior's value for a group not seen."""
-    return df.join(params.select(*on, value), list(on), "left").withColumn(value, F.coalesce(F.col(value), F.lit(default)))
+def lookup(df: DataFrame, params: DataFrame, on: Sequence[str], value: str, default: float, weight: Column | str | None = None) -> DataFrame:
+    """Parameter of each row's group, or the prior's value for a group not seen.
+    ``weight``, the number of rows behind each parameter, lets very large groups be spread."""
+    if weight is None:
+        joined = df.join(params.select(*on, value), list(on), "left")
+    else:
+        weight = weight if isinstance(weight, Column) else F.col(weight)
+        joined = spread_join(df, params.select(*on, value, weight.alias("_n")), on, "_n").drop("_n")
+    return joined.withColumn(value, F.coalesce(F.col(value), F.lit(default)))
 
 
 def sample_rates(counts: DataFrame, by: str, prior: Beta = Beta(), seed: int = 7) -> DataFrame:

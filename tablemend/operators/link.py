@@ -18,6 +18,7 @@ from tablemend.functions.expr import key_hash, ln_gamma, r6
 from tablemend.operators.candidates import by_deletion, by_rare_grams
 from tablemend.operators.choose import best, log_sum_exp
 from tablemend.operators.domains import letter_bigrams, text_prior
+from tablemend.operators.spread import spread_join
 from tablemend.session import cut_lineage
 
 
@@ -95,7 +96,10 @@ def scored_candidates(tups: DataFrame, entities: DataFrame, m: LinkModel) -> Dat
 
 
 def on_tuple(records: DataFrame, decided: DataFrame, m: LinkModel, how: str = "left") -> DataFrame:
-    """Bring a decision made per tuple back to the records."""
+    """Bring a decision made per tuple back to the records.  Where the decision still knows
+    the tuple's number of copies ``c``, tuples with very many are kept from one task."""
+    if "c" in decided.columns and "c" not in records.columns:
+        return spread_join(records, decided, m.fields, "c", how).drop("c")
     cond = None
     for c in m.fields:
         same = F.col(f"r.{c}").eqNullSafe(F.col(f"d.{c}"))

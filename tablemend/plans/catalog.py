@@ -503,7 +503,7 @@ def _scored(spark, d):
 @query
 def link_map(spark, d):
     flat, cand, _ = _scored(spark, d)
-    top = choose.best(cand, NATION.fields, "score", ["entity_id"], ["entity_id", "score"])
+    top = choose.best(cand, NATION.fields, "score", ["entity_id"], ["entity_id", "score", "c"])
     return link.on_tuple(flat, top, NATION).select("row_id", "entity_id", r6("score").alias("score"))
 
 
@@ -529,7 +529,7 @@ def link_sampled(spark, d):
 @query
 def accept_or_keep(spark, d):
     flat, cand, _ = _scored(spark, d)
-    top = choose.best(cand, NATION.fields, "score", ["entity_id"], ["entity_id", "score"])
+    top = choose.best(cand, NATION.fields, "score", ["entity_id"], ["entity_id", "score", "c"])
     old = link.on_tuple(flat, top, NATION, "inner").select("row_id", F.col("entity_id").alias("old_id"), F.col("score").alias("old_score"))
     new = _sampled(flat, cand, "propose").select("row_id", F.col("entity_id").alias("new_id"), F.col("score").alias("new_score"))
     out = choose.accept_or_keep(old.join(new, "row_id"), "old_score", "new_score", "row_id")

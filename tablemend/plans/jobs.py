@@ -9,18 +9,23 @@ from pyspark.sql import functions as F
 
 from tablemend.functions.expr import owner_rate, r6, safe_ln
 from tablemend.functions.units import Transform, best_unit
-from tablemend.operators.choose import best, log_sum_exp, with_group
+from tablemend.operators.choose import best
 from tablemend.operators.learn import Beta, NormalMean, count_errors, gaussian_stats, learn_error_rate, learn_mean, lookup
 from tablemend.operators.link import LinkModel, link, on_tuple, seed_entities, sweep, tuples
+from tablemend.operators.spread import spread_join
 from tablemend.session import cut_lineage
 
 
 # --- conflicting sources --------------------------------------------------------
 
 def count_claims(claims: DataFrame, entity: Sequence[str], claim: str = "claim", source: str | None = "source") -> DataFrame:
-    """Claims by (entity, source, option): all the later rounds ever look at."""
+    """Claims by (entity, source, option): all the later rounds ever look at.
+    Missing claims say nothing, and claims about no entity decide nothing."""
     keys = [*entity, source] if source else list(entity)
-    return claims.where(F.col(claim).isNotNull()).groupBy(*keys, F.col(claim).alias("option")).agg(F.count("*").alias("n"))
+    known = claims
+    for c in (*entity, claim):
+        known = known.where(F.col(c).isNotNull())
+    return known.groupBy(*keys, F.col(claim).alias("option")).agg(F.count("*").alias("n"))
 
 
 def evidence(counts: DataFrame, entity: Sequence[str], rate: Column) -> DataFrame:
@@ -28,33 +33,45 @@ def evidence(counts: DataFrame, entity: Sequence[str], rate: Column) -> DataFram
 
     A claim adds ``ln(rate) - ln(m)`` to all m options of its entity, and the difference to
     ``ln(1 - rate)`` to its own option only.  Summing the two parts separately replaces the
-    claims x options product by two aggregates, however large an entity is.
+    claims x options product by two aggregates, however large an entity is.  The first one,
+    already as small as the answer, is written once and read by everything after it.
     """
     miss, hit = safe_ln(rate), safe_ln(1 - rate)
     n = F.col("n")
-    own = counts.groupBy(*entity, "option").agg(
-        F.sum(n).alias("_n"), F.sum(n * (hit - miss)).alias("_own"), F.sum(n * miss).alias("_base")
+    own = cut_lineage(
+        counts.groupBy(*entity, "option").agg(
+            F.sum(n).alias("_n"), F.sum(n * (hit - miss)).alias("_own"), F.sum(n * miss).alias("_base")
+        )
     )
     whole = own.groupBy(*entity).agg(F.count("*").alias("n_options"), F.sum("_n").alias("_claims"), F.sum("_base").alias("_all"))
     ln_m = F.ln(F.col("n_options").cast("double"))
     loglik = F.col("_all") + F.col("_own") + ln_m * (F.col("_n") - F.col("_claims"))
-    return with_group(own, entity, whole).select(*entity, "option", "n_options", loglik.alias("loglik"))
+    return own.join(whole, list(entity)).select(
+        *entity, "option", "n_options", F.col("_claims").alias("n_claims"), loglik.alias("loglik")
+    )
 
 
 def choose_truth(scored: DataFrame, entity: Sequence[str]) -> DataFrame:
-    """Best option per entity under a uniform prior, with its posterior."""
-    withprior = scored.withColumn("score", F.col("loglik") - F.ln(F.col("n_options").cast("double")))
-    top = best(withprior, entity, "score", ["option"], ["option", "score"])
-    total = log_sum_exp(withprior, entity, "score")
-    return top.join(total, list(entity)).select(
-        *entity, F.col("option").alias("value"), F.exp(F.col("score") - F.col("lse")).alias("posterior")
+    """Best option per entity under a uniform prior, with its posterior.
+
+    Both the choice and the normaliser come from aggregates with map-side combining, so an
+    entity with very many options is never gathered in one place.
+    """
+    score = F.col("loglik") - F.ln(F.col("n_options").cast("double"))
+    ranked = scored.select(*entity, "option", "n_claims", score.alias("score"))
+    order = F.struct((-r6("score")).alias("rank"), "option")
+    top = ranked.groupBy(*entity).agg(F.min_by(F.struct("option", "score"), order).alias("_b"), F.max("score").alias("_m"))
+    spread = ranked.join(top, list(entity)).groupBy(*entity).agg(
+        F.max("_b").alias("_b"), F.max("_m").alias("_m"), F.max("n_claims").alias("n_claims"), F.sum(F.exp(F.col("score") - F.col("_m"))).alias("_s")
     )
+    posterior = F.exp(F.col("_b.score") - F.col("_m")) / F.col("_s")
+    return spread.select(*entity, F.col("_b.option").alias("value"), posterior.alias("posterior"), "n_claims")
 
 
 def truth_discovery(claims: DataFrame, entity: Sequence[str], claim: str = "claim", rate: float = 0.1) -> DataFrame:
     """Consensus of conflicting claims when every source errs equally often."""
     counts = count_claims(claims, entity, claim, None)
-    return choose_truth(evidence(counts, entity, F.lit(rate)), entity)
+    return choose_truth(evidence(counts, entity, F.lit(rate)), entity).drop("n_claims")
 
 
 def truth_discovery_em(
@@ -74,16 +91,18 @@ def truth_discovery_em(
     counts = cut_lineage(count_claims(claims, entity, claim, source))
     rates = None
     for i in range(rounds):
-        rated = counts.withColumn("rate", F.lit(prior.mean)) if rates is None else lookup(counts, rates, [source], "rate", prior.mean)
+        rated = counts.withColumn("rate", F.lit(prior.mean)) if rates is None else lookup(
+            counts, rates, [source], "rate", prior.mean, F.col("errors") + F.col("matches")
+        )
         rate = F.col("rate") if owns is None else owner_rate(owns, "rate")
         truth = choose_truth(evidence(rated, entity, rate), entity)
         truth = truth if i == rounds - 1 else cut_lineage(truth)
-        judged = counts.join(truth.select(*entity, "value"), list(entity))
+        judged = spread_join(counts, truth.select(*entity, "value", "n_claims"), entity, "n_claims", "inner")
         if owns is not None:
             judged = judged.where(~owns)
         rates = learn_error_rate(count_errors(judged, "option", "value", [source], "n"), prior)
         rates = rates if i == rounds - 1 else cut_lineage(rates)
-    return truth, rates
+    return truth.drop("n_claims"), rates
 
 
 # --- typos ------------------------------------------------------------------------
@@ -98,7 +117,7 @@ def repair_typos(records: DataFrame, column: str, within: Sequence[str] = (), ma
     survivors = cut_lineage(seed_entities(tups, m))
     names = survivors.select("entity_id", F.col(column).alias("repaired"))
     decided = link(tups, survivors, m).join(names, "entity_id", "left")
-    fixed = decided.select(*m.fields, F.coalesce("repaired", column).alias("repaired"), "score")
+    fixed = decided.select(*m.fields, "c", F.coalesce("repaired", column).alias("repaired"), "score")
     return on_tuple(records, fixed, m)
 
 
@@ -108,10 +127,12 @@ def impute(records: DataFrame, column: str, group: Sequence[str], out: str | Non
     """Fill missing cells with their group's likeliest option, else with the likeliest overall."""
     seen = records.where(F.col(column).isNotNull()).groupBy(*group, F.col(column).alias("option")).agg(F.count("*").cast("double").alias("n"))
     overall = best(seen.groupBy("option").agg(F.sum("n").alias("n")), [], "n", ["option"], ["option"])
-    local = best(seen, list(group), "n", ["option"], ["option"]).withColumnRenamed("option", "_local")
+    sizes = records.groupBy(*group).agg(F.count("*").alias("_rows"))
+    local = sizes.join(best(seen, list(group), "n", ["option"], ["option"]).withColumnRenamed("option", "_local"), list(group))
     filled = F.coalesce(F.col(column), F.col("_local"), overall.select("option").scalar())
     return (
-        records.join(local, list(group), "left")
+        spread_join(records, local, list(group), "_rows")
+        .drop("_rows")
         .withColumn("was_missing", F.col(column).isNull())
         .withColumn(out or column, filled)
         .drop("_local")
@@ -139,7 +160,7 @@ def unit_correct(
             break
         base = chosen.select(*group, F.col("_u.base").alias("base"), F.lit(std).alias("std"))
         means = cut_lineage(learn_mean(gaussian_stats(base, "base", "std", group), prior, "std", group))
-        placed = lookup(readings, means, group, "mean", prior.mean)
+        placed = lookup(readings, means, group, "mean", prior.mean, "n")
     return chosen.select(
         *readings.columns, F.col("_u.unit").alias("unit"), F.bround(F.col("_u.base"), digits).alias("corrected"), "mean"
     )
@@ -167,7 +188,7 @@ def repaired_fields(records: DataFrame, links: DataFrame, entities: DataFrame, m
     """Records with the linked entity's fields in place of their own; a record that opened
     an entity keeps its own values."""
     attrs = entities.select("entity_id", *[F.col(c).alias(f"_{c}") for c in m.fields])
-    decided = links.join(attrs, "entity_id", "left").select(*m.fields, "entity_id", *[f"_{c}" for c in m.fields])
+    decided = links.join(attrs, "entity_id", "left").select(*m.fields, "c", "entity_id", *[f"_{c}" for c in m.fields])
     joined = on_tuple(records, decided, m)
     for c in m.fields:
         joined = joined.withColumn(c, F.coalesce(f"_{c}", c))

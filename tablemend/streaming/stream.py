@@ -98,7 +98,7 @@ class LinkStream:
     def process(self, batch: DataFrame, batch_id: int) -> None:
         entities = self.entities(batch_id)
         model = self.prior(batch_id)
-        decided = link(tuples(batch, model), entities, model).drop("c", "score")
+        decided = link(tuples(batch, model), entities, model).drop("score")
         linked = on_tuple(batch, decided, model).select("row_id", *model.fields, "entity_id", "is_new")
         path = f"{self.path}/links/batch={batch_id}"
         linked.write.mode("overwrite").parquet(path)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablemend.operators import candidates, choose, domains, evaluate, inject, learn, link, prepare
+from tablemend.operators.spread import spread_join
 from tablemend.plans import jobs
 from tablemend.sources import sinks, tables
 
@@ -152,3 +153,15 @@ def test_sources_and_sinks(spark, tmp_path):
     sinks.report_progress(spark, str(tmp_path / "progress"), 1, "links", rows=2)
     sinks.report_progress(spark, str(tmp_path / "progress"), 2, "links", rows=3)
     assert spark.read.json(str(tmp_path / "progress")).count() == 2
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_spread_join_equals_plain_join(spark, how):
+    # One key holds a third of all rows, one is missing, one is unknown to the table.
+    rows = spark.range(30000).select(
+        "id", F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 1000 == 1, None).otherwise(F.col("id") % 5000).alias("k"))
+    table = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("k is null or k <> 7")
+    got = spread_join(rows, table, ["k"], "n", how)
+    plain = rows.alias("r").join(table.alias("t"), F.col("r.k").eqNullSafe(F.col("t.k")), how).select("r.id", "r.k", "t.n", "t.first")
+    assert got.columns == ["id", "k", "n", "first"]
+    assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
