@@ -61,20 +61,17 @@ def text_placeholder(min_length: int, max_length: int) -> str:
     return "*" * ((min_length + max_length) // 2)
 
 
-def _letters(text: Column | str) -> Column:
-    """Letters of the text in lower case; anything outside the alphabet becomes '#'."""
-    return F.split(F.regexp_replace(ascii_lower(text), "[^a-z .]", "#"), "")
+def _plain(text: Column | str) -> Column:
+    """Text in lower case; anything outside the alphabet becomes '#'."""
+    return F.regexp_replace(ascii_lower(text), "[^a-z .]", "#")
 
 
-def _steps(letters: Column) -> Column:
-    """(prev, next) along the text.  The start, and any unknown letter, counts as a fresh start."""
-    prev = F.concat(F.array(F.lit(START)), F.slice(letters, F.lit(1), F.size(letters) - 1))
-    return F.arrays_zip(prev.alias("prev"), letters.alias("next"))
-
-
-def _step_rows(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
-    kept = df.where(F.length(text) > 0).select(*keep, _letters(text).alias("_l"))
-    rows = kept.select(*keep, F.inline(_steps(F.col("_l"))))
+def _steps(df: DataFrame, marked: str, keep: Sequence[str]) -> DataFrame:
+    """(prev, next) along each marked text.  An unknown letter counts as a fresh start."""
+    letters = F.split(marked, "")
+    n = F.size(letters) - 1
+    pairs = F.arrays_zip(F.slice(letters, F.lit(1), n).alias("prev"), F.slice(letters, F.lit(2), n).alias("next"))
+    rows = df.select(*keep, F.inline(pairs))
     return rows.withColumn("prev", F.when(F.col("prev") == "#", F.lit(START)).otherwise(F.col("prev")))
 
 
@@ -84,9 +81,24 @@ def letter_bigrams(texts: DataFrame, text: str = "text", weight: str | None = No
     The result is dense: 29 previous states x 28 letters whatever the input size.
     """
     spark = texts.sparkSession
-    n = F.sum(weight) if weight else F.count("*")
-    keep = [weight] if weight else []
-    seen = _step_rows(texts, text, keep).where(F.col("next") != "#").groupBy("prev", "next").agg(n.alias("n"))
+    count = F.sum(weight) if weight else F.count("*")
+    # Cut at spaces, leaving a space on both sides of every cut, each step from letter to letter
+    # falls into exactly one piece.  Pieces repeat a lot, so they are counted before their
+    # letters are looked at.
+    mark = F.lit("\0")
+    raw = F.replace(F.col(text), mark, F.lit("#"))
+    cut = F.split(F.concat(F.lit(START), F.replace(raw, F.lit(" "), F.concat(F.lit(" "), mark, F.lit(" ")))), "\0")
+    pieces = texts.where(F.length(text) > 0).select(*([weight] if weight else []), F.explode(cut).alias("_piece"))
+    counted = pieces.groupBy("_piece").agg(count.alias("_n"))
+    # The start mark is kept apart from a '^' of the text, which is outside the alphabet.
+    first = F.col("_piece").startswith(START)
+    plain = F.when(first, F.concat(F.lit(START), _plain(F.substr("_piece", F.lit(2))))).otherwise(_plain("_piece"))
+    seen = (
+        _steps(counted.select("_n", plain.alias("_piece")), "_piece", ["_n"])
+        .where(F.col("next") != "#")
+        .groupBy("prev", "next")
+        .agg(F.sum("_n").alias("n"))
+    )
     size = len(loglik.ALPHABET)
     symbols = F.split(F.lit(loglik.ALPHABET), "")
     grid = spark.range(1).select(F.explode(F.concat(F.array(F.lit(START)), symbols)).alias("prev")).select(
@@ -103,7 +115,8 @@ def letter_bigrams(texts: DataFrame, text: str = "text", weight: str | None = No
 
 def text_prior(words: DataFrame, bigrams: DataFrame, min_length: int, max_length: int, word: str = "word") -> DataFrame:
     """Log-probability of each distinct word under the letter model; wrong lengths score ln 0."""
-    steps = _step_rows(words.select(word), word, [word])
+    marked = words.where(F.length(word) > 0).select(word, F.concat(F.lit(START), _plain(word)).alias("_marked"))
+    steps = _steps(marked, "_marked", [word])
     letters = F.broadcast(bigrams.select("prev", "next", "p"))  # 29 x 28 rows by construction
     step = F.when(F.col("next") == "#", F.lit(-math.log(len(loglik.ALPHABET)))).otherwise(
         F.greatest(safe_ln("p"), F.lit(loglik.UNUSUAL_LETTER))
