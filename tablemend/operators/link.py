@@ -131,17 +131,27 @@ def seed_entities(tups: DataFrame, m: LinkModel) -> DataFrame:
     own = F.ln(n_seeds * m.discount + m.strength) + F.col("logp") + F.col("n") * F.col("_self") + ln_gamma(F.col("n") - d) - ln_gamma(1 - d)
     for c in m.exact:
         own = own - F.ln(seeds.select(F.count_distinct(c)).scalar().cast("double"))
-    priced = (
+    priced = cut_lineage(
         seeds.join(name_prior(tups, m).withColumnRenamed("word", m.name), m.name)
         .withColumn("_self", loglik.typos(F.lit(0), m.name, m.name))
         .withColumn("own", own)
         .select("entity_id", *m.fields, "n", "own")
     )
+    # One better supported tuple that wins is enough to decide.  Most tuples lose to one of the
+    # few above average support, so only the undecided ones meet the many below it.
+    average = priced.select(F.avg("n")).scalar()
+    undecided = cut_lineage(_without_losers(priced, priced.where(F.col("n") >= average), m))
+    return _without_losers(undecided, priced.where(F.col("n") < average), m).select("entity_id", *m.fields, "n")
+
+
+def _without_losers(seeds: DataFrame, rivals: DataFrame, m: LinkModel) -> DataFrame:
+    """Seeds that would not rather join one of the better supported ``rivals``."""
+    d = F.lit(m.discount)
     shared = [f"_x{i}" for i in range(len(m.exact))]
     blocks = [F.col(c).alias(x) for c, x in zip(m.exact, shared)]
-    observed, words = (seeds.select(*blocks, F.col(m.name).alias(side)) for side in ("observed", "word"))
-    pairs = typo_pairs(observed, words, m.max_typos, m.max_length, shared).where("k > 0")
-    w, v = seeds.alias("w"), seeds.alias("v")
+    observed = seeds.select(*blocks, F.col(m.name).alias("observed"))
+    pairs = typo_pairs(observed, rivals.select(*blocks, F.col(m.name).alias("word")), m.max_typos, m.max_length, shared).where("k > 0")
+    w, v = seeds.alias("w"), rivals.alias("v")
 
     def same(side: str, column: str):
         cond = F.col(f"p.{column}") == F.col(f"{side}.{m.name}")
@@ -150,14 +160,14 @@ def seed_entities(tups: DataFrame, m: LinkModel) -> DataFrame:
         return cond
 
     stronger = (F.col("v.n") > F.col("w.n")) | ((F.col("v.n") == F.col("w.n")) & (F.col("v.entity_id") < F.col("w.entity_id")))
-    joins = (
+    joining = F.col("w.n") * F.col("p.loglik") + ln_gamma(F.col("v.n") + F.col("w.n") - d) - ln_gamma(F.col("v.n") - d)
+    losers = (
         w.join(pairs.alias("p"), same("w", "observed"))
         .join(v, same("v", "word") & stronger)
-        .groupBy(F.col("w.entity_id").alias("entity_id"))
-        .agg(F.max(F.col("w.n") * F.col("p.loglik") + ln_gamma(F.col("v.n") + F.col("w.n") - d) - ln_gamma(F.col("v.n") - d)).alias("_join"))
+        .where(r6(joining) > r6("w.own"))
+        .select("w.entity_id")
     )
-    kept = priced.join(joins, "entity_id", "left").where(F.col("_join").isNull() | (r6("own") >= r6("_join")))
-    return kept.select("entity_id", *m.fields, "n")
+    return seeds.join(losers, "entity_id", "left_anti")
 
 
 def link(tups: DataFrame, entities: DataFrame, m: LinkModel) -> DataFrame:
