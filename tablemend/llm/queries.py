@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tablemend.llm import bpe, language_id
+from tablemend.llm.exact_dedup import group_equal
 from tablemend.llm.substring_dedup import remove_repeats
 
 
@@ -15,5 +18,27 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_documents(spark, sf_dir), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup,)}
-ORACLES: dict[str, str] = {}
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = bpe.vocabulary(spark)
+    there_and_back = bpe.decode(bpe.encode(_documents(spark, sf_dir), ranks, pattern), ranks, pattern)
+    return there_and_back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return language_id.identify(docs, language_id.learn(docs)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_equal(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op4_language_id, op5_exact_dedup)}
+ORACLES: dict[str, str] = {
+    "op5_exact_dedup": r"""
+        SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+               row_number() OVER (PARTITION BY body ORDER BY doc_id) = 1 AS kept, sha256(body) AS text_sha256
+        FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[ \t-\r]+', ' ', 'g') AS body FROM documents)
+        WINDOW w AS (PARTITION BY body)
+    """,
+}
