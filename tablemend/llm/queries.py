@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablemend.llm import bpe, language_id
 from tablemend.llm.exact_dedup import group_equal
+from tablemend.llm.ngram_join import join_similar
 from tablemend.llm.substring_dedup import remove_repeats
 
 
@@ -24,6 +25,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return there_and_back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_similar(_documents(spark, sf_dir))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return language_id.identify(docs, language_id.learn(docs)).select("doc_id", "held_out", "lang_pred", "score")
@@ -33,7 +38,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_equal(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op4_language_id, op5_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_ngram_join, op4_language_id, op5_exact_dedup)}
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": r"""
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
