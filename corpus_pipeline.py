@@ -1,18 +1,73 @@
-"""The corpus pipeline: its stages, each over all that the one before kept."""
+"""The corpus pipeline: five stages, each over all that the one before kept.
+
+``run`` applies them to ``documents``.  Every stage takes (spark, docs, sf_dir) and all but the last
+return the columns of ``docs``.  A document is its doc_id: rows that share one stay or go together.
+Rows without doc_id count as one document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tablemend.llm import bpe, language_id, mixing, ngram_join
+from tablemend.llm.exact_dedup import group_equal
+from tablemend.llm.queries import EPOCHS, SEED, SHARE, TREE
+from tablemend.session import cut_lineage, scratch_path
+
+MIN_HIT_SHARE = 0.1  # of a text's n-grams that its language must contain
+
+
+def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """``docs`` without those of whose rows in ``judged`` (doc_id, kept) none is kept.  The list of
+    those is written first, so that the planner knows its size when it picks the join."""
+    gone = cut_lineage(judged.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias("_gone")))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a letter and those whose n-grams are of no learned language."""
+    found = language_id.identify(docs, language_id.learn(docs))
+    good = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("hit_share") >= MIN_HIT_SHARE)
+    return _without(docs, found.select("doc_id", good.alias("kept")))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the smallest doc_id stays."""
+    return _without(docs, group_equal(docs))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (3-word shingles, 0.9) the one with the smallest doc_id stays."""
+    found = ngram_join.join_similar(docs)
+    return _without(docs, found.select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources to target weights; what is taken in several epochs comes as often."""
+    return mixing.mixed_documents(docs, TREE, SHARE, EPOCHS, SEED)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The byte-level BPE ids of each document, and a digest of what they decode to."""
+    ranks, pattern = bpe.vocabulary(spark)
+    there_and_back = bpe.decode(bpe.encode(docs, ranks, pattern), ranks, pattern)
+    return there_and_back.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
-from tablemend.session import scratch_path
 
-STAGES: list = []
+STAGES = [
+    ("language ID", language),
+    ("exact dedup", exact),
+    ("n-gram Jaccard join", near),
+    ("mixing sources to target weights", mix),
+    ("byte-level BPE", tokens),
+]
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # language ID is learned and the BPE ids need the library
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written and read again."""
+    """All stages over ``documents``; each stage's rows are written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         path = scratch_path(spark)

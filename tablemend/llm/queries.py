@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemend.llm import bpe, language_id
+from tablemend.llm import bpe, language_id, mixing
 from tablemend.llm.exact_dedup import group_equal
 from tablemend.llm.ngram_join import join_similar
 from tablemend.llm.substring_dedup import remove_repeats
 
 
+SHARE, EPOCHS, SEED = 0.9, 2, 7
+TREE = mixing.Tree(
+    levels=[
+        ("domain", r"'domain' || pmod(try_cast(regexp_extract(source, '([0-9]{1,9})$', 1) AS int), 3)"),
+        ("lang", "lang"),
+        ("source", "source"),
+    ],
+    weights={"domain": {"domain0": 5, "domain1": 3, "domain2": 2}, "lang": {"en": 6, "de": 2, "fr": 2}},
+)
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -38,7 +49,34 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_equal(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_ngram_join, op4_language_id, op5_exact_dedup)}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_documents(spark, sf_dir), TREE, SHARE, EPOCHS, SEED)
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_ngram_join, op4_language_id, op5_exact_dedup, op10_mixing)}
+
+def _divided(node: str, parents: list[str], above: str) -> str:
+    """SQL for one level of the budget: (parents, node, got) from (parents, given) in ``above``."""
+    by = ", ".join(parents) or "1"
+    names = "".join(f"{p}, " for p in parents)
+    return f"""
+        SELECT {names}{node}, CASE WHEN filled THEN can ELSE rest * upto // free - rest * (upto - weight) // free END AS given
+        FROM (SELECT *, given - coalesce(sum(can) FILTER (filled) OVER (PARTITION BY {by}), 0)::HUGEINT AS rest,
+                     coalesce(sum(weight) FILTER (NOT filled) OVER (PARTITION BY {by}), 1)::HUGEINT AS free,
+                     coalesce(sum(weight) FILTER (NOT filled) OVER (PARTITION BY {by} ORDER BY {node}), 0)::HUGEINT AS upto
+              FROM (SELECT *, can * sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+                              <= (given - coalesce(sum(can) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * weight AS filled
+                    FROM (SELECT {names}{node}, (sum(supply) * {EPOCHS})::HUGEINT AS can, {_weight(node)} AS weight FROM supply GROUP BY ALL)
+                    {"JOIN " + above + " USING (" + by + ")" if parents else "CROSS JOIN " + above}
+                    WINDOW w AS (PARTITION BY {by} ORDER BY can / weight, {node})))"""
+
+
+def _weight(level: str) -> str:
+    named = TREE.weights.get(level, {})
+    whens = "".join(f" WHEN {level} = '{k}' THEN {v}" for k, v in named.items())
+    return f"CASE{whens} ELSE {TREE.other} END::HUGEINT" if whens else f"{TREE.other}::HUGEINT"
+
+
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": r"""
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -46,4 +84,21 @@ ORACLES: dict[str, str] = {
         FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[ \t-\r]+', ' ', 'g') AS body FROM documents)
         WINDOW w AS (PARTITION BY body)
     """,
+    "op10_mixing": rf"""
+        WITH leaves AS (
+            SELECT doc_id, coalesce('domain' || (try_cast(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS INT) % 3), '') AS domain,
+                   coalesce(lang, '') AS lang, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')) AS n_tokens
+            FROM documents),
+        supply AS (SELECT domain, lang, source, sum(n_tokens) AS supply FROM leaves GROUP BY ALL),
+        total AS (SELECT least(floor(sum(supply) * {SHARE}::DOUBLE), sum(supply) * {EPOCHS})::HUGEINT AS given FROM supply),
+        by_domain AS ({_divided("domain", [], "total")}),
+        by_lang AS ({_divided("lang", ["domain"], "by_domain")}),
+        by_source AS ({_divided("source", ["domain", "lang"], "by_lang")}),
+        stream AS (
+            SELECT l.*, epoch, given, (epoch - 1) * supply + sum(n_tokens) OVER (
+                PARTITION BY domain, lang, source, epoch ORDER BY md5('{SEED}|' || epoch || '|' || doc_id)) - n_tokens AS start
+            FROM leaves l JOIN supply USING (domain, lang, source) JOIN by_source USING (domain, lang, source), range(1, {EPOCHS} + 1) e(epoch))
+        SELECT doc_id, domain, lang, source, epoch::INT AS epoch, n_tokens, least(n_tokens, given - start)::BIGINT AS n_taken
+        FROM stream WHERE n_tokens > 0 AND start < given
+    """,
 }
