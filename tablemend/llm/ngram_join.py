@@ -136,7 +136,8 @@ def linked_pairs(sets: DataFrame, percent: int) -> DataFrame:
     sizes = sets.select("class", "n", "own")
     lists = cut_lineage(sets.select(F.explode("prefix").alias("gram"), "class", "n", "own"))
     pivots = lists.groupBy("gram").agg(F.count(F.lit(1)).alias("_k"), F.min(F.struct(F.col("own") / F.col("n"), "class", "n", "own")).alias("p")).where("_k > 1")
-    pivots = pivots.select("gram", F.col("p.class").alias("pivot"), F.col("p.n").alias("p_n"), F.col("p.own").alias("p_own"))
+    # Written first: a join whose own stage also aggregates could not split a long list.
+    pivots = cut_lineage(pivots.select("gram", F.col("p.class").alias("pivot"), F.col("p.n").alias("p_n"), F.col("p.own").alias("p_own")))
     met = lists.join(pivots, "gram")
     can = needed(F.col("n"), F.col("p_n"), percent) <= F.least(F.col("n") - F.col("own"), F.col("p_n") - F.col("p_own"))
     star = cut_lineage(met.where((F.col("class") != F.col("pivot")) & can).select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct())
@@ -145,7 +146,7 @@ def linked_pairs(sets: DataFrame, percent: int) -> DataFrame:
     known = components(first)
     shared = counted.select(F.col("a").alias("pivot"), F.col("b").alias("class"), "shared")
     rest = met.where(F.col("class") != F.col("pivot")).join(known.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    open_lists = rest.groupBy("gram").agg((F.min("label") != F.max("label")).alias("_open")).where("_open").select("gram")
+    open_lists = cut_lineage(rest.groupBy("gram").agg((F.min("label") != F.max("label")).alias("_open")).where("_open").select("gram"))
     rest = cut_lineage(rest.join(open_lists, "gram").join(shared, ["pivot", "class"], "left").select("gram", "class", "label", "n", "own", "shared"))
     x = rest.select("gram", *[F.col(c).alias(f"x_{c}") for c in rest.columns if c != "gram"])
     y = rest.select("gram", *[F.col(c).alias(f"y_{c}") for c in rest.columns if c != "gram"])
@@ -209,7 +210,7 @@ def join_similar(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -
     found = components(linked_pairs(sets, percent))
     labelled = chosen.select("class", "doc_id").join(found.withColumnRenamed("node", "class"), "class", "left")
     labelled = labelled.withColumn("label", F.coalesce("label", "class"))
-    smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    smallest = cut_lineage(labelled.groupBy("label").agg(F.min("doc_id").alias("component_id")))
     by_class = labelled.join(smallest, "label").select(F.col("class").alias("_class"), F.col("component_id").alias("_component"))
     out = members.join(by_class, F.col("class") == F.col("_class"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("_component")).alias("component_id"))
