@@ -84,6 +84,11 @@ def token_ids(text: str, by: tiktoken.Encoding, segment: int = SEGMENT) -> np.nd
     return np.array(ids, "<u4")
 
 
+def _slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time, as ids and texts are Python objects here."""
+    return (batch.slice(s, rows) for s in range(0, batch.num_rows, rows))
+
+
 def encode(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids) for every row; ``ids`` are little-endian unsigned 32-bit integers.
 
@@ -95,8 +100,9 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = encoding(held.value, pattern)
         for b in batches:
-            ids = [token_ids(t or "", by) for t in b["text"].to_pylist()]
-            yield pa.record_batch([b["doc_id"], pa.array(map(len, ids), pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
+            for part in _slices(b):
+                ids = [token_ids(t or "", by) for t in part["text"].to_pylist()]
+                yield pa.record_batch([part["doc_id"], pa.array(map(len, ids), pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
@@ -110,8 +116,9 @@ def decode(encoded: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = encoding(held.value, pattern)
         for b in batches:
-            raw = [by.decode_bytes(np.frombuffer(i or b"", "<u4").tolist()) for i in b["ids"].to_pylist()]
-            yield b.append_column("decoded", pa.array(raw, pa.binary()))
+            for part in _slices(b):
+                raw = [by.decode_bytes(np.frombuffer(i or b"", "<u4").tolist()) for i in part["ids"].to_pylist()]
+                yield part.append_column("decoded", pa.array(raw, pa.binary()))
 
     out = encoded.drop("decoded")
     return out.mapInArrow(run, out.withColumn("decoded", F.lit(b"")).schema)
