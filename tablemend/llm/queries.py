@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemend.llm import ann, bpe, language_id, mixing
+from tablemend.llm import ann, bpe, language_id, mixing, pii
 from tablemend.llm.exact_dedup import group_equal
 from tablemend.llm.ngram_join import join_similar
 from tablemend.llm.substring_dedup import remove_repeats
 
 
+PII_KEY = "a key for these tables only; keep a real one out of the code"
 SHARE, EPOCHS, SEED = 0.9, 2, 7
 TREE = mixing.Tree(
     levels=[
@@ -49,6 +50,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_equal(_documents(spark, sf_dir))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_documents(spark, sf_dir), PII_KEY)
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return ann.neighbours(vectors, F.col("vec_id") % 100 == 0)
@@ -58,7 +63,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir), TREE, SHARE, EPOCHS, SEED)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_ngram_join, op4_language_id, op5_exact_dedup, op9_nearest, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_ngram_join, op4_language_id, op5_exact_dedup, op7_pii, op9_nearest, op10_mixing)}
 
 def _divided(node: str, parents: list[str], above: str) -> str:
     """SQL for one level of the budget: (parents, node, got) from (parents, given) in ``above``."""
