@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemend.llm import ann, bpe, language_id, mixing, pii
+from tablemend.llm import ann, bpe, language_id, mixing, pii, token_files
 from tablemend.llm.exact_dedup import group_equal
 from tablemend.llm.ngram_join import join_similar
 from tablemend.llm.substring_dedup import remove_repeats
+from tablemend.session import scratch_path
 
 
 PII_KEY = "a key for these tables only; keep a real one out of the code"
@@ -54,6 +55,16 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(_documents(spark, sf_dir), PII_KEY)
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        model = f.read()
+    path = scratch_path(spark)
+    token_files.write_ids(_documents(spark, sf_dir), model, path)
+    return token_files.read_ids(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return ann.neighbours(vectors, F.col("vec_id") % 100 == 0)
@@ -63,7 +74,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir), TREE, SHARE, EPOCHS, SEED)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_ngram_join, op4_language_id, op5_exact_dedup, op7_pii, op9_nearest, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_ngram_join, op4_language_id, op5_exact_dedup, op7_pii, op8_token_files, op9_nearest, op10_mixing)}
 
 def _divided(node: str, parents: list[str], above: str) -> str:
     """SQL for one level of the budget: (parents, node, got) from (parents, given) in ``above``."""
