@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablemend.llm import ann, bpe, language_id, mixing, pii, token_files
 from tablemend.llm.exact_dedup import group_equal
+from tablemend.llm.licenses import scan
 from tablemend.llm.ngram_join import join_similar
 from tablemend.llm.substring_dedup import remove_repeats
 from tablemend.session import scratch_path
@@ -51,6 +52,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_equal(_documents(spark, sf_dir))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(_documents(spark, sf_dir))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(_documents(spark, sf_dir), PII_KEY)
 
@@ -74,7 +79,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir), TREE, SHARE, EPOCHS, SEED)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_ngram_join, op4_language_id, op5_exact_dedup, op7_pii, op8_token_files, op9_nearest, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_ngram_join, op4_language_id, op5_exact_dedup, op6_license_scan, op7_pii, op8_token_files, op9_nearest, op10_mixing)}
 
 def _divided(node: str, parents: list[str], above: str) -> str:
     """SQL for one level of the budget: (parents, node, got) from (parents, given) in ``above``."""
