@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tablemend.llm.words import split_words, text_column
+from tablemend.llm.words import pieces, split_words, text_column
 
 LEAST = 0.8
 _AROUND = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -155,28 +155,26 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for s in range(0, whole.num_rows, 1000):
-                b = whole.slice(s, 1000)
-                words, counts = split_words(text_column(b["text"]), lower=True)
-                own = words.dictionary_encode()
-                stripped = [w.strip(_AROUND) for w in own.dictionary.to_pylist()]
-                codes = np.array([number.get(w, -1) if w else -2 for w in stripped] or [-1], np.int64)[np.asarray(own.indices, np.int64)]
-                row = np.repeat(np.arange(b.num_rows), counts)
-                known = codes >= 0
-                pairs = np.unique(row[known] * len(number) + codes[known])
-                sums = np.zeros((b.num_rows, len(names)), np.int64)
-                np.add.at(sums, pairs // len(number), weight[pairs % len(number)])
-                ends = np.cumsum(counts)
-                out = []
-                for r, k in zip(*np.nonzero(sums >= needed), strict=True):
-                    text = codes[ends[r] - counts[r] : ends[r]]
-                    place = np.flatnonzero(text != -2)  # without mere punctuation
-                    for start, end, n in _hits(text[place], coded[k], least):
-                        out.append((int(r), names[k], int(place[start]), int(place[end - 1]) + 1, n, n / len(coded[k])))
-                if out:
-                    rows, *rest = (list(c) for c in zip(*out, strict=True))
-                    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-                    yield pa.record_batch([b["doc_id"].take(pa.array(rows)), *[pa.array(c, t) for c, t in zip(rest, types, strict=True)]], ["doc_id", "license", "start", "end", "n_matched", "coverage"])
+        for b in (p for whole in batches for p in pieces(whole)):
+            words, counts = split_words(text_column(b["text"]), lower=True)
+            own = words.dictionary_encode()
+            stripped = [w.strip(_AROUND) for w in own.dictionary.to_pylist()]
+            codes = np.array([number.get(w, -1) if w else -2 for w in stripped] or [-1], np.int64)[np.asarray(own.indices, np.int64)]
+            row = np.repeat(np.arange(b.num_rows), counts)
+            known = codes >= 0
+            pairs = np.unique(row[known] * len(number) + codes[known])
+            sums = np.zeros((b.num_rows, len(names)), np.int64)
+            np.add.at(sums, pairs // len(number), weight[pairs % len(number)])
+            ends = np.cumsum(counts)
+            out = []
+            for r, k in zip(*np.nonzero(sums >= needed), strict=True):
+                text = codes[ends[r] - counts[r] : ends[r]]
+                place = np.flatnonzero(text != -2)  # without mere punctuation
+                for start, end, n in _hits(text[place], coded[k], least):
+                    out.append((int(r), names[k], int(place[start]), int(place[end - 1]) + 1, n, n / len(coded[k])))
+            if out:
+                rows, *rest = (list(c) for c in zip(*out, strict=True))
+                types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+                yield pa.record_batch([b["doc_id"].take(pa.array(rows)), *[pa.array(c, t) for c, t in zip(rest, types, strict=True)]], ["doc_id", "license", "start", "end", "n_matched", "coverage"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, license string, start long, end long, n_matched long, coverage double")

@@ -35,6 +35,7 @@ from tablemend.llm.words import (
     fingerprints,
     in_blocks,
     n_blocks,
+    pieces,
     rolling,
     size_of,
     split_words,
@@ -179,7 +180,7 @@ def join_similar(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -
     buckets = counting.n_buckets(docs, total_bytes // 5)
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for whole in batches for p in pieces(whole)):
             hashes, counts = shingles(b["text"], size)
             names = [_class(s) for s in _split(hashes, counts)]
             yield pa.record_batch([b["block_id"], b["doc_id"].cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(names, pa.binary())], ["block_id", "doc_id", "n_shingles", "class"])

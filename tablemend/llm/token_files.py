@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablemend.llm import idcoder
-from tablemend.llm.words import split_words, text_column
+from tablemend.llm.words import pieces, split_words, text_column
 
 END_ID = 2
 _CHUNK = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
@@ -91,20 +91,18 @@ def write_ids(docs: DataFrame, model: str, path: str, end_id: int = END_ID, chun
             payload = idcoder.encode(np.concatenate(streams))
             return pa.record_batch([pa.array([x], t) for x, t in zip((part, chunk, doc_ids, lengths, payload), _CHUNK.types, strict=True)], schema=_CHUNK)
 
-        for whole in batches:
-            for s in range(0, whole.num_rows, 1000):
-                b = whole.slice(s, 1000)
-                stream, counts = by.ids(b["text"])
-                ends = np.cumsum(counts)
-                with_end = np.insert(stream, ends, end_id)
-                lengths += (counts + 1).tolist()
-                doc_ids += b["doc_id"].to_pylist()
-                streams.append(with_end.astype(np.uint32))
-                waiting += len(with_end)
-                if waiting >= chunk_tokens:
-                    yield send()
-                    chunk, waiting = chunk + 1, 0
-                    doc_ids, lengths, streams = [], [], []
+        for b in (p for whole in batches for p in pieces(whole)):
+            stream, counts = by.ids(b["text"])
+            ends = np.cumsum(counts)
+            with_end = np.insert(stream, ends, end_id)
+            lengths += (counts + 1).tolist()
+            doc_ids += b["doc_id"].to_pylist()
+            streams.append(with_end.astype(np.uint32))
+            waiting += len(with_end)
+            if waiting >= chunk_tokens:
+                yield send()
+                chunk, waiting = chunk + 1, 0
+                doc_ids, lengths, streams = [], [], []
         if doc_ids:
             yield send()
 

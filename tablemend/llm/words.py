@@ -6,6 +6,8 @@ of whole texts, chosen by a hash of the row so that any run places it alike.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 6 << 20
+PIECE_BYTES = 4 << 20
 PRIME = (1 << 61) - 1  # modulus of the rolling hashes
 _SLICE = 1 << 15  # windows hashed at once, to stay in the processor's cache
 _M30, _M31 = np.uint64((1 << 30) - 1), np.uint64((1 << 31) - 1)
@@ -27,6 +30,15 @@ def text_column(texts: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(texts.cast(pa.large_binary()), b"")
 
 
+def pieces(batch: pa.RecordBatch, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows with about ``most`` bytes of text, or one longer text: what array code
+    over its words holds at once."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch["text"]), 0), np.int64)
+    run = np.cumsum(sizes) // most
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1, [batch.num_rows]])
+    return (batch.slice(s, e - s) for s, e in zip(cuts[:-1], cuts[1:], strict=True) if e > s)
+
+
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
     """All words (runs of bytes other than 0x20 and 0x09-0x0D) of ``texts`` in order, and the number per text."""
     at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
