@@ -84,15 +84,15 @@ def _distance_up_to_2(a: Column, b: Column) -> Column:
 def edit_distance(a: Column | str, b: Column | str, bound: int | None = None) -> Column:
     """Exact distance, or for ``bound`` <= 2 the distance if within it and 3 beyond.
 
-    The bounded form stays in the JVM.  In the other, only pairs whose plain Levenshtein
-    distance exceeds 1 reach Python: below that a swap of neighbours makes no difference.
+    The bounded form stays in the JVM.  The other one starts with it, so that only pairs more
+    than two edits apart reach Python.
     """
     a, b = col(a), col(b)
     if bound is not None and bound <= 2:
         return _distance_up_to_2(a, b)
-    plain = F.levenshtein(a, b)
-    hard = _distance_udf()(F.when(plain > 1, a), F.when(plain > 1, b))
-    return F.when(plain <= 1, plain).otherwise(hard)
+    near = _distance_up_to_2(a, b)
+    far = _distance_udf()(F.when(near > 2, a), F.when(near > 2, b))
+    return F.when(near <= 2, near).otherwise(far)
 
 
 def deletion_keys(word: Column | str, k: int) -> Column:

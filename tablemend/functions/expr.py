@@ -61,8 +61,13 @@ def uniform(tag: str, key: Column | str, seed: int = SEED) -> Column:
 
 
 def key_hash(*cols: Column | str) -> Column:
-    """A stable row or entity id from its business key."""
-    return F.md5(F.concat_ws("|", *[col(c).cast("string") for c in cols]))
+    """A stable row or entity id from its business key.
+
+    Parts are written behind their length, missing ones as ``~``, so that different keys are
+    different texts.
+    """
+    parts = [col(c).cast("string") for c in cols]
+    return F.md5(F.concat(*[F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("~")) for p in parts]))
 
 
 def approx_equal(a: Column | str, b: Column | str, rtol: float = REL_TOL) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemend.functions.editdist import deletion_keys, edit_distance
@@ -43,63 +43,54 @@ def by_deletion(observed: DataFrame, words: DataFrame, max_typos: int, on: Seque
     Both sides list what is left after dropping up to ``max_typos`` letters; pairs within
     the bound always meet in one such string, and pairs that meet are never more than
     twice as far apart, so the join's size follows the size of the result.  A word lists
-    about length**max_typos strings: for long words use ``by_rare_grams``.
+    about length**max_typos strings: for long words use ``by_segments``.
     """
 
-    def keyed(words_: DataFrame, word: str, dropped: str) -> DataFrame:
+    def keyed(words_: DataFrame, word: str) -> DataFrame:
         listed = words_.select(*on, word).distinct().where(F.col(word).isNotNull())
-        return listed.select(*on, word, F.inline(deletion_keys(word, max_typos))).select(
-            *on, word, F.col("v").alias("_v"), F.col("d").alias(dropped)
-        )
+        return listed.select(*on, word, F.inline(deletion_keys(word, max_typos))).select(*on, word, F.col("v").alias("_v"))
 
-    met = keyed(observed, "observed", "_d").join(keyed(words, "word", "_e"), [*on, "_v"])
-    pairs = met.groupBy(*on, "observed", "word").agg(F.min(F.col("_d") + F.col("_e")).alias("_near"))
-    # No drop, or a single one, settles the distance; the rest is measured once per pair.
-    k = F.when(F.col("_near") <= 1, F.col("_near")).otherwise(edit_distance("observed", "word", max_typos))
-    return pairs.withColumn("k", k).where(F.col("k") <= max_typos).drop("_near")
+    met = keyed(observed, "observed").join(keyed(words, "word"), [*on, "_v"])
+    # Letters decide, once per pair: equal hashes alone prove nothing.
+    return within_bound(met.select(*on, "observed", "word").distinct(), "observed", "word", max_typos)
 
 
-def _grams(words: DataFrame, word: str, on: Sequence[str], q: int) -> DataFrame:
-    """Letter q-grams of each word, repeats numbered so that they count separately."""
-    grams = F.transform(
-        F.sequence(F.lit(1), F.length(word) - (q - 1)), lambda i: F.substr(F.col(word), i, F.lit(q))
-    )
-    long = words.where(F.length(word) >= q).select(*on, word, F.explode(grams).alias("_g"))
-    counted = long.groupBy(*on, word, "_g").agg(F.count("*").alias("_c"))
-    return counted.select(*on, word, F.explode(F.sequence(F.lit(1), F.col("_c").cast("int"))).alias("_i"), "_g").select(
-        *on, word, F.concat_ws("~", "_g", "_i").alias("_g")
-    )
+# Up to this length, listing a word's deletions costs no more than listing its segments.
+SHORT_WORD = 20
 
 
-def by_rare_grams(observed: DataFrame, words: DataFrame, max_typos: int, on: Sequence[str] = (), q: int = 2, min_length: int = 0) -> DataFrame:
-    """The same pairs as ``by_deletion``, for long words: share one of the rarest q-grams.
+def by_segments(observed: DataFrame, words: DataFrame, max_typos: int, on: Sequence[str] = ()) -> DataFrame:
+    """All (observed, word) pairs within ``max_typos`` edits, whatever their lengths.
 
-    One edit (a swap at worst) changes at most q+1 grams, so two words within the bound
-    agree on at least one of each other's (q+1)*max_typos+1 rarest grams.  Words too
-    short to have that many go through ``by_deletion``, together with whatever could
-    match them, so no pair is lost; ``min_length`` raises where that switch happens.
+    A word longer than ``SHORT_WORD`` is cut into 2 * max_typos + 1 segments.  One edit touches at
+    most two of them, a swap across a cut, so one segment stands unchanged in the observed text,
+    moved by at most ``max_typos`` places; the lengths differ by no more.  Both sides list (length
+    of the word, number of the segment, its letters): a number of keys that does not depend on the
+    length, with segments that grow more selective with it.  Shorter words go through ``by_deletion``.
     """
-    prefix = (q + 1) * max_typos + 1
-    long_enough = max(prefix + q - 1, min_length)
-    obs = observed.select(*on, "observed").distinct()
-    wrd = words.select(*on, "word").distinct()
-    grams_o, grams_w = _grams(obs, "observed", on, q), _grams(wrd, "word", on, q)
-    rarity = (
-        grams_o.select("_g").unionByName(grams_w.select("_g")).groupBy("_g").agg(F.count("*").alias("_f"))
-    )
-
-    def rare(grams: DataFrame, word: str) -> DataFrame:
-        ranked = grams.where(F.length(word) >= long_enough).join(rarity, "_g")
-        # A word's grams are at most its own letters, so this list stays as small as the word.
-        firsts = ranked.groupBy(*on, word).agg(F.slice(F.sort_array(F.collect_list(F.struct("_f", "_g"))), 1, prefix).alias("_p"))
-        return firsts.select(*on, word, F.explode("_p._g").alias("_g"))
-
-    pairs = rare(grams_o, "observed").join(rare(grams_w, "word"), [*on, "_g"]).select(*on, "observed", "word").distinct()
-    found = within_bound(pairs, "observed", "word", max_typos)
-    reach = long_enough + max_typos
-    short = by_deletion(obs.where(F.length("observed") < reach), wrd.where(F.length("word") < reach), max_typos, on)
-    has_short = (F.length("observed") < long_enough) | (F.length("word") < long_enough)
-    return found.unionByName(short.where(has_short).select(*found.columns))
+    obs = observed.select(*on, "observed").where(F.col("observed").isNotNull()).distinct()
+    wrd = words.select(*on, "word").where(F.col("word").isNotNull()).distinct()
+    short = by_deletion(obs.where(F.length("observed") <= SHORT_WORD + max_typos), wrd.where(F.length("word") <= SHORT_WORD), max_typos, on)
+    parts = 2 * max_typos + 1
+
+    span = lambda a, b: F.sequence(F.lit(a), F.lit(b))
+
+    def segments(text: str, length: Column, shift: Column) -> Column:
+        """The segments of a word of this length as they stand in ``text``, moved by ``shift``."""
+        start = lambda i: F.floor(length * i / parts).cast("int") + 1
+        at = F.transform(span(0, parts - 1), lambda i: F.struct(i.alias("i"), (start(i) + shift).alias("at"), (start(i + 1) - start(i)).alias("n")))
+        inside = F.filter(at, lambda x: x["at"] >= 1)
+        return F.transform(
+            inside, lambda x: F.struct(length.alias("_len"), x["i"].alias("_part"), F.xxhash64(F.substr(F.col(text), x["at"], x["n"])).alias("_seg"))
+        )
+
+    own = wrd.where(F.length("word") > SHORT_WORD).select(*on, "word", F.inline(segments("word", F.length("word"), F.lit(0))))
+    near = span(-max_typos, max_typos)
+    listed = F.flatten(F.transform(near, lambda more: F.flatten(F.transform(near, lambda shift: segments("observed", F.length("observed") + more, shift)))))
+    theirs = obs.where(F.length("observed") > SHORT_WORD - max_typos).select(*on, "observed", F.inline(F.array_distinct(listed)))
+    met = theirs.where(F.col("_len") > SHORT_WORD).join(own, [*on, "_len", "_part", "_seg"])
+    long = within_bound(met.select(*on, "observed", "word").distinct(), "observed", "word", max_typos)
+    return short.unionByName(long.select(*short.columns))
 
 
 def constrained(candidates: DataFrame, conditions) -> DataFrame:

@@ -82,7 +82,8 @@ def cumulative(df: DataFrame, keys: Sequence[str], p: str, order: Sequence[str])
 
 def sample(records: DataFrame, row_key: str, intervals: DataFrame, keys: Sequence[str], tag: str = "link") -> DataFrame:
     """One candidate per record by weight.  The draw is part of the join condition, so a
-    record meets its group's intervals but only its own choice is ever emitted."""
+    record meets its group's intervals but only its own choice is ever emitted.  A record of a
+    group without candidates stays, with nothing chosen."""
     drawn = records.withColumn("_u", uniform(tag, row_key) * 0.999999998)
     r, i = drawn.alias("r"), intervals.alias("i")
     same = [F.col(f"r.{k}").eqNullSafe(F.col(f"i.{k}")) for k in keys]
@@ -91,7 +92,7 @@ def sample(records: DataFrame, row_key: str, intervals: DataFrame, keys: Sequenc
     cond = inside
     for s in same:
         cond = s & cond
-    return r.join(i, cond).select("r.*", *rest).drop("_u")
+    return r.join(i, cond, "left").select("r.*", *rest).drop("_u")
 
 
 def effective_candidates(posteriors: DataFrame, keys: Sequence[str], p: str = "p", name: str = "ess") -> DataFrame:
@@ -102,4 +103,4 @@ def effective_candidates(posteriors: DataFrame, keys: Sequence[str], p: str = "p
 def accept_or_keep(pairs: DataFrame, old_score: str, new_score: str, row_key: str, tag: str = "accept") -> DataFrame:
     """Flag ``accepted``: take the proposal with probability min(1, exp(new - old))."""
     ratio = F.exp(F.least(F.col(new_score) - F.col(old_score), F.lit(0.0)))
-    return pairs.withColumn("accepted", uniform(tag, row_key) < ratio)
+    return pairs.withColumn("accepted", F.coalesce(uniform(tag, row_key) < ratio, F.lit(False)))

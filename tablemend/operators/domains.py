@@ -113,8 +113,9 @@ def letter_bigrams(texts: DataFrame, text: str = "text", weight: str | None = No
     )
 
 
-def text_prior(words: DataFrame, bigrams: DataFrame, min_length: int, max_length: int, word: str = "word") -> DataFrame:
-    """Log-probability of each distinct word under the letter model; wrong lengths score ln 0."""
+def text_prior(words: DataFrame, bigrams: DataFrame, min_length: int, max_length: int, word: str = "word", tails: bool = False) -> DataFrame:
+    """Log-probability of each distinct word under the letter model.  Wrong lengths score ln 0, or with
+    ``tails`` lose half their probability with each letter too few or too many."""
     marked = words.where(F.length(word) > 0).select(word, F.concat(F.lit(START), _plain(word)).alias("_marked"))
     steps = _steps(marked, "_marked", [word])
     letters = F.broadcast(bigrams.select("prev", "next", "p"))  # 29 x 28 rows by construction
@@ -124,9 +125,10 @@ def text_prior(words: DataFrame, bigrams: DataFrame, min_length: int, max_length
     summed = steps.join(letters, ["prev", "next"], "left").groupBy(word).agg(F.sum(step).alias("_s"))
     fits = F.length(word).between(min_length, max_length)
     base = -math.log(max_length - min_length + 1)
-    return words.join(summed, word, "left").withColumn(
-        "logp", F.when(fits, F.lit(base) + F.coalesce("_s", F.lit(0.0))).otherwise(F.lit(LOG_ZERO))
-    ).drop("_s")
+    letters_cost = F.lit(base) + F.coalesce("_s", F.lit(0.0))
+    beyond = F.greatest(F.lit(min_length) - F.length(word), F.length(word) - F.lit(max_length))
+    other = letters_cost - beyond * math.log(2) if tails else F.lit(LOG_ZERO)
+    return words.join(summed, word, "left").withColumn("logp", F.when(fits, letters_cost).otherwise(other)).drop("_s")
 
 
 def enumerate_options(records: DataFrame, options: DataFrame, on: Sequence[str]) -> DataFrame:

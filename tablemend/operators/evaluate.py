@@ -11,13 +11,19 @@ COUNTS = ("errors", "changed", "cleaned", "imputed", "correctly_imputed")
 
 
 def pair_rows(dirty: DataFrame, clean: DataFrame, ours: DataFrame, key: str = "row_id") -> DataFrame:
-    """Dirty, clean and repaired version of each record side by side, matched on its key."""
+    """Dirty, clean and repaired version of each record side by side, matched on its key.  A record
+    that the repair lost counts as not repaired: its own cells stand for the missing ones."""
 
     def packed(df: DataFrame, name: str) -> DataFrame:
         rest = [F.col(f"`{c}`") for c in df.columns if c != key]
         return df.select(key, F.struct(*rest).alias(name))
 
-    return packed(dirty, "dirty").join(packed(clean, "clean"), key).join(packed(ours, "ours"), key)
+    pairs = packed(dirty, "dirty").join(packed(clean, "clean"), key).join(packed(ours, "ours"), key, "left")
+    held = pairs.schema["dirty"].dataType.names
+    own = F.struct(*[
+        (F.col(f"dirty.`{f.name}`") if f.name in held else F.lit(None)).cast(f.dataType).alias(f.name) for f in pairs.schema["ours"].dataType.fields
+    ])
+    return pairs.withColumn("ours", F.coalesce("ours", own))
 
 
 def _shared(pairs: DataFrame) -> list[str]:

@@ -142,6 +142,7 @@ def expansion_pairs(shorts: DataFrame, options: DataFrame, on: Sequence[str] = (
     ordered = F.flatten(
         F.transform(chars, lambda c, i: F.transform(F.slice(chars, i + 2, F.size(chars)), lambda d: F.concat(c, d)))
     )
-    letters = options.select(*on, "option", F.explode(F.array_distinct(F.concat(chars, ordered))).alias("_c"))
-    named = shorts.where(F.length("short") > 0).withColumn("_c", F.substring(F.lower("short"), 1, 2))
+    # An empty short form stands for every option: it meets them under the empty key.
+    letters = options.select(*on, "option", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), chars, ordered))).alias("_c"))
+    named = shorts.withColumn("_c", F.substring(F.lower("short"), 1, 2))
     return named.join(letters, [*on, "_c"]).where(is_abbreviation("short", "option")).select(*on, "short", "option")

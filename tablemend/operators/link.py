@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from tablemend.functions import loglik
 from tablemend.functions.expr import key_hash, ln_gamma, r6
-from tablemend.operators.candidates import by_deletion, by_rare_grams
-from tablemend.operators.choose import best, log_sum_exp
+from tablemend.operators.candidates import by_segments
+from tablemend.operators.choose import best, log_sum_exp, top_k
 from tablemend.operators.domains import letter_bigrams, text_prior
-from tablemend.operators.spread import spread_join
+from tablemend.operators.spread import no_clash, spread_join
 from tablemend.session import cut_lineage
 
 
@@ -27,6 +27,8 @@ class LinkModel:
     """How a record shows an entity: one naming column read with typos, other columns read as they are.
 
     The same column names are used on both sides; ``exact`` columns may be missing in a record.
+    Values may have any length: the usual ones are ``min_length`` to ``max_length`` letters, and each
+    letter beyond halves a value's prior probability.
     """
 
     name: str
@@ -55,22 +57,11 @@ def tuples(records: DataFrame, m: LinkModel) -> DataFrame:
     return records.groupBy(*m.fields).agg(F.count("*").alias("c"))
 
 
-# Above this declared length, listing every deletion of a name costs more than its q-grams.
-LONG_NAME = 40
-
-
-def typo_pairs(observed: DataFrame, words: DataFrame, max_typos: int, max_length: int = 30, on: Sequence[str] = ()) -> DataFrame:
+def typo_pairs(observed: DataFrame, words: DataFrame, max_typos: int, on: Sequence[str] = ()) -> DataFrame:
     """(observed, word, k, loglik) for distinct pairs within the bound, each scored once.
     ``on`` names columns both sides must agree on.
-
-    Words longer than ``max_length`` are impossible values, so they are no one's clean word.
     """
-    observed = observed.where(F.length("observed") <= max_length + max_typos)
-    words = words.where(F.length("word") <= max_length)
-    if max_length <= LONG_NAME:
-        pairs = by_deletion(observed, words, max_typos, on)
-    else:
-        pairs = by_rare_grams(observed, words, max_typos, on, min_length=LONG_NAME // 2)
+    pairs = by_segments(observed, words, max_typos, on)
     return pairs.withColumn("loglik", loglik.typos("k", "observed", "word", max_typos))
 
 
@@ -79,7 +70,7 @@ def scored_candidates(tups: DataFrame, entities: DataFrame, m: LinkModel) -> Dat
 
     ``entities`` carries entity_id, the model's fields and ``n`` references.
     """
-    pairs = typo_pairs(tups.select(F.col(m.name).alias("observed")), entities.select(F.col(m.name).alias("word")), m.max_typos, m.max_length)
+    pairs = typo_pairs(tups.select(F.col(m.name).alias("observed")), entities.select(F.col(m.name).alias("word")), m.max_typos)
     t, e = tups.alias("t"), entities.alias("e")
     met = t.join(pairs.alias("p"), F.col(f"t.{m.name}") == F.col("p.observed"))
     cond = F.col("p.word") == F.col(f"e.{m.name}")
@@ -98,21 +89,22 @@ def scored_candidates(tups: DataFrame, entities: DataFrame, m: LinkModel) -> Dat
 def on_tuple(records: DataFrame, decided: DataFrame, m: LinkModel, how: str = "left") -> DataFrame:
     """Bring a decision made per tuple back to the records.  Where the decision still knows
     the tuple's number of copies ``c``, tuples with very many are kept from one task."""
-    if "c" in decided.columns and "c" not in records.columns:
-        return spread_join(records, decided, m.fields, "c", how).drop("c")
+    if "c" in decided.columns:
+        return spread_join(records, decided.withColumnRenamed("c", "_copies"), m.fields, "_copies", how).drop("_copies")
+    new = [c for c in decided.columns if c not in m.fields]
+    no_clash(records, new)
     cond = None
     for c in m.fields:
-        same = F.col(f"r.{c}").eqNullSafe(F.col(f"d.{c}"))
+        same = F.col(f"r.`{c}`").eqNullSafe(F.col(f"d.`{c}`"))
         cond = same if cond is None else cond & same
-    extra = [F.col(f"d.{c}") for c in decided.columns if c not in m.fields and c not in records.columns]
-    return records.alias("r").join(decided.alias("d"), cond, how).select("r.*", *extra)
+    return records.alias("r").join(decided.alias("d"), cond, how).select("r.*", *[F.col(f"d.`{c}`") for c in new])
 
 
 def name_prior(tups: DataFrame, m: LinkModel) -> DataFrame:
     """Letter-model log-probability of each distinct observed name."""
     texts = tups.where(F.col(m.name).isNotNull()).groupBy(F.col(m.name).alias("word")).agg(F.sum("c").alias("c"))
     letters = letter_bigrams(texts, "word", "c")
-    return text_prior(texts.select("word"), letters, m.min_length, m.max_length)
+    return text_prior(texts.select("word"), letters, m.min_length, m.max_length, tails=True)
 
 
 def seed_entities(tups: DataFrame, m: LinkModel) -> DataFrame:
@@ -150,7 +142,7 @@ def _without_losers(seeds: DataFrame, rivals: DataFrame, m: LinkModel) -> DataFr
     shared = [f"_x{i}" for i in range(len(m.exact))]
     blocks = [F.col(c).alias(x) for c, x in zip(m.exact, shared)]
     observed = seeds.select(*blocks, F.col(m.name).alias("observed"))
-    pairs = typo_pairs(observed, rivals.select(*blocks, F.col(m.name).alias("word")), m.max_typos, m.max_length, shared).where("k > 0")
+    pairs = typo_pairs(observed, rivals.select(*blocks, F.col(m.name).alias("word")), m.max_typos, shared).where("k > 0")
     w, v = seeds.alias("w"), rivals.alias("v")
 
     def same(side: str, column: str):
@@ -170,6 +162,24 @@ def _without_losers(seeds: DataFrame, rivals: DataFrame, m: LinkModel) -> DataFr
     return seeds.join(losers, "entity_id", "left_anti")
 
 
+def link_staged(candidates: DataFrame, entities: DataFrame, m: LinkModel, block: str, beam: int, strength: float, discount: float) -> DataFrame:
+    """Best candidate of each tuple when its ``block`` is decided first: (fields, e_* fields, score).
+
+    The score adds the block's prior.  A tuple without block looks into the ``beam`` likeliest
+    blocks only, and into all of them if those hold no candidate of its own.
+    """
+    sizes = entities.groupBy(block).agg(F.sum("n").alias("n"))
+    total = sizes.select(F.sum("n")).scalar()
+    priced = cut_lineage(sizes.select(F.col(block).alias("_block"), loglik.link_existing("n", total, F.lit(strength), F.lit(discount)).alias("_prior")))
+    likely = top_k(priced.withColumn("_all", F.lit(0)), ["_all"], "_prior", ["_block"], beam).select("_block", F.lit(True).alias("_likely"))
+    priced = priced.join(likely, "_block", "left")
+    met = candidates.join(priced, F.col(f"e_{block}") == F.col("_block"))
+    met = met.withColumn("_outside", F.col(block).isNull() & F.col("_likely").isNull()).withColumn("score", F.col("score") + F.col("_prior"))
+    shown = [f"e_{c}" for c in m.fields]
+    picked = best(met, [*m.fields, "_outside"], "score", [f"e_{m.name}"], [*shown, "score"])
+    return best(picked.withColumn("_in", F.when(F.col("_outside"), 0.0).otherwise(1.0)), m.fields, "_in", [f"e_{m.name}"], [*shown, "score"])
+
+
 def link(tups: DataFrame, entities: DataFrame, m: LinkModel) -> DataFrame:
     """Best existing entity of each tuple; a tuple without any becomes a new entity itself."""
     chosen = best(scored_candidates(tups, entities, m), m.fields, "score", ["entity_id"], ["entity_id", "score"])
@@ -186,7 +196,7 @@ def relink(tups: DataFrame, entities: DataFrame, m: LinkModel) -> DataFrame:
     """
     existing = scored_candidates(tups, entities, m)
     words = name_prior(tups, m)
-    pairs = typo_pairs(tups.select(F.col(m.name).alias("observed")), words.select("word"), m.max_typos, m.max_length)
+    pairs = typo_pairs(tups.select(F.col(m.name).alias("observed")), words.select("word"), m.max_typos)
     options = pairs.join(words, "word").select("observed", (F.col("logp") + F.col("loglik")).alias("x"))
     spread = log_sum_exp(options, ["observed"], "x").withColumnRenamed("observed", m.name)
     total = entities.select(F.sum("n")).scalar()
@@ -209,7 +219,7 @@ def reestimate(links: DataFrame, m: LinkModel) -> DataFrame:
     frequent value.  Entities that end up equal share one id.
     """
     named = links.where(F.col(m.name).isNotNull()).groupBy("entity_id", F.col(m.name).alias("observed")).agg(F.sum("c").alias("c"))
-    pairs = by_deletion(named.select("entity_id", "observed"), named.select("entity_id", F.col("observed").alias("word")), m.max_typos, ["entity_id"])
+    pairs = by_segments(named.select("entity_id", "observed"), named.select("entity_id", F.col("observed").alias("word")), m.max_typos, ["entity_id"])
     scored = pairs.withColumn("loglik", loglik.typos("k", "observed", "word", m.max_typos) - loglik.IMPOSSIBLE_TYPOS)
     evidence = (
         scored.join(named, ["entity_id", "observed"])

@@ -17,16 +17,25 @@ def _same(left: str, right: str, on: Sequence[str]) -> Column:
     return cond
 
 
+def no_clash(rows: DataFrame, new: Sequence[str]) -> None:
+    """Raises if ``rows`` already has one of the ``new`` columns: the older one would pass for the result."""
+    taken = sorted(set(new) & set(rows.columns))
+    if taken:
+        raise ValueError(f"rename {taken} first: the result has columns of these names")
+
+
 def spread_join(rows: DataFrame, table: DataFrame, on: Sequence[str], weight: Column | str, how: str = "left") -> DataFrame:
     """``rows`` with the columns of ``table``, which says in ``weight`` how many rows each key has.
 
     A key with more than 1/1000 of the total weight is hot; there cannot be more than 1000 of
     those, so their entries are broadcast whatever the table's size.  Their rows are answered
     there and spread evenly over the shuffle that serves all other keys, none of which is large.
-    Missing keys match missing keys.  ``how`` is left or inner.  Rows should carry an id.
+    Missing keys match missing keys.  ``how`` is left or inner.  Rows should carry an id.  A column of
+    ``table`` that ``rows`` has too is an error.
     """
     weighted = table.withColumn("_weight", F.coalesce(weight if isinstance(weight, Column) else F.col(weight), F.lit(0)))
-    extra = [c for c in table.columns if c not in on and c not in rows.columns]
+    extra = [c for c in table.columns if c not in on]
+    no_clash(rows, extra)
     packed = weighted.select(*on, "_weight", F.struct(F.lit(True).alias("_hit"), *[F.col(f"`{c}`") for c in extra]).alias("_t"))
     keys = packed.groupBy(*on).agg(F.max("_weight").alias("_w"))  # a key may have several entries
     limit = keys.select(F.sum("_w") / HOT_KEYS).scalar()

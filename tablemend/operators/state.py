@@ -47,9 +47,14 @@ def entity_rows(name: str, table: DataFrame, key: str, columns: Sequence[str]) -
 
 
 def reconstruct(original: DataFrame, repaired: DataFrame, key: str = "row_id") -> DataFrame:
-    """The flat table again: repaired columns where there are some, others as they came, in key order."""
+    """The flat table again, in key order: repaired columns of the records that ``repaired`` has, all
+    else as it came."""
     fixed = [c for c in repaired.columns if c != key]
-    joined = original.alias("o").join(repaired.alias("r"), key, "left")
+    joined = original.alias("o").join(repaired.withColumn("_hit", F.lit(True)).alias("r"), key, "left")
+
+    def cell(c: str):
+        return F.when(F.col("r._hit"), F.col(f"r.`{c}`")).otherwise(F.col(f"o.`{c}`")).alias(c)
+
     return joined.select(
-        *[F.col(f"r.`{c}`").alias(c) if c in fixed else F.col(f"o.`{c}`") if c != key else F.col(key) for c in original.columns]
+        *[cell(c) if c in fixed else F.col(f"o.`{c}`") if c != key else F.col(key) for c in original.columns]
     ).orderBy(key)

@@ -229,7 +229,7 @@ def candidates_unblocked(spark, d):
 
 @query
 def candidates_qgram(spark, d):
-    return candidates.by_rare_grams(*_name_words(spark, d), 2).select("observed", "word")
+    return candidates.by_segments(*_name_words(spark, d), 2).select("observed", "word")
 
 
 @query
@@ -511,7 +511,7 @@ def link_map(spark, d):
 def link_topk(spark, d):
     flat, cand, _ = _scored(spark, d)
     top = choose.top_k(cand, NATION.fields, "score", ["entity_id"], 3)
-    return link.on_tuple(flat, top, NATION, "inner").select("row_id", "rank", "entity_id", r6("score").alias("score"))
+    return link.on_tuple(flat, top, NATION).select("row_id", "rank", "entity_id", r6("score").alias("score"))
 
 
 def _sampled(flat, cand, tag):
@@ -530,7 +530,7 @@ def link_sampled(spark, d):
 def accept_or_keep(spark, d):
     flat, cand, _ = _scored(spark, d)
     top = choose.best(cand, NATION.fields, "score", ["entity_id"], ["entity_id", "score", "c"])
-    old = link.on_tuple(flat, top, NATION, "inner").select("row_id", F.col("entity_id").alias("old_id"), F.col("score").alias("old_score"))
+    old = link.on_tuple(flat, top, NATION).select("row_id", F.col("entity_id").alias("old_id"), F.col("score").alias("old_score"))
     new = _sampled(flat, cand, "propose").select("row_id", F.col("entity_id").alias("new_id"), F.col("score").alias("new_score"))
     out = choose.accept_or_keep(old.join(new, "row_id"), "old_score", "new_score", "row_id")
     return out.select("row_id", F.when(F.col("accepted"), F.col("new_id")).otherwise(F.col("old_id")).alias("entity_id"), "accepted")
@@ -539,18 +539,9 @@ def accept_or_keep(spark, d):
 @query
 def link_staged(spark, d):
     flat, cand, ents = _scored(spark, d)
-    regions = ents.groupBy("region").agg(F.sum("n").alias("n"), F.count("*").alias("k"))
-    total = regions.select(F.sum("n")).scalar()
-    prior = loglik.link_existing("n", total, F.lit(1.0), F.lit(0.25))
-    priced = cut_lineage(regions.select(F.col("region").alias("e_region"), prior.alias("stage1")))
-    named = priced.select(F.col("e_region").alias("region"), "e_region", "stage1")
-    unnamed = choose.top_k(priced.withColumn("region", F.lit(None).cast("string")), ["region"], "stage1", ["e_region"], 2).drop("rank")
-    beam = named.unionByName(unnamed.select(*named.columns))
-    staged = cand.alias("c").join(beam.alias("b"), F.col("c.region").eqNullSafe(F.col("b.region")) & (F.col("c.e_region") == F.col("b.e_region")))
-    scored = staged.select("c.nation", "c.region", F.col("c.e_nation"), F.col("c.e_region"), (F.col("c.score") + F.col("b.stage1")).alias("score"))
-    top = choose.best(scored, NATION.fields, "score", ["e_nation"], ["e_nation", "e_region", "score"])
-    return link.on_tuple(flat, top, NATION, "inner").select(
-        "row_id", F.col("e_region").alias("region"), F.col("e_nation").alias("nation"), r6("score").alias("score"))
+    top = link.link_staged(cand, ents, NATION, "region", 2, 1.0, 0.25)
+    out = link.on_tuple(flat.select("row_id", "nation", "region"), top, NATION)
+    return out.select("row_id", F.col("e_region").alias("region"), F.col("e_nation").alias("nation"), r6("score").alias("score"))
 
 
 @query
@@ -657,7 +648,7 @@ def inferred_entities(spark, d):
 @query
 def reconstruct_flat(spark, d):
     flat, fixed = _after(spark, d, 1)
-    segment = jobs.repair_typos(flat, "segment").select("row_id", F.col("repaired").alias("segment"))
+    segment = jobs.repair_typos(flat, "segment", max_typos=2).select("row_id", F.col("repaired").alias("segment"))
     return state.reconstruct(flat, fixed.join(segment, "row_id"))
 
 
@@ -698,7 +689,26 @@ def impute(spark, d):
 @query
 def repair_typos(spark, d):
     p = cut_lineage(fx.parts_dirty(spark, d).select("row_id", "p_name"))
-    return jobs.repair_typos(p, "p_name").select("row_id", "repaired", r6("score").alias("score"))
+    return jobs.repair_typos(p, "p_name", max_typos=2).select("row_id", "repaired", r6("score").alias("score"))
+
+
+@query
+def repair_typos_short(spark, d):
+    df = cut_lineage(fx.langs_dirty(spark, d))
+    return jobs.repair_typos(df, "shown", max_typos=2).select("row_id", "repaired", r6("score").alias("score"))
+
+
+@query
+def repair_typos_long(spark, d):
+    df = cut_lineage(fx.urls_dirty(spark, d).select("row_id", "shown"))
+    return jobs.repair_typos(df, "shown", max_typos=2).select("row_id", "repaired", r6("score").alias("score"))
+
+
+@query
+def candidates_long(spark, d):
+    df = cut_lineage(fx.urls_dirty(spark, d))
+    pairs = candidates.by_segments(df.select(F.col("shown").alias("observed")), df.select(F.col("url").alias("word")), 2)
+    return pairs.select("observed", "word", "k")
 
 
 @query
@@ -712,7 +722,7 @@ def _versions(spark, d):
     p = cut_lineage(fx.parts_dirty(spark, d))
     dirty = p.select("row_id", "p_name", "p_type", "p_brand")
     clean = p.select("row_id", F.col("clean_name").alias("p_name"), F.col("clean_type").alias("p_type"), "p_brand")
-    ours = jobs.impute(jobs.repair_typos(dirty, "p_name"), "p_type", ["p_brand"]).select("row_id", F.col("repaired").alias("p_name"), "p_type")
+    ours = jobs.impute(jobs.repair_typos(dirty, "p_name", max_typos=2), "p_type", ["p_brand"]).select("row_id", F.col("repaired").alias("p_name"), "p_type")
     return dirty, clean, cut_lineage(ours)
 
 

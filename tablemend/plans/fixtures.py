@@ -94,6 +94,18 @@ def times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select("row_id", broken.alias("time_text"))
 
 
+def langs_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_id, shown): language codes of documents, mistyped; the shortest values of all."""
+    docs = bind_observed(table(spark, sf_dir, "documents").select("doc_id", "lang"), ["doc_id"])
+    return inject.typos(docs, "lang", "shown").select("row_id", "shown")
+
+
+def urls_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_id, url, shown): page addresses and their mistyped form; long values."""
+    pages = bind_observed(table(spark, sf_dir, "pages").select("page_id", "url"), ["page_id"])
+    return inject.typos(pages, "url", "shown").select("row_id", "url", "shown")
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("text")
     return docs.unionByName(table(spark, sf_dir, "benchmark").select("text"))

@@ -12,7 +12,7 @@ from tablemend.functions.units import Transform, best_unit
 from tablemend.operators.choose import best
 from tablemend.operators.learn import Beta, NormalMean, count_errors, gaussian_stats, learn_error_rate, learn_mean, lookup
 from tablemend.operators.link import LinkModel, link, on_tuple, seed_entities, sweep, tuples
-from tablemend.operators.spread import spread_join
+from tablemend.operators.spread import no_clash, spread_join
 from tablemend.session import cut_lineage
 
 
@@ -107,20 +107,31 @@ def truth_discovery_em(
 
 # --- typos ------------------------------------------------------------------------
 
-def repair_typos(records: DataFrame, column: str, within: Sequence[str] = (), max_typos: int = 2, **limits) -> DataFrame:
-    """``repaired`` and ``score``: each value read as a mistyped one of the column's own well supported values.
+def repair_typos(
+    records: DataFrame, column: str, within: Sequence[str] = (), *, max_typos: int, out: str = "repaired", score: str = "score", **model
+) -> DataFrame:
+    """Adds ``out`` and ``score``: each value read as a mistyped one of the column's own well supported values.
 
-    ``within`` names columns the two must share.  Missing values stay missing.
+    ``within`` names columns the two must share.  Missing values stay missing.  A value with no
+    well supported one within ``max_typos`` stays as it is, with a missing score
+    (``without_candidate`` counts those).  For a second column, name both results anew.
     """
-    m = LinkModel(column, tuple(within), max_typos, **limits)
+    no_clash(records, [out, score])
+    m = LinkModel(column, tuple(within), max_typos, **model)
     tups = cut_lineage(tuples(records, m))
     survivors = cut_lineage(seed_entities(tups, m))
     names = survivors.select("entity_id", F.col(column).alias("repaired"))
     decided = link(tups, survivors, m).join(names, "entity_id", "left")
-    fixed = decided.select(*m.fields, "c", F.coalesce("repaired", column).alias("repaired"), "score")
+    fixed = decided.select(*m.fields, "c", F.coalesce("repaired", column).alias(out), F.col("score").alias(score))
     return on_tuple(records, fixed, m)
 
 
+def without_candidate(repaired: DataFrame, column: str, score: str = "score") -> DataFrame:
+    """How many values (``n_values``) in how many rows (``n_rows``) of a repaired column had no candidate."""
+    left = repaired.where(F.col(column).isNotNull() & F.col(score).isNull())
+    return left.groupBy(column).agg(F.count("*").alias("_n")).agg(F.count("*").alias("n_values"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"))
+
+
 # --- missing cells ------------------------------------------------------------------
 
 def impute(records: DataFrame, column: str, group: Sequence[str], out: str | None = None) -> DataFrame:

@@ -65,9 +65,9 @@ def _cells(tups: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     return tups.select("tuple_id", "c", F.inline(F.array_compact(F.array(*entries))))
 
 
-def _canonical(cells: DataFrame, max_typos: int, max_length: int) -> DataFrame:
+def _canonical(cells: DataFrame, max_typos: int) -> DataFrame:
     """Each cell with the well supported spelling it most likely stands for, per attribute."""
-    m = LinkModel("observed", ("path",), max_typos, max_length=max_length, min_length=1)
+    m = LinkModel("observed", ("path",), max_typos, min_length=1)
     words = cut_lineage(cells.where("typos").groupBy("observed", "path").agg(F.sum("c").alias("c")))
     kept = cut_lineage(seed_entities(words, m))
     spelled = link(words, kept, m).join(kept.select("entity_id", F.col("observed").alias("value")), "entity_id", "left")
@@ -141,7 +141,6 @@ def clean(
     columns: Mapping[str, Column],
     sweeps: int = 1,
     max_typos: int = 2,
-    max_length: int = 50,
     strength: float = 1.0,
     discount: float = 0.25,
 ) -> Cleaned:
@@ -156,7 +155,7 @@ def clean(
     present = [F.coalesce(F.concat(F.lit("="), F.col(f"`{n}`").cast("string")), F.lit("?")) for n in names]
     keyed = records.select("row_id", *[F.col(f"`{n}`") for n in names], key_hash(*present).alias("tuple_id"))
     tups = keyed.groupBy("tuple_id").agg(F.count("*").alias("c"), *[F.first(F.col(f"`{n}`")).alias(n) for n in names])
-    cells = cut_lineage(_canonical(cut_lineage(_cells(tups, columns)), max_typos, max_length))
+    cells = cut_lineage(_canonical(cut_lineage(_cells(tups, columns)), max_typos))
 
     tuple_keys = cut_lineage(_recognised(cells, "tuple_id", cls.keys))
     sizes_of = cells.select("tuple_id", "c").distinct()

@@ -19,6 +19,11 @@ def u(tag: str, key: str = "row_id") -> str:
     return f"(((('0x' || substr(md5('7|{tag}|' || {key}), 1, 8))::BIGINT)::DOUBLE + 0.5e0) / 4294967296.0e0)"
 
 
+def ident(*parts: str) -> str:
+    """The id of a business key."""
+    return "md5(" + " || ".join(f"coalesce(length({p}::VARCHAR) || ':' || {p}::VARCHAR, '~')" for p in parts) + ")"
+
+
 def r(x: str, digits: int = 6) -> str:
     return f"(CASE WHEN abs({x}) < {0.5 * 10 ** -digits:.1e} THEN 0.0e0 ELSE round({x}, {digits}) END)"
 
@@ -31,7 +36,7 @@ def typo_loglik(k: str, word: str) -> str:
     size = f"length({word})::DOUBLE"
     rr = f"ceil({size} / 5.0e0)"
     return (
-        f"(CASE WHEN {k} = 0 THEN {rr} * {LN09} ELSE lgamma({k} + {rr}) - lgamma({rr}) - lgamma({k} + 1.0e0) + {rr} * {LN09} + {k} * {LN01}"
+        f"(CASE WHEN {k} = 0 THEN {rr} * {LN09} WHEN length({word}) = 0 THEN -1.0e5 ELSE lgamma({k} + {rr}) - lgamma({rr}) - lgamma({k} + 1.0e0) + {rr} * {LN09} + {k} * {LN01}"
         f" - {k} * ln({size}) - {k} * ln(26.0e0) / 2.0e0 END)"
     )
 
@@ -40,7 +45,7 @@ def typo_loglik(k: str, word: str) -> str:
 
 # --- fixtures ---------------------------------------------------------------------------
 
-LINE_ID = "md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate::DATE - DATE '1970-01-01'))"
+LINE_ID = ident("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "(l_shipdate::DATE - DATE '1970-01-01')")
 
 CLAIMS = f"""
 opts AS (SELECT option, row_number() OVER (ORDER BY md5(option), option) AS idx, count(*) OVER () AS n_options
@@ -87,20 +92,20 @@ def typo_steps(src: str, column: str, out: str, name: str, max_typos: int = 2) -
 
 
 PARTS = f"""
-parts0 AS (SELECT md5(p_partkey::VARCHAR) AS row_id, p_name AS p_name, p_type, p_brand FROM part),
+parts0 AS (SELECT {ident('p_partkey')} AS row_id, p_name AS p_name, p_type, p_brand FROM part),
 {typo_steps('parts0', 'p_name', 'dirty_name', 'parts1')},
 parts AS (SELECT row_id, dirty_name AS p_name, CASE WHEN {u('missing.p_type')} >= 0.15e0 THEN p_type END AS p_type, p_brand,
             p_name AS clean_name, p_type AS clean_type FROM parts1)"""
 
 FLAT = f"""
-flat0 AS (SELECT md5(c_custkey::VARCHAR) AS row_id, c_name, c_mktsegment AS true_segment, n_name AS true_nation, r_name AS true_region
+flat0 AS (SELECT {ident('c_custkey')} AS row_id, c_name, c_mktsegment AS true_segment, n_name AS true_nation, r_name AS true_region
           FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 {typo_steps('flat0', 'true_segment', 'segment', 'flat1')},
 {typo_steps('flat1', 'true_nation', 'nation', 'flat2')},
 flat AS (SELECT *, CASE WHEN {u('missing.true_region')} >= 0.1e0 THEN true_region END AS region FROM flat2)"""
 
 NAMES = f"""
-names0 AS (SELECT md5(p_partkey::VARCHAR) AS row_id, split_part(p_name, ' ', 1) AS first, p_type AS middle, split_part(p_name, ' ', 2) AS last FROM part),
+names0 AS (SELECT {ident('p_partkey')} AS row_id, split_part(p_name, ' ', 1) AS first, p_type AS middle, split_part(p_name, ' ', 2) AS last FROM part),
 names1 AS (SELECT *, CASE WHEN {u('form.first')} < 0.1e0 THEN first[1] || '.' ELSE first END AS f,
              CASE WHEN {u('form.middle')} < 0.1e0 THEN middle[1] || '.' ELSE middle END AS m FROM names0),
 names AS (SELECT row_id, first, middle, last, CASE WHEN middle IS NULL OR middle = '' OR {u('form.drop')} < 0.1e0
@@ -110,7 +115,7 @@ NAMES_MISSING = NAMES + f""",
 shown AS (SELECT * REPLACE (CASE WHEN {u('missing.shown')} >= 0.1e0 THEN shown END AS shown) FROM names)"""
 
 TIMES = f"""
-times0 AS (SELECT md5(event_id::VARCHAR) AS row_id,
+times0 AS (SELECT {ident('event_id')} AS row_id,
    (CASE WHEN hour(ts) % 12 = 0 THEN 12 ELSE hour(ts) % 12 END)::VARCHAR || ':' || lpad(minute(ts)::VARCHAR, 2, '0')
    || CASE WHEN hour(ts) < 12 THEN ' a.m.' ELSE ' p.m.' END AS t FROM events),
 times AS (SELECT row_id, CASE WHEN {u('malformed')} < 0.05e0 THEN replace(t, '.', '')
@@ -138,12 +143,14 @@ def bigrams(name: str, src: str, text: str, weight: str = "") -> str:
 {name} AS (SELECT prev, next, n, (n + 1)::DOUBLE / (sum(n) OVER (PARTITION BY prev) + 28)::DOUBLE AS p FROM {name}_g)"""
 
 
-def text_prior(name: str, words: str, letters: str, lo: int = 3, hi: int = 30) -> str:
+def text_prior(name: str, words: str, letters: str, lo: int = 3, hi: int = 30, tails: bool = False) -> str:
     """CTE (word, logp) for the distinct ``word`` column of ``words``."""
+    size = f"-ln({hi - lo + 1}.0e0) + coalesce(s, 0.0e0)"
+    other = f"{size} - ln(2.0e0) * greatest({lo} - length(w.word), length(w.word) - {hi})" if tails else FLOOR
     return f"""{steps(name + '_st', words, 'word', 'word')},
 {name}_s AS (SELECT word, sum(CASE WHEN st.next = '#' THEN -ln(28.0e0) ELSE greatest(ln(b.p), -1000.0e0) END) AS s
    FROM {name}_st st LEFT JOIN {letters} b ON b.prev = st.prev AND b.next = st.next GROUP BY word),
-{name} AS (SELECT w.word, CASE WHEN length(w.word) BETWEEN {lo} AND {hi} THEN -ln({hi - lo + 1}.0e0) + coalesce(s, 0.0e0) ELSE {FLOOR} END AS logp
+{name} AS (SELECT w.word, CASE WHEN length(w.word) BETWEEN {lo} AND {hi} THEN {size} ELSE {other} END AS logp
    FROM {words} w LEFT JOIN {name}_s USING (word))"""
 
 
@@ -160,7 +167,7 @@ tops AS (SELECT part, max(score) AS mx FROM scores GROUP BY part),
 lse AS (SELECT part, any_value(mx) + ln(sum(exp(score - mx))) AS lse FROM scores JOIN tops USING (part) GROUP BY part)"""
 
 TUPLES = "tup AS (SELECT nation, region, count(*) AS c FROM flat GROUP BY ALL)"
-NATIONS = """ents AS (SELECT md5(n_name || '|' || r_name) AS entity_id, n_name AS nation, r_name AS region, cc.n
+NATIONS = f"""ents AS (SELECT {ident('n_name', 'r_name')} AS entity_id, n_name AS nation, r_name AS region, cc.n
    FROM nation JOIN region ON n_regionkey = r_regionkey JOIN (SELECT nation, count(*) AS n FROM flat GROUP BY nation) cc ON cc.nation = n_name)"""
 
 
@@ -175,7 +182,7 @@ def best(name: str, src: str, keys: str, score: str = "score", tie: str = "entit
 
 
 CAND = f"{FLAT},\n{TUPLES},\n{NATIONS},\n{candidates('cand', 'tup', 'ents')}"
-OWN_ID = "md5(coalesce({0}nation, '') || '|' || coalesce({0}region, ''))"
+OWN_ID = ident("coalesce({0}nation, '')", "coalesce({0}region, '')")
 SAME = "{0}.nation IS NOT DISTINCT FROM {1}.nation AND {0}.region IS NOT DISTINCT FROM {1}.region"
 
 
@@ -192,12 +199,12 @@ def seeds(name: str, tup: str, column: str = "nation", exact: str = "region") ->
     e = f"AND w.{exact} = v.{exact}" if exact else ""
     fields = f"{column}, {exact}" if exact else column
     known = f"{column} IS NOT NULL" + (f" AND {exact} IS NOT NULL" if exact else "")
-    ident = f"md5({column} || '|' || {exact})" if exact else f"md5({column})"
+    own_id = ident(column, exact) if exact else ident(column)
     region = f"- ln((SELECT count(DISTINCT {exact}) FROM {name}_s)::DOUBLE)" if exact else ""
     return f"""{name}_w AS (SELECT {column} AS word, sum(c)::BIGINT AS c FROM {tup} WHERE {column} IS NOT NULL GROUP BY {column}),
 {bigrams(name + '_bg', name + '_w', 'word', 'c')},
-{text_prior(name + '_tp', name + '_w', name + '_bg')},
-{name}_s AS (SELECT {ident} AS entity_id, {fields}, c AS n FROM {tup} WHERE {known}),
+{text_prior(name + '_tp', name + '_w', name + '_bg', tails=True)},
+{name}_s AS (SELECT {own_id} AS entity_id, {fields}, c AS n FROM {tup} WHERE {known}),
 {name}_own AS (SELECT s.*, ln((SELECT count(*) FROM {name}_s) * {D} + {S}) + logp {region} + n * {typo_loglik('0', column)}
      + lgamma(n - {D}) - lgamma(1.0e0 - {D}) AS own FROM {name}_s s JOIN {name}_tp t ON t.word = s.{column}),
 {name}_j AS (SELECT w.entity_id, max(w.n * {typo_loglik(f'damerau_levenshtein(w.{column}, v.{column})', f'v.{column}')} + lgamma(v.n + w.n - {D}) - lgamma(v.n - {D})) AS j
@@ -295,9 +302,9 @@ def sql(name: str, ctes: str, select: str) -> None:
 # --- reading and preparing ------------------------------------------------------------------
 
 sql("scan_table", "", "SELECT * FROM customer")
-sql("bind_observed", "", "SELECT *, md5(c_custkey::VARCHAR) AS row_id FROM customer")
-sql("multi_dataset", "", """SELECT 'customer' AS dataset, md5(c_custkey::VARCHAR) AS row_id, c_name AS name, c_nationkey AS nationkey, c_acctbal AS acctbal, c_mktsegment AS segment FROM customer
-UNION ALL SELECT 'supplier', md5(s_suppkey::VARCHAR), s_name, s_nationkey, s_acctbal, NULL FROM supplier""")
+sql("bind_observed", "", f"SELECT *, {ident('c_custkey')} AS row_id FROM customer")
+sql("multi_dataset", "", f"""SELECT 'customer' AS dataset, {ident('c_custkey')} AS row_id, c_name AS name, c_nationkey AS nationkey, c_acctbal AS acctbal, c_mktsegment AS segment FROM customer
+UNION ALL SELECT 'supplier', {ident('s_suppkey')}, s_name, s_nationkey, s_acctbal, NULL FROM supplier""")
 sql("align_columns", PARTS, "SELECT row_id, NULL::VARCHAR AS name, p_name AS name_obs, p_type AS type FROM parts")
 sql("ref_lookup", "", "SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
 PATH = "customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey"
@@ -337,7 +344,7 @@ sql("enumerate_options", GROUPED, f"SELECT part, option, {r('log_prior')} AS log
 
 # --- candidates -----------------------------------------------------------------------------------
 
-BLOCK = f"{FLAT},\n{TUPLES}, ne AS (SELECT md5(n_name || '|' || r_name) AS entity_id, n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey)"
+BLOCK = f"{FLAT},\n{TUPLES}, ne AS (SELECT {ident('n_name', 'r_name')} AS entity_id, n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey)"
 sql("candidates_blocked", BLOCK, "SELECT nation, tup.region, entity_id FROM tup JOIN ne ON ne.region IS NOT DISTINCT FROM tup.region")
 sql("candidates_constrained", BLOCK, "SELECT nation, tup.region, entity_id FROM tup JOIN ne ON ne.region IS NOT DISTINCT FROM tup.region AND nation IS NOT DISTINCT FROM name")
 PAIRS = PARTS + """, ob AS (SELECT DISTINCT p_name AS observed FROM parts), wo AS (SELECT DISTINCT p_name AS word FROM part),
@@ -437,7 +444,7 @@ sql("source_rates_em", f"{EM_COUNTS},\n{em_round(0, True)},\n{em_round(1, True)}
 
 sql("link_map", f"{CAND},\n{best('b', 'cand', 'nation, region')}", f"SELECT f.row_id, b.entity_id, {r('b.score')} AS score FROM flat f LEFT JOIN b ON {SAME.format('f', 'b')}")
 sql("link_topk", f"{CAND}, rk AS (SELECT *, row_number() OVER (PARTITION BY nation, region ORDER BY round(score, 6) DESC, entity_id)::INT AS rank FROM cand)",
-    f"SELECT f.row_id, rk.rank, rk.entity_id, {r('rk.score')} AS score FROM flat f JOIN rk ON {SAME.format('f', 'rk')} WHERE rk.rank <= 3")
+    f"SELECT f.row_id, rk.rank, rk.entity_id, {r('rk.score')} AS score FROM flat f LEFT JOIN rk ON {SAME.format('f', 'rk')} AND rk.rank <= 3")
 CDF = f"""{CAND}, zz AS (SELECT nation, region, max(score) AS mx FROM cand GROUP BY ALL),
 zs AS (SELECT c.nation, c.region, any_value(mx) + ln(sum(exp(score - mx))) AS lse FROM cand c JOIN zz ON {SAME.format('c', 'zz')} GROUP BY ALL),
 cd AS (SELECT c.nation, c.region, entity_id, score, round(sum(exp(score - lse)) OVER (PARTITION BY c.nation, c.region ORDER BY entity_id ROWS UNBOUNDED PRECEDING), 9) AS hi FROM cand c JOIN zs ON {SAME.format('c', 'zs')}),
@@ -445,22 +452,23 @@ cl AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY nation, region ORDER BY ent
 
 
 def drawn(tag: str) -> str:
-    return f"SELECT f.row_id, cl.entity_id, cl.score FROM flat f JOIN cl ON {SAME.format('f', 'cl')} AND {u(tag, 'f.row_id')} * 0.999999998e0 >= lo AND {u(tag, 'f.row_id')} * 0.999999998e0 < hi"
+    return f"SELECT f.row_id, cl.entity_id, cl.score FROM flat f LEFT JOIN cl ON {SAME.format('f', 'cl')} AND {u(tag, 'f.row_id')} * 0.999999998e0 >= lo AND {u(tag, 'f.row_id')} * 0.999999998e0 < hi"
 
 
 sql("link_sampled", f"{CDF}, dr AS ({drawn('link')})", "SELECT row_id, entity_id FROM dr")
-sql("accept_or_keep", f"{CDF}, dr AS ({drawn('propose')}), {best('b', 'cand', 'nation, region')}, ol AS (SELECT f.row_id, b.entity_id, b.score FROM flat f JOIN b ON {SAME.format('f', 'b')}), ac AS (SELECT ol.row_id, ol.entity_id AS old_id, dr.entity_id AS new_id, {u('accept', 'ol.row_id')} < exp(least(dr.score - ol.score, 0.0e0)) AS accepted FROM ol JOIN dr USING (row_id))",
+sql("accept_or_keep", f"{CDF}, dr AS ({drawn('propose')}), {best('b', 'cand', 'nation, region')}, ol AS (SELECT f.row_id, b.entity_id, b.score FROM flat f LEFT JOIN b ON {SAME.format('f', 'b')}), ac AS (SELECT ol.row_id, ol.entity_id AS old_id, dr.entity_id AS new_id, coalesce({u('accept', 'ol.row_id')} < exp(least(dr.score - ol.score, 0.0e0)), false) AS accepted FROM ol JOIN dr USING (row_id))",
     "SELECT row_id, CASE WHEN accepted THEN new_id ELSE old_id END AS entity_id, accepted FROM ac")
 sql("link_staged", f"""{CAND}, rg AS (SELECT region, sum(n) AS n FROM ents GROUP BY region), rp AS (SELECT region, ln(n - {D}) - ln((SELECT sum(n) FROM rg)::DOUBLE + {S}) AS stage1 FROM rg),
-top2 AS (SELECT * FROM rp ORDER BY round(stage1, 6) DESC, region LIMIT 2),
-st AS (SELECT c.nation, c.region, e_nation, e_region, score + stage1 AS score FROM cand c JOIN rp ON c.region = rp.region AND c.e_region = rp.region
-   UNION ALL SELECT c.nation, c.region, e_nation, e_region, score + stage1 FROM cand c JOIN top2 ON c.region IS NULL AND c.e_region = top2.region),
-{best('b', 'st', 'nation, region', 'score', 'e_nation')}""", f"SELECT f.row_id, b.e_region AS region, b.e_nation AS nation, {r('b.score')} AS score FROM flat f JOIN b ON {SAME.format('f', 'b')}")
+top2 AS (SELECT region FROM rp ORDER BY round(stage1, 6) DESC, region LIMIT 2),
+st AS (SELECT c.nation, c.region, e_nation, e_region, score + stage1 AS score, c.region IS NULL AND c.e_region NOT IN (SELECT region FROM top2) AS outside FROM cand c JOIN rp ON c.e_region = rp.region),
+ins AS (SELECT nation, region, min(outside) AS none FROM st GROUP BY ALL),
+st2 AS (SELECT st.* FROM st JOIN ins ON {SAME.format('st', 'ins')} WHERE st.outside = ins.none),
+{best('b', 'st2', 'nation, region', 'score', 'e_nation')}""", f"SELECT f.row_id, b.e_region AS region, b.e_nation AS nation, {r('b.score')} AS score FROM flat f LEFT JOIN b ON {SAME.format('f', 'b')}")
 sql("initial_link", INITIAL, f"SELECT f.row_id, l.entity_id, l.is_new FROM flat f JOIN l0 l ON {SAME.format('f', 'l')}")
 sql("new_entities", f"{FLAT},\n{TUPLES},\n{NATIONS},\n{linked('ln', 'tup', 'ents', 1)}", "SELECT entity_id, nation, region, c AS n FROM ln WHERE is_new")
 sql("relink", f"""{CAND}, nw AS (SELECT nation AS word, sum(c)::BIGINT AS c FROM tup GROUP BY nation),
 {bigrams('bg', 'nw', 'word', 'c')},
-{text_prior('tp', 'nw', 'bg')},
+{text_prior('tp', 'nw', 'bg', tails=True)},
 op0 AS (SELECT o.word AS observed, w.word, w.logp, damerau_levenshtein(o.word, w.word) AS k FROM nw o, tp w),
 op AS (SELECT observed, logp + {typo_loglik('k', 'word')} AS x FROM op0 WHERE k <= 2),
 om AS (SELECT observed, max(x) AS mx FROM op GROUP BY observed), os AS (SELECT observed, any_value(mx) + ln(sum(exp(x - mx))) AS lse FROM op JOIN om USING (observed) GROUP BY observed),
@@ -478,9 +486,9 @@ sql("prune_cascade", "c AS (SELECT * FROM customer WHERE c_custkey IN (SELECT o_
     "SELECT 'customer' AS class, c_custkey::VARCHAR AS entity FROM c UNION ALL SELECT 'nation', n_nationkey::VARCHAR FROM n UNION ALL SELECT 'region', r_regionkey::VARCHAR FROM g")
 sql("sweep_once", SWEEP1, "SELECT row_id, nation, region FROM fixed1")
 sql("sweep_twice", SWEEP2, "SELECT row_id, nation, region FROM fixed2")
-sql("normalize_tables", SWEEP1, """SELECT 'nation' AS class, entity_id, 'nation' AS attribute, nation AS value FROM e1 UNION ALL SELECT 'nation', entity_id, 'region_id', md5(region) FROM e1
-UNION ALL SELECT DISTINCT 'region', md5(region), 'region', region FROM e1 WHERE region IS NOT NULL""")
-sql("inferred_entities", SWEEP1, "SELECT entity_id, nation, md5(region) AS region_id, n FROM e1")
+sql("normalize_tables", SWEEP1, f"""SELECT 'nation' AS class, entity_id, 'nation' AS attribute, nation AS value FROM e1 UNION ALL SELECT 'nation', entity_id, 'region_id', {ident('region')} FROM e1
+UNION ALL SELECT DISTINCT 'region', {ident('region')}, 'region', region FROM e1 WHERE region IS NOT NULL""")
+sql("inferred_entities", SWEEP1, f"SELECT entity_id, nation, {ident('region')} AS region_id, n FROM e1")
 sql("reconstruct_flat", f"{SWEEP1},\n{column_repair('seg', 'flat', 'segment')}", "SELECT f.row_id, f.c_name, s.repaired AS segment, x.nation, x.region FROM flat f JOIN fixed1 x USING (row_id) JOIN seg s USING (row_id)")
 sql("repair_log", SWEEP1, """SELECT f.row_id, 'nation' AS "column", f.nation AS old, x.nation AS new FROM flat f JOIN fixed1 x USING (row_id) WHERE f.nation IS DISTINCT FROM x.nation
 UNION ALL SELECT f.row_id, 'region', f.region, x.region FROM flat f JOIN fixed1 x USING (row_id) WHERE f.region IS DISTINCT FROM x.region""")
@@ -490,6 +498,11 @@ sql("export_json", SWEEP1, "SELECT entity_id, CASE WHEN region IS NULL THEN to_j
 
 sql("impute", f"{PARTS},\n{IMPUTE}", "SELECT row_id, p_type, was_missing FROM imputed")
 sql("repair_typos", f"{PARTS},\n{column_repair('rep', 'parts', 'p_name')}", f"SELECT row_id, repaired, {r('score')} AS score FROM rep")
+SHORT = f"short0 AS (SELECT {ident('doc_id')} AS row_id, lang FROM documents),\n{typo_steps('short0', 'lang', 'shown', 'shorts')}"
+sql("repair_typos_short", f"{SHORT},\n{column_repair('rep', 'shorts', 'shown')}", f"SELECT row_id, repaired, {r('score')} AS score FROM rep")
+LONG = f"long0 AS (SELECT {ident('page_id')} AS row_id, url FROM pages),\n{typo_steps('long0', 'url', 'shown', 'longs')}"
+sql("repair_typos_long", f"{LONG},\n{column_repair('rep', 'longs', 'shown')}", f"SELECT row_id, repaired, {r('score')} AS score FROM rep")
+sql("candidates_long", f"{LONG}, pk AS (SELECT o.shown AS observed, w.url AS word, damerau_levenshtein(o.shown, w.url)::INT AS k FROM (SELECT DISTINCT shown FROM longs) o, (SELECT DISTINCT url FROM longs) w)", "SELECT observed, word, k FROM pk WHERE k <= 2")
 sql("unit_correct", PRICES + f""", u0 AS (SELECT part, {base_of('1500.0e0')} AS base FROM prices),
 um AS (SELECT part, (1500.0e0 / 1.0e6 + sum(base) / 22500.0e0) / (1.0e0 / 1.0e6 + count(*) / 22500.0e0) AS mean FROM u0 GROUP BY part)""",
     f"SELECT row_id, {unit_of('mean')} AS unit, round_even({base_of('mean')}, 0)::DOUBLE AS corrected FROM prices JOIN um USING (part)")

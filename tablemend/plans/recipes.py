@@ -32,7 +32,8 @@ def clean_claims(
     truth, rates = truth_discovery_em(claims, [entity, "_field"], "value", source, rounds, prior, owns)
     wide = truth.groupBy(entity).agg(*[F.max(F.when(F.col("_field") == f, F.col("value"))).alias(f"_{i}") for i, f in enumerate(fields)])
     joined = records.join(wide, entity, "left")
-    out = {f: F.col(f"_{i}").cast(records.schema[f].dataType).alias(f) for i, f in enumerate(fields)}
+    # A record of no entity, or of one without any claim, keeps its own.
+    out = {f: F.coalesce(F.col(f"_{i}").cast(records.schema[f].dataType), F.col(f"`{f}`")).alias(f) for i, f in enumerate(fields)}
     return joined.select(*[out.get(c, F.col(f"`{c}`")) for c in records.columns]), rates
 
 
@@ -46,7 +47,8 @@ def clean_listings(
     prior: NormalMean = NormalMean(1500.0, 1000.0),
     std: float = 150.0,
     units: Sequence[Transform] = (IDENTITY, THOUSANDS),
-    max_typos: int = 2,
+    *,
+    max_typos: int,
 ) -> DataFrame:
     """Listings with a mistyped place, missing area or kind, and amounts in mixed units.
 
@@ -54,7 +56,7 @@ def clean_listings(
     their place; the amount is brought to one unit, given what its area, place and kind
     usually cost, and rounded.
     """
-    named = repair_typos(records, place, [place_key], max_typos).withColumn(place, F.col("repaired")).drop("repaired", "score")
+    named = repair_typos(records, place, [place_key], max_typos=max_typos, out="_place", score="_score").withColumn(place, F.col("_place")).drop("_place", "_score")
     filled = impute(named, area, [place_key, place])
     filled = impute(filled.drop("was_missing"), kind, [place_key, place]).drop("was_missing")
     fixed = unit_correct(filled, amount, [area, place_key, kind], units, prior, std)

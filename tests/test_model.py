@@ -65,7 +65,7 @@ def test_listings(spark):
         rows.append((i, name, name, name[0] + name.split()[0][-1], None if rng.random() < 0.2 else st, st, "1br", shown, amount))
     df = spark.createDataFrame(rows, "row_id int, true_county string, county string, k string, st string, true_st string, kind string, rent double, true_rent double")
     dirty = inject.typos(df, "true_county", "county")
-    out = cut_lineage(clean_listings(dirty, "k", "county", "st", "kind", "rent"))
+    out = cut_lineage(clean_listings(dirty, "k", "county", "st", "kind", "rent", max_typos=2))
     assert share(out, "county", "true_county") > 0.99 and share(out, "st", "true_st") == 1.0
     assert share(out, "rent", "true_rent") == 1.0
 

@@ -22,19 +22,19 @@ def test_candidates_equal_brute_force(spark, k):
     observed = base + [w[: i % len(w)] + "x" + w[i % len(w):] for i, w in enumerate(base)] + ["", "a", "ab"]
     o = spark.createDataFrame([(w,) for w in observed], "observed string")
     w = spark.createDataFrame([(x,) for x in base + ["", "b"]], "word string")
-    got = {f.__name__: {(r.observed, r.word, r.k) for r in f(o, w, k).collect()} for f in (candidates.by_deletion, candidates.by_rare_grams)}
+    got = {f.__name__: {(r.observed, r.word, r.k) for r in f(o, w, k).collect()} for f in (candidates.by_deletion, candidates.by_segments)}
     odf, wdf = o.toPandas(), w.toPandas()  # noqa: F841
     want = set(duckdb.sql(
         f"select distinct observed, word, damerau_levenshtein(observed, word)::int k from odf, wdf where damerau_levenshtein(observed, word) <= {k}"
     ).fetchall())
     assert got["by_deletion"] == want
-    assert got["by_rare_grams"] == want
+    assert got["by_segments"] == want
 
 
 def test_candidate_plans_are_equi_joins(spark):
     o = spark.createDataFrame([("ab",)], "observed string")
     w = spark.createDataFrame([("ab",)], "word string")
-    for f in (candidates.by_deletion, candidates.by_rare_grams):
+    for f in (candidates.by_deletion, candidates.by_segments):
         plan = f(o, w, 2)._jdf.queryExecution().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
@@ -121,8 +121,8 @@ def test_result_does_not_depend_on_partitioning(spark):
     rows = [(i, rng.choice(names)) for i in range(300)]
     df = spark.createDataFrame(rows, "row_id int, v string")
     dirty = inject.typos(df, "v", "w").select("row_id", F.col("w").alias("v"))
-    one = {r.row_id: r.repaired for r in jobs.repair_typos(dirty.repartition(1), "v").collect()}
-    many = {r.row_id: r.repaired for r in jobs.repair_typos(dirty.repartition(13).orderBy(F.rand(1)), "v").collect()}
+    one = {r.row_id: r.repaired for r in jobs.repair_typos(dirty.repartition(1), "v", max_typos=2).collect()}
+    many = {r.row_id: r.repaired for r in jobs.repair_typos(dirty.repartition(13).orderBy(F.rand(1)), "v", max_typos=2).collect()}
     assert one == many
     truth = dict(rows)
     assert sum(one[i] == truth[i] for i in truth) / 300 > 0.98
