@@ -23,6 +23,9 @@ HEADLINE = [
     "initial_link",
     "sweep_once",
     "normalize_tables",
+    "repair_typos_short",
+    "repair_typos_long",
+    "joint_repair",
 ]
 
 

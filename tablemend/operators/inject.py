@@ -115,6 +115,12 @@ def name_forms(df: DataFrame, first: str, middle: str, last: str, out: str, key:
     )
 
 
+def initials(df: DataFrame, column: str, out: str, rate: float, key: str = "row_id", seed: int = 7) -> DataFrame:
+    """``out`` = the initial of a single name at ``rate``, else the name; empty names stay."""
+    short = (uniform(f"initial.{column}", key, seed) < rate) & (F.length(column) > 0)
+    return df.withColumn(out, F.when(short, F.concat(F.substring(column, 1, 1), F.lit("."))).otherwise(F.col(column)))
+
+
 def expansions(df: DataFrame, column: str, out: str, options: DataFrame, key: str = "row_id", seed: int = 7) -> DataFrame:
     """``out`` = one of the options the short form could stand for, uniformly; itself if none.
 

@@ -20,6 +20,36 @@ def referring_rows(paths: Mapping[str, tuple[DataFrame, str, str]]) -> DataFrame
     return out.distinct()
 
 
+def referring_along(records: DataFrame, key: str, ref: str, steps: Sequence[tuple[str, DataFrame, str, str | None]]) -> DataFrame:
+    """Records that refer to an entity directly or through other entities: (path, entity, row).
+
+    ``steps`` lists (class, table, its key, its reference to the next class) along the path that
+    starts with the records' column ``ref``.  A record is listed under the entity of each class it
+    reaches; where a reference is missing its path ends.
+    """
+    at = records.select(F.col(key).cast("string").alias("row"), F.col(ref).alias("_ref"))
+    out, path = None, ""
+    for name, table, own, nxt in steps:
+        path = f"{path}.{name}" if path else name
+        at = at.where(F.col("_ref").isNotNull())
+        part = at.select(F.lit(path).alias("path"), F.col("_ref").cast("string").alias("entity"), "row")
+        out = part if out is None else out.unionByName(part)
+        if nxt is None:
+            break
+        onward = table.select(F.col(own).alias("_own"), F.col(nxt).alias("_next"))
+        at = at.join(onward, F.col("_ref") == F.col("_own")).select("row", F.col("_next").alias("_ref"))
+    return out.distinct()
+
+
+def entity_log(before: DataFrame, after: DataFrame, name: str, key: str = "entity_id") -> DataFrame:
+    """Entities of class ``name`` that one version of a table has and the other lacks: (class, entity_id,
+    change), the change being ``new`` or ``deleted``."""
+    b, a = (df.select(F.col(key).alias("entity_id")).distinct() for df in (before, after))
+    gone = b.join(a, "entity_id", "left_anti").withColumn("change", F.lit("deleted"))
+    new = a.join(b, "entity_id", "left_anti").withColumn("change", F.lit("new"))
+    return gone.unionByName(new).select(F.lit(name).alias("class"), "entity_id", "change")
+
+
 def prune_orphans(entities: DataFrame, links: DataFrame, key: str = "entity_id") -> DataFrame:
     """Entities that some record still refers to."""
     return entities.join(links.select(key), key, "left_semi")

@@ -579,6 +579,17 @@ def referring_rows(spark, d):
     return rows.groupBy("path", "entity").agg(F.count("*").alias("n"))
 
 
+@query
+def referring_along(spark, d):
+    """Orders by every customer, nation and region they lead to."""
+    rows = state.referring_along(fx.table(spark, d, "orders"), "o_orderkey", "o_custkey", [
+        ("customer", fx.table(spark, d, "customer"), "c_custkey", "c_nationkey"),
+        ("nation", fx.table(spark, d, "nation"), "n_nationkey", "n_regionkey"),
+        ("region", fx.table(spark, d, "region"), "r_regionkey", None),
+    ])
+    return rows.groupBy("path", "entity").agg(F.count("*").alias("n"))
+
+
 @query
 def prune_orphans(spark, d):
     customers = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("entity_id"), "c_name")
@@ -658,6 +669,15 @@ def repair_log(spark, d):
     return evaluate.repair_log(flat, fixed, ["nation", "region"])
 
 
+@query
+def entity_log(spark, d):
+    """Entities that the first sweep makes and drops."""
+    flat = cut_lineage(fx.customers_flat(spark, d).select("row_id", "nation", "region"))
+    tups, links, seeds = jobs.initial_links(flat, NATION)
+    _, entities = link.sweep(tups, links, NATION)
+    return state.entity_log(seeds, entities, "nation")
+
+
 @query
 def export_json(spark, d):
     _, _, entities = _swept(spark, d, 1)
@@ -784,6 +804,12 @@ def inject_name_forms(spark, d):
     return fx.names(spark, d).select("row_id", F.concat_ws(" ", "first", "middle", "last").alias("clean"), F.col("shown").alias("dirty"))
 
 
+@query
+def inject_initials(spark, d):
+    n = fx.names(spark, d)
+    return inject.initials(n, "last", "dirty", 0.3).select("row_id", F.col("last").alias("clean"), "dirty")
+
+
 @query
 def inject_missing(spark, d):
     return fx.parts_dirty(spark, d).select("row_id", F.col("clean_type").alias("clean"), F.col("p_type").alias("dirty"))

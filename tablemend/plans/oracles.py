@@ -481,6 +481,9 @@ both_ AS (SELECT nation, region, entity_id, score, false AS is_new FROM cand
 
 sql("referring_rows", "", """SELECT 'customer.nation' AS path, c_nationkey::VARCHAR AS entity, count(*) AS n FROM customer GROUP BY ALL
 UNION ALL SELECT 'supplier.nation', s_nationkey::VARCHAR, count(*) FROM supplier GROUP BY ALL UNION ALL SELECT 'nation.region', n_regionkey::VARCHAR, count(*) FROM nation GROUP BY ALL""")
+sql("referring_along", "", """SELECT 'customer' AS path, o_custkey::VARCHAR AS entity, count(*) AS n FROM orders GROUP BY ALL
+UNION ALL SELECT 'customer.nation', c_nationkey::VARCHAR, count(*) FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL
+UNION ALL SELECT 'customer.nation.region', n_regionkey::VARCHAR, count(*) FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL""")
 sql("prune_orphans", "", "SELECT c_custkey AS entity_id, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 sql("prune_cascade", "c AS (SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)), n AS (SELECT * FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM c)), g AS (SELECT * FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM n))",
     "SELECT 'customer' AS class, c_custkey::VARCHAR AS entity FROM c UNION ALL SELECT 'nation', n_nationkey::VARCHAR FROM n UNION ALL SELECT 'region', r_regionkey::VARCHAR FROM g")
@@ -492,6 +495,8 @@ sql("inferred_entities", SWEEP1, f"SELECT entity_id, nation, {ident('region')} A
 sql("reconstruct_flat", f"{SWEEP1},\n{column_repair('seg', 'flat', 'segment')}", "SELECT f.row_id, f.c_name, s.repaired AS segment, x.nation, x.region FROM flat f JOIN fixed1 x USING (row_id) JOIN seg s USING (row_id)")
 sql("repair_log", SWEEP1, """SELECT f.row_id, 'nation' AS "column", f.nation AS old, x.nation AS new FROM flat f JOIN fixed1 x USING (row_id) WHERE f.nation IS DISTINCT FROM x.nation
 UNION ALL SELECT f.row_id, 'region', f.region, x.region FROM flat f JOIN fixed1 x USING (row_id) WHERE f.region IS DISTINCT FROM x.region""")
+sql("entity_log", SWEEP1, """SELECT 'nation' AS class, entity_id, 'deleted' AS change FROM (SELECT entity_id FROM sd EXCEPT SELECT entity_id FROM e1)
+UNION ALL SELECT 'nation', entity_id, 'new' FROM (SELECT entity_id FROM e1 EXCEPT SELECT entity_id FROM sd)""")
 sql("export_json", SWEEP1, "SELECT entity_id, CASE WHEN region IS NULL THEN to_json({'nation': nation}) ELSE to_json({'nation': nation, 'region': region}) END::VARCHAR AS json FROM e1")
 
 # --- repairs -------------------------------------------------------------------------------------------------------------------
@@ -524,6 +529,7 @@ sql("inject_swaps", CLAIMS, "SELECT row_id, truth AS clean, claim AS dirty FROM
 sql("inject_units", PRICES, "SELECT row_id, noisy AS clean, shown AS dirty FROM prices")
 sql("inject_noise", PRICES, "SELECT row_id, truth AS clean, noisy AS dirty FROM prices")
 sql("inject_name_forms", NAMES, "SELECT row_id, first || ' ' || middle || ' ' || last AS clean, shown AS dirty FROM names")
+sql("inject_initials", NAMES, f"SELECT row_id, last AS clean, CASE WHEN {u('initial.last')} < 0.3e0 AND length(last) > 0 THEN last[1] || '.' ELSE last END AS dirty FROM names")
 sql("inject_missing", PARTS, "SELECT row_id, clean_type AS clean, p_type AS dirty FROM parts")
 sql("inject_expansions", SHORTS + f", ex AS (SELECT short, option, row_number() OVER (PARTITION BY short ORDER BY md5(short || '|' || option)) AS i, count(*) OVER (PARTITION BY short) AS n FROM (SELECT DISTINCT short FROM sh), so WHERE {subsequence('short', 'option')})",
     f"SELECT row_id, short AS clean, option AS dirty FROM sh JOIN ex USING (short) WHERE i = floor({u('expand.short')} * n) + 1")
