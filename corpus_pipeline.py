@@ -51,8 +51,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The byte-level BPE ids of each document, and a digest of what they decode to."""
     ranks, pattern = bpe.vocabulary(spark)
-    there_and_back = bpe.decode(bpe.encode(docs, ranks, pattern), ranks, pattern)
-    return there_and_back.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.there_and_back(docs, ranks, pattern).select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

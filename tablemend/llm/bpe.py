@@ -17,7 +17,7 @@ Text between two cuts is one match or a few; it is passed on whole, however long
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -95,33 +95,46 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     A missing or empty text has no ids.  Other columns of ``docs`` are not looked at.  Repeated
     rows give repeated rows.
     """
-    held = docs.sparkSession.sparkContext.broadcast(ranks)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = encoding(held.value, pattern)
-        for b in batches:
-            for part in _slices(b):
-                ids = [token_ids(t or "", by) for t in part["text"].to_pylist()]
-                yield pa.record_batch([part["doc_id"], pa.array(map(len, ids), pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
+    return _mapped(docs, ranks, pattern, (_encoded,), "n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     """``encoded`` with ``decoded``: the raw bytes that its ``ids`` stand for.  Bytes, as ids may be
     cut anywhere, also within a character.  Missing ids give no bytes."""
     held = encoded.sparkSession.sparkContext.broadcast(ranks)
+    out = encoded.drop("decoded")
+    return out.mapInArrow(lambda batches: _decoded(batches, encoding(held.value, pattern)), out.withColumn("decoded", F.lit(b"")).schema)
+
+
+def there_and_back(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
+    """:func:`decode` of :func:`encode`, in one Python worker: (doc_id, n_tokens, ids, decoded)."""
+    return _mapped(docs, ranks, pattern, (_encoded, _decoded), "n_tokens long, ids binary, decoded binary")
+
+
+def _mapped(docs: DataFrame, ranks: bytes, pattern: str, steps: tuple[Callable, ...], made: str) -> DataFrame:
+    held = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = encoding(held.value, pattern)
-        for b in batches:
-            for part in _slices(b):
-                raw = [by.decode_bytes(np.frombuffer(i or b"", "<u4").tolist()) for i in part["ids"].to_pylist()]
-                yield part.append_column("decoded", pa.array(raw, pa.binary()))
+        for step in steps:
+            batches = step(batches, encoding(held.value, pattern))
+        return batches
 
-    out = encoded.drop("decoded")
-    return out.mapInArrow(run, out.withColumn("decoded", F.lit(b"")).schema)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {made}")
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], by: tiktoken.Encoding) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for part in _slices(b):
+            ids = [token_ids(t or "", by) for t in part["text"].to_pylist()]
+            yield pa.record_batch([part["doc_id"], pa.array(map(len, ids), pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], by: tiktoken.Encoding) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for part in _slices(b):
+            raw = [by.decode_bytes(np.frombuffer(i or b"", "<u4").tolist()) for i in part["ids"].to_pylist()]
+            yield part.append_column("decoded", pa.array(raw, pa.binary()))
 
 
 def vocabulary(spark: SparkSession, name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[bytes, str]:

@@ -35,8 +35,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = bpe.vocabulary(spark)
-    there_and_back = bpe.decode(bpe.encode(_documents(spark, sf_dir), ranks, pattern), ranks, pattern)
-    return there_and_back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.there_and_back(_documents(spark, sf_dir), ranks, pattern).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

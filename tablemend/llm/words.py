@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 6 << 20
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
+# Memory that a task is done with goes back to the system, as workers stay for later tasks.
+pa.set_memory_pool(pa.system_memory_pool())
 PRIME = (1 << 61) - 1  # modulus of the rolling hashes
 _SLICE = 1 << 15  # windows hashed at once, to stay in the processor's cache
 _M30, _M31 = np.uint64((1 << 30) - 1), np.uint64((1 << 31) - 1)
