@@ -103,7 +103,7 @@ def budgets(leaves: DataFrame, tree: Tree, share: float, epochs: int) -> DataFra
     return supply.join(above.withColumn("budget", F.col("given").cast("long")).drop("given"), tree.names)
 
 
-def cuts(leaves: DataFrame, budget: DataFrame, tree: Tree, epochs: int, seed: int, digits: int = BUCKET_DIGITS) -> DataFrame:
+def cuts(leaves: DataFrame, budget: DataFrame, tree: Tree, epochs: int, seed: int) -> DataFrame:
     """Per leaf and epoch that gives anything: ``last``, the hash of the last document taken, and
     ``taken``, how many of that document's tokens are (null if the whole epoch is taken)."""
     names = tree.names
@@ -114,7 +114,7 @@ def cuts(leaves: DataFrame, budget: DataFrame, tree: Tree, epochs: int, seed: in
     whole = wanted.where("want = supply").select(*names, "epoch", F.lit(_ALL).alias("last"), F.lit(None).cast("long").alias("taken"))
     part = wanted.where("want < supply").select(*names, "epoch", "want")
     rows = leaves.where("n_tokens > 0").select("doc_id", *names, "n_tokens", turn).withColumn("key", _key(F.col("epoch"), seed))
-    rows = rows.withColumn("bucket", F.substring("key", 1, digits))
+    rows = rows.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     cells = rows.groupBy(*names, "epoch", "bucket").agg(F.sum("n_tokens").alias("tokens")).join(part, [*names, "epoch"])
     before = Window.partitionBy(*names, "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("before", F.coalesce(F.sum("tokens").over(before), F.lit(0)))

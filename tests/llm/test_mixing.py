@@ -60,12 +60,12 @@ def table(spark, docs):
     return spark.createDataFrame([(*d, 1, "r") for d in docs], "doc_id long, text string, domain string, lang string, source string, n_tokens int, _row string")
 
 
-def test_against_brute_force(spark):
+def test_against_brute_force(spark, monkeypatch):
     rng = random.Random(11)
     docs = [(i, rng.choice(["", None, " ", "w " * rng.randrange(1, 60)]), rng.choice("aaaabc"), rng.choice(["en", "en", "de", None]), rng.choice(["s1", "s2", "s3", "s1", None])) for i in range(300)]
     docs += [(1000, "long " * 40_000, "c", "en", "s9")]
     for share, epochs, digits in ((0.5, 2, 4), (1.7, 3, 1), (9.0, 2, 4), (0.01, 1, 4), (0.0, 1, 4)):
-        mixing.BUCKET_DIGITS = digits
+        monkeypatch.setattr(mixing, "BUCKET_DIGITS", digits)
         got = sorted((tuple(r) for r in mixing.mix(table(spark, docs), TREE, share, epochs, 3).collect()), key=str)
         assert got == brute(docs, share, epochs, 3), (share, epochs)
 
