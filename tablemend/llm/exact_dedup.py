@@ -6,9 +6,10 @@ has no other member, or when its text has ended, for what still shares its group
 it byte by byte; no digest takes part.  The digits grow eightfold, so a text of n bytes takes about
 log8(n) rounds, and after the first round only documents with company are left.
 
-A group's count and smallest ids are aggregates with map-side combining, joined back to the rows;
-the join is an ordinary one, so adaptive execution splits a group that holds a third of all rows.
-Each round is written to the shared folder.
+A group's count and smallest ids are aggregates with map-side combining.  They are written to the
+shared folder and then joined back to the rows by a merge join at every size, in a stage of its
+own, so that adaptive execution can split a group that holds a third of all rows.  Each round's rows
+are written there too.
 """
 
 from __future__ import annotations
@@ -25,10 +26,6 @@ FIRST_DIGIT = 32
 GROWTH = 8
 
 
-def _digit(start: int, size: int):
-    return F.substring("_body", start + 1, size)
-
-
 def group_equal(docs: DataFrame, first: int = FIRST_DIGIT, growth: int = GROWTH) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -40,8 +37,8 @@ def group_equal(docs: DataFrame, first: int = FIRST_DIGIT, growth: int = GROWTH)
     body = normalised(F.col("text")).cast("binary")
     rows = docs.select(F.col("doc_id").alias("_doc"), body.alias("_body"))
     rows = rows.select("_doc", "_body", F.length("_body").alias("_n"), F.substring("_body", 1, first).alias("_head"))
-    sizes = rows.groupBy("_n", "_head").agg(F.count(F.lit(1)).alias("_size"))
-    met = rows.join(sizes, ["_n", "_head"]).select(
+    sizes = cut_lineage(rows.groupBy("_n", "_head").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1"))
+    met = rows.join(sizes.hint("merge"), ["_n", "_head"], "left").withColumn("_size", F.coalesce("_size", F.lit(1).cast("long"))).select(
         "_doc", F.sha2("_body", 256).alias("_sha"), "_n", "_head", "_size", F.when(F.col("_size") > 1, F.substring("_body", first + 1, 2**31 - 1 - first)).alias("_body")
     )
     met = cut_lineage(met.withColumn("_row", F.monotonically_increasing_id()))
@@ -49,11 +46,11 @@ def group_equal(docs: DataFrame, first: int = FIRST_DIGIT, growth: int = GROWTH)
     left, within, at, size = met.where("_size > 1").drop("_size"), ["_n", "_head"], first, first * growth
     while True:
         # Start of the text that is left is at byte ``at``; a digit behind its end is empty.
-        keyed = left.withColumn("_digit", _digit(0, size))
+        keyed = left.withColumn("_digit", F.substring("_body", 1, size))
         order = F.struct(F.col("_doc").isNull(), F.col("_doc").alias("doc"), F.col("_row").alias("row"))
         groups = keyed.groupBy(*within, "_digit").agg(F.count(F.lit(1)).alias("_size"), F.min(order).alias("_first"))
-        groups = groups.select(*within, "_digit", "_size", F.col("_first.doc").alias("_keep"), F.col("_first.row").alias("_group_next"))
-        split = keyed.join(groups, [*within, "_digit"]).select(
+        groups = cut_lineage(groups.select(*within, "_digit", "_size", F.col("_first.doc").alias("_keep"), F.col("_first.row").alias("_group_next")))
+        split = keyed.join(groups.hint("merge"), [*within, "_digit"]).select(
             "_doc", "_sha", "_n", "_row", "_size", "_keep", "_group_next", F.substring("_body", size + 1, 2**31 - 1 - size).alias("_body")
         )
         split = cut_lineage(split)
