@@ -81,3 +81,37 @@ def test_keys_differ_and_plans_stay_native(spark):
     assert a != b and a == pii.pseudonymise(df, "a").first().text
     plan = pii.pseudonymise(df, "a")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_values_inside_what_fails(spark):
+    """A number or capitals beside a value, and another value inside a match that fails validation."""
+    want = {
+        "card 4111 1111 1111 1111 123": ("card", "4111 1111 1111 1111"),
+        "212-555-1234 10001": ("phone", "212-555-1234"),
+        "BE71 0961 2345 6769 EUR 100": ("iban", "BE71 0961 2345 6769"),
+        "no 12 4111 1111 1111 1111": ("card", "4111 1111 1111 1111"),
+        "123 5678 9 4111 1111 1111 1111": ("card", "4111 1111 1111 1111"),
+        "BE72 4111 1111 1111 1111": ("card", "4111 1111 1111 1111"),
+        "12 John@b.org": ("email", "John@b.org"),
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(want)], "doc_id long, text string")
+    for key in ("a", "b", "c"):
+        new = pii.pseudonymise(df, key).localCheckpoint()
+        back = {r.doc_id: r.text for r in pii.restore(new, key).collect()}
+        for r in new.collect():
+            text = list(want)[r.doc_id]
+            kind, value = want[text]
+            assert (r.n_found, r[f"n_{kind}"]) == (1, 1) and value not in r.text, (text, r)
+            before, after = text.split(value)
+            assert r.text.startswith(before) and r.text.endswith(after) and len(r.text) == len(text)
+            assert back[r.doc_id] == text
+
+
+def test_crowded_numbers_come_back(spark):
+    rng = random.Random(5)
+    parts = lambda: rng.choice([card(rng), str(rng.randrange(10 ** rng.randrange(1, 6))), "212-555-1234", "10.1.2.3", "2020-01-31", "123-45-6789", "BE71 0961 2345 6769", "EUR", "a@b.org", "+49 30 1234567"])
+    rows = [(i, rng.choice([" ", "-"]).join(parts() for _ in range(rng.randrange(2, 7)))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    new = pii.pseudonymise(df, "k").localCheckpoint()
+    assert {r.doc_id: r.text for r in pii.restore(new, "k").collect()} == dict(rows)
+    assert [r.doc_id for r in new.collect() if r.n_found] and sum(r.text != dict(rows)[r.doc_id] for r in new.collect()) > 200
