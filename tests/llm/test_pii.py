@@ -33,7 +33,7 @@ def test_each_kind(spark):
         "ip": [".".join(str(rng.randrange(256)) for _ in range(4)) for _ in range(30)],
         "ssn": [f"{rng.choice([1, 665, 667, 899]):03}-{rng.randrange(1, 100):02}-{rng.randrange(1, 10000):04}" for _ in range(30)],
         "phone": ["+1 (743) 555-3824", "(212) 555-0001", "212-555-0001", "+1 212.555.0001"],
-        "intl_phone": ["+49 30 1234567", "+44 20 7946 0958", "+33 1 42 68 53 00"][:2],
+        "intl_phone": ["+49 30 1234567", "+44 20 7946 0958", "+33 1 42 68 53 00", "+7 495 123-45-67", "+81 3 1234 5678", "+49 (0)30 123456", "+44 (0) 20 7946 0958", "+49 30/123456"],
         "email": ["thion.52@mail1.example.com", "A@b.org", "x_y+z@example.co.uk"],
         "iban": ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR1420041010050500013M02606"],
     }
@@ -115,3 +115,10 @@ def test_crowded_numbers_come_back(spark):
     new = pii.pseudonymise(df, "k").localCheckpoint()
     assert {r.doc_id: r.text for r in pii.restore(new, "k").collect()} == dict(rows)
     assert [r.doc_id for r in new.collect() if r.n_found] and sum(r.text != dict(rows)[r.doc_id] for r in new.collect()) > 200
+
+
+def test_phone_then_card(spark):
+    df = spark.createDataFrame([(1, "+49 30 1234567 4111 1111 1111 1111"), (2, "+12 345"), (3, "+1234567890123456")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(df, "k").collect()}
+    assert (got[1].n_found, got[1].n_intl_phone, got[1].n_card) == (2, 1, 1)
+    assert not got[2].n_found and not got[3].n_intl_phone
