@@ -1,13 +1,14 @@
 """The corpus pipeline: five stages, each over all that the one before kept.
 
 ``run`` applies them to ``documents``.  Every stage takes (spark, docs, sf_dir) and all but the last
-return the columns of ``docs``.  A document is its doc_id: rows that share one stay or go together.
-Rows without doc_id count as one document.
+return the columns of ``docs``.  A document is a row: rows that share a doc_id, or have none, are
+judged one by one.  Of copies the smallest doc_id stays, a missing one only if there is no other, and of
+rows with the same doc_id one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemend.llm import bpe, language_id, mixing, ngram_join
@@ -18,29 +19,47 @@ from tablemend.session import cut_lineage, scratch_path
 MIN_HIT_SHARE = 0.1  # of a text's n-grams that its language must contain
 
 
-def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """``docs`` without those of whose rows in ``judged`` (doc_id, kept) none is kept.  The list of
+def _order() -> Column:
+    """Which of copies stays: the first in this order."""
+    return F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id"), F.col("_row"))
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number ``_row`` for each row, written so that every reader sees the same ones."""
+    return cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Numbered ``docs`` without the rows in ``gone`` (_row), and without the numbers.  The list of
     those is written first, so that the planner knows its size when it picks the join."""
-    gone = cut_lineage(judged.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias("_gone")))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(cut_lineage(gone.select(F.col("_row").alias("_gone"))), F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those whose n-grams are of no learned language."""
-    found = language_id.identify(docs, language_id.learn(docs))
+    rows = _numbered(docs)
+    found = language_id.identify(rows.select(F.col("_row").alias("doc_id"), "text"), language_id.learn(docs))
     good = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("hit_share") >= MIN_HIT_SHARE)
-    return _without(docs, found.select("doc_id", good.alias("kept")))
+    return _without(rows, found.where(~good).select(F.col("doc_id").alias("_row")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the smallest doc_id stays."""
-    return _without(docs, group_equal(docs))
+    """Of equal texts the row with the smallest doc_id stays."""
+    rows = _numbered(docs)
+    found = group_equal(rows.select(_order().alias("doc_id"), "text"))
+    return _without(rows, found.where("not kept").select("doc_id._row"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (3-word shingles, 0.9) the one with the smallest doc_id stays."""
-    found = ngram_join.join_similar(docs)
-    return _without(docs, found.select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
+    """Of each group of near duplicates (3-word shingles, 0.9) the row with the smallest doc_id stays."""
+    rows = _numbered(docs)
+    found = ngram_join.join_similar(rows.select(F.col("_row").alias("doc_id"), "text"))
+    found = cut_lineage(found.select(F.col("doc_id").alias("_row"), "component_id").where("_row <> component_id"))
+    # Rows that are not alone: those found, and their components' first rows.
+    members = found.union(found.select(F.col("component_id").alias("_row"), "component_id").distinct())
+    members = cut_lineage(members.join(rows.select("_row", "doc_id"), "_row").select("_row", "component_id", _order().alias("_order")))
+    stays = members.groupBy("component_id").agg(F.min("_order").alias("_first")).select(F.col("_first._row").alias("_row"))
+    return _without(rows, members.join(stays, "_row", "left_anti"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,3 +49,16 @@ def test_odd_rows(spark, tmp_path):
             stage(spark, rows, "").write.parquet(path)
             rows = spark.read.parquet(path)
         assert set(ids(rows)) <= {2, 3}
+
+
+def test_rows_are_judged_one_by_one(spark):
+    text, other = ("the cat sat on the %s mat and looked at the dog " % k * 40 for k in ("red", "blue"))
+    near = text + "again"
+    rows = [(1, text), (1, text), (2, text), (None, text), (None, other), (None, other), (None, "12 34"), (5, near), (5, near), (4, near)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = lambda stage, df: sorted(((r.doc_id, r.text) for r in stage(spark, df, "").collect()), key=str)
+    assert left(P.language, docs) == sorted((r for r in rows if r[1] != "12 34"), key=str)
+    assert left(P.exact, docs) == sorted([(1, text), (None, other), (None, "12 34"), (4, near)], key=str)
+    assert left(P.near, docs.where("text like '%red%'")) == [(1, text)]
+    backwards = spark.createDataFrame([(d, near, "en", "s", 1) for d in (9, 3, 3, None)], docs.schema).coalesce(1)
+    assert left(P.near, backwards) == [(3, near)]
