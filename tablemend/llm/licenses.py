@@ -40,6 +40,18 @@ TEMPLATES = {
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
 }
 
+#: Phrases that tell a template from its siblings: each must stand in the text without a gap.
+NAMED = {
+    "MIT notice": ["MIT"],
+    "Apache-2.0": ["Apache", "2.0"],
+    "Apache-2.0 notice": ["Apache", "2.0"],
+    "GPL-3.0": ["GNU General Public License", "version 3"],
+    "GPL-3.0 notice": ["GNU General Public License", "3"],
+    "MPL-2.0": ["Mozilla", "2.0"],
+    "CC-BY-4.0": ["Attribution 4.0"],
+    "CC-BY-NC-4.0 notice": ["BY-NC", "4.0"],
+}
+
 
 def _longest_increasing(values: Sequence[int]) -> list[int]:
     """Indexes of a longest increasing subsequence, by patience sorting."""
@@ -106,8 +118,20 @@ def align(text: Sequence, template: Sequence) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
-def _hits(codes: np.ndarray, template: list[int], least: float) -> list[tuple[int, int, int]]:
-    """(start, end, words aligned) of each place in a text where enough of the template is found."""
+def _places(phrase: list[int], template: list[int]) -> list[range]:
+    """Where the phrase stands in the template."""
+    n = len(phrase)
+    return [range(i, i + n) for i in range(len(template) - n + 1) if template[i : i + n] == phrase]
+
+
+def _is_named(pairs: list[tuple[int, int]], named: list[list[range]]) -> bool:
+    at = {t: s for s, t in pairs}
+    return all(any(all(t in at and at[t] - at[r[0]] == t - r[0] for t in r) if r[0] in at else False for r in places) for places in named)
+
+
+def _hits(codes: np.ndarray, template: list[int], least: float, named: list[list[range]]) -> list[tuple[int, int, int, frozenset[int]]]:
+    """(start, end, words aligned, their places) of each place in a text where enough of the template
+    is found, with all that names it."""
     m = len(template)
     need, size = int(np.ceil(least * m - 1e-9)), 2 * m
     often = Counter(template)
@@ -121,22 +145,24 @@ def _hits(codes: np.ndarray, template: list[int], least: float) -> list[tuple[in
         if sum(min(n, here[w]) for w, n in often.items()) < need:
             continue
         pairs = align(part, template)
-        if len(pairs) >= need:
-            found.append((-len(pairs), pairs[-1][0] - pairs[0][0], int(s) + pairs[0][0], int(s) + pairs[-1][0] + 1))
-    out: list[tuple[int, int, int]] = []
-    for n, _, s, e in sorted(found):  # most words first, then the tightest; no two overlap
-        if all(e <= a or s >= b for a, b, _ in out):
-            out.append((s, e, -n))
-    return sorted(out)
+        if len(pairs) >= need and _is_named(pairs, named):
+            found.append((-len(pairs), pairs[-1][0] - pairs[0][0], int(s) + pairs[0][0], int(s) + pairs[-1][0] + 1, frozenset(int(s) + a for a, _ in pairs)))
+    out: list[tuple[int, int, int, frozenset[int]]] = []
+    for n, _, s, e, used in sorted(found, key=lambda f: f[:4]):  # most words first, then the tightest; no two overlap
+        if all(e <= a or s >= b for a, b, _, _ in out):
+            out.append((s, e, -n, used))
+    return sorted(out, key=lambda f: f[:3])
 
 
-def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
+def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float = LEAST, named: Mapping[str, Sequence[str]] = NAMED) -> DataFrame:
     """One row per place in ``docs`` (doc_id, text) where a template is covered by ``least`` or more:
     doc_id, license, start and end (in words of the text), n_matched, coverage.
 
     Words are compared in lower case (A-Z), without punctuation around them; what is only punctuation is
     not a word here, but counts in start and end.  Missing and empty texts have no hits; repeated rows
     repeat theirs.  Places of one template do not overlap; of overlapping ones the best covered stays.
+    Of places of several templates that share words the best covered stays, then the one with most
+    words.  A place needs each phrase of ``named`` that stands in its template.
     Other columns are not looked at.
     """
 
@@ -148,6 +174,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float
     written = [words_of(templates[k]) for k in names]
     number = {w: k for k, w in enumerate(sorted({w for t in written for w in t}))}
     coded = [[number[w] for w in t] for t in written]
+    asked = [[found for p in named.get(k, ()) if (found := _places([number.get(w, -1) for w in words_of(p)], t))] for k, t in zip(names, coded, strict=True)]
     weight = np.zeros((len(number), len(names)), np.int64)
     for k, t in enumerate(coded):
         np.add.at(weight, (t, k), 1)
@@ -167,11 +194,16 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float
             np.add.at(sums, pairs // len(number), weight[pairs % len(number)])
             ends = np.cumsum(counts)
             out = []
-            for r, k in zip(*np.nonzero(sums >= needed), strict=True):
+            enough = sums >= needed
+            for r in np.flatnonzero(enough.any(axis=1)):
                 text = codes[ends[r] - counts[r] : ends[r]]
                 place = np.flatnonzero(text != -2)  # without mere punctuation
-                for start, end, n in _hits(text[place], coded[k], least):
-                    out.append((int(r), names[k], int(place[start]), int(place[end - 1]) + 1, n, n / len(coded[k])))
+                hits = [(-h[2] / len(coded[k]), -h[2], int(k), *h) for k in np.flatnonzero(enough[r]) for h in _hits(text[place], coded[k], least, asked[k])]
+                taken: set[int] = set()
+                for cover, _, k, start, end, n, used in sorted(hits, key=lambda h: h[:5]):
+                    if taken.isdisjoint(used):
+                        taken |= used
+                        out.append((int(r), names[k], int(place[start]), int(place[end - 1]) + 1, n, -cover))
             if out:
                 rows, *rest = (list(c) for c in zip(*out, strict=True))
                 types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]

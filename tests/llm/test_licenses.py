@@ -75,3 +75,24 @@ def test_lines_of_the_corpus(spark, sf):
     want = {(r.doc_id, k) for r in docs.collect() for k, v in lines.items() if re.search(re.escape(v), r.text, re.I)}
     got = {(r.doc_id, r.license) for r in L.scan(docs).where("coverage = 1").collect()}
     assert want and want <= got
+
+
+def test_sibling_licenses_are_not_reported(spark):
+    gpl = L.TEMPLATES["GPL-3.0"]
+    texts = {
+        "Released under the BSD License.": [],
+        "Licensed under CC BY 4.0.": [],
+        "Licensed under CC BY-SA 4.0.": [],
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": [],
+        "Licensed under the Apache License, Version 1.1.": [],
+        gpl.replace("version 3", "version 2"): [],
+        gpl.replace("GNU General", "GNU Lesser General"): [],
+        gpl.replace("GNU General", "GNU Affero General"): [],
+        "This work is licensed under the GNU General Public License, version 2.": [],
+        gpl: ["GPL-3.0"],
+        L.TEMPLATES["Apache-2.0"]: ["Apache-2.0"],
+        "Licensed under the Apache License, Version 2.0. Released under the MIT License.": ["Apache-2.0 notice", "MIT notice"],
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = [(r.doc_id, r.license) for r in L.scan(df).collect()]
+    assert sorted(got) == [(i, k) for i, ks in enumerate(texts.values()) for k in ks]
