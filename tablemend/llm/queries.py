@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemend.llm import ann, bpe, language_id, mixing, pii, token_files
+from tablemend.llm import ann, bpe, language_id, mixing, periodic_runs, pii, token_files
 from tablemend.llm.exact_dedup import group_equal
 from tablemend.llm.licenses import scan
 from tablemend.llm.ngram_join import join_similar
@@ -78,7 +78,32 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir), TREE, SHARE, EPOCHS, SEED)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_ngram_join, op4_language_id, op5_exact_dedup, op6_license_scan, op7_pii, op8_token_files, op9_nearest, op10_mixing)}
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """``docs`` with the text of one document in ten made periodic from a word on, as crc32(doc_id) says."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.filter(F.split("text", r"[ \t-\r]+", -1), lambda w: w != ""))
+    rows = docs.select("doc_id", "text", words.alias("_words"), F.floor(h / 10).alias("_g"))
+    rows = rows.withColumn("_n", F.when(F.size("_words") > 0, F.size("_words")))
+    rows = rows.withColumn("_at", (F.col("_g") % F.col("_n")).cast("int"))
+    rows = rows.withColumn("_period", (1 + F.floor((F.col("_n") - F.col("_at")) / (3 + F.col("_g") % 8))).cast("int"))
+    rest = F.col("_n") - F.col("_at")
+    again = F.flatten(F.array_repeat(F.slice("_words", F.col("_at") + 1, F.col("_period")), F.ceil(rest / F.col("_period")).cast("int")))
+    periodic = F.concat_ws(" ", F.concat(F.slice("_words", 1, F.col("_at")), F.slice(again, 1, rest)))
+    return rows.select("doc_id", F.when(F.col("_n").isNotNull(), periodic).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(_with_periods(_documents(spark, sf_dir)))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("_best", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("_best.start")).alias("start"), F.col("_best.length").alias("length"), (-F.col("_best.period")).alias("period"),
+        F.floor(1000 * F.col("_best.length") / -F.col("_best.period")).alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_ngram_join, op4_language_id, op5_exact_dedup, op6_license_scan, op7_pii, op8_token_files, op9_nearest, op10_mixing, op13_periodic_runs)}
 
 def _divided(node: str, parents: list[str], above: str) -> str:
     """SQL for one level of the budget: (parents, node, got) from (parents, given) in ``above``."""

@@ -156,3 +156,25 @@ def word_pattern() -> str:
 def normalised(text: Column) -> Column:
     """Each run of 0x20 and 0x09-0x0D as one space; a missing text as an empty one."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t-\r]+", " ")
+
+
+def joined(words: pa.Array, counts: np.ndarray, kept: np.ndarray) -> pa.Array:
+    """The text of each document: those of its words that are ``kept``, one space between them."""
+    n = len(words)
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[: n + 1]
+    letters = np.frombuffer(words.buffers()[2], np.uint8)[: offsets[-1]] if n else np.zeros(0, np.uint8)
+    sizes = np.where(kept, np.diff(offsets), 0)
+    ends = np.cumsum(counts)
+    each = np.cumsum(kept)
+    total = np.append(0, each)[ends]  # words kept up to each document's end
+    last = np.zeros(n, bool)  # the last kept word of a document has no space behind it
+    has = np.diff(total, prepend=0) > 0
+    last[np.searchsorted(each, total[has])] = True
+    spaced = sizes + (kept & ~last)
+    out = np.full(int(spaced.sum()), 32, np.uint8)
+    begin = np.cumsum(spaced) - spaced
+    if len(out):
+        flat = letters[np.repeat(kept, np.diff(offsets))]
+        out[np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(flat))] = flat
+    at = np.append(0, np.append(0, np.cumsum(spaced))[ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(counts), [None, pa.py_buffer(at), pa.py_buffer(out)])
