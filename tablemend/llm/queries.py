@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemend.llm import ann, bpe, language_id, mixing, periodic_runs, pii, token_files
+from tablemend.llm import ann, bpe, language_id, mixing, periodic_runs, pii, token_files, warc
 from tablemend.llm.exact_dedup import group_equal
 from tablemend.llm.licenses import scan
 from tablemend.llm.ngram_join import join_similar
@@ -78,6 +78,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir), TREE, SHARE, EPOCHS, SEED)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark)
+    warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    records = warc.resolved(warc.read_records(warc.written(spark, path), with_payload=False))
+    return records.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), "problem")
+
+
 def _with_periods(docs: DataFrame) -> DataFrame:
     """``docs`` with the text of one document in ten made periodic from a word on, as crc32(doc_id) says."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -103,7 +110,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_ngram_join, op4_language_id, op5_exact_dedup, op6_license_scan, op7_pii, op8_token_files, op9_nearest, op10_mixing, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_ngram_join, op4_language_id, op5_exact_dedup, op6_license_scan, op7_pii, op8_token_files, op9_nearest, op10_mixing, op11_warc, op13_periodic_runs)}
 
 def _divided(node: str, parents: list[str], above: str) -> str:
     """SQL for one level of the budget: (parents, node, got) from (parents, given) in ``above``."""
@@ -134,6 +141,15 @@ ORACLES: dict[str, str] = {
         FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[ \t-\r]+', ' ', 'g') AS body FROM documents)
         WINDOW w AS (PARTITION BY body)
     """,
+    "op11_warc": """
+        SELECT page_id, strlen(body) AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + ((('0x' || substr(hex, 10 * (i // 8) + 1, 10))::BIGINT >> (35 - 5 * (i % 8))::INT) & 31)::INT, 1)), '') AS payload_digest,
+               CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id < last THEN last END AS refers_to, CAST(NULL AS VARCHAR) AS problem
+        FROM (SELECT page_id, body, sha1(body) AS hex, max(page_id) OVER (PARTITION BY body) AS last
+              FROM (SELECT page_id, coalesce(html, '') AS body FROM pages))
+    """,
     "op10_mixing": rf"""
         WITH leaves AS (
             SELECT doc_id, coalesce('domain' || (try_cast(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS INT) % 3), '') AS domain,
