@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemend.llm import ann, bpe, language_id, mixing, periodic_runs, pii, token_files, warc
+from tablemend.llm import alignment, ann, bpe, language_id, mixing, periodic_runs, pii, token_files, warc
 from tablemend.llm.exact_dedup import group_equal
 from tablemend.llm.licenses import scan
 from tablemend.llm.ngram_join import join_similar
@@ -85,6 +85,13 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), "problem")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = alignment.posting_blocks(_documents(spark, sf_dir), alignment.public_models())
+    digests = F.transform("groups", lambda g: F.when(g != "", F.sha2(g.cast("binary"), 256)).otherwise(""))
+    out = alignment.scored(blocks.withColumn("groups", digests))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 def _with_periods(docs: DataFrame) -> DataFrame:
     """``docs`` with the text of one document in ten made periodic from a word on, as crc32(doc_id) says."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -110,7 +117,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_ngram_join, op4_language_id, op5_exact_dedup, op6_license_scan, op7_pii, op8_token_files, op9_nearest, op10_mixing, op11_warc, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_ngram_join, op4_language_id, op5_exact_dedup, op6_license_scan, op7_pii, op8_token_files, op9_nearest, op10_mixing, op11_warc, op12_alignment, op13_periodic_runs)}
 
 def _divided(node: str, parents: list[str], above: str) -> str:
     """SQL for one level of the budget: (parents, node, got) from (parents, given) in ``above``."""
