@@ -1,7 +1,9 @@
 """Cross-tokenizer alignment: which tokens of one tokenizer stand for which of another, and in how many documents.
 
 Both tokenizers cover the same bytes of a text.  Offsets where a token of each ends cut the tokens into
-groups; every pair of a group is a link.  Links are inverted per block of documents: a pair of ids gets a
+groups; every pair of a group is a link.  No group crosses a single space between other characters, so a text's groups
+are those of its stretches between such spaces, and a block of documents has each distinct stretch
+tokenized once.  Links are inverted per block of documents: a pair of ids gets a
 compressed bitmap of the block's documents that hold it linked (a list of places, or bits where more than one
 document in 16 holds it), and a document with several links of the pair is also in the planes of
 a binary counter, bitmaps of the same kind.  The bitmaps of a block are the OR of those of its texts' pieces.
@@ -13,6 +15,7 @@ plane, hand them to the documents.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +31,12 @@ from tablemend.session import cut_lineage
 BLOCK_BYTES = 4 << 20  # of text whose postings are one row
 SLICE_BYTES = 1 << 18  # of text whose tokens are Python objects at once
 BLOCK_DOCS = 1 << 16  # places within a block have 16 bits
+RUN_BYTES = 1 << 12  # of stretches encoded side by side
 LINKS_AT_ONCE = 1 << 20
 _BITS = 20  # of an id within a pair's code
 _DENSE = 16  # bits are shorter than a list from one document in so many
 _CUT = regex.compile(r"(?<=\S) (?=\S)")
+_OTHER = regex.compile(r"^ | $|\s | \s")  # a space that is no cut
 _loaded: dict = {}
 
 
@@ -83,19 +88,58 @@ class Tokenizers:
         most = max(len(self.a_bytes.sizes), len(self.b_bytes.sizes))
         self.decimal = _Vocabulary([b"%d," % i for i in range(most)])
 
-    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def ids(self, texts: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
         """Ids and number of ids per text, of space + text by A and of text by B (which adds the space)."""
         a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
-        return *_flat(a), *_flat(b)
+        return _flat(a), _flat(self.b.encode(texts, num_threads=1))
+
+    def ids_of_stretches(self, own: list[str], sizes: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """:meth:`ids` of stretches, ``sizes`` bytes long with their space.  They are encoded side by side in
+        one text, which gives the same ids; where those do not spell the text, each by itself."""
+        runs = np.flatnonzero(np.diff(np.cumsum(sizes) // RUN_BYTES, prepend=-1))
+        ends = np.append(runs[1:], len(own))
+        texts = [" ".join(own[s:e]) for s, e in zip(runs.tolist(), ends.tolist(), strict=True)]
+        good, found = self.spells(texts, self.ids(texts), np.add.reduceat(sizes, runs))
+        bad = np.flatnonzero(~good)
+        alone = self.ids([t for k in bad.tolist() for t in own[runs[k] : ends[k]]]) if len(bad) else None
+        is_alone = np.repeat(~good, ends - runs)
+        edges = np.cumsum(sizes[~is_alone])
+        out = []
+        for side, vocabulary in enumerate((self.a_bytes, self.b_bytes)):
+            ids = found[side][0][np.repeat(good, found[side][1])]
+            counts = np.zeros(len(own), np.int64)
+            counts[~is_alone] = np.diff(np.searchsorted(np.cumsum(vocabulary.sizes[ids]), edges, "right"), prepend=0)
+            if alone is not None:
+                counts[is_alone] = alone[side][1]
+                of_alone = np.repeat(is_alone, counts)
+                mixed = np.empty(len(of_alone), np.int64)
+                mixed[of_alone], mixed[~of_alone] = alone[side][0], ids
+                ids = mixed
+            out.append((ids, counts))
+        return tuple(out)
+
+    def spells(self, texts: list[str], found: tuple, sizes: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """Which of the texts the tokens of both spell as space + text; and ``found`` itself."""
+        want = np.frombuffer((" " + " ".join(texts)).encode("utf-8", "surrogatepass"), np.uint8)
+        starts = np.append(0, np.cumsum(sizes))
+        fits = np.ones(len(texts), bool)
+        for (ids, n), vocabulary in zip(found, (self.a_bytes, self.b_bytes), strict=True):
+            edges = np.append(0, np.cumsum(vocabulary.sizes[ids]))[np.append(0, np.cumsum(n))]
+            fits &= np.diff(edges) == sizes
+            spelled = vocabulary.spelled(ids)
+            left = np.flatnonzero(fits)
+            same = spelled[_ranges(edges[left], sizes[left])] == want[_ranges(starts[left], sizes[left])]
+            fits[left] = np.logical_and.reduceat(same, np.cumsum(sizes[left]) - sizes[left]) if len(left) else True
+        return fits, found
 
 
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.concatenate([np.array(x, np.int64) for x in lists]) if len(lists) else np.zeros(0, np.int64), sizes
+    return np.fromiter((i for x in lists for i in x), np.int64, int(sizes.sum())), sizes
 
 
 def tokenizers(models: tuple[str, bytes]) -> Tokenizers:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one of many on its machine
     key = hash(models)
     if key not in _loaded:
         _loaded.clear()
@@ -103,35 +147,20 @@ def tokenizers(models: tuple[str, bytes]) -> Tokenizers:
     return _loaded[key]
 
 
-def segments(text: str, size: int = SLICE_BYTES) -> Iterator[str]:
-    """``text`` cut at single spaces between other characters, which are left out, at the first such place behind
-    ``size`` characters.  Space + text is the same as space + segment for all of them, and neither
-    tokenizer has a token that crosses such a place: A's pattern starts a match there, and B's pieces hold
-    the space sign at their front only, or nothing else."""
-    at = 0
-    while len(text) - at > size:
-        cut = _CUT.search(text, at + size)
-        if cut is None:
-            break
-        yield text[at : cut.start()]
-        at = cut.end()
-    yield text[at:]
+def stretches(text: str) -> list[str]:
+    """``text`` cut at single spaces between other characters, which are left out.  Space + text is the same as space +
+    stretch for all of them, and neither tokenizer has a token that crosses such a place: A's pattern
+    starts a match there, and B's pieces hold the space sign at their front only, or nothing else."""
+    return _CUT.split(text) if _OTHER.search(text) else text.split(" ")
 
 
 class _Aligned:
-    """The groups and links of some texts that are held at once."""
+    """The groups and links of some stretches that are held at once."""
 
     def __init__(self, by: Tokenizers, texts: list[str]):
-        a, n_a, b, n_b = by.ids(texts)
-        want = [(" " + t).encode("utf-8", "surrogatepass") for t in texts]
-        size = np.array([len(w) for w in want], np.int64)
-        self.fits = np.ones(len(texts), bool)
-        for ids, n, vocabulary in ((a, n_a, by.a_bytes), (b, n_b, by.b_bytes)):
-            edges = np.append(0, np.cumsum(vocabulary.sizes[ids]))[np.append(0, np.cumsum(n))]
-            self.fits &= np.diff(edges) == size
-            spelled = vocabulary.spelled(ids)
-            for k in np.flatnonzero(self.fits):
-                self.fits[k] = spelled[edges[k] : edges[k + 1]].tobytes() == want[k]
+        size = np.array([len(t.encode("utf-8", "surrogatepass")) + 1 for t in texts], np.int64)
+        found = by.ids_of_stretches(texts, size)
+        self.fits, ((a, n_a), (b, n_b)) = by.spells(texts, found, size)
         a, b = a[np.repeat(self.fits, n_a)], b[np.repeat(self.fits, n_b)]
         self.n_a, self.n_b = np.where(self.fits, n_a, 0), np.where(self.fits, n_b, 0)
         a_end, b_end = np.cumsum(by.a_bytes.sizes[a]), np.cumsum(by.b_bytes.sizes[b])
@@ -160,37 +189,36 @@ class _Aligned:
         flat, edges = text.tobytes(), stops[np.append(0, np.cumsum(self.n_a + self.n_b))].tolist()
         return [flat[s : max(s, e - 1)] for s, e in zip(edges[:-1], edges[1:], strict=True)]
 
-    def links(self, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(pair and place, number of links) of all groups, some at a time; ``places`` are those of the texts."""
-        times = self.in_a * self.in_b
+    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pairs' codes, numbers of links, number of pairs per text), text by text."""
+        keys, counts, times = [], [], self.in_a * self.in_b
         cuts = np.flatnonzero(np.diff(np.cumsum(times) // LINKS_AT_ONCE)) + 1
         for part in np.split(np.arange(len(times)), cuts):
             if len(part) == 1 and times[part[0]] > LINKS_AT_ONCE:
-                yield self._large(int(part[0]), places)
-                continue
-            n_a, n_b = self.in_a[part], self.in_b[part]
-            of_a = _ranges(self.a_stop[part] - n_a, n_a)
-            by_a = np.repeat(n_b, n_a)  # links of each of these A tokens
-            a = np.repeat(self.a[of_a], by_a)
-            b = self.b[_ranges(np.repeat(self.b_stop[part] - n_b, n_a), by_a)]
-            yield np.unique(_keys(a, b, np.repeat(places[self.group_text[part]], n_a * n_b)), return_counts=True)
-
-    def _large(self, group: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                found = self._large(int(part[0]))
+            else:
+                n_a, n_b = self.in_a[part], self.in_b[part]
+                a = _ranges(self.a_stop[part] - n_a, n_a)
+                by_a = np.repeat(n_b, n_a)  # links of each of these A tokens
+                b = _ranges(np.repeat(self.b_stop[part] - n_b, n_a), by_a)
+                text = np.repeat(self.group_text[part], n_a * n_b)
+                found = np.unique(text << 2 * _BITS | np.repeat(self.a[a], by_a) << _BITS | self.b[b], return_counts=True)
+            keys.append(found[0])
+            counts.append(found[1])
+        keys, counts = added(keys, counts)
+        return keys & ((1 << 2 * _BITS) - 1), counts, np.bincount(keys >> 2 * _BITS, minlength=len(self.fits))
+
+    def _large(self, group: int) -> tuple[np.ndarray, np.ndarray]:
         """A single group with very many links: distinct ids first."""
         a, m = np.unique(self.a[self.a_stop[group] - self.in_a[group] : self.a_stop[group]], return_counts=True)
         b, n = np.unique(self.b[self.b_stop[group] - self.in_b[group] : self.b_stop[group]], return_counts=True)
-        place = places[self.group_text[group]]
-        return _keys(np.repeat(a, len(b)), np.tile(b, len(a)), np.full(len(a) * len(b), place)), np.outer(m, n).ravel()
-
-
-def _keys(a: np.ndarray, b: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return ((a << _BITS | b) << 16 | place).astype(np.uint64)
+        return (self.group_text[group] << 2 * _BITS | np.repeat(a, len(b)) << _BITS | np.tile(b, len(a))), np.outer(m, n).ravel()
 
 
 def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Each key once, in order, with its counts added up."""
     if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     every, times = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(every, kind="stable")
     every, times = every[order], times[order]
@@ -237,55 +265,54 @@ class _Block:
 
     def __init__(self) -> None:
         self.ids: list = []
-        self.numbers: list[np.ndarray] = []  # n_a, n_b, n_groups, n_links of each document
-        self.groups: list[bytes] = []
-        self.keys: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
+        self.known: dict[str, int] = {}  # number of each stretch
+        self.docs: list[np.ndarray] = []  # stretches of each document
         self.bytes = 0
 
-    def take(self, by: Tokenizers, doc_ids: list, texts: list[str | None]) -> None:
-        parts = [(k, s) for k, t in enumerate(texts) if t for s in segments(t)]
-        numbers, fits = np.zeros((len(texts), 4), np.int64), np.array([bool(t) for t in texts])
-        groups: list[list[bytes]] = [[] for _ in texts]
-        first, keys, counts = len(self.ids), [], []
-        for some in _some(parts):
-            of = np.array([k for k, _ in some], np.int64)
-            aligned = _Aligned(by, [s for _, s in some])
-            np.logical_and.at(fits, of, aligned.fits)
-            np.add.at(numbers, of, np.stack([aligned.n_a, aligned.n_b, aligned.n_groups, aligned.n_links], axis=1))
-            for k, g in zip(of.tolist(), aligned.written(by), strict=True):
-                groups[k].append(g)
-            for key, count in aligned.links(of + first):
-                keys.append(key)
-                counts.append(count)
-        key, count = added(keys, counts)
-        good = np.append(np.zeros(first, bool), fits)[(key & np.uint64(0xFFFF)).astype(np.int64)]
-        self.keys.append(key[good])
-        self.counts.append(count[good])
-        self.numbers.append(numbers * fits[:, None])
-        self.groups += [b";".join(g) if f else b"" for g, f in zip(groups, fits, strict=True)]
+    def take(self, doc_ids: list, texts: list[str | None]) -> None:
+        known = self.known
+        for text in texts:
+            self.docs.append(np.array([known.setdefault(s, len(known)) for s in stretches(text)], np.int64) if text else np.zeros(0, np.int64))
+            self.bytes += len(text or "")
         self.ids += doc_ids
-        self.bytes += sum(len(t or "") for t in texts)
 
-    def row(self, number: int, kind: pa.DataType) -> pa.RecordBatch:
+    def _stretches(self, by: Tokenizers) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """Of each stretch: whether it fits, its four numbers, its groups; and all codes, link counts and pairs per stretch."""
+        parts = [(a.fits, np.stack([a.n_a, a.n_b, a.n_groups, a.n_links], axis=1), a.written(by), *a.links()) for a in (_Aligned(by, some) for some in _some(list(self.known)))]
+        if not parts:
+            return np.zeros(0, bool), np.zeros((0, 4), np.int64), [], *(np.zeros(0, np.int64),) * 3
+        fits, numbers, written, codes, counts, sizes = zip(*parts, strict=True)
+        return np.concatenate(fits), np.concatenate(numbers), [w for x in written for w in x], *map(np.concatenate, (codes, counts, sizes))
+
+    def row(self, by: Tokenizers, number: int, kind: pa.DataType) -> pa.RecordBatch:
         docs = len(self.ids)
-        keys, counts = added(self.keys, self.counts)
-        codes, places = (keys >> np.uint64(16)).astype(np.int64), (keys & np.uint64(0xFFFF)).astype(np.int64)
+        fits, numbers, written, codes, counts, sizes = self._stretches(by)
+        kept = [d if fits[d].all() else d[:0] for d in self.docs]
+        groups = [b";".join([written[s] for s in d.tolist()]).decode() for d in kept]
+        of = np.repeat(np.arange(docs), [len(d) for d in kept])
+        every = np.concatenate([*kept, np.zeros(0, np.int64)])
+        sums = np.zeros((docs, 4), np.int64)
+        np.add.at(sums, of, numbers[every])
+        # A document's stretches with how often it has them, then their pairs.
+        held, times = np.unique(of << 32 | every, return_counts=True)
+        place, stretch = held >> 32, held & 0xFFFFFFFF
+        at = _ranges((np.cumsum(sizes) - sizes)[stretch], sizes[stretch])
+        keys, counts = added([codes[at] << 16 | np.repeat(place, sizes[stretch])], [counts[at] * np.repeat(times, sizes[stretch])])
+        codes, places = keys >> 16, keys & 0xFFFF
         new = np.append(True, codes[1:] != codes[:-1]) if len(codes) else np.zeros(0, bool)
         index = np.cumsum(new) - 1
         planes = [packed(index, places, docs)]
-        held = popcounts(planes[0], docs)[1] if len(codes) else np.zeros(0, np.int64)
-        links, more = held.copy(), counts - 1
+        in_docs = popcounts(planes[0], docs)[1] if len(codes) else np.zeros(0, np.int64)
+        links, more = in_docs.copy(), counts - 1
         while more.any():  # the next bit of what is more than one link
             odd = (more & 1) == 1
             planes.append(packed(index[odd], places[odd], docs))
-            at, n = popcounts(planes[-1], docs)
-            links[at] += n << (len(planes) - 2)
+            which, n = popcounts(planes[-1], docs)
+            links[which] += n << (len(planes) - 2)
             more >>= 1
-        numbers = np.concatenate(self.numbers).T
         columns = [
-            pa.array([number], pa.int64()), pa.array([self.ids], pa.list_(kind)), *[pa.array([c], pa.list_(pa.int64())) for c in numbers],
-            pa.array([[g.decode() for g in self.groups]], pa.list_(pa.string())), *[pa.array([c], pa.list_(pa.int64())) for c in (codes[new], held, links)],
+            pa.array([number], pa.int64()), pa.array([self.ids], pa.list_(kind)), *[pa.array([c], pa.list_(pa.int64())) for c in sums.T],
+            pa.array([groups], pa.list_(pa.string())), *[pa.array([c], pa.list_(pa.int64())) for c in (codes[new], in_docs, links)],
             pa.array([planes], pa.list_(pa.struct([(n, pa.binary()) for n in ("index", "sizes", "lists", "bits")]))),
         ]
         return pa.record_batch(columns, _NAMES)
@@ -295,11 +322,11 @@ _NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
 _NAMES = ["block_id", "doc_ids", *_NUMBERS, "groups", "codes", "held", "links", "planes"]
 
 
-def _some(parts: list[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
+def _some(parts: list[str]) -> Iterator[list[str]]:
     out, size = [], 0
     for p in parts:
         out.append(p)
-        size += len(p[1])
+        size += len(p)
         if size >= SLICE_BYTES:
             yield out
             out, size = [], 0
@@ -326,12 +353,12 @@ def posting_blocks(docs: DataFrame, models: tuple[str, bytes], block_bytes: int
             id_type = part["doc_id"].type
             for s in range(0, part.num_rows, BLOCK_DOCS // 2):
                 some = part.slice(s, BLOCK_DOCS // 2)
-                block.take(by, some["doc_id"].to_pylist(), some["text"].to_pylist())
+                block.take(some["doc_id"].to_pylist(), some["text"].to_pylist())
                 if block.bytes >= block_bytes or len(block.ids) >= BLOCK_DOCS // 2:
-                    yield block.row(number, id_type)
+                    yield block.row(by, number, id_type)
                     number, block = number + 1, _Block()
         if block.ids:
-            yield block.row(number, id_type)
+            yield block.row(by, number, id_type)
 
     numbers = ", ".join(f"{n} array<long>" for n in _NUMBERS)
     made = f"block_id long, doc_ids array<{kind}>, {numbers}, groups array<string>, codes array<long>, held array<long>, links array<long>, planes array<struct<index:binary,sizes:binary,lists:binary,bits:binary>>"

@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tablemend.llm import alignment, queries
@@ -109,14 +110,13 @@ def test_string_ids_and_empty_table(spark, models):
     assert alignment.align(spark.createDataFrame([], "doc_id string, text string"), models).collect() == []
 
 
-def test_segments_change_nothing(models):
+def test_stretches_change_nothing(models):
     by = alignment.tokenizers(models)
     rng = random.Random(9)
-    bits = ["the", "é", "語", "🙂", "12", "don't", "a  b", "\n", "\tx", ".", "'s", "\x1c", "▁", " "]
-    for _ in range(300):
-        text = " ".join(rng.choice(bits) for _ in range(rng.randrange(1, 80)))
-        whole = alignment._Aligned(by, [text])
-        parts = list(alignment.segments(text, 5))
+    bits = ["the", "é", "語", "🙂", "12", "don't", "a  b", "\n", "\tx", ".", "'s", "\x1c", "▁", " ", "\u3000", "\xa0y"]
+    for _ in range(500):
+        text = " ".join(rng.choice(bits) for _ in range(rng.randrange(1, 60)))
+        whole, parts = alignment._Aligned(by, [text]), alignment.stretches(text)
         assert " ".join(parts) == text
         cut = alignment._Aligned(by, parts)
         assert cut.fits.all() == whole.fits.all()
@@ -124,17 +124,15 @@ def test_segments_change_nothing(models):
             assert b";".join(cut.written(by)) == b";".join(whole.written(by))
 
 
-def test_long_texts_in_slices(spark, models, monkeypatch):
+def test_slices_and_large_groups(spark, models, monkeypatch):
     monkeypatch.setattr(alignment, "SLICE_BYTES", 50)
     monkeypatch.setattr(alignment, "LINKS_AT_ONCE", 3)
     rng = random.Random(2)
-    texts = [" ".join(rng.choice(["the", "🙂", "语x", "tion", "a\tb"]) for _ in range(60)) for _ in range(9)] + ["good words then  two spaces " + "▁ x" * 40]
+    texts = [" ".join(rng.choice(["the", "🙂", "语x", "tion", "a\tb"]) for _ in range(60)) for _ in range(9)] + ["good words then  two spaces " + "▁ x" * 40, "🙂语" * 50]
     by, block = alignment.tokenizers(models), alignment._Block()
-    block.take(by, list(range(4)), texts[:4])
-    block.take(by, list(range(4, 10)), texts[4:])
-    import pyarrow as pa
-
-    row = block.row(0, pa.int64())
+    block.take(list(range(4)), texts[:4])
+    block.take(list(range(4, 11)), texts[4:])
+    row = block.row(by, 0, pa.int64())
     blocks = spark.createDataFrame(row.to_pylist(), alignment.posting_blocks(spark.createDataFrame([(1, "")], "doc_id long, text string"), models).schema)
     check(alignment.scored(blocks).collect(), list(enumerate(texts)), models)
 
