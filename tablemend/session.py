@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,11 +49,36 @@ def scratch_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tablemend/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that :func:`cut_lineage` wrote within.  For jobs that write their result
+    within, so that nothing reads those tables afterwards; after an error they stay, for a look at them."""
+    _scopes.append([])
+    try:
+        yield
+    except BaseException:
+        _scopes.pop()
+        raise
+    for path in _scopes.pop():
+        drop_table(spark, path)
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Deletes a table that was written under the shared folder, in whatever store that is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later stages neither
     recompute it nor depend on executors that may be gone."""
     spark = df.sparkSession
     path = scratch_path(spark)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
