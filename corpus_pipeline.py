@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tablemend.llm import bpe, language_id, mixing, ngram_join
 from tablemend.llm.exact_dedup import group_equal
 from tablemend.llm.queries import EPOCHS, SEED, SHARE, TREE
-from tablemend.session import cut_lineage, scratch_path
+from tablemend.session import cut_lineage, scratch, scratch_path
 
 MIN_HIT_SHARE = 0.1  # of a text's n-grams that its language must contain
 
@@ -25,8 +25,10 @@ def _order() -> Column:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number ``_row`` for each row, written so that every reader sees the same ones."""
-    return cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
+    """``docs`` with a number ``_row`` for each row.  A stage's ``docs`` are a written table, and every scan of one
+    table in one session deals the same rows to the same partitions in the same order, so all readers see the
+    same numbers without a numbered copy of all texts."""
+    return docs.withColumn("_row", F.monotonically_increasing_id())
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -89,6 +91,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         path = scratch_path(spark)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):  # what a stage wrote for itself goes once its rows are committed
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
