@@ -12,7 +12,7 @@ from tablemend.functions.expr import approx_equal, blocking_key, is_abbreviation
 from tablemend.functions.units import IDENTITY, THOUSANDS, best_unit
 from tablemend.operators import candidates, choose, domains, evaluate, inject, learn, link, prepare, score, state
 from tablemend.plans import fixtures as fx
-from tablemend.plans import jobs
+from tablemend.plans import jobs, nested
 from tablemend.plans.model import Column, EntityClass, clean
 from tablemend.session import cut_lineage, scratch_path
 from tablemend.sources import sinks, tables
@@ -698,6 +698,29 @@ def joint_repair(spark, d):
     return clean(records, PART, PART_COLUMNS).flat
 
 
+MARKET = nested.Nested("Market", ("segment",), (nested.Nested("Nation", ("nation",), (nested.Nested("Region", ("region",)),)),))
+
+
+@query
+def clean_nested(spark, d):
+    """Three levels of references decided together."""
+    records = cut_lineage(fx.markets_dirty(spark, d).select("row_id", "segment", "nation", "region"))
+    out = nested.clean_nested(records, MARKET)
+    return out.flat.join(out.links, "row_id").select("row_id", "segment", "nation", "region", "Market_id", "Nation_id", "Region_id", "is_new", r6("score").alias("score"))
+
+
+@query
+def nested_tables(spark, d):
+    """The entity tables that three levels of references leave behind."""
+    records = cut_lineage(fx.markets_dirty(spark, d).select("row_id", "segment", "nation", "region"))
+    made, out = nested.clean_nested(records, MARKET).tables, None
+    for c in MARKET.classes():
+        refers = F.col(c.refs[0].id) if c.refs else F.lit(None).cast("string")
+        part = made[c.name].select(F.lit(c.name).alias("class"), "entity_id", F.col(c.attributes[0]).alias("value"), refers.alias("refers_to"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # --- repairs --------------------------------------------------------------------------------------------------
 
 @query

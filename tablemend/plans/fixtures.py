@@ -64,6 +64,14 @@ def customers_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("row_id", "c_name", "segment", "nation", "region", "true_segment", "true_nation", "true_region")
 
 
+def markets_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' segment, nation and region, each mistyped or missing, and the truth."""
+    flat = customers_flat(spark, sf_dir).select("row_id", "true_segment", "true_nation", "true_region")
+    for c in ("segment", "nation", "region"):
+        flat = inject.missing(inject.typos(flat, f"true_{c}", f"typed_{c}"), f"typed_{c}", c, 0.1).drop(f"typed_{c}")
+    return flat.select("row_id", "segment", "nation", "region", "true_segment", "true_nation", "true_region")
+
+
 def nations(spark: SparkSession, sf_dir: str, flat: DataFrame | None = None) -> DataFrame:
     """The clean entity table (entity_id, nation, region), with ``n`` records naming each exactly if ``flat`` is given."""
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")

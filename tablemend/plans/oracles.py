@@ -502,6 +502,61 @@ sql("export_json", SWEEP1, "SELECT entity_id, CASE WHEN region IS NULL THEN to_j
 # --- repairs -------------------------------------------------------------------------------------------------------------------
 
 sql("impute", f"{PARTS},\n{IMPUTE}", "SELECT row_id, p_type, was_missing FROM imputed")
+MARKETS = f"""
+mk0 AS (SELECT {ident('c_custkey')} AS row_id, c_mktsegment AS true_segment, n_name AS true_nation, r_name AS true_region
+        FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+{typo_steps('mk0', 'true_segment', 'typed_segment', 'mk1')},
+{typo_steps('mk1', 'true_nation', 'typed_nation', 'mk2')},
+{typo_steps('mk2', 'true_region', 'typed_region', 'mk3')},
+mk AS (SELECT row_id, true_segment, true_nation, true_region, {', '.join(f"CASE WHEN {u('missing.typed_' + c)} >= 0.1e0 THEN typed_{c} END AS {c}" for c in ('segment', 'nation', 'region'))} FROM mk3),
+up0 AS (SELECT segment, nation, region, count(*) AS c FROM mk GROUP BY ALL)"""
+
+
+def nested_level(i: int, column: str, ref: str, below: list[str]) -> str:
+    """CTEs of one class: its seeds sd{i}, tuples with its id up{i}, and of every sub-tuple each entity's fit fit{i} and the
+    best entity of all, existing or new, top{i}."""
+    keys = f"{column}, {ref}" if ref else column
+    own_id = ident(f"coalesce(t.{column}, '')", *([f"coalesce(t.{ref}, '')"] if ref else []))
+    new_id = ident(f"coalesce(s.{column}, '')", *([f"d.{ref}"] if ref else []))
+    same_ref = f"AND (t.{ref} IS NULL OR t.{ref} = e.{ref})" if ref else ""
+    on = " AND ".join(f"b.{k} IS NOT DISTINCT FROM t.{k}" for k in keys.split(", "))
+    cells = ", ".join([column, *below])
+    total, many = f"(SELECT sum(n) FROM sd{i})::DOUBLE", f"(SELECT count(*) FROM sd{i})"
+    lower = f"JOIN fit{i - 1} d ON {' AND '.join(f'd.{b} IS NOT DISTINCT FROM s.{b}' for b in below)} AND d.id = e.{ref}" if ref else ""
+    best_below = f"JOIN top{i - 1} d ON {' AND '.join(f'd.{b} IS NOT DISTINCT FROM s.{b}' for b in below)}" if ref else ""
+    others = [f"{b}_id" for b in below]
+    old_ids = "".join(f", d.{o}" for o in others)
+    return f"""t{i} AS (SELECT {keys}, sum(c)::BIGINT AS c FROM up{i - 1} GROUP BY ALL),
+{seeds(f'sd{i}', f't{i}', column, ref)},
+ca{i} AS (SELECT t.*, e.entity_id, ln(e.n - {D}) - ln({total} + {S}) + {typo_loglik(f'damerau_levenshtein(t.{column}, e.{column})', f'e.{column}')} AS score
+   FROM t{i} t JOIN sd{i} e ON damerau_levenshtein(t.{column}, e.{column}) <= 2 {same_ref}),
+{best(f'cb{i}', f'ca{i}', keys)},
+up{i} AS (SELECT t.*, CASE WHEN t.{column} IS NOT NULL THEN coalesce(b.entity_id, {own_id}) END AS {column}_id FROM up{i - 1} t LEFT JOIN cb{i} b ON {on}),
+s{i} AS (SELECT DISTINCT {cells} FROM up0),
+fit{i} AS (SELECT {', '.join('s.' + c for c in cells.split(', '))}, e.entity_id AS id, e.n{old_ids},
+   CASE WHEN s.{column} IS NULL THEN 0.0e0 WHEN damerau_levenshtein(s.{column}, e.{column}) <= 2
+     THEN {typo_loglik(f'damerau_levenshtein(s.{column}, e.{column})', f'e.{column}')} ELSE -1.0e5 END {'+ d.fit' if ref else ''} AS fit, e.entity_id AS {column}_id
+   FROM s{i} s CROSS JOIN sd{i} e {lower}),
+all{i} AS (SELECT {cells}, {', '.join([f'{column}_id', *others])}, false AS is_new, ln(n - {D}) - ln({total} + {S}) + fit AS score FROM fit{i}
+   UNION ALL SELECT {', '.join('s.' + c for c in cells.split(', '))}, {new_id}{old_ids}, true, ln({many} * {D} + {S}) - ln({total} + {S})
+     + CASE WHEN s.{column} IS NULL THEN 0.0e0 ELSE p.logp + {typo_loglik('0', f's.{column}')} END {'+ d.score' if ref else ''}
+   FROM s{i} s LEFT JOIN sd{i}_tp p ON p.word = s.{column} {best_below}),
+{best(f'top{i}', f'all{i}', cells, 'score', f'is_new, {column}_id')}"""
+
+
+NESTED = f"""{MARKETS},
+{nested_level(1, 'region', '', [])},
+{nested_level(2, 'nation', 'region_id', ['region'])},
+{nested_level(3, 'segment', 'nation_id', ['nation', 'region'])},
+done AS (SELECT u.c, t.* FROM up0 u JOIN top3 t ON {' AND '.join(f'u.{c} IS NOT DISTINCT FROM t.{c}' for c in ('segment', 'nation', 'region'))})"""
+sql("clean_nested", NESTED, f"""SELECT f.row_id, coalesce(m.segment, f.segment) AS segment, coalesce(n.nation, f.nation) AS nation, coalesce(r.region, f.region) AS region,
+ t.segment_id AS "Market_id", t.nation_id AS "Nation_id", t.region_id AS "Region_id", t.is_new, {r('t.score')} AS score
+ FROM mk f JOIN top3 t ON {' AND '.join(f'f.{c} IS NOT DISTINCT FROM t.{c}' for c in ('segment', 'nation', 'region'))}
+ LEFT JOIN sd3 m ON m.entity_id = t.segment_id LEFT JOIN sd2 n ON n.entity_id = t.nation_id LEFT JOIN sd1 r ON r.entity_id = t.region_id""")
+sql("nested_tables", NESTED, " UNION ALL ".join(
+    f"SELECT '{name}' AS class, d.{c}_id AS entity_id, coalesce(any_value(e.{c}), min(d.{c})) AS value, {f'coalesce(any_value(e.{ref}), min(d.{ref}))' if ref else 'NULL::VARCHAR'} AS refers_to, sum(d.c)::BIGINT AS n"
+    f" FROM done d LEFT JOIN sd{i} e ON e.entity_id = d.{c}_id GROUP BY d.{c}_id"
+    for i, name, c, ref in ((3, "Market", "segment", "nation_id"), (2, "Nation", "nation", "region_id"), (1, "Region", "region", ""))))
 sql("repair_typos", f"{PARTS},\n{column_repair('rep', 'parts', 'p_name')}", f"SELECT row_id, repaired, {r('score')} AS score FROM rep")
 SHORT = f"short0 AS (SELECT {ident('doc_id')} AS row_id, lang FROM documents),\n{typo_steps('short0', 'lang', 'shown', 'shorts')}"
 sql("repair_typos_short", f"{SHORT},\n{column_repair('rep', 'shorts', 'shown')}", f"SELECT row_id, repaired, {r('score')} AS score FROM rep")
