@@ -12,7 +12,7 @@ from tablemend.functions.expr import approx_equal, blocking_key, is_abbreviation
 from tablemend.functions.units import IDENTITY, THOUSANDS, best_unit
 from tablemend.operators import candidates, choose, domains, evaluate, inject, learn, link, prepare, score, state
 from tablemend.plans import fixtures as fx
-from tablemend.plans import jobs, nested
+from tablemend.plans import declared, jobs, nested
 from tablemend.plans.model import Column, EntityClass, clean
 from tablemend.session import cut_lineage, scratch_path
 from tablemend.sources import sinks, tables
@@ -721,6 +721,49 @@ def nested_tables(spark, d):
     return out
 
 
+def _flights(spark, d):
+    times = declared.Swaps(("part",), "source", RATE, F.col("part") % 100 == F.col("source"))
+    records = cut_lineage(fx.claims_of_fields(spark, d).select("row_id", "part", "source", "kind", "brand"))
+    return declared.clean_declared(records, {"kind": times, "brand": times})
+
+
+@query
+def clean_flights_like(spark, d):
+    """Two fields that sources contradict each other on, one error rate per source, owners trusted."""
+    return _flights(spark, d).flat
+
+
+@query
+def learned_rates(spark, d):
+    """The error rates that cleaning the fields learned."""
+    rates = _flights(spark, d).learned["kind"]
+    return rates.select(F.col("_source").alias("source"), "errors", "matches", r6("rate").alias("rate"))
+
+
+@query
+def clean_rents_like(spark, d):
+    """A mistyped place, gaps that follow it, and amounts whose unit follows those."""
+    records = cut_lineage(fx.listings(spark, d).select("row_id", "key", "place", "area", "kind", "amount"))
+    gaps = declared.Usual(("key", "place"))
+    return declared.clean_declared(records, {
+        "amount": declared.Units(("area", "key", "kind"), UNITS, learn.NormalMean(1500.0, 1000.0), 150.0),
+        "area": gaps, "kind": gaps, "place": declared.Typos(("key",)),
+    }).flat
+
+
+@query
+def clean_own_model(spark, d):
+    """Segments shown in lower case or cut short, by a model whose options are computed from the text."""
+    full = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+    cut = fx.table(spark, d, "customer").select(
+        F.col("c_custkey").alias("row_id"), F.when(F.col("c_custkey") % 3 == 0, F.lower("c_mktsegment")).when(F.col("c_custkey") % 3 == 1, F.left("c_mktsegment", F.lit(3) + F.col("c_custkey") % 4)).otherwise(F.col("c_mktsegment")).alias("shown"))
+    shortened = declared.Computed(
+        options=lambda o: F.filter(F.array(*map(F.lit, full)), lambda x: F.startswith(x, F.upper(o))),
+        loglik=lambda o, x: F.when(o == x, F.log(F.lit(0.8))).when(F.upper(o) == x, F.log(F.lit(0.1))).otherwise(F.log(F.lit(0.1)) - F.log(F.length(x).cast("double"))),
+    )
+    return declared.clean_declared(cut, {"shown": shortened}).flat
+
+
 # --- repairs --------------------------------------------------------------------------------------------------
 
 @query

@@ -30,6 +30,27 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dirty.select("row_id", "part", "source", "claim", "truth")
 
 
+def claims_of_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_id, part, source, kind, brand, true_kind, true_brand): claims of two fields, wrong at their source's rate."""
+    part = table(spark, sf_dir, "part")
+    line = table(spark, sf_dir, "lineitem").select(lineitem_id(), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("source"))
+    out = line.join(part.select(F.col("p_partkey").alias("part"), F.col("p_type").alias("true_kind"), F.col("p_brand").alias("true_brand")), "part")
+    for name, column in (("kind", "p_type"), ("brand", "p_brand")):
+        out = inject.swaps(out, f"true_{name}", name, domain(part, [column]), 0.05 + 0.4 * uniform("rate", "source"))
+    return out.select("row_id", "part", "source", "kind", "brand", "true_kind", "true_brand")
+
+
+def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as listings: a mistyped place within a key, area and kind missing at times, an amount partly in thousands."""
+    part = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("part"), F.col("p_brand").alias("key"), F.col("p_name").alias("true_place"), F.col("p_type").alias("true_area"),
+        F.col("p_size").cast("string").alias("true_kind"), F.col("p_retailprice").alias("true_amount"))
+    df = table(spark, sf_dir, "lineitem").select(lineitem_id(), F.col("l_partkey").alias("part")).join(part, "part")
+    df = inject.missing(inject.missing(inject.typos(df, "true_place", "place"), "true_area", "area", 0.15), "true_kind", "kind", 0.1)
+    df = inject.units(df, "true_amount", "amount", 0.001, 0.2, 5)
+    return df.select("row_id", "key", "place", "area", "kind", "amount", *[f"true_{c}" for c in ("place", "area", "kind", "amount")])
+
+
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_id, part, noisy, shown, truth): noisy readings of a part's price, some in thousands."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_retailprice").alias("truth"))

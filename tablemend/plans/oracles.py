@@ -557,6 +557,60 @@ sql("nested_tables", NESTED, " UNION ALL ".join(
     f"SELECT '{name}' AS class, d.{c}_id AS entity_id, coalesce(any_value(e.{c}), min(d.{c})) AS value, {f'coalesce(any_value(e.{ref}), min(d.{ref}))' if ref else 'NULL::VARCHAR'} AS refers_to, sum(d.c)::BIGINT AS n"
     f" FROM done d LEFT JOIN sd{i} e ON e.entity_id = d.{c}_id GROUP BY d.{c}_id"
     for i, name, c, ref in ((3, "Market", "segment", "nation_id"), (2, "Nation", "nation", "region_id"), (1, "Region", "region", ""))))
+def swapped(src: str, column: str, source_column: str, name: str) -> str:
+    """CTE: ``src`` with ``column``, which shows true_{column} or another value of the domain at its source's rate."""
+    true = f"true_{column}"
+    return f"""{name}_o AS (SELECT option, row_number() OVER (ORDER BY md5(option), option) AS idx, count(*) OVER () AS n_options
+   FROM (SELECT DISTINCT {source_column} AS option FROM part WHERE {source_column} IS NOT NULL)),
+{name} AS (SELECT b.*, CASE WHEN {u('swap.' + true)} < 0.05e0 + 0.4e0 * {u('rate', 'source')} THEN option ELSE {true} END AS {column}
+   FROM {src} b JOIN {name}_o ON idx = floor({u('pick.' + true)} * (SELECT max(n_options) FROM {name}_o)) + 1)"""
+
+
+# Both fields of a part are entities of their own: twice its number, and one more.
+FIELDS = f"""fl0 AS (SELECT {LINE_ID} AS row_id, l_partkey AS part, l_suppkey AS source, p_type AS true_kind, p_brand AS true_brand FROM lineitem JOIN part ON p_partkey = l_partkey),
+{swapped('fl0', 'kind', 'p_type', 'fl1')},
+{swapped('fl1', 'brand', 'p_brand', 'fl')},
+cs AS (SELECT part, source, option, count(*) AS n FROM (SELECT part * 2 AS part, source, kind AS option FROM fl UNION ALL SELECT part * 2 + 1, source, brand FROM fl)
+   WHERE option IS NOT NULL GROUP BY ALL),
+""" + ",\n".join(em_round(i, True).replace("c.part % 100", "(c.part // 2) % 100") for i in range(5))
+sql("clean_flights_like", FIELDS, """SELECT f.row_id, f.part, f.source, coalesce(a.value, f.kind) AS kind, coalesce(b.value, f.brand) AS brand
+ FROM fl f LEFT JOIN t4 a ON a.part = f.part * 2 LEFT JOIN t4 b ON b.part = f.part * 2 + 1""")
+sql("learned_rates", FIELDS, f"SELECT source, errors, matches, {r('rate')} AS rate FROM r4 WHERE errors + matches > 0")
+
+
+def usual(name: str, src: str, column: str, by: Sequence[str]) -> str:
+    """CTE: ``src`` with the gaps of ``column`` filled from their group, or else from the whole column."""
+    keys = ", ".join(by)
+    return f"""{name}_s AS (SELECT {keys}, {column} AS option, count(*) AS n FROM {src} WHERE {column} IS NOT NULL GROUP BY ALL),
+{name}_o AS (SELECT option FROM (SELECT option, sum(n) AS n FROM {name}_s GROUP BY option) ORDER BY n DESC, option LIMIT 1),
+{name}_l AS (SELECT {keys}, option AS _local FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY n DESC, option) AS _rn FROM {name}_s) WHERE _rn = 1),
+{name} AS (SELECT s.* REPLACE (coalesce(s.{column}, l._local, (SELECT option FROM {name}_o)) AS {column}) FROM {src} s
+   LEFT JOIN {name}_l l ON {' AND '.join(f'l.{k} IS NOT DISTINCT FROM s.{k}' for k in by)})"""
+
+
+def listed_base(mean: str) -> str:
+    return base_of(mean).replace("shown", "amount")
+
+
+LISTINGS = f"""ls0 AS (SELECT {LINE_ID} AS row_id, p_brand AS key, p_name AS true_place, p_type AS true_area, p_size::VARCHAR AS true_kind, p_retailprice AS true_amount
+   FROM lineitem JOIN part ON p_partkey = l_partkey),
+{typo_steps('ls0', 'true_place', 'place', 'ls1')},
+ls AS (SELECT *, CASE WHEN {u('missing.true_area')} >= 0.15e0 THEN true_area END AS area, CASE WHEN {u('missing.true_kind')} >= 0.1e0 THEN true_kind END AS kind,
+   CASE WHEN {u('unit.true_amount')} < 0.2e0 THEN round(true_amount * 0.001e0, 5) ELSE true_amount END AS amount FROM ls1),
+lt AS (SELECT place, key, count(*) AS c FROM ls GROUP BY ALL),
+{seeds('lsd', 'lt', 'place', 'key')},
+lc AS (SELECT t.place, t.key, e.entity_id, e.place AS word, ln(e.n - {D}) - ln((SELECT sum(n) FROM lsd)::DOUBLE + {S}) + {typo_loglik('damerau_levenshtein(t.place, e.place)', 'e.place')} AS score
+   FROM lt t JOIN lsd e ON (t.key IS NULL OR t.key = e.key) AND damerau_levenshtein(t.place, e.place) <= 2),
+{best('lb', 'lc', 'place, key')},
+l1 AS (SELECT s.row_id, s.key, coalesce(b.word, s.place) AS place, s.area, s.kind, s.amount FROM ls s LEFT JOIN lb b ON b.place = s.place AND b.key IS NOT DISTINCT FROM s.key),
+{usual('l2', 'l1', 'area', ['key', 'place'])},
+{usual('l3', 'l2', 'kind', ['key', 'place'])},
+lu AS (SELECT area, key, kind, (1500.0e0 / 1.0e6 + sum({listed_base('1500.0e0')}) / 22500.0e0) / (1.0e0 / 1.0e6 + count(*) / 22500.0e0) AS mean FROM l3 GROUP BY ALL)"""
+sql("clean_rents_like", LISTINGS, f"""SELECT s.row_id, s.key, s.place, s.area, s.kind, round_even({listed_base('mean')}, 0)::DOUBLE AS amount
+ FROM l3 s JOIN lu m ON m.area IS NOT DISTINCT FROM s.area AND m.key IS NOT DISTINCT FROM s.key AND m.kind IS NOT DISTINCT FROM s.kind""")
+sql("clean_own_model", """seg AS (SELECT unnest(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY']) AS option),
+cu AS (SELECT c_custkey AS row_id, CASE WHEN c_custkey % 3 = 0 THEN lower(c_mktsegment) WHEN c_custkey % 3 = 1 THEN left(c_mktsegment, (3 + c_custkey % 4)::INT) ELSE c_mktsegment END AS shown FROM customer)""",
+    "SELECT row_id, coalesce((SELECT min(option) FROM seg WHERE starts_with(option, upper(shown))), shown) AS shown FROM cu")
 sql("repair_typos", f"{PARTS},\n{column_repair('rep', 'parts', 'p_name')}", f"SELECT row_id, repaired, {r('score')} AS score FROM rep")
 SHORT = f"short0 AS (SELECT {ident('doc_id')} AS row_id, lang FROM documents),\n{typo_steps('short0', 'lang', 'shown', 'shorts')}"
 sql("repair_typos_short", f"{SHORT},\n{column_repair('rep', 'shorts', 'shown')}", f"SELECT row_id, repaired, {r('score')} AS score FROM rep")
