@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablemend.functions.expr import ln_gamma, safe_ln
+from tablemend.functions import draws
+from tablemend.functions.expr import SEED, key_hash, ln_gamma, safe_ln
 from tablemend.operators.choose import best, with_group
 from tablemend.operators.spread import spread_join
 
@@ -42,9 +41,9 @@ class Beta:
 
 @dataclass(frozen=True)
 class Dirichlet:
-    """Symmetric prior of category weights."""
+    """Prior of category weights: the same for all options, or a column of the options table."""
 
-    concentration: float = 1.0
+    concentration: float | str = 1.0
 
 
 @dataclass(frozen=True)
@@ -111,12 +110,17 @@ def ref_counts(links: DataFrame, entity: str) -> DataFrame:
 
 # --- updates ----------------------------------------------------------------
 
+def _with_counts(counts: DataFrame, options: DataFrame, prior: Dirichlet, keys: Sequence[str]) -> DataFrame:
+    """(keys, _a): the weight of every option, its own prior weight and how often it was seen."""
+    own = F.col(prior.concentration) if isinstance(prior.concentration, str) else F.lit(prior.concentration)
+    listed = options.groupBy(*keys).agg(F.max(own).alias("_prior"))
+    return listed.join(counts.select(*keys, "n"), list(keys), "left").select(*keys, (F.coalesce(F.col("n"), F.lit(0)) + F.col("_prior")).alias("_a"))
+
+
 def learn_proportions(counts: DataFrame, options: DataFrame, prior: Dirichlet = Dirichlet(), option: str = "option", by: Sequence[str] = ()) -> DataFrame:
     """Posterior-mean weights; options never seen keep their prior share."""
     keys = [*by, option]
-    full = options.select(*keys).distinct().join(counts, keys, "left").withColumn(
-        "_a", F.coalesce(F.col("n"), F.lit(0)) + F.lit(prior.concentration)
-    )
+    full = _with_counts(counts, options, prior, keys)
     totals = full.groupBy(*by).agg(F.sum("_a").alias("_t"))
     return with_group(full, by, totals).select(*keys, (F.col("_a") / F.col("_t")).alias("p"))
 
@@ -126,17 +130,21 @@ def learn_error_rate(counts: DataFrame, prior: Beta = Beta(), name: str = "rate"
     return counts.withColumn(name, prior.posterior())
 
 
-def learn_mean(stats: DataFrame, prior: NormalMean, std: str, by: Sequence[str]) -> DataFrame:
-    """Posterior mean, each noise level weighted by its precision."""
+def _mean_posterior(stats: DataFrame, prior: NormalMean, std: str, by: Sequence[str]) -> DataFrame:
     var = F.col(std) * F.col(std)
     p0 = 1.0 / (prior.spread ** 2)
     return (
         stats.groupBy(*by)
         .agg(F.sum(F.col("sum") / var).alias("_s"), F.sum(F.col("n") / var).alias("_n"), F.sum("n").alias("n"))
-        .select(*by, "n", ((F.lit(prior.mean * p0) + F.col("_s")) / (F.lit(p0) + F.col("_n"))).alias("mean"))
+        .select(*by, "n", ((F.lit(prior.mean * p0) + F.col("_s")) / (F.lit(p0) + F.col("_n"))).alias("_mean"), (F.lit(p0) + F.col("_n")).alias("_precision"))
     )
 
 
+def learn_mean(stats: DataFrame, prior: NormalMean, std: str, by: Sequence[str]) -> DataFrame:
+    """Posterior mean, each noise level weighted by its precision."""
+    return _mean_posterior(stats, prior, std, by).select(*by, "n", F.col("_mean").alias("mean"))
+
+
 def lookup(df: DataFrame, params: DataFrame, on: Sequence[str], value: str, default: float, weight: Column | str | None = None) -> DataFrame:
     """Parameter of each row's group, or the prior's value for a group not seen.
     ``weight``, the number of rows behind each parameter, lets very large groups be spread."""
@@ -148,21 +156,26 @@ def lookup(df: DataFrame, params: DataFrame, on: Sequence[str], value: str, defa
     return joined.withColumn(value, F.coalesce(F.col(value), F.lit(default)))
 
 
-def sample_rates(counts: DataFrame, by: str, prior: Beta = Beta(), seed: int = 7) -> DataFrame:
+def sample_rates(counts: DataFrame, by: str, prior: Beta = Beta(), seed: int = SEED) -> DataFrame:
     """A random draw of each rate's posterior, repeatable per key."""
-    a0, b0 = prior.a, prior.b
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rates = [
-                np.random.default_rng([seed, int(h)]).beta(a0 + e, b0 + m)
-                for h, e, m in zip(pdf["_h"], pdf["errors"], pdf["matches"])
-            ]
-            yield pd.DataFrame({by: pdf[by], "rate": rates})
-
-    kind = counts.schema[by].dataType.simpleString()
-    keyed = counts.select(by, F.pmod(F.xxhash64(by), F.lit(2**31)).alias("_h"), "errors", "matches")
-    return keyed.mapInPandas(draw, f"{by} {kind}, rate double")
+    rate = draws.beta(prior.a + F.col("errors"), prior.b + F.col("matches"), "rate", F.coalesce(F.col(by).cast("string"), F.lit("")), seed)
+    return counts.select(by, rate.alias("rate"))
+
+
+def sample_proportions(
+    counts: DataFrame, options: DataFrame, prior: Dirichlet = Dirichlet(), option: str = "option", by: Sequence[str] = (), seed: int = SEED
+) -> DataFrame:
+    """A random draw of each group's weights: gamma draws of all options, divided by their sum."""
+    keys = [*by, option]
+    drawn = _with_counts(counts, options, prior, keys).withColumn("_g", draws.gamma("_a", "share", key_hash(*keys), seed))
+    totals = drawn.groupBy(*by).agg(F.sum("_g").alias("_t"))
+    return with_group(drawn, by, totals).select(*keys, (F.col("_g") / F.col("_t")).alias("p"))
+
+
+def sample_means(stats: DataFrame, prior: NormalMean, std: str, by: Sequence[str], seed: int = SEED) -> DataFrame:
+    """A random draw of each mean's posterior, each noise level weighted by its precision."""
+    key = key_hash(*by) if by else F.lit("")
+    return _mean_posterior(stats, prior, std, by).select(*by, "n", (F.col("_mean") + F.sqrt(1 / F.col("_precision")) * draws.normal("mean", key, seed)).alias("mean"))
 
 
 # --- entity-count prior -------------------------------------------------------

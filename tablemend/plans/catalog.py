@@ -458,7 +458,25 @@ def learn_mean(spark, d):
 
 @query
 def learn_sampled(spark, d):
-    return learn.sample_rates(_by_source(spark, d), "source", RATE)
+    """A draw of each source's error rate."""
+    return learn.sample_rates(_by_source(spark, d), "source", RATE).select("source", r6("rate").alias("rate"))
+
+
+@query
+def learn_sampled_proportions(spark, d):
+    """A draw of each region's market shares, with a prior that favours longer names."""
+    flat = fx.customers_flat(spark, d)
+    counts = learn.count_options(flat, "true_segment", ["true_region"])
+    options = flat.select("true_region", "true_segment", (F.length("true_segment") / 10.0).alias("weight")).distinct()
+    drawn = learn.sample_proportions(counts, options, learn.Dirichlet("weight"), "true_segment", ["true_region"])
+    return drawn.select("true_region", "true_segment", r6("p").alias("p"))
+
+
+@query
+def learn_sampled_means(spark, d):
+    """A draw of each part's mean price."""
+    stats = learn.gaussian_stats(fx.prices(spark, d).withColumn("std", F.lit(10.0)), "noisy", "std", ["part"])
+    return learn.sample_means(stats, learn.NormalMean(1500.0, 1000.0), "std", ["part"]).select("part", "n", r6("mean").alias("mean"))
 
 
 # --- truth discovery ----------------------------------------------------------------------------------

@@ -428,6 +428,30 @@ def base_of(mean: str) -> str:
 sql("stats_gaussian_units", PRICES, f"SELECT part, 150.0e0 AS std, count(*) AS n, round(sum({base_of('truth')}), 4) AS sum FROM prices GROUP BY part")
 sql("learn_mean", PRICES, f"SELECT part, {r('(1500.0e0 / 1.0e6 + sum(noisy) / 100.0e0) / (1.0e0 / 1.0e6 + count(*) / 100.0e0)')} AS mean FROM prices GROUP BY part")
 
+def normal_draw(tag: str, key: str) -> str:
+    return f"(sqrt(-2.0e0 * ln({u(tag + '.r', key)})) * cos(2.0e0 * pi() * {u(tag + '.a', key)}))"
+
+
+def gamma_draw(shape: str, tag: str, key: str) -> str:
+    """The first good one of 16 tries."""
+    own = f"(i::VARCHAR || '|' || {key})"
+    d = f"(CASE WHEN {shape} < 1.0e0 THEN {shape} + 1.0e0 ELSE {shape} END - 1.0e0 / 3.0e0)"
+    tries = f"list_transform(range(16), lambda i: {{'x': {normal_draw(tag, own)}, 'u': {u(tag + '.u', own)}}})"
+    cubed = f"list_transform({tries}, lambda t: {{'x': t.x, 'u': t.u, 'v': pow(1.0e0 + t.x / sqrt(9.0e0 * {d}), 3.0e0)}})"
+    good = f"list_filter({cubed}, lambda t: CASE WHEN t.v > 0 THEN ln(t.u) < 0.5e0 * t.x * t.x + {d} - {d} * t.v + {d} * ln(t.v) ELSE false END)"
+    return f"(({d} * {good}[1].v) * CASE WHEN {shape} < 1.0e0 THEN pow({u(tag + '.s', key)}, 1.0e0 / {shape}) ELSE 1.0e0 END)"
+
+
+sql("learn_sampled", BYSRC + f", dr AS (SELECT source, {gamma_draw('(10.0e0 + errors)', 'rate.x', 'source::VARCHAR')} AS x, {gamma_draw('(50.0e0 + matches)', 'rate.y', 'source::VARCHAR')} AS y FROM bs)",
+    f"SELECT source, {r('(x / (x + y))')} AS rate FROM dr")
+sql("learn_sampled_proportions", FLAT + f""", nn AS (SELECT true_region, true_segment, count(*) AS n FROM flat GROUP BY ALL),
+sh AS (SELECT true_region, true_segment, (n + length(true_segment) / 10.0e0)::DOUBLE AS a, {ident('true_region', 'true_segment')} AS k FROM nn),
+dr AS (SELECT true_region, true_segment, {gamma_draw('a', 'share', 'k')} AS g FROM sh)""",
+    f"SELECT true_region, true_segment, {r('(g / sum(g) OVER (PARTITION BY true_region))')} AS p FROM dr")
+sql("learn_sampled_means", PRICES + f""", ms AS (SELECT part, count(*) AS n, (1500.0e0 / 1.0e6 + sum(noisy) / 100.0e0) / (1.0e0 / 1.0e6 + count(*) / 100.0e0) AS mean,
+   1.0e0 / 1.0e6 + count(*) / 100.0e0 AS precision, {ident('part')} AS k FROM prices GROUP BY part)""",
+    f"SELECT part, n, {r('(mean + sqrt(1.0e0 / precision) * ' + normal_draw('mean', 'k') + ')')} AS mean FROM ms")
+
 # --- truth discovery -----------------------------------------------------------------------------------------------
 
 FLAGS = """cnt AS (SELECT l_partkey, l_returnflag AS option, count(*) AS n FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY ALL),
