@@ -84,7 +84,7 @@ class Graph:
         size = max(width, len(self.entries))
         ids = np.full((n, size), k, np.int64)
         ids[:, : len(self.entries)] = self.entries
-        padded = np.vstack([self.centroids, np.full((1, x.shape[1]), 1e9)])
+        padded = np.vstack([self.centroids, np.full((1, x.shape[1]), np.inf)])
         d = ((padded[ids] - x[:, None, :]) ** 2).sum(-1)
         seen = np.zeros((n, k + 1), bool)
         seen[:, k] = True
@@ -123,7 +123,10 @@ class Graph:
             ids, d = self.search(x[left], width)
             sums = np.cumsum(np.append(enough, 0)[ids], axis=1)
             take = np.maximum((d <= ratio * d[:, :1]).sum(1), (sums < wanted).sum(1) + 1)
-            done = (take < ids.shape[1]) | (ids.shape[1] == len(self.centroids))
+            whole = ids.shape[1] == len(self.centroids)
+            # The search may reach fewer centroids than asked for; then a wider one is due.
+            reached = ids[np.arange(len(ids)), np.minimum(take, ids.shape[1]) - 1] < len(self.centroids)
+            done = (take < ids.shape[1]) & reached | whole
             for i in np.flatnonzero(done):
                 out[left[i]] = ids[i, : take[i]]
             left, width = left[~done], width * 4

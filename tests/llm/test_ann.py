@@ -69,3 +69,15 @@ def test_odd_vectors(spark):
     assert got == {0: [(1.0, 100), (2**0.5, 1)], 100: [(1.0, 0), (5**0.5, 1)]}
     for few in ([], [(2, None)], [(0, [1.0])]):
         assert ann.neighbours(frame(spark, few), F.col("vec_id") % 100 == 0).collect() == []
+
+
+@pytest.mark.parametrize("scale", [1e-12, 1.0, 1e12])
+def test_any_scale(spark, scale):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 8)) * scale
+    rows = [(i, x[i].tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = got_of(ann.neighbours(df, F.col("vec_id") % 100 == 0, list_size=4, block=128))
+    want = brute(rows, range(0, 3000, 100), 10)
+    hits = sum(len({i for _, i in want[q]} & {i for _, i in got[q]}) for q in want)
+    assert hits / (10 * len(want)) >= 0.9
