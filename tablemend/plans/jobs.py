@@ -135,11 +135,18 @@ def without_candidate(repaired: DataFrame, column: str, score: str = "score") ->
 # --- missing cells ------------------------------------------------------------------
 
 def impute(records: DataFrame, column: str, group: Sequence[str], out: str | None = None) -> DataFrame:
-    """Fill missing cells with their group's likeliest option, else with the likeliest overall."""
+    """Fill missing cells with their group's likeliest option, else with the likeliest overall.  Rows whose
+    group is missing are a group too."""
     seen = records.where(F.col(column).isNotNull()).groupBy(*group, F.col(column).alias("option")).agg(F.count("*").cast("double").alias("n"))
     overall = best(seen.groupBy("option").agg(F.sum("n").alias("n")), [], "n", ["option"], ["option"])
     sizes = records.groupBy(*group).agg(F.count("*").alias("_rows"))
-    local = sizes.join(best(seen, list(group), "n", ["option"], ["option"]).withColumnRenamed("option", "_local"), list(group))
+    found = best(seen, list(group), "n", ["option"], ["option"]).withColumnRenamed("option", "_local")
+    # Every group has its row here, one without a shown value and the one of missing keys too, so that all
+    # large groups are known to the join with the records.
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(f"s.`{g}`").eqNullSafe(F.col(f"f.`{g}`"))
+    local = sizes.alias("s").join(found.alias("f"), same, "left").select("s.*", "f._local")
     filled = F.coalesce(F.col(column), F.col("_local"), overall.select("option").scalar())
     return (
         spread_join(records, local, list(group), "_rows")

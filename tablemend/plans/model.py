@@ -94,11 +94,12 @@ def _vote(linked_cells: DataFrame) -> DataFrame:
     return best(votes, ["entity_id", "path"], "score", ["value"], ["value"])
 
 
-def _score(candidates: DataFrame, cells: DataFrame, attrs: DataFrame, sizes: DataFrame, strength: float, discount: float) -> DataFrame:
-    """Link prior plus typo likelihoods of all cells, every distinct pair of spellings scored once."""
+def _score(candidates: DataFrame, cells: DataFrame, attrs: DataFrame, sizes: DataFrame, max_typos: int, strength: float, discount: float) -> DataFrame:
+    """Link prior plus typo likelihoods of all cells, every distinct pair of spellings scored once.  A cell more
+    than ``max_typos`` away counts as impossible, so distances need not be known beyond that."""
     met = candidates.join(cells.select("tuple_id", "path", "observed", "typos"), "tuple_id").join(attrs, ["entity_id", "path"], "left")
     pairs = met.where("value <> observed and typos").select("observed", "value").distinct()
-    scored = pairs.withColumn("_k", edit_distance("observed", "value")).withColumn("_far", loglik.typos("_k", "observed", "value")).drop("_k")
+    scored = pairs.withColumn("_k", edit_distance("observed", "value", max_typos)).withColumn("_far", loglik.typos("_k", "observed", "value", max_typos)).drop("_k")
     unknown = -F.length("observed") * F.ln(F.lit(28.0))  # no value yet: any spelling by letters
     same = loglik.typos(F.lit(0), "observed", "observed", 0)
     each = (
@@ -167,7 +168,7 @@ def clean(
         sizes = links.join(sizes_of, "tuple_id").groupBy("entity_id").agg(F.sum("c").alias("n"))
         entity_keys = _recognised(attrs, "entity_id", cls.keys)
         candidates = cut_lineage(tuple_keys.join(entity_keys, ["key", "h"]).select("tuple_id", "entity_id").distinct())
-        chosen = best(_score(candidates, cells, attrs, sizes, strength, discount), ["tuple_id"], "score", ["entity_id"], ["entity_id"])
+        chosen = best(_score(candidates, cells, attrs, sizes, max_typos, strength, discount), ["tuple_id"], "score", ["entity_id"], ["entity_id"])
         own = key_hash(F.lit(cls.name), F.col("tuple_id"))
         links = sizes_of.join(chosen, "tuple_id", "left").select("tuple_id", F.coalesce("entity_id", own).alias("entity_id"))
     links = cut_lineage(links)
@@ -180,10 +181,12 @@ def clean(
     wide = cut_lineage(_class_tables(cls, cut_lineage(wide), "", tables))
 
     row_links = keyed.select("row_id", "tuple_id").join(links, "tuple_id", "left").select("row_id", "entity_id")
-    fixed = wide.select("entity_id", *[F.col(f"`{c.path}`").alias(f"_{i}") for i, c in enumerate(columns.values())])
-    joined = records.join(row_links, "row_id").join(fixed, "entity_id", "left")
+    fixed = wide.select("entity_id", F.struct(*[F.col(f"`{c.path}`").alias(f"c{i}") for i, c in enumerate(columns.values())]).alias("value"))
+    # Both sides go by names of their own, as the records may have any.
+    found = row_links.join(fixed, "entity_id", "left").select("row_id", "value")
+    joined = records.alias("r").join(found.alias("f"), F.col("r.row_id") == F.col("f.row_id"))
     repaired = {
-        n: F.coalesce(F.col(f"_{i}").cast(records.schema[n].dataType), F.col(f"`{n}`")).alias(n) for i, n in enumerate(names)
+        n: F.coalesce(F.col(f"f.value.c{i}").cast(records.schema[n].dataType), F.col(f"r.`{n}`")).alias(n) for i, n in enumerate(names)
     }
-    flat = joined.select(*[repaired.get(c, F.col(f"`{c}`")) for c in records.columns])
+    flat = joined.select(*[repaired.get(c, F.col(f"r.`{c}`")) for c in records.columns])
     return Cleaned(row_links, wide.select("entity_id", *[F.col(f"`{p}`") for p in paths], "n"), tables, flat)

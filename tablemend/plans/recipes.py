@@ -30,11 +30,11 @@ def clean_claims(
     """
     claims = cells(records, fields, keep=[entity, source]).withColumnRenamed("column", "_field")
     truth, rates = truth_discovery_em(claims, [entity, "_field"], "value", source, rounds, prior, owns)
-    wide = truth.groupBy(entity).agg(*[F.max(F.when(F.col("_field") == f, F.col("value"))).alias(f"_{i}") for i, f in enumerate(fields)])
-    joined = records.join(wide, entity, "left")
+    wide = truth.groupBy(entity).agg(F.struct(*[F.max(F.when(F.col("_field") == f, F.col("value"))).alias(f"c{i}") for i, f in enumerate(fields)]).alias("value"))
+    joined = records.alias("r").join(wide.alias("w"), F.col(f"r.`{entity}`") == F.col(f"w.`{entity}`"), "left")
     # A record of no entity, or of one without any claim, keeps its own.
-    out = {f: F.coalesce(F.col(f"_{i}").cast(records.schema[f].dataType), F.col(f"`{f}`")).alias(f) for i, f in enumerate(fields)}
-    return joined.select(*[out.get(c, F.col(f"`{c}`")) for c in records.columns]), rates
+    out = {f: F.coalesce(F.col(f"w.value.c{i}").cast(records.schema[f].dataType), F.col(f"r.`{f}`")).alias(f) for i, f in enumerate(fields)}
+    return joined.select(*[out.get(c, F.col(f"r.`{c}`")) for c in records.columns]), rates
 
 
 def clean_listings(

@@ -59,7 +59,7 @@ class LinkStream:
     history, and a replayed batch overwrites exactly what it wrote before.
     """
 
-    # The grid the refresh chooses from.
+    # The grid the refresh chooses from.
     STRENGTHS = (0.5, 1.0, 2.0, 4.0)
     DISCOUNTS = (0.0, 0.25, 0.5)
 

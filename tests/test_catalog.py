@@ -14,7 +14,7 @@ def con(sf):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"joint_repair", "learn_sampled", "stream_link"}
+    assert set(QUERIES) - set(ORACLES) == {"joint_repair", "stream_link"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -22,12 +22,6 @@ def test_matches_sql(spark, sf, con, name):
     assert mismatch(QUERIES[name](spark, sf).toPandas(), con.sql(ORACLES[name]).df()) is None
 
 
-def test_sampled_rates_are_repeatable(spark, sf):
-    a = {r.source: r.rate for r in QUERIES["learn_sampled"](spark, sf).collect()}
-    b = {r.source: r.rate for r in QUERIES["learn_sampled"](spark, sf).collect()}
-    assert a == b and all(0 < r < 1 for r in a.values())
-
-
 def test_stream_links_every_record_once(spark, sf):
     rows = QUERIES["stream_link"](spark, sf).collect()
     assert len({r.row_id for r in rows}) == len(rows) == 150

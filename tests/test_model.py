@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tablemend.functions import models
 from tablemend.operators import inject, learn
 from tablemend.plans import catalog, fixtures
+from tablemend.plans.jobs import impute
 from tablemend.plans.model import Column, EntityClass, clean
 from tablemend.plans.recipes import clean_claims, clean_listings
 from tablemend.session import cut_lineage
@@ -36,6 +37,22 @@ def test_clean_input_stays_as_it_is(spark):
     assert out.tables["Hospital"].count() == 10 and out.tables["Place"].count() == 5
 
 
+def test_columns_of_any_name(spark):
+    rows = [(str(i), f"hospital {'abcdefghij'[i % 10] * 5}", f"town {'uvwxy'[i % 5] * 4}", i, "x", "y") for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id string, name string, _1 string, entity_id int, _0 string, value string")
+    cls = EntityClass("Hospital", ["name"], [["name"]], {"loc": EntityClass("Place", ["town"], [["town"]])})
+    out = clean(df, cls, {"name": Column("name"), "_1": Column("loc.town")}).flat
+    assert out.columns == df.columns and out.exceptAll(df).count() == 0
+    claims = spark.createDataFrame([(1, "s", "a", "q"), (1, "t", "a", "q"), (1, "u", "b", "q")], "flight int, src string, dep string, _0 string")
+    assert {tuple(r) for r in clean_claims(claims, "flight", "src", ["dep"])[0].collect()} == {(1, s, "a", "q") for s in "stu"}
+
+
+def test_rows_without_a_group_are_one(spark):
+    df = spark.createDataFrame([(1, None, "a"), (2, None, None), (3, None, "a"), (4, "g", "b"), (5, "g", "b"), (6, "g", "b"), (7, "g", None), (8, "h", None)], "row_id int, g string, v string")
+    got = {r.row_id: r.v for r in impute(df, "v", ["g"]).collect()}
+    assert got == {1: "a", 2: "a", 3: "a", 4: "b", 5: "b", 6: "b", 7: "b", 8: "b"}
+
+
 def test_claims_of_several_fields(spark):
     rng = random.Random(7)
     rate = {f"s{i}": (0.05 if i < 4 else 0.5) for i in range(8)}
