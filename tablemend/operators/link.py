@@ -7,8 +7,8 @@ decision is joined back to the records at the end.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from tablemend.functions.expr import key_hash, ln_gamma, r6
 from tablemend.operators.candidates import by_segments
 from tablemend.operators.choose import best, log_sum_exp, top_k
 from tablemend.operators.domains import letter_bigrams, text_prior
+from tablemend.operators.learn import learn_proportions, learn_py
 from tablemend.operators.spread import no_clash, spread_join
 from tablemend.session import cut_lineage
 
@@ -188,11 +189,12 @@ def link(tups: DataFrame, entities: DataFrame, m: LinkModel) -> DataFrame:
     return decided.withColumn("is_new", F.col("entity_id").isNull()).withColumn("entity_id", F.coalesce("entity_id", own))
 
 
-def relink(tups: DataFrame, entities: DataFrame, m: LinkModel) -> DataFrame:
+def relink(tups: DataFrame, entities: DataFrame, m: LinkModel, weights: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """As ``link``, with the new-entity branch scored too.
 
     The new branch sums, per field, over the field's options (letter prior + typo
-    likelihood); fields add up, so options are never combined across fields.
+    likelihood); fields add up, so options are never combined across fields.  ``weights`` has
+    (option, p) for exact columns whose options are not all equally likely.
     """
     existing = scored_candidates(tups, entities, m)
     words = name_prior(tups, m)
@@ -202,10 +204,14 @@ def relink(tups: DataFrame, entities: DataFrame, m: LinkModel) -> DataFrame:
     total = entities.select(F.sum("n")).scalar()
     n_entities = entities.select(F.count("*")).scalar()
     score = loglik.link_new(n_entities, total, F.lit(m.strength), F.lit(m.discount)) + F.col("lse")
-    for c in m.exact:
-        n_options = tups.select(F.count_distinct(c)).scalar()
-        score = score - F.when(F.col(c).isNotNull(), F.ln(n_options.cast("double"))).otherwise(0.0)
-    opened = tups.join(spread, m.name).select(*m.fields, m.entity_id(), score.alias("score"), F.lit(True).alias("is_new"))
+    options_of = tups.join(spread, m.name)
+    for i, c in enumerate(m.exact):
+        n_options = F.ln(tups.select(F.count_distinct(c)).scalar().cast("double"))
+        if weights and c in weights:
+            options_of = options_of.join(weights[c].select(F.col("option").alias(c), F.ln("p").alias(f"_w{i}")), c, "left")
+            n_options = F.coalesce(-F.col(f"_w{i}"), n_options)
+        score = score - F.when(F.col(c).isNotNull(), n_options).otherwise(0.0)
+    opened = options_of.select(*m.fields, m.entity_id(), score.alias("score"), F.lit(True).alias("is_new"))
     both = existing.select(*m.fields, "entity_id", "score", F.lit(False).alias("is_new")).unionByName(opened)
     return on_tuple(tups, best(both, m.fields, "score", ["is_new", "entity_id"]), m)
 
@@ -233,6 +239,36 @@ def reestimate(links: DataFrame, m: LinkModel) -> DataFrame:
     return out.withColumnRenamed("entity_id", "old_id").withColumn("entity_id", m.entity_id())
 
 
+def learn_model(entities: DataFrame, tups: DataFrame, m: LinkModel, strengths: Sequence[float], discounts: Sequence[float]) -> tuple[LinkModel, dict[str, DataFrame]]:
+    """What the entities of a round say about the model: the entity-count prior, from how many references each
+    has, and the weights of the exact columns' options, from the references to entities that show them."""
+    grid = learn_py(entities.select("n"), strengths, discounts).first()
+    weights = {}
+    for c in m.exact:
+        counts = entities.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("option")).agg(F.sum("n").alias("n"))
+        options = tups.where(F.col(c).isNotNull()).select(F.col(c).alias("option")).distinct()
+        weights[c] = cut_lineage(learn_proportions(counts, options))
+    return replace(m, strength=grid["strength"], discount=grid["discount"]), weights
+
+
+def sweep_learned(
+    tups: DataFrame, links: DataFrame, m: LinkModel, strengths: Sequence[float], discounts: Sequence[float]
+) -> tuple[DataFrame, DataFrame, LinkModel]:
+    """One full round: entities from their records, parameters from the entities, then every record against all entities
+    and a new one.  Returns links (with ``score``), the entities found and the learned model.  A tuple
+    without a name keeps an entity of its own."""
+    sizes = links.groupBy(F.col("entity_id").alias("old_id")).agg(F.sum("c").alias("n"))
+    entities = cut_lineage(reestimate(links, m).join(sizes, "old_id").groupBy("entity_id", *m.fields).agg(F.sum("n").alias("n")))
+    learned, weights = learn_model(entities, tups, m, strengths, discounts)
+    decided = relink(tups, entities, learned, weights)
+    own = m.entity_id()
+    return (
+        decided.select(*m.fields, "c", F.coalesce("entity_id", own).alias("entity_id"), F.coalesce("is_new", F.lit(True)).alias("is_new"), "score"),
+        entities,
+        learned,
+    )
+
+
 def sweep(tups: DataFrame, links: DataFrame, m: LinkModel) -> tuple[DataFrame, DataFrame]:
     """One round: entities from their records, then records against the entities.
     Returns the new links and the entities still referred to; each version is written

@@ -651,6 +651,28 @@ def sweep_twice(spark, d):
     return _after(spark, d, 2)[1]
 
 
+def _swept_learned(spark, d):
+    flat = cut_lineage(fx.customers_flat(spark, d).select("row_id", "nation", "region"))
+    return flat, jobs.sweeps_learned(flat, NATION, 2, STRENGTHS, DISCOUNTS)
+
+
+@query
+def sweep_learned(spark, d):
+    """Two sweeps that learn the entity-count prior and the regions' weights, and may open entities."""
+    flat, out = _swept_learned(spark, d)
+    fixed = jobs.repaired_fields(flat, out.links, out.entities, NATION).select("row_id", "nation", "region", "entity_id")
+    scores = link.on_tuple(flat, out.links.select("nation", "region", "c", "is_new", "score"), NATION)
+    return fixed.join(scores.select("row_id", "is_new", r6("score").alias("score")), "row_id")
+
+
+@query
+def sweep_progress(spark, d):
+    """What each sweep learned and did."""
+    _, out = _swept_learned(spark, d)
+    rows = spark.createDataFrame([tuple(p.values()) for p in out.progress], "sweep int, strength double, discount double, tuples long, records long, opened long, score double")
+    return rows.withColumn("score", F.round("score", 3))
+
+
 def _entity_tables(entities):
     """Nation entities with their reference to region entities, and those."""
     from tablemend.functions.expr import key_hash

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tablemend.functions.expr import owner_rate, r6, safe_ln
 from tablemend.functions.units import Transform, best_unit
 from tablemend.operators.choose import best
 from tablemend.operators.learn import Beta, NormalMean, count_errors, gaussian_stats, learn_error_rate, learn_mean, lookup
-from tablemend.operators.link import LinkModel, link, on_tuple, seed_entities, sweep, tuples
+from tablemend.operators.link import LinkModel, link, on_tuple, seed_entities, sweep, sweep_learned, tuples
 from tablemend.operators.spread import no_clash, spread_join
-from tablemend.session import cut_lineage
+from tablemend.session import Versions, cut_lineage, scratch
 
 
 # --- conflicting sources --------------------------------------------------------
@@ -202,6 +203,42 @@ def sweeps(records: DataFrame, m: LinkModel, rounds: int) -> tuple[DataFrame, Da
     return links, entities
 
 
+@dataclass
+class Swept:
+    links: DataFrame  # tuples, c, entity_id, is_new, score
+    entities: DataFrame  # those referred to, with n
+    model: LinkModel  # with the entity-count prior learned last
+    progress: list[dict]  # a row per sweep, counted while its links were written
+
+
+def sweeps_learned(
+    records: DataFrame, m: LinkModel, rounds: int, strengths: Sequence[float] = (0.5, 1.0, 2.0, 4.0), discounts: Sequence[float] = (0.0, 0.25, 0.5)
+) -> Swept:
+    """``rounds`` full sweeps: entities, parameters, then links with the new-entity branch scored.
+
+    Every version of the state is written whole and then replaces the one before; all else that a sweep writes
+    is dropped at its end, so lineage and disk stay as they are after the first.
+    """
+    spark = records.sparkSession
+    versions, progress, learned = Versions(spark), [], m
+    with scratch(spark):
+        tups, links, seeds = initial_links(records, m)
+        state = versions.commit(tups=tups, links=links.withColumn("score", F.lit(None).cast("double")), entities=seeds)
+    for i in range(rounds):
+        seen = Observation()
+        with scratch(spark):
+            links, entities, learned = sweep_learned(state["tups"], state["links"], m, strengths, discounts)
+            watched = links.observe(
+                seen, F.count(F.lit(1)).alias("tuples"), F.coalesce(F.sum("c"), F.lit(0)).alias("records"),
+                F.coalesce(F.sum(F.when(F.col("is_new"), F.col("c"))), F.lit(0)).alias("opened"), F.coalesce(F.sum(F.col("score") * F.col("c")), F.lit(0.0)).alias("score"),
+            )
+            state |= versions.commit(links=watched)
+            referred = entities.join(state["links"].select("entity_id"), "entity_id", "left_semi")
+            state |= versions.commit(entities=referred)
+        progress.append({"sweep": i + 1, "strength": learned.strength, "discount": learned.discount, **seen.get})
+    return Swept(state["links"], state["entities"], learned, progress)
+
+
 def repaired_fields(records: DataFrame, links: DataFrame, entities: DataFrame, m: LinkModel) -> DataFrame:
     """Records with the linked entity's fields in place of their own; a record that opened
     an entity keeps its own values."""

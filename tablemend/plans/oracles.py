@@ -501,6 +501,42 @@ both_ AS (SELECT nation, region, entity_id, score, false AS is_new FROM cand
      - CASE WHEN region IS NULL THEN 0.0e0 ELSE ln((SELECT count(DISTINCT region) FROM tup)::DOUBLE) END, true FROM tup JOIN os ON observed = nation),
 {best('b', 'both_', 'nation, region', 'score', 'is_new, entity_id')}""", f"SELECT f.row_id, b.entity_id, b.is_new FROM flat f JOIN b ON {SAME.format('f', 'b')}")
 
+def swept_learned(i: int) -> str:
+    """CTEs of full sweep ``i``: entities e{i}, prior py{i}, weights w{i} and links l{i} from links l{i-1}."""
+    n, s, d = f"x{i}", f"(SELECT strength FROM py{i})", f"(SELECT discount FROM py{i})"
+    found = swept(i)
+    entities = found[: found.index(f"l{i}_c_k AS")].rstrip().rstrip(",")
+    scored = candidates(f"{n}_ca", "tup", f"{n}_e")
+    scored = scored.replace(f"ln(n - {D})", f"ln(n - {d})").replace(f"::DOUBLE + {S})", f"::DOUBLE + {s})")
+    return f"""{entities},
+{n}_g AS (SELECT s, d FROM (SELECT unnest([0.5e0, 1.0e0, 2.0e0, 4.0e0, 8.0e0]) AS s), (SELECT unnest([0.0e0, 0.25e0, 0.5e0]) AS d)),
+{n}_py AS (SELECT s AS strength, d AS discount, (SELECT sum(ln(k * d + s)) FROM range((SELECT count(*) FROM {n}_e)) t(k))
+   + (SELECT sum(lgamma(n - d) - lgamma(1.0e0 - d)) FROM {n}_e) - (lgamma((SELECT sum(n) FROM {n}_e) + s) - lgamma(s)) AS score FROM {n}_g),
+py{i} AS (SELECT * FROM {n}_py ORDER BY round(score, 6) DESC, strength, discount LIMIT 1),
+{n}_o AS (SELECT DISTINCT region FROM tup WHERE region IS NOT NULL),
+w{i} AS (SELECT region, (1.0e0 + coalesce(n, 0)) / sum(1.0e0 + coalesce(n, 0)) OVER () AS p FROM {n}_o LEFT JOIN (SELECT region, sum(n) AS n FROM {n}_e WHERE region IS NOT NULL GROUP BY region) USING (region)),
+{scored},
+{n}_both AS (SELECT nation, region, c, entity_id, score, false AS is_new FROM {n}_ca
+  UNION ALL SELECT t.nation, t.region, t.c, {OWN_ID.format('t.')}, ln((SELECT count(*) FROM {n}_e) * {d} + {s}) - ln((SELECT sum(n) FROM {n}_e)::DOUBLE + {s}) + lse
+     + CASE WHEN t.region IS NULL THEN 0.0e0 ELSE ln(w.p) END, true FROM tup t JOIN os ON observed = t.nation LEFT JOIN w{i} w ON w.region = t.region),
+{best(f'l{i}', n + '_both', 'nation, region', 'score', 'is_new, entity_id')},
+e{i} AS (SELECT * FROM {n}_e WHERE entity_id IN (SELECT entity_id FROM l{i}))"""
+
+
+FULL_SWEEPS = f"""{INITIAL},
+nw AS (SELECT nation AS word, sum(c)::BIGINT AS c FROM tup GROUP BY nation),
+{bigrams('bg', 'nw', 'word', 'c')},
+{text_prior('tp', 'nw', 'bg', tails=True)},
+op AS (SELECT o.word AS observed, w.logp + {typo_loglik('damerau_levenshtein(o.word, w.word)', 'w.word')} AS x FROM nw o JOIN tp w ON damerau_levenshtein(o.word, w.word) <= 2),
+os AS (SELECT observed, any_value(mx) + ln(sum(exp(x - mx))) AS lse FROM op JOIN (SELECT observed, max(x) AS mx FROM op GROUP BY observed) USING (observed) GROUP BY observed),
+{swept_learned(1)},
+{swept_learned(2)}"""
+sql("sweep_learned", FULL_SWEEPS, f"""SELECT f.row_id, coalesce(e.nation, f.nation) AS nation, coalesce(e.region, f.region) AS region, l.entity_id, l.is_new, {r('l.score')} AS score
+ FROM flat f JOIN l2 l ON {SAME.format('f', 'l')} LEFT JOIN e2 e USING (entity_id)""")
+sql("sweep_progress", FULL_SWEEPS, " UNION ALL ".join(
+    f"SELECT {i} AS sweep, strength, discount, (SELECT count(*) FROM l{i}) AS tuples, (SELECT sum(c)::BIGINT FROM l{i}) AS records, (SELECT coalesce(sum(c) FILTER (is_new), 0)::BIGINT FROM l{i}) AS opened,"
+    f" (SELECT round(sum(score * c), 3) FROM l{i}) AS score FROM py{i}" for i in (1, 2)))
+
 # --- entity tables ---------------------------------------------------------------------------------------------------------
 
 sql("referring_rows", "", """SELECT 'customer.nation' AS path, c_nationkey::VARCHAR AS entity, count(*) AS n FROM customer GROUP BY ALL

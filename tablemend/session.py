@@ -72,6 +72,26 @@ def drop_table(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+class Versions:
+    """Tables of a loop's state, each version written in full before the one it replaces is dropped, so that neither
+    lineage nor disk grows with the number of rounds."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._paths: dict[str, str] = {}
+
+    def commit(self, **tables: DataFrame) -> dict[str, DataFrame]:
+        """The new versions, read back.  Other names keep theirs."""
+        new = {name: scratch_path(self.spark) for name in tables}
+        for name, df in tables.items():
+            df.write.parquet(new[name])
+        old = [self._paths[name] for name in tables if name in self._paths]
+        self._paths |= new
+        for path in old:
+            drop_table(self.spark, path)
+        return {name: self.spark.read.schema(df.schema).parquet(new[name]) for name, df in tables.items()}
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later stages neither
     recompute it nor depend on executors that may be gone."""
