@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablemend.functions.expr import col, r6, uniform
+from tablemend.operators.spread import no_clash, spread_join
 
 
 def with_group(df: DataFrame, keys: Sequence[str], stats: DataFrame) -> DataFrame:
@@ -81,18 +82,27 @@ def cumulative(df: DataFrame, keys: Sequence[str], p: str, order: Sequence[str])
 
 
 def sample(records: DataFrame, row_key: str, intervals: DataFrame, keys: Sequence[str], tag: str = "link") -> DataFrame:
-    """One candidate per record by weight.  The draw is part of the join condition, so a
-    record meets its group's intervals but only its own choice is ever emitted.  A record of a
-    group without candidates stays, with nothing chosen."""
+    """One candidate per record by weight.  A record of a group without candidates stays, with nothing chosen.
+
+    A group's unit line is cut into as many equal cells as it has candidates; an interval is listed under the cells
+    it touches, at most two per candidate on average, and a record meets those of its own cell only.  So the
+    work follows the records, however many candidates their group has, and a large group is spread over its cells.
+    """
+    rest = [c for c in intervals.columns if c not in keys and c not in ("lo", "hi")]
+    no_clash(records, [*rest, "_cells", "_rows", "_u", "_cell"])
+    cells = intervals.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("_cells"))
+    sizes = with_group(cells, keys, records.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))) if keys else cells.withColumn("_rows", F.lit(0))
+    last = F.col("_cells") - 1
+    touched = F.sequence(F.least(F.floor(F.col("lo") * F.col("_cells")).cast("int"), last), F.least(F.floor(F.col("hi") * F.col("_cells")).cast("int"), last))
+    listed = with_group(intervals, keys, cells).where("hi > lo").withColumn("_cell", F.explode(touched))
     drawn = records.withColumn("_u", uniform(tag, row_key) * 0.999999998)
-    r, i = drawn.alias("r"), intervals.alias("i")
-    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"i.{k}")) for k in keys]
-    inside = (F.col("r._u") >= F.col("i.lo")) & (F.col("r._u") < F.col("i.hi"))
-    rest = [F.col(f"i.{c}") for c in intervals.columns if c not in keys and c not in ("lo", "hi")]
-    cond = inside
-    for s in same:
-        cond = s & cond
-    return r.join(i, cond, "left").select("r.*", *rest).drop("_u")
+    drawn = spread_join(drawn, sizes, keys, "_rows") if keys else with_group(drawn, keys, sizes)
+    r = drawn.withColumn("_cell", F.floor(F.col("_u") * F.col("_cells")).cast("int")).alias("r")
+    i = listed.alias("i")
+    cond = (F.col("r._cell") == F.col("i._cell")) & (F.col("r._u") >= F.col("i.lo")) & (F.col("r._u") < F.col("i.hi"))
+    for k in keys:
+        cond = F.col(f"r.`{k}`").eqNullSafe(F.col(f"i.`{k}`")) & cond
+    return r.join(i, cond, "left").select(*[F.col(f"r.`{c}`") for c in records.columns], *[F.col(f"i.`{c}`") for c in rest])
 
 
 def effective_candidates(posteriors: DataFrame, keys: Sequence[str], p: str = "p", name: str = "ess") -> DataFrame:

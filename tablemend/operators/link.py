@@ -163,6 +163,18 @@ def _without_losers(seeds: DataFrame, rivals: DataFrame, m: LinkModel) -> DataFr
     return seeds.join(losers, "entity_id", "left_anti")
 
 
+def merge_new(opened: DataFrame, m: LinkModel) -> DataFrame:
+    """(fields, c, old_id, entity_id): new entities that are spellings of one another become one.
+
+    ``opened`` has the tuples that opened entities, with their copies ``c``.  A tuple joins a better supported one within the
+    typo bound only if that raises the score of the whole clustering over keeping an entity of its own; what
+    remains links to the likeliest that is left.
+    """
+    tups = cut_lineage(opened.groupBy(*m.fields).agg(F.sum("c").alias("c")))
+    kept = cut_lineage(seed_entities(tups, m))
+    return link(tups, kept, m).select(*m.fields, "c", m.entity_id().alias("old_id"), "entity_id")
+
+
 def link_staged(candidates: DataFrame, entities: DataFrame, m: LinkModel, block: str, beam: int, strength: float, discount: float) -> DataFrame:
     """Best candidate of each tuple when its ``block`` is decided first: (fields, e_* fields, score).
 

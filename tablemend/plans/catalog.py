@@ -577,6 +577,18 @@ def new_entities(spark, d):
     return decided.where("is_new").select("entity_id", "nation", "region", F.col("c").alias("n"))
 
 
+@query
+def merge_new_entities(spark, d):
+    """Records of nations that no entity stands for: their spellings end up in one new entity each."""
+    flat = cut_lineage(fx.customers_flat(spark, d).select("row_id", "nation", "region"))
+    known = fx.table(spark, d, "nation").where("n_nationkey < 12").select(F.col("n_name").alias("nation"))
+    ents = cut_lineage(fx.nations(spark, d, flat).join(known, "nation", "left_semi"))
+    decided = cut_lineage(link.link(link.tuples(flat, NATION), ents, NATION))
+    merged = link.merge_new(decided.where("is_new"), NATION).select("old_id", F.col("entity_id").alias("merged"))
+    out = decided.join(merged, decided.entity_id == merged.old_id, "left").select(*NATION.fields, "c", F.coalesce("merged", "entity_id").alias("entity_id"), "is_new")
+    return link.on_tuple(flat, out, NATION).select("row_id", "entity_id", "is_new")
+
+
 @query
 def relink(spark, d):
     flat = cut_lineage(fx.customers_flat(spark, d).select("row_id", "nation", "region"))
@@ -761,6 +773,17 @@ def nested_tables(spark, d):
     return out
 
 
+@query
+def clean_two_tables(spark, d):
+    """Customers and suppliers, each with columns of their own, voting on the same nations and regions."""
+    sets = {"customer": cut_lineage(fx.customers_flat(spark, d).select("row_id", "nation", "region")), "supplier": cut_lineage(fx.suppliers_flat(spark, d).select("row_id", "country"))}
+    shown = {"customer": {"nation": "nation", "region": "region"}, "supplier": {"country": "nation"}}
+    out = nested.clean_tables(sets, shown, MARKET.refs[0])
+    both = out.flat["customer"].select(F.lit("customer").alias("dataset"), "row_id", "nation", "region").unionByName(
+        out.flat["supplier"].select(F.lit("supplier").alias("dataset"), "row_id", F.col("country").alias("nation"), F.lit(None).cast("string").alias("region")))
+    return both.join(out.links, ["dataset", "row_id"])
+
+
 def _flights(spark, d):
     times = declared.Swaps(("part",), "source", RATE, F.col("part") % 100 == F.col("source"))
     records = cut_lineage(fx.claims_of_fields(spark, d).select("row_id", "part", "source", "kind", "brand"))

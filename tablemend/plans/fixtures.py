@@ -93,6 +93,13 @@ def markets_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("row_id", "segment", "nation", "region", "true_segment", "true_nation", "true_region")
 
 
+def suppliers_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_id, s_name, country, true_nation): suppliers with a mistyped nation and no region."""
+    s = bind_observed(table(spark, sf_dir, "supplier"), ["s_suppkey"])
+    named = s.join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("row_id", "s_name", F.col("n_name").alias("true_nation"))
+    return inject.typos(named, "true_nation", "country").select("row_id", "s_name", "country", "true_nation")
+
+
 def nations(spark: SparkSession, sf_dir: str, flat: DataFrame | None = None) -> DataFrame:
     """The clean entity table (entity_id, nation, region), with ``n`` records naming each exactly if ``flat`` is given."""
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")

@@ -17,7 +17,7 @@ yet takes the best existing or new one in each of its own references.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from itertools import product
 
@@ -30,6 +30,7 @@ from tablemend.operators.choose import best
 from tablemend.operators.link import LinkModel, link, name_prior, on_tuple, seed_entities, typo_pairs
 from tablemend.operators.spread import no_clash, spread_join
 from tablemend.session import cut_lineage
+from tablemend.sources.tables import combine
 
 
 @dataclass(frozen=True)
@@ -221,3 +222,33 @@ def clean_nested(records: DataFrame, cls: Nested, max_typos: int = 2, prior: Pri
     out = spread_join(records, fixed, columns, "_copies")
     repaired = {a: F.coalesce(f"_{a}", a).alias(a) for a in columns}
     return NestedResult(out.select("row_id", *ids, "is_new", "score"), tables, out.select(*[repaired.get(c, F.col(f"`{c}`")) for c in records.columns]))
+
+
+@dataclass
+class SharedResult:
+    links: DataFrame  # dataset, row_id (as text), <Class>_id of every class
+    tables: dict[str, DataFrame]
+    flat: dict[str, DataFrame]  # each dataset with its own columns repaired
+
+
+def clean_tables(datasets: Mapping[str, DataFrame], columns: Mapping[str, Mapping[str, str]], cls: Nested, max_typos: int = 2, prior: Prior = Prior()) -> SharedResult:
+    """:func:`clean_nested` over several tables that show the same entities in columns of their own.
+
+    ``columns`` says for each dataset which of its columns shows which column of the tree; what a dataset does not
+    show is missing there.  The cells of all datasets vote on the entities together.
+    """
+    aligned = combine({n: df.select(F.col("row_id").cast("string").alias("row_id"), *[F.col(f"`{c}`").cast("string").alias(a) for c, a in columns[n].items()]) for n, df in datasets.items()})
+    for a in cls.columns():
+        if a not in aligned.columns:
+            aligned = aligned.withColumn(a, F.lit(None).cast("string"))
+    rows = cut_lineage(aligned.select(key_hash("dataset", "row_id").alias("row_id"), F.struct("dataset", "row_id").alias("_own"), *cls.columns()))
+    out = clean_nested(rows, cls, max_typos, prior)
+    ids = [c.id for c in cls.classes()]
+    links = out.links.join(rows.select("row_id", "_own"), "row_id").select("_own.dataset", "_own.row_id", *ids)
+    fixed, flat = cut_lineage(out.flat), {}
+    for n, df in datasets.items():
+        found = fixed.where(F.col("_own.dataset") == n).select(F.col("_own.row_id").alias("id"), F.struct(*columns[n].values()).alias("value"))
+        joined = df.alias("r").join(found.alias("f"), F.col("r.row_id").cast("string") == F.col("f.id"))
+        shown = {c: F.col(f"f.value.`{a}`").cast(df.schema[c].dataType).alias(c) for c, a in columns[n].items()}
+        flat[n] = joined.select(*[shown.get(c, F.col(f"r.`{c}`")) for c in df.columns])
+    return SharedResult(links, out.tables, flat)

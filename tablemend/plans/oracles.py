@@ -501,6 +501,16 @@ both_ AS (SELECT nation, region, entity_id, score, false AS is_new FROM cand
      - CASE WHEN region IS NULL THEN 0.0e0 ELSE ln((SELECT count(DISTINCT region) FROM tup)::DOUBLE) END, true FROM tup JOIN os ON observed = nation),
 {best('b', 'both_', 'nation, region', 'score', 'is_new, entity_id')}""", f"SELECT f.row_id, b.entity_id, b.is_new FROM flat f JOIN b ON {SAME.format('f', 'b')}")
 
+sql("merge_new_entities", f"""{FLAT},
+{TUPLES},
+{NATIONS},
+enh AS (SELECT * FROM ents WHERE nation IN (SELECT n_name FROM nation WHERE n_nationkey < 12)),
+{linked('m0', 'tup', 'enh')},
+nu AS (SELECT nation, region, c FROM m0 WHERE is_new),
+{seeds('ms', 'nu')},
+{linked('m1', 'nu', 'ms')}""", f"SELECT f.row_id, coalesce(b.entity_id, a.entity_id) AS entity_id, a.is_new FROM flat f JOIN m0 a ON {SAME.format('f', 'a')} LEFT JOIN m1 b ON {SAME.format('f', 'b')}")
+
+
 def swept_learned(i: int) -> str:
     """CTEs of full sweep ``i``: entities e{i}, prior py{i}, weights w{i} and links l{i} from links l{i-1}."""
     n, s, d = f"x{i}", f"(SELECT strength FROM py{i})", f"(SELECT discount FROM py{i})"
@@ -617,6 +627,17 @@ sql("nested_tables", NESTED, " UNION ALL ".join(
     f"SELECT '{name}' AS class, d.{c}_id AS entity_id, coalesce(any_value(e.{c}), min(d.{c})) AS value, {f'coalesce(any_value(e.{ref}), min(d.{ref}))' if ref else 'NULL::VARCHAR'} AS refers_to, sum(d.c)::BIGINT AS n"
     f" FROM done d LEFT JOIN sd{i} e ON e.entity_id = d.{c}_id GROUP BY d.{c}_id"
     for i, name, c, ref in ((3, "Market", "segment", "nation_id"), (2, "Nation", "nation", "region_id"), (1, "Region", "region", ""))))
+sql("clean_two_tables", f"""{FLAT},
+su0 AS (SELECT {ident('s_suppkey')} AS row_id, n_name AS true_nation FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+{typo_steps('su0', 'true_nation', 'nation', 'su')},
+bo AS (SELECT 'customer' AS dataset, row_id, nation, region FROM flat UNION ALL SELECT 'supplier', row_id, nation, NULL FROM su),
+up0 AS (SELECT nation, region, count(*) AS c FROM bo GROUP BY ALL),
+{nested_level(1, 'region', '', [])},
+{nested_level(2, 'nation', 'region_id', ['region'])}""", """SELECT f.dataset, f.row_id, coalesce(n.nation, f.nation) AS nation, CASE WHEN f.dataset = 'customer' THEN coalesce(r.region, f.region) END AS region,
+ t.nation_id AS "Nation_id", t.region_id AS "Region_id" FROM bo f JOIN top2 t ON f.nation IS NOT DISTINCT FROM t.nation AND f.region IS NOT DISTINCT FROM t.region
+ LEFT JOIN sd2 n ON n.entity_id = t.nation_id LEFT JOIN sd1 r ON r.entity_id = t.region_id""")
+
+
 def swapped(src: str, column: str, source_column: str, name: str) -> str:
     """CTE: ``src`` with ``column``, which shows true_{column} or another value of the domain at its source's rate."""
     true = f"true_{column}"

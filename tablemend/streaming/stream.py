@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tablemend.operators.learn import error_counts, learn_py
-from tablemend.operators.link import LinkModel, link, on_tuple, tuples
+from tablemend.operators.link import LinkModel, link, merge_new, on_tuple, tuples
+from tablemend.operators.spread import spread_join
 
 
 def arriving(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
@@ -108,6 +109,14 @@ class LinkStream:
             f"{self.path}/added/batch={batch_id}"
         )
 
+    def merged(self, links: DataFrame) -> DataFrame:
+        """``links`` with near-equal entities that the stream opened as one: batches do not see each other's new
+        entities before they are opened, so the same stranger may have come twice."""
+        opened = links.where("is_new").groupBy(*self.model.fields).agg(F.count("*").alias("c"))
+        mapped = merge_new(opened, self.model).groupBy("old_id").agg(F.min("entity_id").alias("_to"), F.sum("c").alias("_n"))
+        out = spread_join(links.withColumnRenamed("entity_id", "old_id"), mapped, ["old_id"], "_n").drop("_n")
+        return out.withColumn("entity_id", F.coalesce("_to", "old_id")).drop("_to", "old_id").select(*links.columns)
+
     def run(self, stream: DataFrame) -> DataFrame:
         drain(stream, self.process, f"{self.path}/checkpoint")
         return self.spark.read.parquet(f"{self.path}/links")
