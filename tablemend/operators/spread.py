@@ -52,3 +52,16 @@ def spread_join(rows: DataFrame, table: DataFrame, on: Sequence[str], weight: Co
     if how == "inner":
         out = out.where(F.col("_t").isNotNull())
     return out.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.col(f"_t.`{c}`").alias(c) for c in extra])
+
+
+def attach(rows: DataFrame, table: DataFrame, on: Sequence[str]) -> DataFrame:
+    """A left :func:`spread_join` with a table that does not know how many rows each of its keys has: the rows are counted
+    first.  As in a plain join, missing keys match nothing."""
+    known = table
+    for k in on:
+        known = known.where(F.col(f"`{k}`").isNotNull())
+    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    # A row for each key that the rows have, so that large ones are spread whether the table has them or not.
+    extra = [c for c in table.columns if c not in on]
+    found = counts.alias("a").join(known.alias("b"), _same("a", "b", on), "left").select("a.*", *[F.col(f"b.`{c}`") for c in extra])
+    return spread_join(rows, found, on, "_rows").drop("_rows")

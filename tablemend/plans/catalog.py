@@ -12,6 +12,7 @@ from tablemend.functions.expr import approx_equal, blocking_key, is_abbreviation
 from tablemend.functions.units import IDENTITY, THOUSANDS, best_unit
 from tablemend.operators import candidates, choose, domains, evaluate, inject, learn, link, prepare, score, state
 from tablemend.plans import fixtures as fx
+from tablemend.operators.spread import attach
 from tablemend.plans import declared, jobs, nested
 from tablemend.plans.model import Column, EntityClass, clean
 from tablemend.session import cut_lineage, scratch_path
@@ -155,7 +156,8 @@ def domain_grouped(spark, d):
 def domain_lookup(spark, d):
     c = cut_lineage(fx.claims(spark, d).select("row_id", "part", F.col("claim").alias("option")))
     priors = domains.uniform_domain(c.select("part", "option").distinct(), ["part"])
-    return c.join(priors, ["part", "option"]).select("row_id", "option", r6("log_prior").alias("log_prior"))
+    known = attach(c, priors.select("part", "option", "log_prior"), ["part", "option"]).where("log_prior is not null")
+    return known.select("row_id", "option", r6("log_prior").alias("log_prior"))
 
 
 @query

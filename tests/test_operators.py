@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablemend.operators import candidates, choose, domains, evaluate, inject, learn, link, prepare
+from tablemend.operators import spread
 from tablemend.operators.spread import spread_join
 from tablemend.plans import jobs
 from tablemend.sources import sinks, tables
@@ -155,6 +156,13 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "progress")).count() == 2
 
 
+def test_attach_equals_plain_left_join(spark):
+    rows = spark.createDataFrame([(i, None if i % 7 == 0 else "hot" if i % 3 else f"k{i % 50}", i % 2) for i in range(3000)], "i int, k string, g int")
+    table = spark.createDataFrame([("hot", 0, "h0"), ("k3", 1, "x"), (None, 0, "never"), ("absent", 0, "y")], "k string, g int, v string")
+    got, want = spread.attach(rows, table, ["k", "g"]), rows.join(table, ["k", "g"], "left").select("i", "k", "g", "v")
+    assert got.columns == want.columns and got.exceptAll(want).count() == 0 and got.count() == 3000
+
+
 @pytest.mark.parametrize("how", ["left", "inner"])
 def test_spread_join_equals_plain_join(spark, how):
     # One key holds a third of all rows, one is missing, one is unknown to the table.
