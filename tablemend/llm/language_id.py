@@ -4,10 +4,10 @@ A bit-sliced Bloom filter has one bit per language in each slot.  Looking an n-g
 slots with AND and returns at once all languages that contain it; a text's n-grams, counted per
 language bit and corrected for each language's share of false positives, decide.
 
-A language contains an n-gram if it is at least ``MIN_SHARE`` of the language's n-grams and at
-least ``OF_BEST`` of the largest share in any language.  At most 1 / MIN_SHARE n-grams can reach
-that share, which bounds the filter whatever the corpus: it is the only thing broadcast.  The
-counts behind the shares are over all labelled texts that are not held out.
+A language contains an n-gram if it is at least ``MIN_SHARE`` of the language's n-grams, however much
+more frequent the n-gram is in another one.  At most 1 / MIN_SHARE n-grams can reach that share, which
+bounds the filter whatever the corpus: it is the only thing broadcast.  The counts behind the shares
+are over all labelled texts that are not held out.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from tablemend.llm.words import pieces, split_words, text_column
 from tablemend.session import cut_lineage
 
 MIN_SHARE = 1e-5
-OF_BEST = 0.5
 BITS_PER_GRAM = 16
 UNKNOWN = "und"
 _HELD = 4_000_000  # counted n-grams a task holds before it sends them on
@@ -138,13 +137,12 @@ class Filters:
         return out
 
 
-def learn(docs: DataFrame, min_share: float = MIN_SHARE, of_best: float = OF_BEST) -> Filters:
+def learn(docs: DataFrame, min_share: float = MIN_SHARE) -> Filters:
     """Filters from the labelled rows that are not held out."""
     counts = cut_lineage(count_grams(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     shares = counts.join(totals, "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share")).where(F.col("share") >= min_share)
-    best = shares.groupBy("gram").agg(F.max("share").alias("best"))
-    rows = shares.join(best, "gram").where(F.col("share") >= of_best * F.col("best")).select("lang", "gram").toArrow()
+    rows = shares.select("lang", "gram").toArrow()
     languages = sorted(r["lang"] for r in totals.select("lang").collect())  # one row per language
     grams, place = np.unique(np.asarray(rows["gram"], np.int64), return_inverse=True)
     masks = np.zeros((len(grams), len(languages)), bool)
