@@ -386,11 +386,13 @@ def resolved(records: DataFrame) -> DataFrame:
     A revisit whose response is not there, or has another digest than the revisit declares, says so in
     ``problem``.  Record ids are taken to be unique, as the format demands.
     """
-    first = records.where("record_type = 'response'").select(
-        F.col("record_id").alias("refers_to_id"), F.struct("page_id", "payload_bytes", "payload_digest").alias("_first")
-    )
-    rows = records.join(first, "refers_to_id", "left")
+    first = records.where("record_type = 'response'").select(F.col("record_id").alias("_key"), F.struct("page_id", "payload_bytes", "payload_digest").alias("_first"))
     is_revisit = F.coalesce(F.col("record_type") == "revisit", F.lit(False))
+    # Other records look nothing up; a key of their own spreads them.
+    own = F.concat_ws("#", "file", F.col("offset").cast("string"))
+    keyed = records.withColumn("_key", F.when(is_revisit & F.col("refers_to_id").isNotNull(), F.col("refers_to_id")).otherwise(own))
+    # By merge: the planner sees the list of archives, not what they hold, and would take the responses for few.
+    rows = keyed.join(first.hint("merge"), "_key", "left")
     wrong = F.when(F.col("_first").isNull(), "response not found").when(F.col("_first.payload_digest") != F.col("declared_digest"), "declared digest differs")
     return rows.select(
         *[c for c in records.columns if c not in ("payload_bytes", "payload_digest", "problem")],

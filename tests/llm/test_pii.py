@@ -4,6 +4,7 @@ import datetime
 import random
 import re
 
+from tablemend.session import cut_lineage
 from tablemend.llm import pii
 
 
@@ -96,7 +97,7 @@ def test_values_inside_what_fails(spark):
     }
     df = spark.createDataFrame([(i, t) for i, t in enumerate(want)], "doc_id long, text string")
     for key in ("a", "b", "c"):
-        new = pii.pseudonymise(df, key).localCheckpoint()
+        new = cut_lineage(pii.pseudonymise(df, key))
         back = {r.doc_id: r.text for r in pii.restore(new, key).collect()}
         for r in new.collect():
             text = list(want)[r.doc_id]
@@ -112,7 +113,7 @@ def test_crowded_numbers_come_back(spark):
     parts = lambda: rng.choice([card(rng), str(rng.randrange(10 ** rng.randrange(1, 6))), "212-555-1234", "10.1.2.3", "2020-01-31", "123-45-6789", "BE71 0961 2345 6769", "EUR", "a@b.org", "+49 30 1234567"])
     rows = [(i, rng.choice([" ", "-"]).join(parts() for _ in range(rng.randrange(2, 7)))) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    new = pii.pseudonymise(df, "k").localCheckpoint()
+    new = cut_lineage(pii.pseudonymise(df, "k"))
     assert {r.doc_id: r.text for r in pii.restore(new, "k").collect()} == dict(rows)
     assert [r.doc_id for r in new.collect() if r.n_found] and sum(r.text != dict(rows)[r.doc_id] for r in new.collect()) > 200
 
