@@ -149,7 +149,8 @@ def _message(cls: Nested, tups: DataFrame, tables: dict[str, DataFrame], max_typ
         for i, (r, kid, a) in enumerate(zip(cls.refs, kids, anchors, strict=True)):
             rest, fit = rest.join(kid.reach[a].withColumnRenamed("fit", f"_fit{i}"), r.sub), fit + F.col(f"_fit{i}")
         named = sum(anchors, ())
-        reach[named] = rest.select(cls.sub, *[f"{x}_id" for x in named], fit.alias("fit"))
+        # Written, so that the plans above hold one small table instead of all below it.
+        reach[named] = cut_lineage(rest.select(cls.sub, *[f"{x}_id" for x in named], fit.alias("fit")))
 
     numbers = entities.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("many")).first()
     strength, discount = F.lit(prior.strength), F.lit(prior.discount)
@@ -168,7 +169,7 @@ def _message(cls: Nested, tups: DataFrame, tables: dict[str, DataFrame], max_typ
     opened = subs
     score = loglik.link_new(F.lit(numbers["many"]), F.lit(numbers["total"]), strength, discount)
     for i, a in enumerate(attrs):
-        letters = name_prior(subs.select(a, "c"), LinkModel(a, (), max_typos)).select(F.col("word").alias(a), F.col("logp").alias(f"_logp{i}"))
+        letters = cut_lineage(name_prior(subs.select(a, "c"), LinkModel(a, (), max_typos)).select(F.col("word").alias(a), F.col("logp").alias(f"_logp{i}")))
         opened = opened.join(letters, a, "left")
         score = score + F.when(F.col(a).isNull(), 0.0).otherwise(F.col(f"_logp{i}") + loglik.typos(F.lit(0), a, a, max_typos))
     for i, (r, kid) in enumerate(zip(cls.refs, kids, strict=True)):
