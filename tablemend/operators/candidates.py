@@ -93,6 +93,53 @@ def by_segments(observed: DataFrame, words: DataFrame, max_typos: int, on: Seque
     return short.unionByName(long.select(*short.columns))
 
 
+def _segments(text: str, length: Column, shift: Column, max_typos: int) -> Column:
+    """The segments of a word of this length as they stand in ``text``, moved by ``shift``, each hashed with
+    that length and its number."""
+    parts = 2 * max_typos + 1
+    start = lambda i: F.floor(length * i / parts).cast("int") + 1
+    at = F.transform(
+        F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.struct(i.alias("i"), (start(i) + shift).alias("at"), (start(i + 1) - start(i)).alias("n"))
+    )
+    inside = F.filter(at, lambda x: x["at"] >= 1)
+    return F.transform(inside, lambda x: F.xxhash64(length, x["i"], F.substr(F.col(text), x["at"], x["n"])))
+
+
+def _listed(words: DataFrame, word: str, on: Sequence[str], short: Column, long: Column) -> DataFrame:
+    distinct = words.select(*on, word).where(F.col(word).isNotNull()).distinct()
+    return distinct.select(*on, word, F.explode(F.array_distinct(F.concat(short, long))).alias("_v"))
+
+
+def _deletions(word: str, max_typos: int, up_to: int) -> Column:
+    none = F.array().cast("array<bigint>")
+    return F.when(F.length(word) <= up_to, F.transform(deletion_keys(word, max_typos), lambda x: x["v"])).otherwise(none)
+
+
+def word_keys(words: DataFrame, max_typos: int, on: Sequence[str] = ()) -> DataFrame:
+    """(on, word, _v): the keys under which a word is found, whatever its length.  They depend on the word alone, so they
+    may be stored and added to as words come in."""
+    none = F.array().cast("array<bigint>")
+    long = F.when(F.length("word") > SHORT_WORD, _segments("word", F.length("word"), F.lit(0), max_typos)).otherwise(none)
+    return _listed(words, "word", on, _deletions("word", max_typos, SHORT_WORD), long)
+
+
+def observed_keys(observed: DataFrame, max_typos: int, on: Sequence[str] = ()) -> DataFrame:
+    """(on, observed, _v): the keys of all words that may lie within the bound.  Every such word has one of them."""
+    none, near = F.array().cast("array<bigint>"), F.sequence(F.lit(-max_typos), F.lit(max_typos))
+    size = F.length("observed")
+    lengths = F.filter(F.transform(near, lambda more: size + more), lambda n: n > SHORT_WORD)
+    moved = F.flatten(F.transform(lengths, lambda n: F.flatten(F.transform(near, lambda shift: _segments("observed", n, shift, max_typos)))))
+    long = F.when(size > SHORT_WORD - max_typos, moved).otherwise(none)
+    return _listed(observed, "observed", on, _deletions("observed", max_typos, SHORT_WORD + max_typos), long)
+
+
+def meet(observed: DataFrame, words: DataFrame, max_typos: int, on: Sequence[str] = ()) -> DataFrame:
+    """(on, observed, word, k): the pairs within the bound of two tables of keys."""
+    met = observed.join(words, [*on, "_v"]).select(*on, "observed", "word").distinct()
+    # Letters decide, once per pair: equal hashes alone prove nothing.
+    return within_bound(met, "observed", "word", max_typos)
+
+
 def constrained(candidates: DataFrame, conditions) -> DataFrame:
     """Drop candidates that contradict a field observed without error."""
     for c in conditions:

@@ -17,6 +17,7 @@ from tablemend.functions import loglik
 from tablemend.functions.expr import key_hash, ln_gamma, r6
 from tablemend.operators.candidates import by_segments
 from tablemend.operators.choose import best, log_sum_exp, top_k
+from tablemend.operators.consensus import consensus
 from tablemend.operators.domains import letter_bigrams, text_prior
 from tablemend.operators.learn import learn_proportions, learn_py
 from tablemend.operators.spread import no_clash, spread_join
@@ -231,20 +232,11 @@ def relink(tups: DataFrame, entities: DataFrame, m: LinkModel, weights: Mapping[
 def reestimate(links: DataFrame, m: LinkModel) -> DataFrame:
     """Entity attributes from all records linked to them.
 
-    ``links`` has the observed tuple, its copies ``c`` and ``entity_id``.  The name is the
-    option with the highest summed typo likelihood; pairs beyond the bound all score the
-    same constant, so only pairs within it are formed.  Exact columns take their most
-    frequent value.  Entities that end up equal share one id.
+    ``links`` has the observed tuple, its copies ``c`` and ``entity_id``.  The name is the consensus of those
+    shown.  Exact columns take their most frequent value.  Entities that end up equal share one id.
     """
     named = links.where(F.col(m.name).isNotNull()).groupBy("entity_id", F.col(m.name).alias("observed")).agg(F.sum("c").alias("c"))
-    pairs = by_segments(named.select("entity_id", "observed"), named.select("entity_id", F.col("observed").alias("word")), m.max_typos, ["entity_id"])
-    scored = pairs.withColumn("loglik", loglik.typos("k", "observed", "word", m.max_typos) - loglik.IMPOSSIBLE_TYPOS)
-    evidence = (
-        scored.join(named, ["entity_id", "observed"])
-        .groupBy("entity_id", "word")
-        .agg(F.sum(F.col("c") * F.col("loglik")).alias("score"))
-    )
-    out = best(evidence, ["entity_id"], "score", ["word"], ["word"]).withColumnRenamed("word", m.name)
+    out = consensus(named, m.max_typos).withColumnRenamed("word", m.name)
     for column in m.exact:
         votes = links.where(F.col(column).isNotNull()).groupBy("entity_id", column).agg(F.sum("c").cast("double").alias("score"))
         out = out.join(best(votes, ["entity_id"], "score", [column], [column]), "entity_id", "left")
