@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemend.functions import loglik
@@ -63,22 +63,27 @@ def typo_pairs(observed: DataFrame, words: DataFrame, max_typos: int, on: Sequen
     """(observed, word, k, loglik) for distinct pairs within the bound, each scored once.
     ``on`` names columns both sides must agree on.
     """
-    pairs = by_segments(observed, words, max_typos, on)
+    return scored_pairs(by_segments(observed, words, max_typos, on), max_typos)
+
+
+def scored_pairs(pairs: DataFrame, max_typos: int) -> DataFrame:
     return pairs.withColumn("loglik", loglik.typos("k", "observed", "word", max_typos))
 
 
-def scored_candidates(tups: DataFrame, entities: DataFrame, m: LinkModel) -> DataFrame:
+def scored_candidates(tups: DataFrame, entities: DataFrame, m: LinkModel, pairs: DataFrame | None = None, total: Column | None = None) -> DataFrame:
     """(tuple, entity_id, loglik, score): all acceptable entities of each tuple.
 
-    ``entities`` carries entity_id, the model's fields and ``n`` references.
+    ``entities`` carries entity_id, the model's fields and ``n`` references.  A caller that keeps an index passes the
+    scored ``pairs`` it found there; ``entities`` may then be those they name, and ``total`` the references of all.
     """
-    pairs = typo_pairs(tups.select(F.col(m.name).alias("observed")), entities.select(F.col(m.name).alias("word")), m.max_typos)
+    if pairs is None:
+        pairs = typo_pairs(tups.select(F.col(m.name).alias("observed")), entities.select(F.col(m.name).alias("word")), m.max_typos)
     t, e = tups.alias("t"), entities.alias("e")
     met = t.join(pairs.alias("p"), F.col(f"t.{m.name}") == F.col("p.observed"))
     cond = F.col("p.word") == F.col(f"e.{m.name}")
     for c in m.exact:
         cond = cond & (F.col(f"t.{c}").isNull() | (F.col(f"t.{c}") == F.col(f"e.{c}")))
-    total = entities.select(F.sum("n")).scalar()
+    total = entities.select(F.sum("n")).scalar() if total is None else total
     return met.join(e, cond).select(
         "t.*",
         "e.entity_id",
@@ -194,9 +199,10 @@ def link_staged(candidates: DataFrame, entities: DataFrame, m: LinkModel, block:
     return best(picked.withColumn("_in", F.when(F.col("_outside"), 0.0).otherwise(1.0)), m.fields, "_in", [f"e_{m.name}"], [*shown, "score"])
 
 
-def link(tups: DataFrame, entities: DataFrame, m: LinkModel) -> DataFrame:
-    """Best existing entity of each tuple; a tuple without any becomes a new entity itself."""
-    chosen = best(scored_candidates(tups, entities, m), m.fields, "score", ["entity_id"], ["entity_id", "score"])
+def link(tups: DataFrame, entities: DataFrame, m: LinkModel, pairs: DataFrame | None = None, total: Column | None = None) -> DataFrame:
+    """Best existing entity of each tuple; a tuple without any becomes a new entity itself.  ``pairs`` and ``total`` as in
+    :func:`scored_candidates`."""
+    chosen = best(scored_candidates(tups, entities, m, pairs, total), m.fields, "score", ["entity_id"], ["entity_id", "score"])
     decided = on_tuple(tups, chosen, m)
     own = m.entity_id()
     return decided.withColumn("is_new", F.col("entity_id").isNull()).withColumn("entity_id", F.coalesce("entity_id", own))

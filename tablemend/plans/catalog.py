@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemend.functions import loglik, models
-from tablemend.functions.expr import approx_equal, blocking_key, is_abbreviation, is_time, owner_rate, r6
+from tablemend.functions.expr import approx_equal, blocking_key, is_abbreviation, is_time, owner_rate, r6, uniform
 from tablemend.functions.units import IDENTITY, THOUSANDS, best_unit
 from tablemend.operators import candidates, choose, domains, evaluate, inject, learn, link, prepare, score, state
 from tablemend.plans import fixtures as fx
@@ -970,10 +970,27 @@ def stream_error_rate(spark, d):
     return stream.stream_error_rate(arriving, "claim", "truth", "source", f"{path}/out")
 
 
+def _linked_stream(spark, d, entities):
+    """Customers in three arrivals, each one batch: the stream stops after each and goes on from its checkpoint."""
+    flat = fx.customers_flat(spark, d).select("row_id", "nation", "region")
+    arrivals = cut_lineage(flat.withColumn("_arrival", F.floor(uniform("arrival", "row_id") * 3)))
+    path = scratch_path(spark)
+    for i in range(3):
+        arrivals.where(F.col("_arrival") == i).drop("_arrival").write.mode("append").parquet(f"{path}/in")
+        job = stream.LinkStream(spark, NATION, entities.withColumn("n", F.lit(1)), f"{path}/state")
+        links = job.run(stream.arriving(spark, f"{path}/in", flat.schema, files_per_batch=1_000_000))
+    return job, links
+
+
 @query
 def stream_link(spark, d):
-    flat = fx.customers_flat(spark, d).select("row_id", "nation", "region")
-    path = _as_files(spark, flat, 3)
-    entities = fx.nations(spark, d).withColumn("n", F.lit(1))
-    job = stream.LinkStream(spark, NATION, entities, f"{path}/state")
-    return job.run(stream.arriving(spark, f"{path}/in", flat.schema)).select("row_id", "entity_id")
+    _, links = _linked_stream(spark, d, fx.nations(spark, d))
+    return links.select("row_id", "entity_id")
+
+
+@query
+def stream_entities(spark, d):
+    """Entities and their references after a stream that knew no more than twelve of them at first."""
+    known = fx.table(spark, d, "nation").where("n_nationkey < 12").select(F.col("n_name").alias("nation"))
+    job, _ = _linked_stream(spark, d, fx.nations(spark, d).join(known, "nation", "left_semi"))
+    return job.state().select("entity_id", "nation", "region", "n")

@@ -712,6 +712,31 @@ sql("error_report", VERSIONS, """SELECT col AS "column", CASE WHEN changed = 1 T
 WHERE (changed = 1 AND coalesce(cleaned, 0) = 0) OR (error = 1 AND changed = 0) GROUP BY ALL""")
 sql("refresh_batches", CLAIMS, "SELECT (rn // 10000)::BIGINT AS batch, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY row_id) AS rn FROM claims) GROUP BY ALL")
 
+def streamed(where: str) -> str:
+    """CTEs of three batches: links k{i} of batch i, made from entities s{i}; the prior is learned from what two batches left."""
+    made = f"""{FLAT},
+s0 AS (SELECT {ident('n_name', 'r_name')} AS entity_id, n_name AS nation, r_name AS region, 1::BIGINT AS n FROM nation JOIN region ON n_regionkey = r_regionkey WHERE {where})"""
+    for i in range(3):
+        found = linked(f"k{i}", f"t{i}", f"s{i}")
+        if i == 2:
+            found = found.replace(f"ln(n - {D})", "ln(n - (SELECT discount FROM spy))").replace(f"::DOUBLE + {S})", "::DOUBLE + (SELECT strength FROM spy))")
+            made += """,
+sgr AS (SELECT s, d FROM (SELECT unnest([0.5e0, 1.0e0, 2.0e0, 4.0e0]) AS s), (SELECT unnest([0.0e0, 0.25e0, 0.5e0]) AS d)),
+spa AS (SELECT s AS strength, d AS discount, (SELECT sum(ln(k * d + s)) FROM range((SELECT count(*) FROM s2)) t(k))
+   + (SELECT sum(lgamma(n - d) - lgamma(1.0e0 - d)) FROM s2) - (lgamma((SELECT sum(n) FROM s2) + s) - lgamma(s)) AS score FROM sgr),
+spy AS (SELECT * FROM spa ORDER BY round(score, 6) DESC, strength, discount LIMIT 1)"""
+        made += f""",
+t{i} AS (SELECT nation, region, count(*) AS c FROM flat WHERE floor({u('arrival')} * 3) = {i} GROUP BY ALL),
+{found},
+s{i + 1} AS (SELECT entity_id, min(nation) AS nation, min(region) AS region, sum(n)::BIGINT AS n FROM (SELECT entity_id, nation, region, n FROM s{i}
+   UNION ALL SELECT entity_id, CASE WHEN is_new THEN nation END, CASE WHEN is_new THEN region END, c FROM k{i}) GROUP BY entity_id)"""
+    return made
+
+
+sql("stream_link", streamed("true"), " UNION ALL ".join(
+    f"SELECT f.row_id, k.entity_id FROM flat f JOIN k{i} k ON {SAME.format('f', 'k')} WHERE floor({u('arrival', 'f.row_id')} * 3) = {i}" for i in range(3)))
+sql("stream_entities", streamed("n_nationkey < 12"), "SELECT entity_id, nation, region, n FROM s3")
+
 # --- injection --------------------------------------------------------------------------------------------------------------------
 
 sql("inject_typos", PARTS, "SELECT row_id, clean_name AS clean, p_name AS dirty FROM parts")

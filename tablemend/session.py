@@ -72,6 +72,12 @@ def drop_table(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a table's write to ``path`` was committed; a folder alone may be what a lost attempt left."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 class Versions:
     """Tables of a loop's state, each version written in full before the one it replaces is dropped, so that neither
     lineage nor disk grows with the number of rounds."""

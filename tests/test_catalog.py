@@ -14,7 +14,7 @@ def con(sf):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"joint_repair", "stream_link"}
+    assert set(QUERIES) - set(ORACLES) == {"joint_repair"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
