@@ -14,6 +14,7 @@ from tablemend.operators.prepare import position
 from tablemend.session import broadcast_if_small
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
+KEY_LETTERS = 3  # of a short form, by which it is looked up
 
 
 def _n_typos(word: Column, u: Column, max_typos: int) -> Column:
@@ -138,17 +139,45 @@ def expansions(df: DataFrame, column: str, out: str, options: DataFrame, key: st
     return drawn.join(numbered, ["_s", "_i"], "left").withColumn(out, F.coalesce("option", column)).drop("_s", "_i", "_n", "option")
 
 
-def expansion_pairs(shorts: DataFrame, options: DataFrame, on: Sequence[str] = ()) -> DataFrame:
-    """(short, option) pairs where the short form abbreviates the option.
+def _ordered_letters(text: str) -> Column:
+    """The distinct runs of up to three letters, none among them, that occur in this order inside the text.
 
-    The first two letters of a short form occur in that order inside its option, so the
-    join is on them (each option listed under its ordered letter pairs).
+    After a letter's first place all that can follow it still follows, so each run is found once, and the list is bounded by
+    the alphabet, not by the length of the text.
     """
-    chars = F.split(F.lower("option"), "")
-    ordered = F.flatten(
-        F.transform(chars, lambda c, i: F.transform(F.slice(chars, i + 2, F.size(chars)), lambda d: F.concat(c, d)))
-    )
-    # An empty short form stands for every option: it meets them under the empty key.
-    letters = options.select(*on, "option", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), chars, ordered))).alias("_c"))
-    named = shorts.withColumn("_c", F.substring(F.lower("short"), 1, 2))
-    return named.join(letters, [*on, "_c"]).where(is_abbreviation("short", "option")).select(*on, "short", "option")
+    chars = F.filter(F.split(F.lower(text), ""), lambda c: c != "")
+
+    def after(rest: Column, c: Column) -> Column:
+        return F.slice(rest, F.array_position(rest, c).cast("int") + 1, F.size(rest))
+
+    def following(rest: Column, before: Column, more: int) -> Column:
+        own = F.array_distinct(rest)
+        runs = F.transform(own, lambda c: F.concat(before, c))
+        if more == 1:
+            return runs
+        return F.concat(runs, F.flatten(F.transform(own, lambda c: following(after(rest, c), F.concat(before, c), more - 1))))
+
+    return F.concat(F.array(F.lit("")), following(chars, F.lit(""), KEY_LETTERS))
+
+
+def expansion_candidates(shorts: DataFrame, options: DataFrame, on: Sequence[str] = ()) -> DataFrame:
+    """(on, short, option): options that hold the three letters of the short form, in their order, which fewest options hold.
+
+    Every three letters of a short form occur in order inside what it abbreviates, so any of them will do as a key: options
+    are counted per key, and a short form with a key that no option holds meets none.  Shorter ones are their own key; an
+    empty one stands for every option.
+    """
+    size = F.least(F.length(F.lower("short")), F.lit(KEY_LETTERS))
+    own = shorts.select(*on, "short", F.explode(F.filter(_ordered_letters("short"), lambda k: F.length(k) == size)).alias("_c")).distinct()
+    wanted = own.select(*on, "_c").distinct()
+    listed = options.select(*on, "option", F.explode(_ordered_letters("option")).alias("_c"))
+    held = listed.join(wanted, [*on, "_c"], "left_semi").groupBy(*on, "_c").agg(F.count("*").alias("_n"))
+    rarest = F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_c"))
+    keyed = own.join(held, [*on, "_c"], "left").groupBy(*on, "short").agg(rarest.alias("_k")).where("_k.n > 0")
+    keyed = keyed.select(*on, "short", F.col("_k._c").alias("_c"))
+    return keyed.join(listed, [*on, "_c"]).select(*on, "short", "option")
+
+
+def expansion_pairs(shorts: DataFrame, options: DataFrame, on: Sequence[str] = ()) -> DataFrame:
+    """(on, short, option) pairs where the short form abbreviates the option."""
+    return expansion_candidates(shorts, options, on).where(is_abbreviation("short", "option"))
