@@ -194,7 +194,7 @@ def linked(name: str, tup: str, ents: str, k: int = 2) -> str:
    FROM {tup} t LEFT JOIN {name}_b b ON {SAME.format('t', 'b')})"""
 
 
-def seeds(name: str, tup: str, column: str = "nation", exact: str = "region") -> str:
+def seeds(name: str, tup: str, column: str = "nation", exact: str = "region", lo: int = 3) -> str:
     """CTE: tuples that stand for entities of their own."""
     e = f"AND w.{exact} = v.{exact}" if exact else ""
     fields = f"{column}, {exact}" if exact else column
@@ -203,7 +203,7 @@ def seeds(name: str, tup: str, column: str = "nation", exact: str = "region") ->
     region = f"- ln((SELECT count(DISTINCT {exact}) FROM {name}_s)::DOUBLE)" if exact else ""
     return f"""{name}_w AS (SELECT {column} AS word, sum(c)::BIGINT AS c FROM {tup} WHERE {column} IS NOT NULL GROUP BY {column}),
 {bigrams(name + '_bg', name + '_w', 'word', 'c')},
-{text_prior(name + '_tp', name + '_w', name + '_bg', tails=True)},
+{text_prior(name + '_tp', name + '_w', name + '_bg', lo, tails=True)},
 {name}_s AS (SELECT {own_id} AS entity_id, {fields}, c AS n FROM {tup} WHERE {known}),
 {name}_own AS (SELECT s.*, ln((SELECT count(*) FROM {name}_s) * {D} + {S}) + logp {region} + n * {typo_loglik('0', column)}
      + lgamma(n - {D}) - lgamma(1.0e0 - {D}) AS own FROM {name}_s s JOIN {name}_tp t ON t.word = s.{column}),
@@ -692,6 +692,38 @@ sql("clean_rents_like", LISTINGS, f"""SELECT s.row_id, s.key, s.place, s.area, s
 sql("clean_own_model", """seg AS (SELECT unnest(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY']) AS option),
 cu AS (SELECT c_custkey AS row_id, CASE WHEN c_custkey % 3 = 0 THEN lower(c_mktsegment) WHEN c_custkey % 3 = 1 THEN left(c_mktsegment, (3 + c_custkey % 4)::INT) ELSE c_mktsegment END AS shown FROM customer)""",
     "SELECT row_id, coalesce((SELECT min(option) FROM seg WHERE starts_with(option, upper(shown))), shown) AS shown FROM cu")
+PART_CELLS = (("number", "number", False), ("name", "name", True), ("brand", "brand", False), ("type", "type.desc", True))
+JOINT = f"""jr0 AS (SELECT {LINE_ID} AS row_id, p_partkey::VARCHAR AS true_number, p_name AS true_name, p_brand AS true_brand, p_type AS true_type FROM lineitem JOIN part ON p_partkey = l_partkey),
+{typo_steps('jr0', 'true_name', 'name', 'jr1')},
+{typo_steps('jr1', 'true_type', 'type', 'jr2')},
+jr3 AS (SELECT row_id, CASE WHEN {u('missing.true_number')} >= 0.1e0 THEN true_number END AS number, name, CASE WHEN {u('missing.true_brand')} >= 0.1e0 THEN true_brand END AS brand, type FROM jr2),
+jr AS (SELECT *, {ident(*[f"coalesce('=' || {c}, '?')" for c, _, _ in PART_CELLS])} AS tuple_id FROM jr3),
+jt AS (SELECT tuple_id, {', '.join(f'any_value({c}) AS {c}' for c, _, _ in PART_CELLS)}, count(*) AS c FROM jr GROUP BY tuple_id),
+jc AS ({' UNION ALL '.join(f"SELECT tuple_id, c, '{path}' AS path, {typos} AS typos, {c} AS observed FROM jt WHERE {c} IS NOT NULL" for c, path, typos in PART_CELLS)}),
+jw AS (SELECT observed, path, sum(c)::BIGINT AS c FROM jc WHERE typos GROUP BY ALL),
+{seeds('js', 'jw', 'observed', 'path', lo=1)},
+jk AS (SELECT w.observed, w.path, v.entity_id, v.observed AS value, v.n, damerau_levenshtein(w.observed, v.observed) AS k FROM jw w JOIN js v ON v.path = w.path),
+jl AS (SELECT *, ln(n - {D}) - ln((SELECT sum(n) FROM js)::DOUBLE + {S}) + {typo_loglik('k', 'value')} AS score FROM jk WHERE k <= 2),
+{best('jb', 'jl', 'observed, path')},
+cells AS (SELECT c.*, coalesce(b.value, c.observed) AS value FROM jc c LEFT JOIN jb b ON c.typos AND b.observed = c.observed AND b.path = c.path),
+keys AS (SELECT tuple_id, {', '.join(f"max(value) FILTER (path = '{path}') AS {c}" for c, path, _ in PART_CELLS)} FROM cells GROUP BY tuple_id),
+known AS (SELECT DISTINCT tuple_id, c FROM cells),
+lk0 AS (SELECT tuple_id, {ident("'Part'", ident('number'))} AS entity_id FROM keys WHERE number IS NOT NULL),
+vt AS (SELECT entity_id, path, value, sum(c)::DOUBLE AS score FROM cells JOIN lk0 USING (tuple_id) GROUP BY ALL),
+{best('at0', 'vt', 'entity_id, path', 'score', 'value')},
+sz AS (SELECT entity_id, sum(c)::BIGINT AS n FROM lk0 JOIN known USING (tuple_id) GROUP BY entity_id),
+ek AS (SELECT entity_id, {', '.join(f"max(value) FILTER (path = '{path}') AS {c}" for c, path, _ in PART_CELLS)} FROM at0 GROUP BY entity_id),
+cd AS (SELECT tuple_id, entity_id FROM keys k JOIN ek e ON k.number = e.number UNION SELECT tuple_id, entity_id FROM keys k JOIN ek e ON k.name = e.name AND k.brand = e.brand AND k.type = e.type),
+ft AS (SELECT cd.tuple_id, cd.entity_id, sum(CASE WHEN a.value IS NULL THEN -length(c.observed) * ln(28.0e0) WHEN NOT c.typos THEN CASE WHEN a.value = c.observed THEN 0.0e0 ELSE -1.0e5 END
+     WHEN damerau_levenshtein(c.observed, a.value) <= 2 THEN {typo_loglik('damerau_levenshtein(c.observed, a.value)', 'a.value')} ELSE -1.0e5 END) AS fit
+   FROM cd JOIN cells c USING (tuple_id) LEFT JOIN at0 a ON a.entity_id = cd.entity_id AND a.path = c.path GROUP BY ALL),
+sc AS (SELECT tuple_id, entity_id, fit + ln(n - {D}) - ln((SELECT sum(n) FROM sz)::DOUBLE + {S}) AS score FROM ft JOIN sz USING (entity_id)),
+{best('ch', 'sc', 'tuple_id')},
+lk1 AS (SELECT tuple_id, coalesce(ch.entity_id, {ident("'Part'", 'tuple_id')}) AS entity_id FROM known LEFT JOIN ch USING (tuple_id)),
+vt1 AS (SELECT entity_id, path, value, sum(c)::DOUBLE AS score FROM cells JOIN lk1 USING (tuple_id) GROUP BY ALL),
+{best('at1', 'vt1', 'entity_id, path', 'score', 'value')},
+ek1 AS (SELECT entity_id, {', '.join(f"max(value) FILTER (path = '{path}') AS {c}" for c, path, _ in PART_CELLS)} FROM at1 GROUP BY entity_id)"""
+sql("joint_repair", JOINT, f"SELECT f.row_id, {', '.join(f'coalesce(e.{c}, f.{c}) AS {c}' for c, _, _ in PART_CELLS)} FROM jr f LEFT JOIN lk1 USING (tuple_id) LEFT JOIN ek1 e ON e.entity_id = lk1.entity_id")
 sql("repair_typos", f"{PARTS},\n{column_repair('rep', 'parts', 'p_name')}", f"SELECT row_id, repaired, {r('score')} AS score FROM rep")
 SHORT = f"short0 AS (SELECT {ident('doc_id')} AS row_id, lang FROM documents),\n{typo_steps('short0', 'lang', 'shown', 'shorts')}"
 sql("repair_typos_short", f"{SHORT},\n{column_repair('rep', 'shorts', 'shown')}", f"SELECT row_id, repaired, {r('score')} AS score FROM rep")
