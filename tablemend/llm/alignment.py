@@ -95,8 +95,11 @@ class Tokenizers:
 
     def ids_of_stretches(self, own: list[str], sizes: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
         """:meth:`ids` of stretches, ``sizes`` bytes long with their space.  They are encoded side by side in
-        one text, which gives the same ids; where those do not spell the text, each by itself."""
-        runs = np.flatnonzero(np.diff(np.cumsum(sizes) // RUN_BYTES, prepend=-1))
+        one text, which gives the same ids where no white space stands beside the space between two, as tokens of
+        several spaces would cross it; so a run ends there.  Where the ids do not spell the text, each by itself."""
+        bare = np.array([bool(t) and not t[0].isspace() and not t[-1].isspace() for t in own], bool)
+        beside = np.append(False, bare[1:] & bare[:-1])  # the one before
+        runs = np.flatnonzero((np.diff(np.cumsum(sizes) // RUN_BYTES, prepend=-1) != 0) | ~beside)
         ends = np.append(runs[1:], len(own))
         texts = [" ".join(own[s:e]) for s, e in zip(runs.tolist(), ends.tolist(), strict=True)]
         good, found = self.spells(texts, self.ids(texts), np.add.reduceat(sizes, runs))

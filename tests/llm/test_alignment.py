@@ -124,6 +124,15 @@ def test_stretches_change_nothing(models):
             assert b";".join(cut.written(by)) == b";".join(whole.written(by))
 
 
+def test_white_space_at_the_end_of_a_text_touches_no_other(spark, models):
+    rows = list(enumerate(["one ", "語", "two  ", "語 x", "three\t", " 語", "four", "\n語", "five \n", "six seven"]))
+    by = alignment.tokenizers(models)
+    texts = [t for _, t in rows]
+    side_by_side = alignment._Aligned(by, texts)
+    assert side_by_side.written(by) == [alignment._Aligned(by, [t]).written(by)[0] for t in texts]
+    check(alignment.align(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), models).collect(), rows, models)
+
+
 def test_slices_and_large_groups(spark, models, monkeypatch):
     monkeypatch.setattr(alignment, "SLICE_BYTES", 50)
     monkeypatch.setattr(alignment, "LINKS_AT_ONCE", 3)
