@@ -37,6 +37,20 @@ def within_bound(pairs: DataFrame, observed: str, word: str, max_typos: int, nam
     return close.withColumn(name, edit_distance(observed, word, max_typos)).where(F.col(name) <= max_typos)
 
 
+def _met(observed: DataFrame, words: DataFrame, keys: Sequence[str], on: Sequence[str], max_typos: int) -> DataFrame:
+    """(on, observed, word, k): pairs within the bound of two tables of keys that share one of ``keys``.
+
+    Tables of keys are many times as large as the words that Spark knows the size of, so it is told not to
+    broadcast them.
+    """
+    met = observed.join(words.hint("merge"), [*keys]).select(*on, "observed", "word")
+    # Letters decide: equal hashes alone prove nothing.  Where the JVM can tell, they do so before the pairs are made
+    # distinct, as most that meet are too far apart; what costs a call of Python is done once per pair.
+    if max_typos <= 2:
+        return within_bound(met, "observed", "word", max_typos).distinct()
+    return within_bound(met.distinct(), "observed", "word", max_typos)
+
+
 def by_deletion(observed: DataFrame, words: DataFrame, max_typos: int, on: Sequence[str] = ()) -> DataFrame:
     """All (observed, word) pairs within ``max_typos`` edits, found without pairing everything.
 
@@ -50,47 +64,61 @@ def by_deletion(observed: DataFrame, words: DataFrame, max_typos: int, on: Seque
         listed = words_.select(*on, word).distinct().where(F.col(word).isNotNull())
         return listed.select(*on, word, F.inline(deletion_keys(word, max_typos))).select(*on, word, F.col("v").alias("_v"))
 
-    met = keyed(observed, "observed").join(keyed(words, "word"), [*on, "_v"])
-    # Letters decide, once per pair: equal hashes alone prove nothing.
-    return within_bound(met.select(*on, "observed", "word").distinct(), "observed", "word", max_typos)
+    return _met(keyed(observed, "observed"), keyed(words, "word"), [*on, "_v"], on, max_typos)
 
 
 # Up to this length, listing a word's deletions costs no more than listing its segments.
 SHORT_WORD = 20
+SEGMENT = 5  # letters of a segment, where that makes at most MORE_SEGMENTS more than the bound needs
+MORE_SEGMENTS = 8
 
 
 def by_segments(observed: DataFrame, words: DataFrame, max_typos: int, on: Sequence[str] = ()) -> DataFrame:
     """All (observed, word) pairs within ``max_typos`` edits, whatever their lengths.
 
-    A word longer than ``SHORT_WORD`` is cut into 2 * max_typos + 1 segments.  One edit touches at
-    most two of them, a swap across a cut, so one segment stands unchanged in the observed text,
-    moved by at most ``max_typos`` places; the lengths differ by no more.  Both sides list (length
-    of the word, number of the segment, its letters): a number of keys that does not depend on the
-    length, with segments that grow more selective with it.  Shorter words go through ``by_deletion``.
+    A word longer than ``SHORT_WORD`` is cut into 2 * max_typos + 1 segments or, as it is longer, up to
+    ``MORE_SEGMENTS`` more.  One edit touches at most two of them, a swap across a cut, so all but 2 * max_typos stand
+    unchanged in the observed text, and of any 2 * max_typos + 1 at least one.  A word is found under those of its
+    segments that the fewest words have, so that what many have in common (``https://``) brings no pairs
+    together.  A segment is moved by the edits before it, and those behind it make up the rest of the difference in
+    length; both together are at most ``max_typos``.  An observed text lists (length of the word, number of the
+    segment, its letters) for every such place: a number of keys that does not grow with its length.  Shorter words
+    go through ``by_deletion``.
     """
-    obs = observed.select(*on, "observed").where(F.col("observed").isNotNull()).distinct()
-    wrd = words.select(*on, "word").where(F.col("word").isNotNull()).distinct()
+    obs = observed.select(*on, "observed").where(F.col("observed").isNotNull())
+    wrd = words.select(*on, "word").where(F.col("word").isNotNull())
     short = by_deletion(obs.where(F.length("observed") <= SHORT_WORD + max_typos), wrd.where(F.length("word") <= SHORT_WORD), max_typos, on)
-    parts = 2 * max_typos + 1
-
-    span = lambda a, b: F.sequence(F.lit(a), F.lit(b))
+    least = 2 * max_typos + 1
+    # Few bytes become many keys and pairs, so partitions are not to be merged by their bytes.
+    partitions = int(observed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def segments(text: str, length: Column, shift: Column) -> Column:
         """The segments of a word of this length as they stand in ``text``, moved by ``shift``."""
+        parts = F.least(F.greatest(F.floor(length / SEGMENT), F.lit(least)), F.lit(least + MORE_SEGMENTS)).cast("int")
         start = lambda i: F.floor(length * i / parts).cast("int") + 1
-        at = F.transform(span(0, parts - 1), lambda i: F.struct(i.alias("i"), (start(i) + shift).alias("at"), (start(i + 1) - start(i)).alias("n")))
+        at = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.struct(i.alias("i"), (start(i) + shift).alias("at"), (start(i + 1) - start(i)).alias("n")))
         inside = F.filter(at, lambda x: x["at"] >= 1)
         return F.transform(
             inside, lambda x: F.struct(length.alias("_len"), x["i"].alias("_part"), F.xxhash64(F.substr(F.col(text), x["at"], x["n"])).alias("_seg"))
         )
 
-    own = wrd.where(F.length("word") > SHORT_WORD).select(*on, "word", F.inline(segments("word", F.length("word"), F.lit(0))))
-    near = span(-max_typos, max_typos)
-    listed = F.flatten(F.transform(near, lambda more: F.flatten(F.transform(near, lambda shift: segments("observed", F.length("observed") + more, shift)))))
-    theirs = obs.where(F.length("observed") > SHORT_WORD - max_typos).select(*on, "observed", F.inline(F.array_distinct(listed)))
-    met = theirs.where(F.col("_len") > SHORT_WORD).join(own, [*on, "_len", "_part", "_seg"])
-    long = within_bound(met.select(*on, "observed", "word").distinct(), "observed", "word", max_typos)
-    return short.unionByName(long.select(*short.columns))
+    keys = [*on, "_len", "_part", "_seg"]
+    long = wrd.where(F.length("word") > SHORT_WORD).repartition(partitions, *on, "word").distinct()
+    listed = long.select(*on, "word", F.inline(segments("word", F.length("word"), F.lit(0))))
+    shared = listed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_words"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"l.`{k}`").eqNullSafe(F.col(f"s.`{k}`"))
+    counted = listed.alias("l").join(shared.alias("s").hint("merge"), same).select("l.*", "s._words")
+    ranked = counted.groupBy(*on, "word").agg(F.slice(F.array_sort(F.collect_list(F.struct("_words", "_len", "_part", "_seg"))), 1, least).alias("_own"))
+    own = ranked.select(*on, "word", F.inline("_own")).drop("_words").repartition(partitions, *keys)
+
+    moves = [(more, shift) for more in range(-max_typos, max_typos + 1) for shift in range(-max_typos, max_typos + 1) if abs(shift) + abs(more + shift) <= max_typos]
+    places = F.array(*[F.struct(F.lit(more).alias("more"), F.lit(shift).alias("shift")) for more, shift in moves])
+    there = F.flatten(F.transform(places, lambda x: segments("observed", F.length("observed") + x["more"], x["shift"])))
+    near = obs.where(F.length("observed") > SHORT_WORD - max_typos).repartition(partitions, *on, "observed").distinct()
+    theirs = near.select(*on, "observed", F.inline(F.array_distinct(there))).where(F.col("_len") > SHORT_WORD).repartition(partitions, *keys)
+    return short.unionByName(_met(theirs, own, keys, on, max_typos).select(*short.columns))
 
 
 def _segments(text: str, length: Column, shift: Column, max_typos: int) -> Column:
@@ -135,9 +163,7 @@ def observed_keys(observed: DataFrame, max_typos: int, on: Sequence[str] = ()) -
 
 def meet(observed: DataFrame, words: DataFrame, max_typos: int, on: Sequence[str] = ()) -> DataFrame:
     """(on, observed, word, k): the pairs within the bound of two tables of keys."""
-    met = observed.join(words, [*on, "_v"]).select(*on, "observed", "word").distinct()
-    # Letters decide, once per pair: equal hashes alone prove nothing.
-    return within_bound(met, "observed", "word", max_typos)
+    return _met(observed, words, [*on, "_v"], on, max_typos)
 
 
 def constrained(candidates: DataFrame, conditions) -> DataFrame:

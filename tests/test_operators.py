@@ -173,3 +173,29 @@ def test_spread_join_equals_plain_join(spark, how):
     plain = rows.alias("r").join(table.alias("t"), F.col("r.k").eqNullSafe(F.col("t.k")), how).select("r.id", "r.k", "t.n", "t.first")
     assert got.columns == ["id", "k", "n", "first"]
     assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
+
+
+def test_long_words_with_common_parts_equal_brute_force(spark):
+    rng = random.Random(5)
+    base = [f"http{rng.choice(['s', ''])}://{rng.choice(['shop', 'm.news', 'a'])}{rng.randrange(99)}.example.com/{rng.choice('xyz') * rng.randrange(9)}{rng.randrange(200)}?source=feed" for _ in range(150)]
+
+    def edited(w):
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(w) - 1)
+            w = rng.choice([w[:i] + w[i + 1:], w[:i] + "q" + w[i:], w[:i] + w[i + 1] + w[i] + w[i + 2:], w[:i] + "/" + w[i + 1:]])
+        return w
+
+    o = spark.createDataFrame([(edited(w), i % 2) for i, w in enumerate(base * 2)], "observed string, x long")
+    w = spark.createDataFrame([(v, i % 2) for i, v in enumerate(base)], "word string, x long")
+    for k in (1, 2):
+        got = {tuple(r) for r in candidates.by_segments(o, w, k, ["x"]).select("x", "observed", "word", "k").collect()}
+        every = o.distinct().join(w.distinct(), "x")
+        assert got == {tuple(r) for r in candidates.within_bound(every, "observed", "word", k).select("x", "observed", "word", "k").collect()}
+        assert len(got) > 100
+
+
+def test_tables_of_keys_are_not_broadcast(spark, tmp_path):
+    spark.createDataFrame([(f"https://a.example.com/{i}",) for i in range(50)], "observed string").write.parquet(f"{tmp_path}/w")
+    o = spark.read.parquet(f"{tmp_path}/w")
+    for f in (candidates.by_deletion, candidates.by_segments):
+        assert "Broadcast" not in f(o, o.withColumnRenamed("observed", "word"), 2)._jdf.queryExecution().executedPlan().toString()
