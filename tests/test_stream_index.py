@@ -79,3 +79,18 @@ def test_empty_batches_and_no_entities(spark):
     job.process(spark.createDataFrame([("d", "alpa", None)], ROWS), 2)
     assert sorted((r.name, r.n) for r in job.state().collect() if r.name) == [("alpha", 3)]
     assert job.state().count() == 2
+
+
+def test_arrivals_are_written_by_many_tasks_in_four_batches(spark, sf, monkeypatch):
+    import os
+
+    from tablemend.plans import catalog
+
+    seen = {}
+    rows = spark.range(5000).selectExpr("md5(cast(id as string)) row_id", "id")
+    monkeypatch.setattr(catalog.fx, "claims", lambda spark, d: rows)
+    monkeypatch.setattr(catalog.stream, "arriving", lambda spark, path, schema, files_per_batch=1: seen.update(path=path, each=files_per_batch))
+    monkeypatch.setattr(catalog.stream, "stream_error_rate", lambda *a: None)
+    catalog.stream_error_rate(spark, sf)
+    files = [f for f in os.listdir(seen["path"].removeprefix("file:")) if f.startswith("part-")]
+    assert len(files) >= 128 and -(-len(files) // seen["each"]) == 4
