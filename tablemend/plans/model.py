@@ -10,15 +10,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column as SparkColumn
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablemend.functions import loglik
 from tablemend.functions.editdist import edit_distance
 from tablemend.functions.expr import key_hash
 from tablemend.operators.choose import best
-from tablemend.operators.link import LinkModel, link, seed_entities
+from tablemend.operators.link import LinkModel, link, seed_entities, typo_pairs
 from tablemend.session import cut_lineage
 
 
@@ -94,6 +96,78 @@ def _vote(linked_cells: DataFrame) -> DataFrame:
     return best(votes, ["entity_id", "path"], "score", ["value"], ["value"])
 
 
+# Of entities that share a key with no more others than this, all are candidates.
+ALL_OF_KEY = 4
+# Larger groups are told apart by every set of their other attributes, up to so many of these.
+TOLD_APART_BY = 4
+# Priors are compared rounded to 6 decimals: closer ones than this may come out equal.
+PRIOR_SLACK = 2e-6
+
+
+def _agreeing(tuple_keys: DataFrame, entity_keys: DataFrame, cells: DataFrame, attrs: DataFrame, sizes: DataFrame, keys: Sequence[Sequence[str]], columns: Mapping[str, Column], max_typos: int, discount: float) -> DataFrame:
+    """(tuple_id, entity_id): of the entities that agree with a tuple on a key those that may be its best.
+
+    Entities of one key differ only in their other attributes and in their references.  Of those whose other values
+    are as near to a tuple's cells, and that miss the same values, the one with most references is the best, the smallest
+    id among equals.  So a large group keeps one entity for every set of other attributes, the values there and the
+    values missing; a tuple meets those whose values its own cells may show.  The pairs follow the tuples, however
+    many entities share a key.  With more than ``TOLD_APART_BY`` other attributes there would be too many sets,
+    and all entities of the key are met.
+    """
+    rest = [sorted({c.path for c in columns.values()} - set(k)) for k in keys]
+    told = [i for i, r in enumerate(rest) if len(r) <= TOLD_APART_BY]
+    if not told:
+        return tuple_keys.join(entity_keys, ["key", "h"]).select("tuple_id", "entity_id").distinct()
+    shared = entity_keys.groupBy("key", "h").agg(F.count(F.lit(1)).alias("_m")).where((F.col("_m") > ALL_OF_KEY) & F.col("key").isin(told)).drop("_m")
+    few = entity_keys.join(shared, ["key", "h"], "left_anti")
+    many = cut_lineage(entity_keys.join(shared, ["key", "h"]))
+    pairs = tuple_keys.join(few, ["key", "h"]).select("tuple_id", "entity_id")
+    if many.isEmpty():
+        return pairs.distinct()
+
+    # What stands for an entity: its key, a set of other attributes (their places in the list), and the values there.
+    paths = sorted({p for i in told for p in rest[i]})
+    known = attrs.where(F.col("path").isin(paths))
+    values = known.groupBy("entity_id").agg(*[F.max(F.when(F.col("path") == p, F.col("value"))).alias(f"_v{j}") for j, p in enumerate(paths)])
+    listed = many.join(values, "entity_id", "left").join(sizes, "entity_id")
+
+    def sets(i: int) -> list[list[int]]:
+        own = [paths.index(p) for p in rest[i]]
+        return [[j for b, j in enumerate(own) if s >> b & 1] for s in range(1 << len(own))]
+
+    def sign(i: int, chosen: Sequence[int], value: str) -> SparkColumn:
+        """Null where a value is missing, as nothing is near to that."""
+        there = reduce(lambda a, j: a & F.col(f"{value}{j}").isNotNull(), chosen, F.lit(True))
+        return F.when(there, key_hash(F.lit(i), "h", F.lit(",".join(map(str, chosen))), *[F.col(f"{value}{j}") for j in chosen]))
+
+    def signs(value: str) -> SparkColumn:
+        out = F.lit(None).cast("array<string>")
+        for i in told:
+            out = F.when(F.col("key") == i, F.array_compact(F.array(*[sign(i, chosen, value) for chosen in sets(i)]))).otherwise(out)
+        return F.explode(out)
+
+    gaps = key_hash("key", *[F.col(f"_v{j}").isNull() for j in range(len(paths))])
+    standing = listed.select("entity_id", "n", gaps.alias("_gaps"), signs("_v").alias("_sign"))
+    first = standing.groupBy("_sign", "_gaps", "n").agg(F.min("entity_id").alias("entity_id"))
+    support = F.ln(F.col("n") - discount)
+    most = F.max("n").over(Window.partitionBy("_sign", "_gaps"))
+    first = first.withColumn("_most", most).where(support >= F.ln(F.col("_most") - discount) - PRIOR_SLACK).select("_sign", "entity_id")
+
+    seen = tuple_keys.join(shared, ["key", "h"])
+    shown = cells.where(F.col("path").isin(paths)).select("tuple_id", "path", "typos", "observed")
+    read = shown.where("not typos").select("tuple_id", "path", F.col("observed").alias("_value"))
+    typed = sorted({c.path for c in columns.values() if c.typos} & set(paths))
+    if typed:
+        spelled = shown.where("typos").select("path", "observed").distinct()
+        there = known.where(F.col("path").isin(typed)).join(many.select("entity_id").distinct(), "entity_id", "left_semi").select("path", F.col("value").alias("word")).distinct()
+        near = typo_pairs(cut_lineage(spelled), cut_lineage(there), max_typos, ["path"]).select("path", "observed", F.col("word").alias("_value"))
+        read = read.unionByName(shown.where("typos").join(near, ["path", "observed"]).select("tuple_id", "path", "_value"))
+    for j, p in enumerate(paths):
+        seen = seen.join(read.where(F.col("path") == p).select("tuple_id", F.col("_value").alias(f"_o{j}")), "tuple_id", "left")
+    met = seen.select("tuple_id", signs("_o").alias("_sign")).distinct().join(first, "_sign").select("tuple_id", "entity_id")
+    return pairs.unionByName(met).distinct()
+
+
 def _score(candidates: DataFrame, cells: DataFrame, attrs: DataFrame, sizes: DataFrame, max_typos: int, strength: float, discount: float) -> DataFrame:
     """Link prior plus typo likelihoods of all cells, every distinct pair of spellings scored once.  A cell more
     than ``max_typos`` away counts as impossible, so distances need not be known beyond that."""
@@ -167,7 +241,7 @@ def clean(
         attrs = cut_lineage(_vote(cells.join(links, "tuple_id")))
         sizes = links.join(sizes_of, "tuple_id").groupBy("entity_id").agg(F.sum("c").alias("n"))
         entity_keys = _recognised(attrs, "entity_id", cls.keys)
-        candidates = cut_lineage(tuple_keys.join(entity_keys, ["key", "h"]).select("tuple_id", "entity_id").distinct())
+        candidates = cut_lineage(_agreeing(tuple_keys, cut_lineage(entity_keys), cells, attrs, sizes, cls.keys, columns, max_typos, discount))
         chosen = best(_score(candidates, cells, attrs, sizes, max_typos, strength, discount), ["tuple_id"], "score", ["entity_id"], ["entity_id"])
         own = key_hash(F.lit(cls.name), F.col("tuple_id"))
         links = sizes_of.join(chosen, "tuple_id", "left").select("tuple_id", F.coalesce("entity_id", own).alias("entity_id"))

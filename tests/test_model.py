@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tablemend.functions import models
 from tablemend.operators import inject, learn
-from tablemend.plans import catalog, fixtures
+from tablemend.plans import catalog, fixtures, model
 from tablemend.plans.jobs import impute
 from tablemend.plans.model import Column, EntityClass, clean
 from tablemend.plans.recipes import clean_claims, clean_listings
@@ -37,6 +37,30 @@ def test_clean_input_stays_as_it_is(spark):
     assert out.tables["Hospital"].count() == 10 and out.tables["Place"].count() == 5
 
 
+def test_entities_that_share_a_key_are_not_all_met(spark, monkeypatch):
+    rng, rows = random.Random(5), []
+    number = {i: f"{1000 + i}" for i in range(240)}
+    for i in number:  # 40 to 80 entities share each (name, kind)
+        name, kind = ("red kettle", "blue pillow")[i % 2], ("large", "small", "medium")[i % 3 if i % 2 else 0]
+        for _ in range(rng.randint(2, 6)):
+            shown = name if rng.random() < 0.7 else name[:3] + rng.choice("xyz") + name[4:]
+            rows.append((str(len(rows)), number[i] if rng.random() < 0.8 else rng.choice([None, "77777"]), shown if rng.random() < 0.9 else None, kind, rng.choice(["Oslo", "Osla", "Rome", None])))
+    df = spark.createDataFrame(rows, "row_id string, number string, name string, kind string, town string")
+    cls = EntityClass("Item", ["number", "name", "kind", "town"], [["number"], ["name", "kind"]])
+    columns = {"number": Column("number", typos=False), "name": Column("name"), "kind": Column("kind", typos=False), "town": Column("town")}
+    met, score = [], model._score
+    monkeypatch.setattr(model, "_score", lambda candidates, *rest: met.append(candidates.count()) or score(candidates, *rest))
+
+    def cleaned():
+        out = clean(df, cls, columns, sweeps=2)
+        return sorted(map(tuple, out.links.collect())), sorted(map(repr, out.flat.collect()))
+
+    few = cleaned()
+    monkeypatch.setattr(model, "TOLD_APART_BY", -1)  # every entity of a key, as the definition says
+    assert few == cleaned()
+    assert met[0] * 3 < met[2] and met[0] < 10 * len(rows)
+
+
 def test_columns_of_any_name(spark):
     rows = [(str(i), f"hospital {'abcdefghij'[i % 10] * 5}", f"town {'uvwxy'[i % 5] * 4}", i, "x", "y") for i in range(60)]
     df = spark.createDataFrame(rows, "row_id string, name string, _1 string, entity_id int, _0 string, value string")
