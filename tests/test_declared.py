@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablemend.functions.units import IDENTITY, THOUSANDS
-from tablemend.operators.learn import Beta, NormalMean
+from tablemend.operators import learn
+from tablemend.operators.learn import Beta, NormalMean, lookup
 from tablemend.plans import fixtures as fx
 from tablemend.plans.declared import Computed, Swaps, Typos, Units, Usual, _waves, clean_declared
 from tablemend.plans.recipes import clean_claims, clean_listings
@@ -66,3 +67,34 @@ def test_numbers_keep_their_type(spark):
     out = clean_declared(df, {"x": Units(("g",), (IDENTITY, THOUSANDS), NormalMean(1500.0, 1000.0), 50.0)}).flat
     got = {r.row_id: r.x for r in out.collect()}
     assert out.schema == df.schema and all(got[k] == 1000.0 + k for k in range(30)) and got[30] == 1200.0 and got[31] is None
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_move_once_for_columns_of_one_group(spark):
+    rows = [(i, i % 7 if i % 11 else None, i % 5, "ab"[i % 3 == 0], "cd"[i % 4 == 0] if i % 6 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "row_id long, part int, source int, kind string, brand string")
+    model = Swaps(("part",), "source", PRIOR, rounds=2)
+    flat = clean_declared(df, {"kind": model, "brand": model}).flat
+    assert "hashpartitioning(row_id" not in plan(flat)
+    got = {r.row_id: r for r in flat.collect()}
+    assert len(got) == 200 and all(got[i].kind == s for i, p, _, s, _ in rows if p is None)
+    assert all(len({(r.kind, r.brand) for r in got.values() if r.part == p}) == 1 for p in range(7))
+
+
+def test_few_parameters_leave_rows_where_they_are(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "z")], "row_id long, source string")
+    rates = spark.createDataFrame([("a", 0.1, 5), ("b", 0.2, 6), (None, 0.3, 1)], "source string, rate double, n long")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = lookup(df, rates, ["source"], "rate", 0.5, "n")
+        assert "hashpartitioning" not in plan(out)
+        assert {r.row_id: r.rate for r in out.collect()} == {1: 0.1, 2: 0.2, 3: 0.3, 4: 0.5}
+        with pytest.MonkeyPatch.context() as m:  # more of them than may be sent
+            m.setattr(learn, "FEW_PARAMS", 2)
+            assert {r.row_id: r.rate for r in lookup(df, rates, ["source"], "rate", 0.5, "n").collect()} == {1: 0.1, 2: 0.2, 3: 0.3, 4: 0.5}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
