@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemend.functions.editdist import deletion_keys, edit_distance
+from tablemend.session import is_small
 
 
 def _null_safe(left: str, right: str, on: Sequence[str]):
@@ -37,13 +38,28 @@ def within_bound(pairs: DataFrame, observed: str, word: str, max_typos: int, nam
     return close.withColumn(name, edit_distance(observed, word, max_typos)).where(F.col(name) <= max_typos)
 
 
-def _met(observed: DataFrame, words: DataFrame, keys: Sequence[str], on: Sequence[str], max_typos: int) -> DataFrame:
+FEW_WORDS = 1000  # list at most a few hundred thousand keys, at most two typos apart
+
+
+def few(observed: DataFrame, words: DataFrame, max_typos: int) -> str | None:
+    """The side, of "words" and "observed", that is measured to hold so few texts that its keys may be broadcast."""
+    for side, texts in (("words", words), ("observed", observed)) if max_typos <= 2 else ():
+        if is_small(texts.distinct(), FEW_WORDS, 1 << 20):
+            return side
+    return None
+
+
+def _met(observed: DataFrame, words: DataFrame, keys: Sequence[str], on: Sequence[str], max_typos: int, small: str | None = None) -> DataFrame:
     """(on, observed, word, k): pairs within the bound of two tables of keys that share one of ``keys``.
 
     Tables of keys are many times as large as the words that Spark knows the size of, so it is told not to
-    broadcast them.
+    broadcast them, but for those of a ``small`` side.
     """
-    met = observed.join(words.hint("merge"), [*keys]).select(*on, "observed", "word")
+    if small == "observed":
+        observed = observed.hint("broadcast")
+    else:
+        words = words.hint("broadcast" if small else "merge")
+    met = observed.join(words, [*keys]).select(*on, "observed", "word")
     # Letters decide: equal hashes alone prove nothing.  Where the JVM can tell, they do so before the pairs are made
     # distinct, as most that meet are too far apart; what costs a call of Python is done once per pair.
     if max_typos <= 2:
@@ -51,8 +67,8 @@ def _met(observed: DataFrame, words: DataFrame, keys: Sequence[str], on: Sequenc
     return within_bound(met.distinct(), "observed", "word", max_typos)
 
 
-def by_deletion(observed: DataFrame, words: DataFrame, max_typos: int, on: Sequence[str] = ()) -> DataFrame:
-    """All (observed, word) pairs within ``max_typos`` edits, found without pairing everything.
+def by_deletion(observed: DataFrame, words: DataFrame, max_typos: int, on: Sequence[str] = (), small: str | None = None) -> DataFrame:
+    """All (observed, word) pairs within ``max_typos`` edits, found without pairing everything.  ``small`` as in :func:`few`.
 
     Both sides list what is left after dropping up to ``max_typos`` letters; pairs within
     the bound always meet in one such string, and pairs that meet are never more than
@@ -60,11 +76,15 @@ def by_deletion(observed: DataFrame, words: DataFrame, max_typos: int, on: Seque
     about length**max_typos strings: for long words use ``by_segments``.
     """
 
+    # Few bytes become many keys and pairs, so partitions are not to be merged by their bytes.
+    partitions = int(observed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def keyed(words_: DataFrame, word: str) -> DataFrame:
-        listed = words_.select(*on, word).distinct().where(F.col(word).isNotNull())
-        return listed.select(*on, word, F.inline(deletion_keys(word, max_typos))).select(*on, word, F.col("v").alias("_v"))
+        listed = words_.select(*on, word).where(F.col(word).isNotNull()).repartition(partitions, *on, word).distinct()
+        out = listed.select(*on, word, F.inline(deletion_keys(word, max_typos))).select(*on, word, F.col("v").alias("_v"))
+        return out if small else out.repartition(partitions, *on, "_v")
 
-    return _met(keyed(observed, "observed"), keyed(words, "word"), [*on, "_v"], on, max_typos)
+    return _met(keyed(observed, "observed"), keyed(words, "word"), [*on, "_v"], on, max_typos, small)
 
 
 # Up to this length, listing a word's deletions costs no more than listing its segments.
@@ -73,8 +93,8 @@ SEGMENT = 5  # letters of a segment, where that makes at most MORE_SEGMENTS more
 MORE_SEGMENTS = 8
 
 
-def by_segments(observed: DataFrame, words: DataFrame, max_typos: int, on: Sequence[str] = ()) -> DataFrame:
-    """All (observed, word) pairs within ``max_typos`` edits, whatever their lengths.
+def by_segments(observed: DataFrame, words: DataFrame, max_typos: int, on: Sequence[str] = (), small: str | None = None) -> DataFrame:
+    """All (observed, word) pairs within ``max_typos`` edits, whatever their lengths.  ``small`` as in :func:`few`.
 
     A word longer than ``SHORT_WORD`` is cut into 2 * max_typos + 1 segments or, as it is longer, up to
     ``MORE_SEGMENTS`` more.  One edit touches at most two of them, a swap across a cut, so all but 2 * max_typos stand
@@ -87,7 +107,7 @@ def by_segments(observed: DataFrame, words: DataFrame, max_typos: int, on: Seque
     """
     obs = observed.select(*on, "observed").where(F.col("observed").isNotNull())
     wrd = words.select(*on, "word").where(F.col("word").isNotNull())
-    short = by_deletion(obs.where(F.length("observed") <= SHORT_WORD + max_typos), wrd.where(F.length("word") <= SHORT_WORD), max_typos, on)
+    short = by_deletion(obs.where(F.length("observed") <= SHORT_WORD + max_typos), wrd.where(F.length("word") <= SHORT_WORD), max_typos, on, small)
     least = 2 * max_typos + 1
     # Few bytes become many keys and pairs, so partitions are not to be merged by their bytes.
     partitions = int(observed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -111,14 +131,16 @@ def by_segments(observed: DataFrame, words: DataFrame, max_typos: int, on: Seque
         same = same & F.col(f"l.`{k}`").eqNullSafe(F.col(f"s.`{k}`"))
     counted = listed.alias("l").join(shared.alias("s").hint("merge"), same).select("l.*", "s._words")
     ranked = counted.groupBy(*on, "word").agg(F.slice(F.array_sort(F.collect_list(F.struct("_words", "_len", "_part", "_seg"))), 1, least).alias("_own"))
-    own = ranked.select(*on, "word", F.inline("_own")).drop("_words").repartition(partitions, *keys)
+    own = ranked.select(*on, "word", F.inline("_own")).drop("_words")
 
     moves = [(more, shift) for more in range(-max_typos, max_typos + 1) for shift in range(-max_typos, max_typos + 1) if abs(shift) + abs(more + shift) <= max_typos]
     places = F.array(*[F.struct(F.lit(more).alias("more"), F.lit(shift).alias("shift")) for more, shift in moves])
     there = F.flatten(F.transform(places, lambda x: segments("observed", F.length("observed") + x["more"], x["shift"])))
     near = obs.where(F.length("observed") > SHORT_WORD - max_typos).repartition(partitions, *on, "observed").distinct()
-    theirs = near.select(*on, "observed", F.inline(F.array_distinct(there))).where(F.col("_len") > SHORT_WORD).repartition(partitions, *keys)
-    return short.unionByName(_met(theirs, own, keys, on, max_typos).select(*short.columns))
+    theirs = near.select(*on, "observed", F.inline(F.array_distinct(there))).where(F.col("_len") > SHORT_WORD)
+    if not small:
+        own, theirs = own.repartition(partitions, *keys), theirs.repartition(partitions, *keys)
+    return short.unionByName(_met(theirs, own, keys, on, max_typos, small).select(*short.columns))
 
 
 def _segments(text: str, length: Column, shift: Column, max_typos: int) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablemend.session import cut_lineage
+
 COUNTS = ("errors", "changed", "cleaned", "imputed", "correctly_imputed")
 
 
@@ -103,7 +105,7 @@ def learning_curve(
     names = ["row_no", *COUNTS]
     rows = pairs.select(key, F.substring(key, 1, prefix).alias("_bucket"), F.lit(1).cast("long").alias("row_no"),
                         *[counts[n].alias(n) for n in COUNTS])
-    sums = rows.groupBy("_bucket").agg(*[F.sum(n).alias(n) for n in names])
+    sums = cut_lineage(rows.groupBy("_bucket").agg(*[F.sum(n).alias(n) for n in names]))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("_bucket", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_{n}") for n in names])
     within = Window.partitionBy("_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)

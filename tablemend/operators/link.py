@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tablemend.functions import loglik
 from tablemend.functions.expr import key_hash, ln_gamma, r6
-from tablemend.operators.candidates import by_segments
+from tablemend.operators.candidates import by_segments, few
 from tablemend.operators.choose import best, log_sum_exp, top_k
 from tablemend.operators.consensus import consensus
 from tablemend.operators.domains import letter_bigrams, text_prior
@@ -61,9 +61,9 @@ def tuples(records: DataFrame, m: LinkModel) -> DataFrame:
 
 def typo_pairs(observed: DataFrame, words: DataFrame, max_typos: int, on: Sequence[str] = ()) -> DataFrame:
     """(observed, word, k, loglik) for distinct pairs within the bound, each scored once.
-    ``on`` names columns both sides must agree on.
+    ``on`` names columns both sides must agree on.  Both sides are measured, so they should be cheap to read.
     """
-    return scored_pairs(by_segments(observed, words, max_typos, on), max_typos)
+    return scored_pairs(by_segments(observed, words, max_typos, on, few(observed, words, max_typos)), max_typos)
 
 
 def scored_pairs(pairs: DataFrame, max_typos: int) -> DataFrame:
@@ -136,10 +136,16 @@ def seed_entities(tups: DataFrame, m: LinkModel) -> DataFrame:
         .withColumn("own", own)
         .select("entity_id", *m.fields, "n", "own")
     )
-    # One better supported tuple that wins is enough to decide.  Most tuples lose to one of the
-    # few above average support, so only the undecided ones meet the many below it.
-    average = priced.select(F.avg("n")).scalar()
-    undecided = cut_lineage(_without_losers(priced, priced.where(F.col("n") >= average), m))
+    # One better supported tuple that wins is enough to decide.  Nearly all mistyped tuples lose to one of the few that
+    # most records show (a record's tuple has ``usual`` copies on average, and at most 8 * total / usual tuples have an
+    # eighth of that), so only the undecided ones meet those of more than average support, and what is left the rest.
+    n = F.col("n").cast("double")
+    seen = priced.agg(F.avg(n).alias("average"), (F.sum(n * n) / F.sum(n)).alias("usual")).first()
+    average = seen["average"] or 0.0
+    much = max((seen["usual"] or 0.0) / 8, average)
+    undecided = priced
+    for rivals in (F.col("n") >= much, (F.col("n") >= average) & (F.col("n") < much)):
+        undecided = cut_lineage(_without_losers(undecided, priced.where(rivals), m))
     return _without_losers(undecided, priced.where(F.col("n") < average), m).select("entity_id", *m.fields, "n")
 
 
