@@ -29,7 +29,7 @@ from tablemend.functions.expr import IMPOSSIBLE_TYPOS, key_hash
 from tablemend.operators.choose import best
 from tablemend.operators.link import LinkModel, link, name_prior, on_tuple, seed_entities, typo_pairs
 from tablemend.operators.spread import no_clash, spread_join
-from tablemend.session import cut_lineage
+from tablemend.session import broadcast_if_small, cut_lineage
 from tablemend.sources.tables import combine
 
 
@@ -88,7 +88,8 @@ def seed_tables(tups: DataFrame, cls: Nested, max_typos: int = 2, prior: Prior =
     m = LinkModel(cls.attributes[0], tuple(refs), max_typos, strength=prior.strength, discount=prior.discount)
     own = cut_lineage(tups.groupBy(*m.fields).agg(F.sum("c").alias("c")))
     seeds = cut_lineage(seed_entities(own, m))
-    named = link(own, seeds, m).select(*m.fields, "c", F.when(F.col(m.name).isNotNull(), F.col("entity_id")).alias(cls.id))
+    # Written, as the join with the tuples reads it three times.
+    named = cut_lineage(link(own, seeds, m).select(*m.fields, "c", F.when(F.col(m.name).isNotNull(), F.col("entity_id")).alias(cls.id)))
     tups = cut_lineage(on_tuple(tups, named, m))
     table = seeds.select("entity_id", m.name, *refs, "n")
     for a in cls.attributes[1:]:  # what most records that name the entity show
@@ -113,7 +114,77 @@ class _Message:
     best: DataFrame  # (sub, ids of the class and all below it, is_new, score)
 
 
-def _message(cls: Nested, tups: DataFrame, tables: dict[str, DataFrame], max_typos: int, prior: Prior) -> _Message:
+def _matching(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """An inner join in which missing matches missing."""
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`"))
+    return left.alias("l").join(right.alias("r"), same).select("l.*", *[F.col(f"r.`{c}`") for c in right.columns if c not in on])
+
+
+def _first(cls: Nested, entities: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the entities that agree on ``keys`` the one with most references: keys, the ids, n."""
+    rest = [c.id for c in cls.classes() if c.id not in keys]
+    first = entities.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(c).alias(f"_{c}") for c in rest], "n"), F.struct((-F.col("n")).alias("m"), cls.id)).alias("_t"))
+    return first.where("_t is not null").select(*keys, *[F.col(f"_t._{c}").alias(c) for c in rest], "_t.n")
+
+
+def _existing(cls: Nested, subs: DataFrame, entities: DataFrame, pairs: dict[str, DataFrame], kids: list["_Message"], told: Column, prior_of: Column) -> DataFrame:
+    """(sub, ids, is_new, score): existing entities for each sub-tuple of the first class, the best among them.
+
+    Nothing above asks which entities there are, so they are not listed for each sub-tuple: what the references
+    of a sub-tuple say is weighed once for all that share them, and of the entities that its own cells and an anchor cannot
+    tell apart only the one with most references is looked at.
+    """
+    ids, attrs, refs = [c.id for c in cls.classes()], list(cls.attributes), [r.sub for r in cls.refs]
+    shown_by = [f"e_{a}" for a in attrs]
+    # How well the own cells are explained by those of an entity that at least one of them reaches.
+    shown, words, met = subs.select(*attrs).distinct(), entities.select(*shown_by).distinct(), None
+    for a in attrs:
+        near = pairs[a].select(F.col("observed").alias(a), F.col("word").alias(f"e_{a}"))
+        via = shown.join(near, a).join(words, f"e_{a}").select(*attrs, *shown_by)
+        met = via if met is None else met.union(via)
+    met, own = met.distinct(), F.lit(0.0)
+    for i, a in enumerate(attrs):
+        met = met.join(pairs[a].select(F.col("observed").alias(a), F.col("word").alias(f"e_{a}"), F.col("loglik").alias(f"_own{i}")), [a, f"e_{a}"], "left")
+        own = own + F.when(F.col(a).isNull(), 0.0).otherwise(F.coalesce(f"_own{i}", F.lit(IMPOSSIBLE_TYPOS)))
+    fits = cut_lineage(met.select(*attrs, *shown_by, own.alias("_own")))
+    reached = cut_lineage(_matching(subs, fits, attrs).select(cls.sub, *refs, *shown_by, "_own"))
+    wanted = cut_lineage(reached.select(*refs, *shown_by).distinct())
+    apart = subs.select(*refs).distinct()
+
+    options = None
+    for anchors in product(*[kid.reach for kid in kids]):
+        on = [f"{x}_id" for x in sum(anchors, ())]
+
+        def below(rows: DataFrame) -> DataFrame:
+            fit = F.lit(0.0)
+            for i, (r, kid, a) in enumerate(zip(cls.refs, kids, anchors, strict=True)):  # noqa: B023
+                rows, fit = rows.join(kid.reach[a].withColumnRenamed("fit", f"_fit{i}"), r.sub), fit + F.col(f"_fit{i}")
+            return rows.withColumn("_below", fit)
+
+        alike, most = (broadcast_if_small(cut_lineage(_first(cls, entities, k))) for k in ([*on, *shown_by], on))
+        weighed = below(wanted).alias("w")
+        same = F.lit(True)
+        for c in on:
+            same = same & (F.col(f"w.{c}") == F.col(f"f.{c}"))
+        for c in shown_by:
+            same = same & F.col(f"w.`{c}`").eqNullSafe(F.col(f"f.`{c}`"))
+        found = weighed.join(alike.alias("f"), same).select(*[F.col(f"w.`{c}`") for c in (*refs, *shown_by)], *[F.col(f"f.{c}") for c in ids], (prior_of + F.col("_below")).alias("_score"))
+        top = best(found, [*refs, *shown_by], "_score", [cls.id], [*ids, "_score"])
+        near = _matching(reached, top, [*refs, *shown_by]).select(cls.sub, *ids, (F.col("_score") + F.col("_own")).alias("score"))
+
+        weighed = below(apart)
+        found = weighed.join(most, on) if on else weighed.withColumn("_one", F.lit(1)).join(F.broadcast(most.withColumn("_one", F.lit(1))), "_one")  # a single row
+        top = best(found.select(*refs, *ids, (prior_of + F.col("_below")).alias("_score")), refs, "_score", [cls.id], [*ids, "_score"])
+        far = subs.select(cls.sub, *refs, told.alias("_told")).join(top, refs).select(cls.sub, *ids, (F.col("_score") + F.col("_told")).alias("score"))
+        both = near.unionByName(far)
+        options = both if options is None else options.unionByName(both)
+    return options.select(cls.sub, *ids, F.lit(False).alias("is_new"), "score")
+
+
+def _message(cls: Nested, tups: DataFrame, tables: dict[str, DataFrame], max_typos: int, prior: Prior, top: bool = False) -> _Message:
+    """``top``: nothing above reads what the entities are reached by."""
     kids = [_message(r, tups, tables, max_typos, prior) for r in cls.refs]
     ids, attrs = [c.id for c in cls.classes()], list(cls.attributes)
     entities = cut_lineage(_closure(cls, tables))
@@ -122,6 +193,31 @@ def _message(cls: Nested, tups: DataFrame, tables: dict[str, DataFrame], max_typ
     told = F.lit(0.0)
     for a in attrs:
         told = told + F.when(F.col(a).isNull(), 0.0).otherwise(IMPOSSIBLE_TYPOS)
+    numbers = entities.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("many")).first()
+    strength, discount = F.lit(prior.strength), F.lit(prior.discount)
+    reach: dict[tuple[str, ...], DataFrame] = {}
+    if top and cls.refs:
+        options = _existing(cls, subs, entities, pairs, kids, told, loglik.link_existing("n", F.lit(numbers["total"]), strength, discount))
+    else:
+        reach, options = _reached(cls, subs, entities, pairs, kids, told, loglik.link_existing("n", F.lit(numbers["total"]), strength, discount))
+
+    opened = subs
+    score = loglik.link_new(F.lit(numbers["many"]), F.lit(numbers["total"]), strength, discount)
+    for i, a in enumerate(attrs):
+        letters = cut_lineage(name_prior(subs.select(a, "c"), LinkModel(a, (), max_typos)).select(F.col("word").alias(a), F.col("logp").alias(f"_logp{i}")))
+        opened = opened.join(letters, a, "left")
+        score = score + F.when(F.col(a).isNull(), 0.0).otherwise(F.col(f"_logp{i}") + loglik.typos(F.lit(0), a, a, max_typos))
+    for i, (r, kid) in enumerate(zip(cls.refs, kids, strict=True)):
+        opened = opened.join(kid.best.drop("is_new").withColumnRenamed("score", f"_best{i}"), r.sub)
+        score = score + F.col(f"_best{i}")
+    own_id = key_hash(*[F.coalesce(F.col(a), F.lit("")) for a in attrs], *[F.col(r.id) for r in cls.refs]).alias(cls.id)
+    options = options.unionByName(opened.select(cls.sub, own_id, *ids[1:], F.lit(True).alias("is_new"), score.alias("score")))
+    return _Message(reach, cut_lineage(best(options, [cls.sub], "score", ["is_new", cls.id], [*ids, "is_new", "score"])))
+
+
+def _reached(cls: Nested, subs: DataFrame, entities: DataFrame, pairs: dict[str, DataFrame], kids: list["_Message"], told: Column, prior_of: Column) -> tuple[dict[tuple[str, ...], DataFrame], DataFrame]:
+    """By anchor classes (sub, their ids, fit), and the existing entities they lead to: (sub, ids, is_new, score)."""
+    ids, attrs = [c.id for c in cls.classes()], list(cls.attributes)
     reach: dict[tuple[str, ...], DataFrame] = {}
 
     # Entities that an own cell reaches, with the fit of all cells.
@@ -152,32 +248,18 @@ def _message(cls: Nested, tups: DataFrame, tables: dict[str, DataFrame], max_typ
         # Written, so that the plans above hold one small table instead of all below it.
         reach[named] = cut_lineage(rest.select(cls.sub, *[f"{x}_id" for x in named], fit.alias("fit")))
 
-    numbers = entities.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("many")).first()
-    strength, discount = F.lit(prior.strength), F.lit(prior.discount)
     options = None
     for anchors, frame in reach.items():
         on = [f"{x}_id" for x in anchors]
         if anchors == (cls.name,):
             found = frame.join(entities, on)
         else:  # of the entities behind an anchor the one with most references
-            first = entities.groupBy(*on).agg(F.min_by(F.struct(*[F.col(c).alias(f"_{c}") for c in ids if c not in on], "n"), F.struct((-F.col("n")).alias("m"), cls.id)).alias("_t"))
-            first = first.where("_t is not null").select(*on, *[F.col(f"_t._{c}").alias(c) for c in ids if c not in on], "_t.n")
+            first = _first(cls, entities, on)
             found = frame.join(first, on) if on else frame.withColumn("_one", F.lit(1)).join(F.broadcast(first.withColumn("_one", F.lit(1))), "_one")  # a single row
-        scored = found.select(cls.sub, *ids, F.lit(False).alias("is_new"), (loglik.link_existing("n", F.lit(numbers["total"]), strength, discount) + F.col("fit")).alias("score"))
+        scored = found.select(cls.sub, *ids, F.lit(False).alias("is_new"), (prior_of + F.col("fit")).alias("score"))
         options = scored if options is None else options.unionByName(scored)
 
-    opened = subs
-    score = loglik.link_new(F.lit(numbers["many"]), F.lit(numbers["total"]), strength, discount)
-    for i, a in enumerate(attrs):
-        letters = cut_lineage(name_prior(subs.select(a, "c"), LinkModel(a, (), max_typos)).select(F.col("word").alias(a), F.col("logp").alias(f"_logp{i}")))
-        opened = opened.join(letters, a, "left")
-        score = score + F.when(F.col(a).isNull(), 0.0).otherwise(F.col(f"_logp{i}") + loglik.typos(F.lit(0), a, a, max_typos))
-    for i, (r, kid) in enumerate(zip(cls.refs, kids, strict=True)):
-        opened = opened.join(kid.best.drop("is_new").withColumnRenamed("score", f"_best{i}"), r.sub)
-        score = score + F.col(f"_best{i}")
-    own_id = key_hash(*[F.coalesce(F.col(a), F.lit("")) for a in attrs], *[F.col(r.id) for r in cls.refs]).alias(cls.id)
-    options = options.unionByName(opened.select(cls.sub, own_id, *ids[1:], F.lit(True).alias("is_new"), score.alias("score")))
-    return _Message(reach, cut_lineage(best(options, [cls.sub], "score", ["is_new", cls.id], [*ids, "is_new", "score"])))
+    return reach, options
 
 
 def link_nested(tups: DataFrame, cls: Nested, tables: dict[str, DataFrame], max_typos: int = 2, prior: Prior = Prior()) -> DataFrame:
@@ -188,7 +270,7 @@ def link_nested(tups: DataFrame, cls: Nested, tables: dict[str, DataFrame], max_
     ``max_typos`` counts as impossible, a missing one says nothing.  A new entity pays the letters of its cells.  Ties go
     to existing entities, then to the smallest id.
     """
-    decided = _message(cls, tups, tables, max_typos, prior).best
+    decided = _message(cls, tups, tables, max_typos, prior, top=True).best
     return tups.withColumn(cls.sub, cls.sub_key()).join(decided, cls.sub).drop(cls.sub)
 
 
