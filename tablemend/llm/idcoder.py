@@ -95,7 +95,8 @@ class _Model:
         one = np.minimum(np.maximum(one, _LEAST), (1 << _EVEN) - _RARE - two)
         one[1::2] = 0  # or by order 1, or the same
         one.reshape(_LEVELS, _LEVELS, 2, _PASTS)[:, 0] = 0
-        self.upto2, self.upto1 = two.reshape(-1).view(np.uint64), (two + one).reshape(-1).view(np.uint64)
+        self.upto = np.stack([np.zeros_like(two), two, two + one, np.full_like(two, 1 << _EVEN)]).reshape(4, -1).view(np.uint64)
+        self.wide = np.diff(self.upto, axis=0).reshape(-1)
 
     def _chances(self, axis: int) -> np.ndarray:
         came = self.came.sum(axis)
@@ -118,12 +119,12 @@ class _Model:
         self.start = np.concatenate([[0], self.ends[:-1]]).astype(np.uint64)
         self.width = np.diff(self.ends, prepend=0).astype(np.uint64)
 
-    def learn(self, at: list[np.ndarray], ids: np.ndarray, cell: np.ndarray, outcome: np.ndarray, due: bool) -> None:
-        """A round's ids, their contexts, chances and which prediction was right."""
+    def learn(self, at: list[np.ndarray], ids: np.ndarray, of: np.ndarray, due: bool) -> None:
+        """A round's ids, their contexts, and which chances came true."""
         for table, a in zip(self.best, at, strict=True):
             _follow(table, a, ids)
-        self.mix(np.bincount(outcome * (_PAIRS * _PASTS) + cell, minlength=self.came.size))
-        self.waiting.append(ids[outcome == 2])
+        self.mix(np.bincount(of, minlength=self.came.size))
+        self.waiting.append(ids[of >= 2 * _PAIRS * _PASTS])
         if due:
             self.rank()
 
@@ -236,10 +237,9 @@ def _write(ids: np.ndarray) -> bytes:
             miss = ~right2 & (now != id1)
             outcome[s + 2 : e + 2] = np.where(right2, 0, 1 + miss)
             cell = (sure << 4) | (outcome[s + 1 : e + 1] << 2) | outcome[s:e]
-            met.append((*at, cell))
-            upto2, upto1 = model.upto2.take(cell), model.upto1.take(cell)
-            start = np.where(right2, np.uint64(0), np.where(miss, upto1, upto2))
-            width = np.where(right2, upto2, np.where(miss, np.uint64(1 << _EVEN), upto1)) - start
+            of = outcome[s + 2 : e + 2] * (_PAIRS * _PASTS) + cell
+            met.append((*at, of))
+            start, width = model.upto.take(of), model.wide.take(of)
             width0 = model.width.take(now)
             start0 = np.where(miss, model.start.take(now), np.uint64(0))
             new = miss & (width0 == 0)
@@ -254,8 +254,8 @@ def _write(ids: np.ndarray) -> bytes:
                     own = np.flatnonzero(new[k])
                     unit = out.range[own] >> raw
                     out.put(unit * now[k][own].view(np.uint64), unit, own)
-        at1, at2, cell = (np.concatenate(x).reshape(-1) for x in zip(*met, strict=True))
-        model.learn([at1, at2], steps[begin:end].reshape(-1), cell, outcome[begin + 2 : end + 2].reshape(-1), due)
+        at1, at2, of = (np.concatenate(x).reshape(-1) for x in zip(*met, strict=True))
+        model.learn([at1, at2], steps[begin:end].reshape(-1), of, due)
     words = out.finish()
     return _HEAD.pack(n, length, top, len(listed), len(words), checksum) + listed.tobytes() + out.at.astype("<u2").tobytes() + words.tobytes()
 
@@ -302,7 +302,7 @@ def _read(coded: bytes, begin: int) -> tuple[np.ndarray, int]:
             id1, id2, sure = model.predict(at)
             cell = (sure << 4) | past
             unit = span >> even
-            end2, end1 = unit * model.upto2.take(cell), unit * model.upto1.take(cell)
+            end2, end1 = unit * model.upto[1].take(cell), unit * model.upto[2].take(cell)
             right2, miss = code < end2, code >= end1
             now = np.where(right2, id2, id1)
             below = np.where(right2, np.uint64(0), np.where(miss, end1, end2))
@@ -328,9 +328,9 @@ def _read(coded: bytes, begin: int) -> tuple[np.ndarray, int]:
             past = ((outcome << 2) | (past >> 2)) & 15
             steps[k] = now
             one, two = now + 1, one
-            met.append((*at, cell, outcome))
-        at1, at2, cell, outcome = (np.concatenate(x) for x in zip(*met, strict=True))
-        model.learn([at1, at2], steps[s:e].reshape(-1), cell, outcome, due)
+            met.append((*at, outcome * (_PAIRS * _PASTS) + cell))
+        at1, at2, of = (np.concatenate(x) for x in zip(*met, strict=True))
+        model.learn([at1, at2], steps[s:e].reshape(-1), of, due)
         if due:
             symbol = _symbols(model)
     ids = steps.T.reshape(-1)[:n]

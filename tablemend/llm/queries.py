@@ -66,7 +66,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         model = f.read()
     path = scratch_path(spark)
     token_files.write_ids(_documents(spark, sf_dir), model, path)
-    return token_files.read_ids(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_files.read_ids(spark, path, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

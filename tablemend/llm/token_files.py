@@ -32,7 +32,7 @@ _CHUNK = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("doc_ids", pa.
 _CHUNK_SQL = "part int, chunk int, doc_ids array<long>, lengths array<long>, payload binary"
 _HELD_WORDS = 1_000_000
 _PIECE = 6 << 20  # bytes of text whose words are looked up at once
-_GROUP = 50  # words encoded together
+_GROUP = 100  # words encoded together
 _MARK = "\x01"
 _ONE_SPACE = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -236,22 +236,22 @@ def write_ids(docs: DataFrame, model: str, path: str, end_id: int = END_ID, chun
     rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text").mapInArrow(run, _CHUNK_SQL).write.parquet(path)
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
+def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """Per document in the files at ``path``: doc_id, start (ids of all documents before it), n_tokens,
-    ids (little-endian unsigned 32-bit integers) and ids_crc32."""
+    ids (little-endian unsigned 32-bit integers; none ``with_ids`` false, though all are read) and ids_crc32."""
     chunks = spark.read.parquet(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
                 row = b.slice(r, 1).to_pylist()[0]
-                ids = idcoder.decode(row["payload"]).astype("<u4")
+                ids = memoryview(idcoder.decode(row["payload"]).astype("<u4")).cast("B")
                 ends = np.cumsum(row["lengths"])
-                pieces = [ids[e - n : e].tobytes() for e, n in zip(ends, row["lengths"], strict=True)]
+                pieces = [ids[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), row["lengths"], strict=True)]
                 n = len(pieces)
                 columns = [
                     pa.array([row["part"]] * n, pa.int32()), pa.array([row["chunk"]] * n, pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(ends - row["lengths"], pa.int64()),
-                    pa.array(row["lengths"], pa.int64()), pa.array(pieces, pa.binary()), pa.array(map(zlib.crc32, pieces), pa.int64()),
+                    pa.array(row["lengths"], pa.int64()), pa.array(map(bytes, pieces), pa.binary()) if with_ids else pa.nulls(n, pa.binary()), pa.array(map(zlib.crc32, pieces), pa.int64()),
                 ]
                 out = pa.record_batch(columns, ["part", "chunk", "doc_id", "_own", "n_tokens", "ids", "ids_crc32"])
                 yield from (out.slice(s, 1000) for s in range(0, n, 1000))
