@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 
 CHUNK_TOKENS = 2 << 20
-BLOCK_TOKENS = 2 << 20  # about; blocks of a chunk are of one size
+BLOCK_TOKENS = 1 << 20  # about; blocks of a chunk are of one size
 _LANES = 4096  # above which lanes have their most ids
 _LENGTH = (256, 512)  # least and most ids of a lane
 _ROUND = 32  # most steps between two updates
