@@ -21,7 +21,7 @@ from tablemend.operators.consensus import consensus
 from tablemend.operators.domains import letter_bigrams, text_prior
 from tablemend.operators.learn import learn_proportions, learn_py
 from tablemend.operators.spread import no_clash, spread_join
-from tablemend.session import cut_lineage
+from tablemend.session import cut_lineage, merge_if_large
 
 
 @dataclass(frozen=True)
@@ -131,7 +131,7 @@ def seed_entities(tups: DataFrame, m: LinkModel) -> DataFrame:
     for c in m.exact:
         own = own - F.ln(seeds.select(F.count_distinct(c)).scalar().cast("double"))
     priced = cut_lineage(
-        seeds.join(name_prior(tups, m).withColumnRenamed("word", m.name), m.name)
+        merge_if_large(seeds).join(name_prior(tups, m).withColumnRenamed("word", m.name), m.name)
         .withColumn("_self", loglik.typos(F.lit(0), m.name, m.name))
         .withColumn("own", own)
         .select("entity_id", *m.fields, "n", "own")
@@ -156,7 +156,7 @@ def _without_losers(seeds: DataFrame, rivals: DataFrame, m: LinkModel) -> DataFr
     blocks = [F.col(c).alias(x) for c, x in zip(m.exact, shared)]
     observed = seeds.select(*blocks, F.col(m.name).alias("observed"))
     pairs = typo_pairs(observed, rivals.select(*blocks, F.col(m.name).alias("word")), m.max_typos, shared).where("k > 0")
-    w, v = seeds.alias("w"), rivals.alias("v")
+    w, v = merge_if_large(seeds).alias("w"), merge_if_large(rivals).alias("v")
 
     def same(side: str, column: str):
         cond = F.col(f"p.{column}") == F.col(f"{side}.{m.name}")
