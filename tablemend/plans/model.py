@@ -168,24 +168,29 @@ def _agreeing(tuple_keys: DataFrame, entity_keys: DataFrame, cells: DataFrame, a
     return pairs.unionByName(met).distinct()
 
 
-def _score(candidates: DataFrame, cells: DataFrame, attrs: DataFrame, sizes: DataFrame, max_typos: int, strength: float, discount: float) -> DataFrame:
-    """Link prior plus typo likelihoods of all cells, every distinct pair of spellings scored once.  A cell more
-    than ``max_typos`` away counts as impossible, so distances need not be known beyond that."""
-    met = candidates.join(cells.select("tuple_id", "path", "observed", "typos"), "tuple_id").join(attrs, ["entity_id", "path"], "left")
-    pairs = met.where("value <> observed and typos").select("observed", "value").distinct()
-    scored = pairs.withColumn("_k", edit_distance("observed", "value", max_typos)).withColumn("_far", loglik.typos("_k", "observed", "value", max_typos)).drop("_k")
-    unknown = -F.length("observed") * F.ln(F.lit(28.0))  # no value yet: any spelling by letters
-    same = loglik.typos(F.lit(0), "observed", "observed", 0)
-    each = (
-        F.when(F.col("value").isNull(), unknown)
-        .when(~F.col("typos"), F.when(F.col("value") == F.col("observed"), 0.0).otherwise(loglik.IMPOSSIBLE_TYPOS))
-        .when(F.col("value") == F.col("observed"), same)
-        .otherwise(F.col("_far"))
-    )
+def _score(candidates: DataFrame, tups: DataFrame, columns: Mapping[str, Column], attrs: DataFrame, sizes: DataFrame, max_typos: int, strength: float, discount: float) -> DataFrame:
+    """Link prior plus typo likelihoods of all cells.  A cell more than ``max_typos`` away counts as impossible, so
+    distances need not be known beyond that.
+
+    A candidate stays one row, with the cells of its tuple and the values of its entity beside it, and meets its tuple
+    last, so that the choice among a tuple's candidates finds them together."""
+    place = {p: j for j, p in enumerate(sorted({c.path for c in columns.values()}))}
+    values = attrs.groupBy("entity_id").agg(*[F.max(F.when(F.col("path") == p, F.col("value"))).alias(f"_v{j}") for p, j in place.items()])
+    shown = tups.select("tuple_id", *[F.col(f"`{n}`").cast("string").alias(f"_o{i}") for i, n in enumerate(columns)])
+    met = candidates.join(sizes.join(values, "entity_id", "left"), "entity_id").join(shown, "tuple_id")
+    fit = F.lit(0.0)
+    for i, c in enumerate(columns.values()):
+        observed, value = F.col(f"_o{i}"), F.col(f"_v{place[c.path]}")
+        unknown = -F.length(observed) * F.ln(F.lit(28.0))  # no value yet: any spelling by letters
+        same, far = F.lit(0.0), F.lit(loglik.IMPOSSIBLE_TYPOS)
+        if c.typos:
+            unlike = observed != value
+            met = met.withColumn(f"_k{i}", edit_distance(F.when(unlike, observed), F.when(unlike, value), max_typos))
+            same, far = loglik.typos(F.lit(0), observed, observed, 0), loglik.typos(f"_k{i}", observed, value, max_typos)
+        fit = fit + F.when(observed.isNull(), 0.0).when(value.isNull(), unknown).when(value == observed, same).otherwise(far)
     total = sizes.select(F.sum("n")).scalar()
-    summed = met.join(scored, ["observed", "value"], "left").groupBy("tuple_id", "entity_id").agg(F.sum(each).alias("_fit"))
     prior = loglik.link_existing("n", total, F.lit(strength), F.lit(discount))
-    return summed.join(sizes, "entity_id").select("tuple_id", "entity_id", (F.col("_fit") + prior).alias("score"))
+    return met.select("tuple_id", "entity_id", (fit + prior).alias("score"))
 
 
 def _class_tables(cls: EntityClass, wide: DataFrame, prefix: str, out: dict[str, DataFrame]) -> DataFrame:
@@ -229,11 +234,11 @@ def clean(
     names = list(columns)
     present = [F.coalesce(F.concat(F.lit("="), F.col(f"`{n}`").cast("string")), F.lit("?")) for n in names]
     keyed = records.select("row_id", *[F.col(f"`{n}`") for n in names], key_hash(*present).alias("tuple_id"))
-    tups = keyed.groupBy("tuple_id").agg(F.count("*").alias("c"), *[F.first(F.col(f"`{n}`")).alias(n) for n in names])
-    cells = cut_lineage(_canonical(cut_lineage(_cells(tups, columns)), max_typos))
+    tups = cut_lineage(keyed.groupBy("tuple_id").agg(F.count("*").alias("c"), *[F.first(F.col(f"`{n}`")).alias(n) for n in names]))
+    cells = cut_lineage(_canonical(_cells(tups, columns), max_typos))
 
     tuple_keys = cut_lineage(_recognised(cells, "tuple_id", cls.keys))
-    sizes_of = cells.select("tuple_id", "c").distinct()
+    sizes_of = tups.where(F.coalesce(*[F.col(f"`{n}`").cast("string") for n in names]).isNotNull()).select("tuple_id", "c")
     first = tuple_keys.where("key = 0").select("tuple_id", key_hash(F.lit(cls.name), F.col("h")).alias("entity_id"))
     links = first
     for _ in range(sweeps):
@@ -242,7 +247,7 @@ def clean(
         sizes = links.join(sizes_of, "tuple_id").groupBy("entity_id").agg(F.sum("c").alias("n"))
         entity_keys = _recognised(attrs, "entity_id", cls.keys)
         candidates = cut_lineage(_agreeing(tuple_keys, cut_lineage(entity_keys), cells, attrs, sizes, cls.keys, columns, max_typos, discount))
-        chosen = best(_score(candidates, cells, attrs, sizes, max_typos, strength, discount), ["tuple_id"], "score", ["entity_id"], ["entity_id"])
+        chosen = best(_score(candidates, tups, columns, attrs, sizes, max_typos, strength, discount), ["tuple_id"], "score", ["entity_id"], ["entity_id"])
         own = key_hash(F.lit(cls.name), F.col("tuple_id"))
         links = sizes_of.join(chosen, "tuple_id", "left").select("tuple_id", F.coalesce("entity_id", own).alias("entity_id"))
     links = cut_lineage(links)
@@ -256,8 +261,9 @@ def clean(
 
     row_links = keyed.select("row_id", "tuple_id").join(links, "tuple_id", "left").select("row_id", "entity_id")
     fixed = wide.select("entity_id", F.struct(*[F.col(f"`{c.path}`").alias(f"c{i}") for i, c in enumerate(columns.values())]).alias("value"))
-    # Both sides go by names of their own, as the records may have any.
-    found = row_links.join(fixed, "entity_id", "left").select("row_id", "value")
+    # Once per tuple, so that the rows meet one table.  Both sides go by names of their own, as the records may have any.
+    decided = links.join(fixed, "entity_id", "left").select("tuple_id", "value")
+    found = keyed.select("row_id", "tuple_id").join(decided, "tuple_id", "left").select("row_id", "value")
     joined = records.alias("r").join(found.alias("f"), F.col("r.row_id") == F.col("f.row_id"))
     repaired = {
         n: F.coalesce(F.col(f"f.value.c{i}").cast(records.schema[n].dataType), F.col(f"r.`{n}`")).alias(n) for i, n in enumerate(names)
